@@ -11,12 +11,14 @@ Only suffixes that can still be equal are refined:
    Equal strings point to equal buckets at equal distances. Consecutive starts with one pointer are a segment.
 2. Segments are grouped by pointed bucket, and by the name of the whole segment. A segment found twice is
    repeated throughout. A bucket with one kind of segment is done; all others hold open segments.
-3. Starts of open segments (one of each kind) are refined to all 200 bytes and counted. Those seen twice are repeated.
+3. Open segments (one of each kind) are refined to all 200 bytes at every start: they travel with their bytes to
+   their bucket, and starts whose name occurs twice in it are repeated. A bucket with more than ``BUCKET`` kinds of
+   segment (a passage in very many surroundings) sends the names of its starts instead, which are counted one by one.
 Texts that occur twice as a whole and have 200 bytes go entirely.
 
-Row counts: one row in about 85 bytes in step 2; in step 3 one row a byte of open segments only, which lie at the ends
-of repeated passages. Counting is by partial aggregates (least and greatest place of a name), so a passage that
-millions of documents share costs no task more than its own documents.
+Row counts: one row in about 85 bytes in step 2, one row with about 300 bytes for each kind of open segment in step 3
+(these lie at the ends of repeated passages). Counting is by partial aggregates (least and greatest place of a
+name), so a passage that millions of documents share costs no task more than its own documents.
 
 Defined results: null text is empty; texts under 200 bytes keep everything unless step 2 cannot apply (they have
 no 200-byte string); repeated rows count as other places; an empty table gives an empty result. Two different strings
@@ -38,6 +40,7 @@ from .common import durable
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
 PIECE = 1 << 17
+BUCKET = 1000
 SMALL = 64_000_000  # bytes: a table up to this size is broadcast, a larger one is joined by key
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -132,12 +135,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _segment_rows(keyed: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            k1, k2 = b["k1"].to_numpy(), b["k2"].to_numpy()
+            k1, k2, ids = b["k1"].to_numpy(), b["k2"].to_numpy(), b["doc_id"]
             for i, s, e, bucket, name in segments(_raw(b)):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[i], k2[i], s, e, bucket, name)], names=["k1", "k2", "start", "stop", "bucket", "name"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), *(pa.array(x) for x in (k1[i], k2[i], s, e, bucket, name))], names=["doc_id", "k1", "k2", "start", "stop", "bucket", "name"])
 
-    kind = "k1 long, k2 long, start long, stop long, bucket long, name long"
-    return keyed.select("k1", "k2", "text").mapInArrow(run, kind).withColumn("place", F.xxhash64("k1", "k2", "start"))
+    kind = f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, start long, stop long, bucket long, name long"
+    return keyed.select("doc_id", "k1", "k2", "text").mapInArrow(run, kind).withColumn("place", F.xxhash64("k1", "k2", "start"))
 
 
 def _small(df: DataFrame, row_bytes: int, column: str | None = None) -> DataFrame:
@@ -146,56 +149,114 @@ def _small(df: DataFrame, row_bytes: int, column: str | None = None) -> DataFram
     return F.broadcast(df) if n * row_bytes <= SMALL else df
 
 
-def _windows(docs: DataFrame) -> DataFrame:
-    """Rows (w, k1, k2, at) of the open segments' starts."""
+def _open_rows(docs: DataFrame) -> DataFrame:
+    """Rows (bucket, k1, k2, start, bytes) of the open segments in small buckets."""
 
     def run(batches):
         for b in batches:
             k1, k2, open_ = b["k1"].to_numpy(), b["k2"].to_numpy(), b["open"].to_pylist()
-            out, size = [], 0
             for i, raw in enumerate(_raw(b)):
-                starts = np.concatenate([np.arange(x["start"], x["stop"]) for x in open_[i]])
+                rows = [(x["bucket"], x["start"], raw[x["start"] : x["stop"] + LENGTH - 1]) for x in open_[i]]
+                if rows:
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(np.full(n, k1[i])), pa.array(np.full(n, k2[i])), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "k1", "k2", "start", "raw"])
+
+    return docs.select("k1", "k2", "text", "open").mapInArrow(run, "bucket long, k1 long, k2 long, start int, raw binary")
+
+
+def _refine(batches):
+    """Whole buckets in, (k1, k2, start, stop) of runs of repeated starts out."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch | None:
+        k1, k2, start = (t[c].to_numpy() for c in ("k1", "k2", "start"))
+        parts, seen = t["raw"].to_pylist(), set()
+        use = [i for i, key in enumerate(zip(k1.tolist(), k2.tolist(), start.tolist())) if not (key in seen or seen.add(key))]
+        raw = b"".join(parts[i] for i in use)
+        lens = np.array([len(parts[i]) for i in use])
+        number = lens - LENGTH + 1
+        row = np.repeat(np.arange(len(use)), number)
+        within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+        name = names200(names32(raw), within + np.repeat(np.cumsum(lens) - lens, number))
+        _, inverse, times = np.unique(name, return_inverse=True, return_counts=True)
+        hit = np.flatnonzero(times[inverse] > 1)
+        if not len(hit):
+            return None
+        new = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)))
+        first, last = hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)]
+        at = np.array(use)[row[first]]
+        begin = start[at] + within[first]
+        return pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), pa.array(begin.astype(np.int32)), pa.array((begin + last - first + 1).astype(np.int32))], names=["k1", "k2", "start", "stop"])
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.nbytes
+        if size >= 1 << 21:
+            t = pa.Table.from_batches(held)
+            bucket = t["bucket"].to_numpy()
+            cut = int(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[-1])
+            if cut:
+                out = solve(t.slice(0, cut))
+                if out is not None:
+                    yield out
+                held = t.slice(cut).to_batches()
+                size = sum(x.nbytes for x in held)
+    if held:
+        out = solve(pa.Table.from_batches(held))
+        if out is not None:
+            yield out
+
+
+def _windows(docs: DataFrame) -> DataFrame:
+    """Rows (w, k1, k2, at) of the starts of open segments in large buckets."""
+
+    def run(batches):
+        for b in batches:
+            k1, k2, wide = b["k1"].to_numpy(), b["k2"].to_numpy(), b["wide"].to_pylist()
+            for i, raw in enumerate(_raw(b)):
+                starts = np.unique(np.concatenate([np.arange(x["start"], x["stop"]) for x in wide[i]]))
                 for at, part in pieces(raw):
                     p = starts[(starts >= at) & (starts < at + PIECE)]
                     if len(p):
-                        out.append((names200(names32(part), p - at).view(np.int64), np.full(len(p), k1[i]), np.full(len(p), k2[i]), p.astype(np.int32)))
-                        size += len(p)
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(4)], names=["w", "k1", "k2", "at"])
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(4)], names=["w", "k1", "k2", "at"])
+                        yield pa.RecordBatch.from_arrays([pa.array(names200(names32(part), p - at).view(np.int64)), pa.array(np.full(len(p), k1[i])), pa.array(np.full(len(p), k2[i])), pa.array(p.astype(np.int32))], names=["w", "k1", "k2", "at"])
 
-    return docs.select("k1", "k2", "text", "open").mapInArrow(run, "w long, k1 long, k2 long, at int")
+    return docs.select("k1", "k2", "text", "wide").mapInArrow(run, "w long, k1 long, k2 long, at int")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(k1, k2, spans array<struct<start, stop>>): byte ranges to remove, by text."""
     keyed = _keyed(docs)
     place = [F.min("place").alias("low"), F.max("place").alias("high")]
     kinds = _segment_rows(keyed).groupBy("bucket", "name").agg(*place)
-    of = W.partitionBy("bucket")
-    kinds = kinds.withColumn("many", F.min("name").over(of) != F.max("name").over(of)).withColumn("full", F.col("low") != F.col("high"))
-    kinds = durable(kinds.filter("full or many").select("name", "full", "many", "low"), "suffix-kinds")
+    kinds = kinds.withColumn("kinds", F.count("*").over(W.partitionBy("bucket"))).withColumn("full", F.col("low") != F.col("high"))
+    kinds = durable(kinds.filter("full or kinds > 1").select("name", "full", "kinds", "low"), "suffix-kinds")
     rows = _segment_rows(keyed).join(_small(kinds, 40), "name")
     span = F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
-    asked = F.col("many") & (F.col("place") == F.col("low"))
+    asked = (F.col("kinds") > 1) & (F.col("place") == F.col("low"))
+    with_bucket = F.struct("bucket", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
     marked = rows.filter(F.col("full") | asked).groupBy("k1", "k2").agg(
-        F.collect_set(F.when(F.col("full"), span)).alias("full"), F.collect_set(F.when(asked, span)).alias("open"))
+        F.min("doc_id").alias("rep"), F.collect_set(F.when(F.col("full"), span)).alias("full"),
+        F.collect_set(F.when(asked & (F.col("kinds") <= bucket), with_bucket)).alias("open"), F.collect_set(F.when(asked & (F.col("kinds") > bucket), span)).alias("wide"))
     marked = durable(marked, "suffix-marked")
-    ask = marked.filter(F.size("open") > 0).select("k1", "k2", "open")
-    windows = durable(_windows(keyed.join(_small(ask, 32, "open"), ["k1", "k2"])).withColumn("place", F.xxhash64("k1", "k2", F.col("at").cast("long"))), "suffix-windows")
-    twice = windows.groupBy("w").agg(*place).filter("low <> high").select("w")
-    hits = windows.join(twice, "w").groupBy("k1", "k2").agg(F.collect_set("at").alias("at"))
-    # runs of neighbouring starts become one range
-    runs = """aggregate(array_sort(at), cast(array() as array<struct<start:int,stop:int>>), (a, p) ->
-        if(size(a) > 0 and a[size(a) - 1].stop >= p, concat(slice(a, 1, size(a) - 1), array(struct(a[size(a) - 1].start as start, p + 1 as stop))), concat(a, array(struct(p as start, p + 1 as stop)))))"""
-    wide = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), (x["stop"] + LENGTH - 1).alias("stop")))
+
+    def asking(column: str) -> DataFrame:
+        """Texts with segments in ``column``, from one row of each text."""
+        some = marked.filter(F.size(column) > 0).select("k1", "k2", "rep", column)
+        return keyed.join(_small(some, 40, column), ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+
+    found = _open_rows(asking("open")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine, "k1 long, k2 long, start int, stop int")
+    parts = found.unionByName(marked.select("k1", "k2", F.explode("full").alias("s")).select("k1", "k2", "s.start", "s.stop"))
+    if not marked.filter(F.size("wide") > 0).isEmpty():
+        windows = durable(_windows(asking("wide")), "suffix-windows")
+        twice = windows.withColumn("place", F.xxhash64("k1", "k2", "at")).groupBy("w").agg(*place).filter("low <> high").select("w")
+        parts = parts.unionByName(windows.join(durable(twice, "suffix-twice"), "w").select("k1", "k2", F.col("at").alias("start"), F.expr("at + 1").alias("stop")).distinct())
     copies = keyed.select("k1", "k2", F.octet_length("text").alias("n")).groupBy("k1", "k2").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(f"c > 1 and n >= {LENGTH}")
-    parts = marked.filter(F.size("full") > 0).select("k1", "k2", wide(F.col("full")).alias("spans"))
-    parts = parts.unionByName(hits.select("k1", "k2", F.expr(runs).alias("runs")).select("k1", "k2", wide(F.col("runs")).alias("spans")))
-    parts = parts.unionByName(copies.select("k1", "k2", F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("stop"))).alias("spans")))
-    return parts.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    parts = parts.select("k1", "k2", "start", (F.col("stop") + LENGTH - 1).alias("stop"))
+    parts = parts.unionByName(copies.select("k1", "k2", F.lit(0).alias("start"), F.col("n").alias("stop")))
+    return parts.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def strip(raw: bytes, spans) -> tuple[bytes, int]:

@@ -31,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from .common import durable
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
 PIECE = 1 << 17
-BUCKET = 1000
+BUCKET = 20_000  # open segments (of at most 368 bytes) that one task refines together
 SMALL = 64_000_000  # bytes: a table up to this size is broadcast, a larger one is joined by key
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -226,6 +227,23 @@ def _windows(docs: DataFrame) -> DataFrame:
     return docs.select("k1", "k2", "text", "wide").mapInArrow(run, "w long, k1 long, k2 long, at int")
 
 
+def _join_spans(batches):
+    """``full``: starts become byte ranges, and neighbours that touch become one."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        spans = pc.list_flatten(b["full"])
+        row = pc.list_parent_indices(b["full"]).to_numpy()
+        start, stop = (spans.field(i).to_numpy() for i in range(2))
+        order = np.lexsort((start, row))
+        row, start, stop = row[order], start[order], stop[order] + LENGTH - 1  # stops rise with starts in a text
+        new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > stop[:-1])))) if len(row) else np.empty(0, int)
+        last = np.append(new[1:] - 1, len(row) - 1)[: len(new)]
+        offsets = np.searchsorted(row[new], np.arange(b.num_rows + 1)).astype(np.int32)
+        joined = pa.StructArray.from_arrays([pa.array(start[new].astype(np.int32)), pa.array(stop[last].astype(np.int32))], names=["start", "stop"])
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), joined) if c == "full" else b[c] for c in b.schema.names], names=b.schema.names)
+
+
 def repeated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(k1, k2, spans array<struct<start, stop>>): byte ranges to remove, by text."""
     keyed = _keyed(docs)
@@ -238,9 +256,9 @@ def repeated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     asked = (F.col("kinds") > 1) & (F.col("place") == F.col("low"))
     with_bucket = F.struct("bucket", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
     marked = rows.filter(F.col("full") | asked).groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.collect_set(F.when(F.col("full"), span)).alias("full"),
+        F.min("doc_id").alias("rep"), F.collect_set(F.when(F.col("full"), span)).alias("full"),  # at most the text's own segments
         F.collect_set(F.when(asked & (F.col("kinds") <= bucket), with_bucket)).alias("open"), F.collect_set(F.when(asked & (F.col("kinds") > bucket), span)).alias("wide"))
-    marked = durable(marked, "suffix-marked")
+    marked = durable(marked.mapInArrow(_join_spans, marked.schema), "suffix-marked")
 
     def asking(column: str) -> DataFrame:
         """Texts with segments in ``column``, from one row of each text."""
@@ -248,13 +266,14 @@ def repeated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
         return keyed.join(_small(some, 40, column), ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
 
     found = _open_rows(asking("open")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine, "k1 long, k2 long, start int, stop int")
-    parts = found.unionByName(marked.select("k1", "k2", F.explode("full").alias("s")).select("k1", "k2", "s.start", "s.stop"))
+    parts = found
     if not marked.filter(F.size("wide") > 0).isEmpty():
         windows = durable(_windows(asking("wide")), "suffix-windows")
         twice = windows.withColumn("place", F.xxhash64("k1", "k2", "at")).groupBy("w").agg(*place).filter("low <> high").select("w")
         parts = parts.unionByName(windows.join(durable(twice, "suffix-twice"), "w").select("k1", "k2", F.col("at").alias("start"), F.expr("at + 1").alias("stop")).distinct())
     copies = keyed.select("k1", "k2", F.octet_length("text").alias("n")).groupBy("k1", "k2").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(f"c > 1 and n >= {LENGTH}")
     parts = parts.select("k1", "k2", "start", (F.col("stop") + LENGTH - 1).alias("stop"))
+    parts = parts.unionByName(marked.select("k1", "k2", F.explode("full").alias("s")).select("k1", "k2", "s.start", "s.stop"))
     parts = parts.unionByName(copies.select("k1", "k2", F.lit(0).alias("start"), F.col("n").alias("stop")))
     return parts.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 

@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, budget: int = 2, words: int = 3, unit_rows:
     least = member.join(prints, "fp").groupBy("root").agg(F.min("rep").alias("least"))
     found = member.join(least, "root").select("fp", "least")
     label = prints.join(found, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return marked.join(label, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(durable(label, "simhash-labels"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from .common import durable
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
 PIECE = 1 << 17
-BUCKET = 20_000  # open segments (of at most 368 bytes) that one task refines together
+BUCKET = 8_000  # open segments (of at most 368 bytes) that one task refines together
 SMALL = 64_000_000  # bytes: a table up to this size is broadcast, a larger one is joined by key
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -155,9 +155,10 @@ def _open_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            k1, k2, open_ = b["k1"].to_numpy(), b["k2"].to_numpy(), b["open"].to_pylist()
-            for i, raw in enumerate(_raw(b)):
-                rows = [(x["bucket"], x["start"], raw[x["start"] : x["stop"] + LENGTH - 1]) for x in open_[i]]
+            k1, k2 = b["k1"].to_numpy(), b["k2"].to_numpy()
+            for i, (text, open_) in enumerate(zip(b["text"], b["open"])):
+                raw = text.as_py().encode()
+                rows = [(x["bucket"], x["start"], raw[x["start"] : x["stop"] + LENGTH - 1]) for x in open_.as_py()]
                 if rows:
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(np.full(n, k1[i])), pa.array(np.full(n, k2[i])), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "k1", "k2", "start", "raw"])
@@ -172,20 +173,28 @@ def _refine(batches):
         k1, k2, start = (t[c].to_numpy() for c in ("k1", "k2", "start"))
         parts, seen = t["raw"].to_pylist(), set()
         use = [i for i, key in enumerate(zip(k1.tolist(), k2.tolist(), start.tolist())) if not (key in seen or seen.add(key))]
-        raw = b"".join(parts[i] for i in use)
         lens = np.array([len(parts[i]) for i in use])
         number = lens - LENGTH + 1
-        row = np.repeat(np.arange(len(use)), number)
-        within = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-        name = names200(names32(raw), within + np.repeat(np.cumsum(lens) - lens, number))
-        _, inverse, times = np.unique(name, return_inverse=True, return_counts=True)
-        hit = np.flatnonzero(times[inverse] > 1)
-        if not len(hit):
+        first_of = np.cumsum(number) - number
+        names = np.empty(number.sum(), np.uint64)
+        for at in range(0, len(use), 512):  # names of a few hundred segments at a time
+            some = slice(at, at + 512)
+            raw = b"".join(parts[i] for i in use[some])
+            begin = np.repeat(np.cumsum(lens[some]) - lens[some] - first_of[some] + first_of[at], number[some])
+            p = np.arange(number[some].sum())
+            names[first_of[at] : first_of[at] + len(p)] = names200(names32(raw), p + begin)
+        ordered = np.sort(names)
+        twice = ordered[1:][ordered[1:] == ordered[:-1]]
+        if not len(twice):
             return None
-        new = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)))
+        hit = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, names), len(twice) - 1)] == names)
+        del names, ordered
+        row = np.searchsorted(first_of, hit, side="right") - 1
+        within = hit - first_of[row]
+        new = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(row) != 0)))
         first, last = hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)]
-        at = np.array(use)[row[first]]
-        begin = start[at] + within[first]
+        at = np.array(use)[row[new]]
+        begin = start[at] + within[new]
         return pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), pa.array(begin.astype(np.int32)), pa.array((begin + last - first + 1).astype(np.int32))], names=["k1", "k2", "start", "stop"])
 
     held: list[pa.RecordBatch] = []

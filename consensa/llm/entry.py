@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann_bits, bpe, chat_pairs, language_id, pivot_topk, secret_scan, simhash, source_mix, suffix_dedup, url_filter
+from ..functions.session import prepare
 from .common import table
 
 
 def _over(name: str, op):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op(table(spark, sf_dir, name))
+        return op(table(prepare(spark), sf_dir, name))
 
     return query
 

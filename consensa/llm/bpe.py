@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed
+
 CHUNK = 1 << 16
 CACHE = 300_000
 NONE = 1 << 30
@@ -249,6 +251,8 @@ def op4(docs: DataFrame) -> DataFrame:
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """The pipeline's end: token ids of each document beside its other columns."""
-    names = [c for c in docs.columns if c != "text"]
-    return docs.withColumn("_c", coded(with_ids=True)).select(*names, F.col("_c.n_tokens").alias("n_tokens"), F.col("_c.ids").alias("ids"), F.col("_c.ids_sha256").alias("ids_sha256"), F.col("_c.decoded_sha256").alias("decoded_sha256"))
+    """The pipeline's end: token ids and digests of each document; other columns of the same names are replaced."""
+    new = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    names = [c for c in docs.columns if c != "text" and c.lower() not in new]
+    x = packed(docs, "text").withColumn("coded", coded(with_ids=True))
+    return x.select(*[F.col(f"row.`{c}`") for c in names], *[F.col(f"coded.{c}").alias(c) for c in new])

@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed
+
 BITS = 14
 _ASCII = np.arange(256, dtype=np.uint32)
 _ASCII[[b for b in range(128) if not chr(b).isalpha()]] = 32
@@ -96,7 +98,6 @@ def fit(docs: DataFrame, per_language: int = 600) -> Model | None:
     if not counts:
         return None
     languages = sorted(counts)
-    share = F.lit(1.0)
     rates = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / counts[k])))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language-sample")), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(rates, F.col("lang"))
@@ -143,7 +144,7 @@ def fit(docs: DataFrame, per_language: int = 600) -> Model | None:
     return model
 
 
-def predict(docs: DataFrame, model: Model | None) -> F.Column:
+def predict(model: Model | None) -> F.Column:
     """Struct column (lang_pred, score, ambiguous) of the whole text."""
     kind = "lang_pred string, score double, ambiguous boolean"
     if model is None:
@@ -161,16 +162,15 @@ def predict(docs: DataFrame, model: Model | None) -> F.Column:
 
 
 def identify(docs: DataFrame, per_language: int = 600) -> DataFrame:
-    """``docs`` with a column ``_language`` (lang_pred, score, ambiguous)."""
-    return docs.withColumn("_language", predict(docs, fit(docs, per_language)))
+    """(row, language): the documents' rows as structs, and a struct of lang_pred, score and ambiguous."""
+    return packed(docs, "text").withColumn("language", predict(fit(docs, per_language))).select("row", "language")
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    return identify(docs.select("doc_id", "text", "lang")).select(
-        "doc_id", _held_out().alias("held_out"), F.col("_language.lang_pred").alias("lang_pred"), F.col("_language.score").alias("score"), F.col("_language.ambiguous").alias("ambiguous"),
-    )
+    x = identify(docs.select("doc_id", "text", "lang")).select("row.doc_id", "language.*")
+    return x.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents with a recognised language; text without a letter and ambiguous text go."""
-    return identify(docs).filter("_language.lang_pred <> 'und' and not _language.ambiguous").select(*docs.columns)
+    return identify(docs).filter("language.lang_pred <> 'und' and not language.ambiguous").select("row.*")

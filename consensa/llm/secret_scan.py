@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, packed
 
 # The base patterns of the contract.
 BASE = (
@@ -166,7 +166,7 @@ def scan(text: str = "text", reject: float = 1e-4) -> F.Column:
     return udf(F.col(text))
 
 
-def thresholds(scanned: DataFrame, column: str = "_scan", q: float = 0.01) -> dict[int, int]:
+def thresholds(scanned: DataFrame, column: str = "scan", q: float = 0.01) -> dict[int, int]:
     """Least strength that Benjamini-Hochberg admits in each stratum, over all documents."""
     runs = scanned.select(F.explode(f"{column}.found").alias("f"))
     cells: dict[int, dict[int, int]] = {}
@@ -195,26 +195,25 @@ def _said(column: str) -> F.Column:
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    scanned = durable(docs.select("doc_id", scan().alias("_scan")), "secret-scan")
-    n = lambda k: F.expr(f"cast(size(filter(_scan.base, x -> x.kind = {k})) as long)")
-    return scanned.withColumn("_all", spans("_scan", thresholds(scanned))).select(
-        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.col("_scan.base_sha256").alias("base_sha256"), _said("_all").alias("spans"),
+    scanned = durable(docs.select("doc_id", scan().alias("scan")), "secret-scan")
+    n = lambda k: F.expr(f"cast(size(filter(scan.base, x -> x.kind = {k})) as long)")
+    return scanned.withColumn("every", spans("scan", thresholds(scanned))).select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.col("scan.base_sha256").alias("base_sha256"), _said("every").alias("spans"),
     )
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """Every document stays; spans are replaced by ``mask``, overlapping spans by one. n_chars follows the text."""
-    names = docs.columns
-    scanned = docs.withColumn("_scan", scan())
-    full = scanned.withColumn("_all", spans("_scan", thresholds(scanned)))
-    # (rest of the text from here, what is done): spans come in order, later ones inside earlier ones add nothing
-    step = f"""aggregate(_all, struct('' as done, 0 as at), (a, x) -> CASE
+    scanned = packed(docs, "text").withColumn("scan", scan())
+    full = scanned.withColumn("every", spans("scan", thresholds(scanned)))
+    # (what is done, where the rest begins): a span that begins inside the last one only moves the rest
+    step = f"""aggregate(every, struct('' as done, 0 as at), (a, x) -> CASE
         WHEN x.stop <= a.at THEN a
         WHEN x.start < a.at THEN struct(a.done as done, x.stop as at)
         ELSE struct(concat(a.done, substring(text, a.at + 1, x.start - a.at), '{mask}') as done, x.stop as at) END,
         a -> concat(a.done, substring(text, a.at + 1)))"""
-    text = F.when(F.size("_all") > 0, F.expr(step)).otherwise(F.col("text"))
-    out = full.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    x = full.withColumn("found", F.size("every") > 0).withColumn("masked", F.when(F.col("found"), F.expr(step)).otherwise(F.col("text")))
+    row = F.col("row").withField("text", F.col("masked"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.col("found"), F.char_length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return x.select(row.alias("row")).select("row.*")

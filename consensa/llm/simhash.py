@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, release
+from .common import durable, packed, release
 
 SPLIT_BITS = 6
 
@@ -128,11 +128,10 @@ def _walk(budget: int):
             cross = t["cross"].to_numpy(zero_copy_only=False)[lo]
             ones = np.concatenate(([0], np.cumsum(side)))
             mid = hi - (ones[hi] - ones[lo])
-            diff = t["diff"].to_numpy()[lo].astype(np.int64)
-            starts = np.stack([lo, np.where(cross, mid, hi), np.where(cross, mid, lo), hi, diff], 1)
+            # the walk starts above the unit's bits and counts those in which its two sides differ
+            starts = np.stack([lo, np.where(cross, mid, hi), np.where(cross, mid, lo), hi, np.zeros_like(lo)], 1)
             keep = np.where(cross, (mid > lo) & (hi > mid), hi - lo > 1)
             starts = starts[keep].astype(np.int64)
-            # signed order within a side was by the unsigned key: see the sort below
             i, j = trie_pairs(rot, starts, budget)
             label = forest(len(fp), i, j)
             at = np.flatnonzero(label != np.arange(len(fp)))
@@ -207,7 +206,7 @@ def links(prints: DataFrame, budget: int = 2, unit_rows: int = 2048) -> DataFram
     """Spanning links (u, v) between distinct fingerprints ``fp`` at ``budget`` or fewer differing bits."""
     units, ready = _units(prints, budget), []
     for _ in range(64 // SPLIT_BITS + 1):
-        hot = durable(units.groupBy("unit").count().filter((F.col("count") > unit_rows)).select("unit"), "simhash-hot")
+        hot = durable(units.groupBy("unit").count().filter(F.col("count") > unit_rows).select("unit"), "simhash-hot")
         if hot.isEmpty():
             break
         splittable = F.col("used") < 64
@@ -273,14 +272,13 @@ def keep_one(docs: DataFrame, budget: int = 2) -> DataFrame:
 
     Exact repetitions of a row leave one row; rows without a doc_id all stay.
     """
-    names = docs.columns
     found = near_duplicates(docs, budget).filter("doc_id is not null")
     marks = durable(
-        found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("_gone"), (F.count("*") > 1).alias("_again")).filter("_gone or _again"),
+        found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), (F.count("*") > 1).alias("again")).filter("gone or again"),
         "simhash-gone",
     )
-    kept = docs.join(marks, "doc_id", "left").filter("not coalesce(_gone, false)")
-    if marks.filter("_again").isEmpty():
-        return kept.select(*names)
-    again = F.coalesce("_again", F.lit(False))
-    return kept.filter(~again).select(*names).unionByName(kept.filter(again).select(*names).dropDuplicates())
+    kept = packed(docs, "doc_id").join(marks, "doc_id", "left").filter("not coalesce(gone, false)")
+    if marks.filter("again").isEmpty():
+        return kept.select("row.*")
+    again = F.coalesce("again", F.lit(False))
+    return kept.filter(~again).select("row.*").unionByName(kept.filter(again).select("row.*").dropDuplicates())

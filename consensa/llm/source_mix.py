@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, packed
 
 WORD = r"[^\x20\x09-\x0D]+"
 MANY_SOURCES = 100_000  # up to so many sources, the table of cuts (about 100 bytes a source) is broadcast
@@ -97,11 +97,10 @@ def op2(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """Whole documents, repeated by epochs. The document at a cut joins once more if at least half of it fits."""
-    names = docs.columns
-    rows = durable(keyed(docs, seed).select("doc_id", "source", "_size", "_key"), "mix-keys")
-    x = plan(keyed(docs, seed), cuts(rows, seed))
+    rows = durable(keyed(docs.select("doc_id", "source", "text"), seed).select("doc_id", "source", "_size", "_key"), "mix-keys")
+    x = plan(keyed(packed(docs, "doc_id", "source", "text"), seed), cuts(rows, seed))
     copies = F.when(F.col("_size") > 0, F.col("epochs") + (2 * F.col("_again") >= F.col("_size")).cast("long")).otherwise(F.lit(0)).cast("int")
-    return x.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*names)
+    return x.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select("row.*")
 
 
 OP2_SQL = """

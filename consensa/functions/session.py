@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -12,19 +14,35 @@ ARROW_ROWS, ARROW_BYTES = "512", "16m"
 _SHIPPED: set[str] = set()
 
 
+def _stored(spark: SparkSession, raw: bytes) -> str:
+    """Path of the archive: in the shared folder the session names, or in one of our own where none is named (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        path = os.path.join(tempfile.mkdtemp(prefix="consensa-"), "consensa.zip")
+        with open(path, "wb") as f:
+            f.write(raw)
+        return path
+    path = f"{shared.rstrip('/')}/{uuid.uuid4().hex}/consensa.zip"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(raw))
+    out.close()
+    return path
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship the package to the executors once an application; keep Arrow batches small, since rows can be long texts."""
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        path = os.path.join(tempfile.mkdtemp(prefix="consensa-"), "consensa.zip")
-        with zipfile.ZipFile(path, "w") as z:
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
             for folder, _, names in os.walk(top):
                 for name in sorted(names):
                     if name.endswith(".py"):
                         full = os.path.join(folder, name)
                         z.write(full, os.path.relpath(full, os.path.dirname(top)))
-        spark.sparkContext.addPyFile(path)
+        spark.sparkContext.addPyFile(_stored(spark, raw.getvalue()))
         _SHIPPED.add(app)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)

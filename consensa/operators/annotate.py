@@ -39,15 +39,24 @@ def essentiality_rows(dim: DataFrame, gene: str = "gene") -> DataFrame:
 
 
 # metrics ------------------------------------------------------------------------------------------
-def combine_metrics(metrics: dict[str, DataFrame], keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+def gene_column(df: DataFrame) -> str:
+    """The id column of a metric table, under any of its usual names."""
+    return next(c for c in ("gene", "Gene", "ensembl_gene_id", "gene_id", df.columns[0]) if c in df.columns)
+
+
+def combine_metrics(metrics: dict[str, DataFrame | None], keys: Sequence[str] = ("sample_id",)) -> DataFrame:
     """One row a gene with every metric: the union of the long tables and one aggregate, not a chain of outer joins.
 
-    Ids lose their version; several values of a gene become their median. A metric without table is null.
+    Ids lose their version; several values of a gene become their median. A metric whose table is None is null.
     """
     long = None
     for name, df in metrics.items():
-        part = df.select(*keys, strip_version("gene").alias("gene"), F.lit(name).alias("metric"), F.col(name).cast("double").alias("value"))
+        if df is None:
+            continue
+        part = df.select(*keys, strip_version(gene_column(df)).alias("gene"), F.lit(name).alias("metric"), F.col(name).cast("double").alias("value"))
         long = part if long is None else long.unionByName(part)
+    if long is None:
+        raise ValueError("no metric table at all")
     return long.groupBy(*keys, "gene").agg(*[median(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
 
 

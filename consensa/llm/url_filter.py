@@ -50,7 +50,7 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def codes(text: str) -> str:
     """SQL: symbol numbers of a text, two blanks (0) ahead of it."""
-    return f"concat(array(0, 0), transform(filter(split(lower({text}), ''), c -> c <> ''), c -> instr('{SYMBOLS}', c)))"
+    return f"concat(array(0, 0), transform(filter(split(translate({text}, '{UPPER}', '{LOWER}'), ''), c -> c <> ''), c -> instr('{SYMBOLS}', c)))"
 
 
 def _grams() -> str:
@@ -88,7 +88,7 @@ def ratios(labelled: DataFrame) -> DataFrame:
 def fitted(pages: DataFrame) -> tuple[F.Column, float]:
     """(score expression over ``code``, cut), from the URLs that rules judge."""
     seen = judged(pages.select("url")).filter("by_rule is not null")
-    seen = seen.select("url", F.expr(codes("concat(host, path)")).alias("code"), (F.col("by_rule") == "allow").alias("accepted"), F.expr("pmod(xxhash64(url), 4) = 0").alias("apart"))
+    seen = seen.select("url", F.expr(codes("concat(host, path)")).alias("code"), (F.col("by_rule") == "allow").alias("accepted"), F.expr("instr('048c', left(md5(url), 1)) > 0").alias("apart"))
     model = F.split(F.lit(ratios(seen.filter("not apart")).first()["lr"]), ",").cast("array<int>")  # folded to one constant
     grams = F.expr(f"if(size(code) > 2, {_grams()}, cast(array() as array<int>))")
     score = F.aggregate(grams, F.lit(0).cast("long"), lambda a, g: a + F.get(model, g)) / (1000.0 * F.greatest(F.size("code") - 2, F.lit(1)))
@@ -110,3 +110,37 @@ def filter_urls(pages: DataFrame) -> DataFrame:
 
 def op6(pages: DataFrame) -> DataFrame:
     return filter_urls(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _model_sql() -> str:
+    """The same model in plain SQL, grid joins and all."""
+    both = lambda f: ", ".join(f(k) for k in "10")
+    rule = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    by_length = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
+    said = " ".join(f"WHEN {rule(h, p)} THEN '{h}{p}'" for h, p, _ in by_length)
+    judged_as = " ".join(f"WHEN {rule(h, p)} THEN '{v}'" for h, p, v in by_length)
+    sums, seen = both(lambda k: f"sum(n{k}) AS N_{k}"), both(lambda k: f"count(*) FILTER (n{k} > 0) AS T_{k}")
+    return f"""
+WITH r AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+j AS (SELECT *, CASE {said} END AS rule, CASE {judged_as} END AS by_rule,
+  list_concat([0, 0], list_transform(list_filter(string_split(translate(host || path, '{UPPER}', '{LOWER}'), ''), lambda c: c <> ''), lambda c: strpos('{SYMBOLS}', c))) AS code FROM h),
+k AS (SELECT *, row_number() OVER () AS i, CASE WHEN len(code) > 2 THEN list_transform(range(1, len(code) - 1), lambda x: (code[x] * {N} + code[x + 1]) * {N} + code[x + 2]) ELSE [] END AS grams, strpos('048c', left(md5(url), 1)) > 0 AS apart FROM j),
+c AS (SELECT g, count(*) FILTER (by_rule = 'allow') AS n1, count(*) FILTER (by_rule = 'block') AS n0 FROM (SELECT by_rule, unnest(grams) AS g FROM k WHERE by_rule IS NOT NULL AND NOT apart) GROUP BY g),
+grid AS (SELECT x.g, x.g // {N * N} AS a, x.g // {N} % {N} AS b, x.g % {N} AS c, coalesce(n1, 0) AS n1, coalesce(n0, 0) AS n0 FROM (SELECT unnest(range({N**3})) AS g) x LEFT JOIN c ON x.g = c.g),
+u AS (SELECT c, sum(n1) AS n1, sum(n0) AS n0 FROM grid GROUP BY c), tot AS (SELECT {sums}, {seen} FROM u),
+p0 AS (SELECT c, {both(lambda k: f"(n{k} + T_{k} / {N}) / nullif(N_{k} + T_{k}, 0) AS p0_{k}")} FROM u, tot),
+b2 AS (SELECT b, c, sum(n1) AS n1, sum(n0) AS n0 FROM grid GROUP BY b, c), m1 AS (SELECT b, {sums}, {seen} FROM b2 GROUP BY b),
+p1 AS (SELECT b2.b, b2.c, {both(lambda k: f"CASE WHEN N_{k} = 0 THEN p0_{k} ELSE (n{k} + T_{k} * p0_{k}) / (N_{k} + T_{k}) END AS p1_{k}")} FROM b2 JOIN m1 ON b2.b = m1.b JOIN p0 ON b2.c = p0.c),
+m2 AS (SELECT a, b, {sums}, {seen} FROM grid GROUP BY a, b),
+p2 AS (SELECT g, {both(lambda k: f"CASE WHEN N_{k} = 0 THEN p1_{k} ELSE (n{k} + T_{k} * p1_{k}) / (N_{k} + T_{k}) END AS p2_{k}")} FROM grid JOIN m2 ON grid.a = m2.a AND grid.b = m2.b JOIN p1 ON grid.b = p1.b AND grid.c = p1.c),
+lr AS (SELECT g, round(1000 * coalesce(ln(p2_1) - ln(p2_0), 0))::BIGINT AS r FROM p2),
+s AS (SELECT k.i, coalesce(sum(lr.r), 0) / (1000.0::DOUBLE * greatest(any_value(len(code)) - 2, 1)) AS score FROM k LEFT JOIN (SELECT i, unnest(grams) AS g FROM k) e ON k.i = e.i LEFT JOIN lr ON e.g = lr.g GROUP BY k.i),
+d AS (SELECT by_rule, avg(round(score, 9)) AS m, greatest(stddev_pop(round(score, 9)), 1e-6) AS d FROM k JOIN s ON k.i = s.i WHERE by_rule IS NOT NULL AND apart GROUP BY by_rule),
+cut AS (SELECT (x.m * y.d + y.m * x.d) / (x.d + y.d) AS cut FROM d x, d y WHERE x.by_rule = 'allow' AND y.by_rule = 'block')
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN (SELECT count(*) FROM cut) = 0 OR score >= (SELECT cut FROM cut) THEN 'allow' ELSE 'block' END) AS verdict
+FROM k JOIN s ON k.i = s.i
+"""
+
+
+OP6_SQL = _model_sql()

@@ -124,12 +124,12 @@ def test_preference_pairs(spark):
     assert set(got) == {0, 1, 2}
 
 
-@pytest.mark.parametrize("name", ["op2_source_mix", "op7_pivot_topk", "op9_chat_pairs"])
+@pytest.mark.parametrize("name", ["op2_source_mix", "op6_url_filter", "op7_pivot_topk", "op9_chat_pairs"])
 def test_queries_match_their_sql(spark, name):
     from consensa.llm.entry import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.sql(f"create view {t} as from '{DIR}/{t}.parquet'")
     want, got = con.sql(ORACLE_SQL[name]).df(), QUERIES[name](spark, DIR).toPandas()[lambda d: d.columns]
     key = lambda df: Counter(tuple("~" if pd.isna(x) else str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))

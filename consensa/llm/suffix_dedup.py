@@ -33,10 +33,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
@@ -257,9 +256,14 @@ def repeated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(k1, k2, spans array<struct<start, stop>>): byte ranges to remove, by text."""
     keyed = _keyed(docs)
     place = [F.min("place").alias("low"), F.max("place").alias("high")]
-    kinds = _segment_rows(keyed).groupBy("bucket", "name").agg(*place)
-    kinds = kinds.withColumn("kinds", F.count("*").over(W.partitionBy("bucket"))).withColumn("full", F.col("low") != F.col("high"))
+    every = _segment_rows(keyed).groupBy("bucket", "name").agg(*place).select("bucket", "name", "low", (F.col("low") != F.col("high")).alias("full"))
+    every = durable(every, "suffix-names")
+    # counted by partial aggregates and joined from tables, so a join's hot bucket can be split
+    sizes = durable(every.groupBy("bucket").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "suffix-sizes")
+    kinds = every.join(_small(sizes, 16), "bucket", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
     kinds = durable(kinds.filter("full or kinds > 1").select("name", "full", "kinds", "low"), "suffix-kinds")
+    release(every)
+    release(sizes)
     rows = _segment_rows(keyed).join(_small(kinds, 40), "name")
     span = F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
     asked = (F.col("kinds") > 1) & (F.col("place") == F.col("low"))

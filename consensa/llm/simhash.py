@@ -236,15 +236,17 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        mins = both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m"))
+        # written, so that a join's side is a plain table and the rows of a hub can be split
+        mins = durable(both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m")), "cc-least")
         large = both.join(mins, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = large.select(high.alias("u"), low.alias("v"))
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = durable(large.select(high.alias("u"), low.alias("v")), "cc-large")
+        lows = durable(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(lows, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         nxt = durable(small.filter("u <> v").distinct(), "cc")
         got = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        release(cur)
+        for done in (cur, mins, large, lows):
+            release(done)
         cur = nxt
         if tuple(got) == mark:
             return cur.select("u", F.col("v").alias("root"))

@@ -20,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,14 +139,32 @@ def scan_text(text: str, reject: float = 1e-4):
         base += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base.sort()
+    # a run lies inside a base span if the furthest end among spans that begin no later reaches the run's
+    begins, ends = [x[0] for x in base], list(accumulate((x[2] for x in base), max))
     found = []
     for m in _RUN.finditer(text):
         got = battery(m[0], reject)
-        if got and not any(s <= m.start() and m.end() <= e for s, _, e in base):
-            found.append((m.start(), m.end(), ENCODINGS.index(got[0]) * 3 + got[1], got[2]))
+        if got:
+            i = bisect_right(begins, m.start()) - 1
+            if i < 0 or ends[i] < m.end():
+                found.append((m.start(), m.end(), ENCODINGS.index(got[0]) * 3 + got[1], got[2]))
     return base, found
 
 
+def masked_text(text: str, admit: dict[int, int], mask: str, reject: float = 1e-4) -> str | None:
+    """``text`` with ``mask`` in place of its spans, overlapping spans by one; null where nothing is found."""
+    base, found = scan_text(text, reject)
+    every = sorted([(s, e) for s, _, e in base] + [(s, e) for s, e, stratum, strength in found if stratum in admit and strength >= admit[stratum]])
+    if not every:
+        return None
+    done, at = [], 0
+    for s, e in every:
+        if s >= at:
+            done += [text[at:s], mask]
+        at = max(at, e)
+    return "".join([*done, text[at:]])
+
+
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 _SCAN = f"base {_SPAN}, base_sha256 string, found array<struct<start:int,stop:int,stratum:int,strength:int>>"
 
@@ -204,16 +224,18 @@ def op1(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """Every document stays; spans are replaced by ``mask``, overlapping spans by one. n_chars follows the text."""
-    scanned = packed(docs, "text").withColumn("scan", scan())
-    full = scanned.withColumn("every", spans("scan", thresholds(scanned)))
-    # (what is done, where the rest begins): a span that begins inside the last one only moves the rest
-    step = f"""aggregate(every, struct('' as done, 0 as at), (a, x) -> CASE
-        WHEN x.stop <= a.at THEN a
-        WHEN x.start < a.at THEN struct(a.done as done, x.stop as at)
-        ELSE struct(concat(a.done, substring(text, a.at + 1, x.start - a.at), '{mask}') as done, x.stop as at) END,
-        a -> concat(a.done, substring(text, a.at + 1)))"""
-    x = full.withColumn("found", F.size("every") > 0).withColumn("masked", F.when(F.col("found"), F.expr(step)).otherwise(F.col("text")))
-    row = F.col("row").withField("text", F.col("masked"))
+    texts = packed(docs, "text")
+    admit = thresholds(texts.select(scan().alias("scan")))
+
+    @F.pandas_udf("string")
+    def masked(column):
+        import pandas as pd
+
+        return pd.Series([masked_text(t or "", admit, mask) for t in column], dtype=object)
+
+    x = texts.withColumn("masked", masked("text"))
+    row = F.col("row").withField("text", F.coalesce("masked", "text"))
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.when(F.col("found"), F.char_length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+        length = F.char_length("masked").cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(F.col("masked").isNotNull(), length).otherwise(F.col("row.n_chars")))
     return x.select(row.alias("row")).select("row.*")

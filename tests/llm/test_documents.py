@@ -47,6 +47,15 @@ def test_random_runs_are_found_and_written_ones_left(spark):
     assert not hit & set(range(100, 100 + len(written)))
 
 
+def test_masks_join_overlaps_and_nested_runs():
+    key = "deadbeef" * 3
+    text = f"é token={key} {key}\x20AKIA{'A1' * 8}" + "x" * 3 + f" token={key}"
+    assert secret_scan.masked_text(text, {}, "#") == "é # # #xxx #"
+    assert secret_scan.masked_text("nothing here", {}, "#") is None and secret_scan.masked_text("", {}, "#") is None
+    long = "".join(f"secret=abcdef{i:06d} é " for i in range(5000))
+    assert secret_scan.masked_text(long, {}, "#") == "# é " * 5000
+
+
 def test_redaction_keeps_rows_and_columns(spark, docs, rows):
     df = docs.unionByName(spark.createDataFrame([(999, "x token=abcdef1 and " + "0f" * 20 + " é", "aa", "s", 1, "r", 1)], docs.schema))
     out = secret_scan.redact(df)

@@ -54,14 +54,14 @@ def format_pairs(turns: DataFrame) -> DataFrame:
 
 def op9(conversations: DataFrame) -> DataFrame:
     rows = conversations.filter("conv_id is not null")
-    return format_pairs(rows.select(F.expr("floor(conv_id / 2)").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_chosen"), "turn", "role", "text"))
+    return format_pairs(rows.select(F.expr("shiftright(cast(conv_id as long), 1)").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_chosen"), "turn", "role", "text"))
 
 
 OP9_SQL = f"""
 WITH t AS (
-  SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS role0, text AS text0,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i
-  FROM conversations),
+  SELECT conv_id, conv_id >> 1 AS pair_id, conv_id & 1 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS role0, text AS text0,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
 p AS (SELECT pair_id, count(*) FILTER (side = 0) AS nc, count(*) FILTER (side = 1) AS nr FROM t GROUP BY pair_id),
 m AS (
   SELECT a.pair_id, min(a.i) AS i FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.i = b.i AND a.side = 0 AND b.side = 1

@@ -122,6 +122,9 @@ def test_preference_pairs(spark):
     assert got[1].prompt == "" and got[1].rejected is None and got[1].chosen == "<|user|>\na<|end|>\n"
     assert got[2].chosen == got[2].rejected == "" and got[2].prefix_turns == 2
     assert set(got) == {0, 1, 2}
+    far = [(2**60 + 3, 0, "user", "b"), (2**60 + 2, 0, "user", "a"), (-1, 0, "user", "c")]
+    wide = {r.pair_id: r for r in chat_pairs.op9(spark.createDataFrame(far, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(wide) == {2**59 + 1, -1} and "a" in wide[2**59 + 1].chosen and wide[-1].chosen is None
 
 
 @pytest.mark.parametrize("name", ["op2_source_mix", "op6_url_filter", "op7_pivot_topk", "op9_chat_pairs"])

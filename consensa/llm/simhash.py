@@ -12,6 +12,10 @@ small-star rounds.
 
 Only distinct fingerprints are joined; copies never meet in pairs.
 
+``keep_one``, the corpus stage, does not use fingerprints: two texts are near copies at a Jaccard similarity of
+0.8 or more over five-word shingles, which 3-word fingerprints within 2 bits mostly miss. Candidates come from
+bands of least hashes, and every candidate pair is checked on its texts.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows
 each get a row; null doc_ids count as larger than all others; an empty table gives an empty result.
 """
@@ -269,12 +273,114 @@ def op8(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id.
+#: Near copies of a corpus: shingles of five words, Jaccard similarity of 4/5 or more. A pair at 4/5 shares none of
+#: ``BANDS`` bands of ``ROWS`` least hashes with probability (1 - 0.8^5)^28 = 1.5e-5.
+NEAR_WORDS, NEAR, BANDS, ROWS = 5, (4, 5), 28, 5
+
+
+def shingles(text: str | None, words: int = NEAR_WORDS) -> set[bytes]:
+    """Different word shingles, lower-cased (A-Z); a shorter text is one shingle, an empty one has none."""
+    w = text.encode("utf-8", "replace").lower().split() if text else []
+    if len(w) < words:
+        return {b" ".join(w)} if w else set()
+    return set(map(b" ".join, zip(*(w[i:] for i in range(words)))))
+
+
+def sketch(text: str | None, words: int = NEAR_WORDS) -> tuple[int, int, np.ndarray]:
+    """(name of the shingle set, its size, a hash of each band's least hashes)."""
+    import xxhash
+
+    grams = shingles(text, words)
+    h = np.sort(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams)))
+    rng = np.random.default_rng(42)
+    times, plus = rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(low), 512):
+        least = np.minimum(least, (low[at : at + 512, None] * times + plus).min(axis=0))
+    raw = least.astype("<u4").tobytes()
+    bands = [xxhash.xxh64_intdigest(raw[4 * ROWS * b : 4 * ROWS * (b + 1)], b) for b in range(BANDS)]
+    return xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), 42), len(grams), np.array(bands, np.uint64).astype(np.int64)
+
+
+def sketches(words: int = NEAR_WORDS, text: str = "text") -> F.Column:
+    """Struct column: key, size, bands."""
+
+    @F.pandas_udf("key long, size long, bands array<long>")
+    def udf(texts):
+        import pandas as pd
+
+        rows = [sketch(t, words) for t in texts]
+        keys = np.array([r[0] for r in rows], np.uint64).astype(np.int64)
+        return pd.DataFrame({"key": keys, "size": [r[1] for r in rows], "bands": [r[2] for r in rows]})
+
+    return udf(F.col(text))
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, near: tuple[int, int]) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose shingle sets are similar enough, by exact counts."""
+
+    @F.pandas_udf("boolean")
+    def alike(left, right):
+        import pandas as pd
+
+        out, last, a = [], None, set()
+        for x, y in zip(left, right):
+            if x is not last and x != last:
+                last, a = x, shingles(x, words)
+            b = shingles(y, words)
+            both = len(a & b)
+            out.append(near[1] * both >= near[0] * (len(a) + len(b) - both))
+        return pd.Series(out, dtype=bool)
+
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    held = durable(texts.join(asked, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "near-texts")
+    x = pairs.join(held.select(F.col("key").alias("v"), F.col("text").alias("right")), "v").join(held.select(F.col("key").alias("u"), F.col("text").alias("left")), "u")
+    found = durable(x.filter(alike("left", "right")).select("u", "v"), "near-links")
+    release(held)
+    return found
+
+
+def near_copies(docs: DataFrame, words: int = NEAR_WORDS, near: tuple[int, int] = NEAR) -> DataFrame:
+    """Per document: doc_id, key (its shingle set), component_id (smallest doc_id reachable over similar pairs).
+
+    Candidates share a band; each pair is checked on its texts. In a first round every member of a bucket is held
+    against the bucket's smallest key; then all pairs of a bucket that are not yet in one component are.
+    """
+    marked = durable(docs.select("doc_id", "text", sketches(words).alias("s")).select("doc_id", "text", "s.*"), "near-sketches")
+    texts = marked.select("key", "text")
+    one = durable(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "near-keys")
+    rows = one.filter("size > 0").select("key", "size", F.posexplode("bands").alias("band", "h"))
+    heads = rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.min_by(F.struct("key", "size"), "key").alias("head")).filter("n > 1").drop("n")
+    shared = durable(rows.join(heads, ["band", "h"]), "near-buckets")
+    sized = lambda a, b: F.least(a, b) * near[1] >= F.greatest(a, b) * near[0]
+    first = shared.filter(F.col("key") != F.col("head.key")).filter(sized("size", "head.size"))
+    first = durable(first.select(F.col("head.key").alias("u"), F.col("key").alias("v")).distinct(), "near-pairs")
+    sure = _similar(first, texts, words, near)
+    stars = components(sure)
+    labelled = shared.drop("head").join(stars.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = labelled.groupBy("band", "h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("band", "h")
+    open_ = durable(labelled.join(mixed, ["band", "h"], "left_semi"), "near-open")
+    a = open_.select("band", "h", F.col("key").alias("u"), F.col("size").alias("n"), F.col("root").alias("r"))
+    b = open_.select("band", "h", F.col("key").alias("v"), F.col("size").alias("m"), F.col("root").alias("s"))
+    rest = a.join(b, ["band", "h"]).filter("u < v and r <> s").filter(sized("n", "m")).select("u", "v").distinct()
+    rest = durable(rest.join(first, ["u", "v"], "left_anti"), "near-pairs")
+    ends = components(sure.unionByName(_similar(rest, texts, words, near)))
+    member = ends.unionByName(ends.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "key")
+    least = member.join(one, "key").groupBy("root").agg(F.min("rep").alias("least"))
+    found = member.join(least, "root").select("key", "least")
+    label = durable(one.join(found, "key", "left").select("key", F.coalesce("least", "rep").alias("component_id")), "near-labels")
+    for done in (one, shared, first, open_, rest):
+        release(done)
+    return marked.select("doc_id", "key").join(label, "key").select("doc_id", "key", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = NEAR_WORDS, near: tuple[int, int] = NEAR) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id.
 
     Exact repetitions of a row leave one row; rows without a doc_id all stay.
     """
-    found = near_duplicates(docs, budget).filter("doc_id is not null")
+    found = near_copies(docs, words, near).filter("doc_id is not null")
     marks = durable(
         found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), (F.count("*") > 1).alias("again")).filter("gone or again"),
         "simhash-gone",

@@ -1,7 +1,7 @@
 """A training-corpus pipeline over ``documents``: each stage's result is written and read again as the next one's input.
 
-language: documents without a recognised language go. near_duplicates: one document of each SimHash group
-stays. secrets: every document stays, secret spans are masked. mix: documents are taken, repeated or left out
+language: documents without a recognised language go. near_duplicates: one document of each group of near
+copies stays (five-word shingles, Jaccard 0.8 or more). secrets: every document stays, secret spans are masked. mix: documents are taken, repeated or left out
 to meet the sources' targets. tokens: token ids of each document, with digests of ids and decoded text.
 """
 

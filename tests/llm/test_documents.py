@@ -271,6 +271,29 @@ def test_keep_one(docs, rows):
     assert ids[7] == 1 and ids[5] == 1 and ids[None] == 1 and not any(ids[100 + i] for i in range(20))
 
 
+def test_keep_one_drops_near_copies(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g in range(30):
+        base = [word() for _ in range(200)]
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 8):
+            t = list(base)
+            for at in rng.sample(range(200), k):
+                t[at] = word()
+            rows.append((10 * g + k, " ".join(t)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t in rows]
+    label = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    want = {rows[i][0] for i in range(len(rows)) if label[i] == i}
+    assert 30 < len(want) < 200  # near copies on both sides of the bound
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == want
+
+
 # repeated byte strings ----------------------------------------------------------------------------
 def brute_removed(texts, length=200):
     raws = [(t or "").encode() for t in texts]

@@ -90,7 +90,7 @@ def full_strength(pairs: DataFrame) -> DataFrame:
     return s.withColumn("wci", F.try_divide("strength", F.sum("strength").over(W.partitionBy("sample_id"))))
 
 
-def components(edges: DataFrame, vertices: DataFrame, keep: Callable[[DataFrame, str], DataFrame], rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, vertices: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(sample_id, gene, component): the least gene reachable. Labels spread along edges, then jump to their label's label.
 
     ``keep(df, name)`` writes a round's table and reads it back, so lineage stays short and rounds survive lost executors.
@@ -98,7 +98,7 @@ def components(edges: DataFrame, vertices: DataFrame, keep: Callable[[DataFrame,
     both = edges.select("sample_id", F.col("src").alias("gene"), F.col("dst").alias("other")).unionByName(edges.select("sample_id", F.col("dst").alias("gene"), F.col("src").alias("other"))).filter("gene <> other").distinct()
     both = keep(both, "links")
     label = keep(vertices.select("sample_id", "gene").distinct().withColumn("component", F.col("gene")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select("sample_id", F.col("gene").alias("other"), "component"), ["sample_id", "other"]).groupBy("sample_id", "gene").agg(F.min("component").alias("near"))
         step = label.join(near, ["sample_id", "gene"], "left").withColumn("low", F.least("component", "near"))
         jump = step.select("sample_id", F.col("gene").alias("low"), F.col("low").alias("next"))

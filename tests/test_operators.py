@@ -240,6 +240,12 @@ def test_cosine(spark):
     assert got[("x", "x")] == pytest.approx(1) and got[("x", "y")] == pytest.approx(0.6) and got[("x", "z")] is None
 
 
+def test_closure_of_a_deep_chain(spark):
+    rel = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(70)], "parent string, child string").coalesce(1).cache()
+    got = ontology.descendants(rel, spark.createDataFrame([("t0",)], "id string"), keep)
+    assert {r.id for r in got.collect()} == {f"t{i}" for i in range(71)}
+
+
 def test_closure_with_cycle(spark):
     rel = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 4), (2, 4), (9, 8)], "parent int, child int")
     assert rows(ontology.descendants(rel, spark.createDataFrame([(1,)], "id int"), keep), "id") == [(1,), (2,), (3,), (4,)]

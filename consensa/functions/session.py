@@ -4,25 +4,20 @@ from __future__ import annotations
 
 import io
 import os
-import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
+from .tables import shared_dir
+
 ARROW_ROWS, ARROW_BYTES = "512", "16m"
 _SHIPPED: set[str] = set()
 
 
 def _stored(spark: SparkSession, raw: bytes) -> str:
-    """Path of the archive: in the shared folder the session names, or in one of our own where none is named (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        path = os.path.join(tempfile.mkdtemp(prefix="consensa-"), "consensa.zip")
-        with open(path, "wb") as f:
-            f.write(raw)
-        return path
-    path = f"{shared.rstrip('/')}/{uuid.uuid4().hex}/consensa.zip"
+    """Path of the archive in the shared folder."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/consensa.zip"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
     out.write(bytearray(raw))

@@ -1,21 +1,72 @@
-"""Tables between steps: written once in the shared folder the session names, and read back."""
+"""Tables between steps: written once in the shared folder, and read back."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the session names, else one in the warehouse.
+
+    Only where driver and executors are one process (tests, the bench) it is a temporary folder, removed at exit.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _OWN:
+        if context.master.startswith("local[") or context.master == "local":
+            folder = tempfile.mkdtemp(prefix="consensa-")
+            atexit.register(shutil.rmtree, folder, True)
+            _OWN[app] = f"file://{folder}"
+        else:
+            _OWN[app] = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_consensa/{app}"
+    return _OWN[app]
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet and read it back: lineage is cut there, and the table survives lost executors."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:  # none is named: tests on one machine
-        app = spark.sparkContext.applicationId
-        folder = _OWN.setdefault(app, _OWN.get(app) or tempfile.mkdtemp(prefix="consensa-"))
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._consensa_path = path
+    _MADE.append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``keep`` that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_consensa_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+            if path in _MADE:
+                _MADE.remove(path)
+
+
+def mark() -> set[str]:
+    """The tables there are now, for ``sweep``."""
+    return set(_MADE)
+
+
+def sweep(spark: SparkSession, before: set[str], *spare: DataFrame) -> None:
+    """Delete the tables made since ``mark``, but for ``spare``: call it when what reads them has been written."""
+    kept = before | {getattr(df, "_consensa_path", None) for df in spare}
+    for path in [p for p in _MADE if p not in kept]:
+        _delete(spark, path)
+        _MADE.remove(path)

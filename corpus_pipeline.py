@@ -1,8 +1,8 @@
 """A training-corpus pipeline over ``documents``: each stage's result is written and read again as the next one's input.
 
 language: documents without a recognised language go. near_duplicates: one document of each group of near
-copies stays (five-word shingles, Jaccard 0.8 or more). secrets: every document stays, secret spans are masked. mix: documents are taken, repeated or left out
-to meet the sources' targets. tokens: token ids of each document, with digests of ids and decoded text.
+copies stays (wide fingerprints of five-word shingles, similarity 0.8 or more). secrets: every document stays, secret spans are masked. mix: documents
+are taken, repeated or left out to meet the sources' targets. tokens: token ids of each document, with digests of ids and decoded text.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from consensa.functions.session import prepare
+from consensa.functions.tables import mark, sweep
 from consensa.llm import bpe, language_id, secret_scan, simhash, source_mix
-from consensa.llm.common import durable
+from consensa.llm.common import durable, release
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +42,16 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("tokens", tokens)]
 
-#: Language scores and random-run tests have no SQL form; the stages are tested against brute-force versions.
+#: Language scores and random-run tests have no SQL form; each stage is tested against a brute-force version or the tokenizers library.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage read and made on its way is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = durable(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, last = mark(), docs
+        docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+        sweep(spark, before, docs)
+        release(last)
+    return STAGES[-1][1](spark, docs, sf_dir)

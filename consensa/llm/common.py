@@ -2,44 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a folder of our own where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="consensa-")
-    return _OWN[app]
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage is cut there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._consensa_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete a table of ``durable`` that no later step reads."""
-    path = getattr(df, "_consensa_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+from ..functions.tables import keep as durable
+from ..functions.tables import release
+
+__all__ = ["durable", "packed", "release", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,13 +1,20 @@
 """Exact top-k by inner product with a pivot table.
 
-Components become integers floor(256 x). For every vector the distances to ``pivots`` pivots are kept; the
-largest difference of a query's and a vector's distances to a pivot is a lower bound of their distance, and
-with both norms it gives an upper bound of their inner product: <q, x> = (|q|^2 + |x|^2 - |q - x|^2) / 2.
-Candidates are measured in the order of that bound, in chunks, until the next bound is below the k-th best
-score: no candidate left can enter. Pivots are chosen farthest-first from a sample of at most ``SAMPLE`` vectors
-(the smallest id hashes); every vector is in the table, and the result is exact whatever the pivots.
-
-Defined results: as in ``ann_bits``, but zero vectors take part. Sums beyond 2^53 are done in whole numbers.
+Components become integers floor(256 x). For every distinct vector the distances to ``pivots`` pivots are kept; the largest
+difference of a query's and a vector's distances to a pivot is a lower bound of their distance, and with both norms it
+gives an upper bound of their inner product: <q, x> = (|q|^2 + |x|^2 - |q - x|^2) / 2.
+
+Two passes over the groups. 1: of each block, the ``CHUNK`` candidates of highest bound are evaluated; the k-th best score
+over all blocks is the query's bar. 2: a block's candidates are evaluated in the order of the bound, in chunks, until
+the next bound is below the bar and below the k-th best score found: no candidate left can enter.
+
+Pivots are chosen farthest-first among the vectors of a dimension in a sample of ``SAMPLE`` vectors (the smallest hashes); a
+dimension without enough of them gets pivots drawn by its number. Every vector is in the table, and the result is exact whatever
+the pivots. How many candidates are spared depends on the data: where distances to all pivots are much alike (random directions
+in many dimensions), nearly none; in clusters, most.
+
+Defined results: as in ``vector_blocks``; zero vectors take part. Where sums can pass 2^53 they are done in whole numbers, and
+scores beyond a long become the nearest long.
 """
 
 from __future__ import annotations
@@ -15,12 +22,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import durable
-from .vector_blocks import best, matrix, search, usable
+from .vector_blocks import Search, best, kth, matrix
 
-SAMPLE, CHUNK = 1024, 512
+SAMPLE, CHUNK, PIVOTS = 1024, 64, 32
+MOST = (1 << 63) - 1
 
 
 def choose(sample: np.ndarray, pivots: int) -> np.ndarray:
@@ -38,55 +47,104 @@ def distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((v - p) ** 2).sum(axis=1)) for p in pivots], 1)
 
 
-def with_table(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+def with_table(vectors: DataFrame, pivots: int) -> DataFrame:
+    """``vectors`` with the distances ``far`` to the pivots of their dimension."""
+    sample = vectors.select("v", F.xxhash64("key").alias("h"), "rid").orderBy("h", "rid").limit(SAMPLE).select("v").collect()
+    by: dict[int, list] = {}
+    for (v,) in sample:
+        by.setdefault(len(v), []).append(v)
+    chosen = {d: choose(np.array(rows), pivots) for d, rows in by.items()}
+
+    def pivots_of(d: int) -> np.ndarray:
+        got = chosen.get(d, np.empty((0, d)))
+        more = np.random.default_rng(d).standard_normal((pivots - len(got), d))
+        return np.concatenate([got, more * 256 / np.sqrt(d)])
+
     def run(batches):
         for b in batches:
-            t = pa.Table.from_batches([b])
-            if t.num_rows:
-                far = distances(matrix(t["v"]), pivots)
-                yield pa.RecordBatch.from_arrays([b["vec_id"], b["v"], pa.array(list(far), pa.list_(pa.float64()))], names=["vec_id", "v", "far"])
+            d = b["d"].to_numpy()
+            for size in np.unique(d):
+                part = b.filter(pa.array(d == size))
+                far = distances(matrix(part["v"]), pivots_of(int(size)))
+                far = pa.ListArray.from_arrays(pa.array(np.arange(len(far) + 1, dtype=np.int32) * pivots), pa.array(far.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in b.schema.names), far], names=[*b.schema.names, "far"])
+
+    return vectors.mapInArrow(run, "rid long, key binary, d int, v array<double>, least long, asked boolean, far array<double>")
+
 
-    return vectors.mapInArrow(run, "vec_id long, v array<double>, far array<double>")
+def whole(a: np.ndarray) -> np.ndarray:
+    """Integer-valued doubles as Python integers."""
+    return np.array([[int(x) for x in row] for row in a], object).reshape(a.shape)
 
 
-def kernel(k: int):
-    def run(asked: pa.Table, given: pa.Table):
-        ids, v, far = given["vec_id"].to_numpy(), matrix(given["v"]), matrix(given["far"])
+class _Block:
+    """A group's queries and candidates; at the end, the best ``k`` of each query, in bound order until the exact stop."""
+
+    def __init__(self, k: int, first_only: bool):
+        self.k, self.first_only = k, first_only
+        self.asked: list[pa.RecordBatch] = []
+        self.held: list[pa.RecordBatch] = []
+        self.evaluated = self.met = 0
+
+    def asks(self, b: pa.RecordBatch):
+        self.asked.append(b)
+
+    def given(self, b: pa.RecordBatch):
+        if self.asked:
+            self.held.append(b)  # at most a block
+        return iter(())
+
+    def finish(self):
+        if not self.held:
+            return
+        asked, given = pa.Table.from_batches(self.asked), pa.Table.from_batches(self.held)
+        ids, least, v, far = given["rid"].to_numpy(), given["least"].to_numpy(), matrix(given["v"]), matrix(given["far"])
         qs, q_far = matrix(asked["v"]), matrix(asked["far"])
+        bars = asked["bar"].to_numpy().astype(float)
         exact = max(np.abs(v).max(), 1) * max(np.abs(qs).max(), 1) * v.shape[1] < 2**53
         square = (v * v).sum(axis=1)
-        whole = None if exact else v.astype(object).astype(int).astype(object)
+        big = None if exact else whole(v)
         columns = np.ascontiguousarray(far.T)
-        for qid, q, at in zip(asked["vec_id"].to_pylist(), qs, q_far):
-            gap = np.zeros(len(ids))
-            for j, x in enumerate(at):
-                np.maximum(gap, np.abs(columns[j] - x), out=gap)
+        out = []
+        for qid, q, at, bar in zip(asked["rid"].to_numpy(), qs, q_far, np.where(np.isnan(bars), -np.inf, bars)):
+            gap = np.abs(columns[0] - at[0])
+            for j in range(1, len(at)):
+                np.maximum(gap, np.abs(columns[j] - at[j]), out=gap)
             top = (q @ q + square - gap * gap) / 2
             top += 1e-9 * (q @ q + square) + 1e-6  # rounding of the bound
-            top[ids == qid] = -np.inf
-            order = np.argsort(-top, kind="stable")
-            order = order[: len(order) - int((ids == qid).sum())]
-            got_ids, got = np.empty(0, np.int64), np.empty(0, np.float64 if exact else object)
+            top[np.isnan(top)] = np.inf  # beyond a double: no bound
+            if self.first_only:
+                order = np.argpartition(-top, CHUNK)[:CHUNK] if len(top) > CHUNK else np.arange(len(top))
+            else:
+                order = np.flatnonzero(top >= bar)
+                order = order[np.argsort(-top[order], kind="stable")]
+            pos, got = np.empty(0, np.int64), np.empty(0, np.float64 if exact else object)
             for i in range(0, len(order), CHUNK):
                 part = order[i : i + CHUNK]
-                if len(got) == k and top[part[0]] < got[-1]:
+                if len(got) == self.k and top[part[0]] < got[-1]:
                     break
-                s = v[part] @ q if exact else np.array([sum(a * b for a, b in zip(row, map(int, q))) for row in whole[part]], object)
-                got_ids, got = np.concatenate([got_ids, ids[part]]), np.concatenate([got, s])
-                keep = best(got_ids, got, k)
-                got_ids, got = got_ids[keep], got[keep]
-            yield qid, got_ids, got
-
-    return run
-
-
-def top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = 24) -> DataFrame:
-    rows = usable(vectors).select("vec_id", F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("v"))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
-    if not sample:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-    chosen = choose(np.array([r[0] for r in sample]), pivots)
-    return search(durable(with_table(rows, chosen), "pivot-table"), every, k, kernel(k), "long")
+                s = v[part] @ q if exact else np.array([max(-MOST - 1, min(MOST, sum(a * b for a, b in zip(row, map(int, q))))) for row in big[part]], object)
+                self.evaluated += len(part)
+                pos, got = np.concatenate([pos, part]), np.concatenate([got, s])
+                keep = best(least[pos], got, self.k)
+                pos, got = pos[keep], got[keep]
+            out.append((qid, ids[pos], got))
+        self.met += len(out) * len(ids)
+        score = np.concatenate([g for _, _, g in out]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x for x, _, _ in out], [len(c) for _, c, _ in out])), pa.array(np.concatenate([c for _, c, _ in out])), pa.array(score)], names=["q", "c", "score"])
+
+
+def top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
+    """Per query row its ``k`` best: query_id, rank, vec_id, score."""
+    search = Search(vectors, every, k, floored=256)
+    search.deal(durable(with_table(search.vectors, pivots), "pivot-table"), 8 * pivots, 8 * pivots)
+    given = search.index.select("rid", "d", "v", "far", "least")
+    asked = search.index.filter("asked").select("rid", "d", "v", "far")
+    found = lambda q, first: search.streamed(given, q, lambda _: _Block(k + 1, first), "q long, c long, score long")
+    bars = durable(kth(found(asked.withColumn("bar", F.lit(None).cast("double")), True), k + 1), "pivot-bars")
+    order = W.partitionBy("q").orderBy(F.col("score").desc(), "least")
+    hits = found(asked.join(bars, "rid", "left"), False).join(search.index.select(F.col("rid").alias("c"), "least"), "c")
+    return search.lists(hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).select("q", "c", "score"))
 
 
 def op7(vectors: DataFrame) -> DataFrame:
@@ -95,14 +153,12 @@ def op7(vectors: DataFrame) -> DataFrame:
 
 OP7_SQL = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS v
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-  GROUP BY vec_id),
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+  SELECT q.i, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.i <> c.i AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, (row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id NULLS LAST))::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -8,61 +8,114 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from consensa.llm import ann_bits, chat_pairs, pivot_topk, url_filter
+from consensa.llm import ann_bits, chat_pairs, pivot_topk, url_filter, vector_blocks
 
 DIR = "/root/testdata/sf0.001"
 
 
 # vectors ------------------------------------------------------------------------------------------
+VECTOR = "vec_id long, embedding array<float>, block int, rid string"
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
+    """Repeated ids and rows, copies, two dimensions, and rows that take no part; (frame, usable rows)."""
     rng = np.random.default_rng(2)
     v = rng.standard_normal((600, 24)).astype(np.float32)
     v[100:140] = v[100]
-    rows = [(i, [float(x) for x in v[i]], 1) for i in range(600)]
-    rows += [(600, None, 1), (601, [0.0] * 24, 1), (602, [float("nan")] * 24, 1), (603, [1.0, None] * 12, 1), (604, [1.0] * 7, 1), (None, [1.0] * 24, 1), (20, [9.0] * 24, 1), (620, [float("inf")] * 24, 1)]
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, block int"), v
+    rows = [(i, [float(x) for x in v[i]]) for i in range(600)]
+    rows += [(1000 + i, [float(x) for x in rng.standard_normal(7).astype(np.float32)]) for i in range(60)]
+    rows += [(20, [9.0] * 24), rows[100], rows[100], rows[40], (3, [100.0] * 24), (None, [1.0] * 24), (None, [8.0] * 24), (601, [0.0] * 24)]
+    out = [(600, None), (602, [float("nan")] * 24), (603, [1.0, None] * 12), (620, [float("inf")] * 24), (640, [])]
+    return spark.createDataFrame([(i, x, 1, "r") for i, x in rows + out], VECTOR), rows
+
+
+def brute(rows, every, k, of=lambda x: x):
+    """(query_id, rank, vec_id, score) of every query row against all other rows of its dimension."""
+    out = []
+    for d in {len(x) for _, x in rows}:
+        own = [(i, x) for i, x in rows if len(x) == d]
+        v = of(np.array([x for _, x in own]))
+        for n, (q, _) in enumerate(own):
+            if q is None or q % every:
+                continue
+            s = v @ v[n]
+            order = sorted((m for m in range(len(own)) if m != n), key=lambda m: (-s[m], own[m][0] is None, own[m][0] or 0))
+            out += [(q, r + 1, own[m][0], float(s[m])) for r, m in enumerate(order[:k])]
+    return out
 
 
-def brute(ids, v, q, k):
-    s = v @ v[ids == q][0]
-    at = np.flatnonzero(ids != q)
-    at = at[np.lexsort((ids[at], -s[at]))][:k]
-    return list(zip(ids[at].tolist(), s[at].tolist()))
+def found(df):
+    return [(r.query_id, r["rank"], r.vec_id, float(r.score)) for r in df.collect()]
 
 
 def test_ann_recall_and_scores(vectors):
-    df, v = vectors
-    v = v.astype(float)
-    v[20] = np.minimum.reduce([tuple(v[20]), tuple([9.0] * 24)]) if tuple(v[20]) == tuple([9.0] * 24) else (v[20] if tuple(v[20]) < tuple([9.0] * 24) else [9.0] * 24)
-    ids = np.arange(600)
-    got = ann_bits.op5(df).toPandas()
-    hit = 0
-    queries = ids[ids % 20 == 0]
-    assert set(got.query_id) == set(queries)
-    for q in queries:
-        g = got[got.query_id == q].sort_values("rank")
-        assert list(g["rank"]) == list(range(1, 21))
-        for i, s in zip(g.vec_id, g.score):
-            assert s == pytest.approx(v[i] @ v[q], abs=1e-9)
-        assert list(zip(-g.score, g.vec_id)) == sorted(zip(-g.score, g.vec_id))
-        hit += len({i for i, _ in brute(ids, v, q, 20)} & set(g.vec_id))
-    assert hit / (20 * len(queries)) >= 0.9
+    df, rows = vectors
+    want, got = brute([r for r in rows if any(r[1])], 20, 20), found(ann_bits.op5(df))
+    assert Counter((q, r) for q, r, *_ in got) == Counter((q, r) for q, r, *_ in want)
+    say = lambda x: Counter((q, i, round(s, 6)) for q, _, i, s in x)
+    assert sum((say(want) & say(got)).values()) >= 0.9 * len(want)
+    by = {}
+    for i, x in rows:
+        by.setdefault(i, []).append(np.array(x))
+    for q, _, i, s in got:
+        assert min(abs(a @ b - s) for a in by[q] for b in by[i] if len(a) == len(b)) < 1e-9
 
 
 def test_pivots_are_exact(vectors):
-    df, v = vectors
-    v = v.astype(float)
-    v[20] = min(tuple(v[20]), tuple([9.0] * 24))
-    w = np.floor(v * 256)
-    w = np.vstack([w, np.zeros(24)])
-    ids = np.append(np.arange(600), 601)
-    got = pivot_topk.op7(df).toPandas()
-    for q in ids[ids % 50 == 0]:
-        g = got[got.query_id == q].sort_values("rank")
-        assert list(zip(g.vec_id, g.score)) == [(i, int(s)) for i, s in brute(ids, w, q, 5)]
+    df, rows = vectors
+    want = brute(rows, 50, 5, lambda v: np.floor(v * 256))
+    assert Counter(found(pivot_topk.op7(df))) == Counter(want)
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_blocks_and_tiles_lose_nothing(vectors, monkeypatch, few):
+    monkeypatch.setattr(vector_blocks, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(vector_blocks, "TILE_ROWS", 64)
+    df, rows = vectors
+    rows = [r for r in rows if not few or r[0] is None or r[0] < 60]
+    df = df.filter("vec_id is null or vec_id < 60") if few else df
+    assert Counter(found(pivot_topk.top_k(df, 7, 9))) == Counter(brute(rows, 7, 9, lambda v: np.floor(v * 256)))
+    got, want = found(ann_bits.nearest(df, 7, 9)), brute([r for r in rows if any(r[1])], 7, 9)
+    assert len(got) == len(want) and sum((Counter((q, i) for q, _, i, _ in got) & Counter((q, i) for q, _, i, _ in want)).values()) >= 0.9 * len(want)
+
+
+def test_sums_beyond_doubles_are_whole(spark):
+    rows = [(0, [2.0**30, 3.0, 1.0]), (1, [2.0**16, 1.0, 1.0]), (2, [2.0**16, 1.0, 1.0 + 2**-8]), (3, [1e30, 0.0, 0.0]), (4, [1e29, 0.0, 0.0])]
+    got = [tuple(r) for r in pivot_topk.op7(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    score = lambda a, b: min(2**63 - 1, sum(int(x * 256) * int(y * 256) for x, y in zip(a, b)))
+    assert got == [(0, 1, 3, 2**63 - 1), (0, 2, 4, 2**63 - 1), (0, 3, 2, score(rows[0][1], rows[2][1])), (0, 4, 1, score(rows[0][1], rows[1][1]))]
+    assert 2**53 < got[2][3] == got[3][3] + 256
+
+
+def _block(rows, k, first, bar=None):
+    pivots = pivot_topk.choose(rows[:200], 16)
+    t = lambda v, n, **more: pa.RecordBatch.from_pydict({"rid": np.arange(n, n + len(v)), "least": np.arange(n, n + len(v)), "v": list(v), "far": list(pivot_topk.distances(v, pivots)), **more})
+    block = pivot_topk._Block(k, first)
+    block.asks(t(rows[:20], 10_000, bar=np.full(20, np.nan if bar is None else bar)))
+    list(block.given(t(rows, 0)))
+    return block, pa.Table.from_batches(list(block.finish())).to_pandas()
+
+
+def test_pivots_spare_most_of_clustered_vectors():
+    rng = np.random.default_rng(4)
+    rows = np.floor((rng.standard_normal((12, 16))[rng.integers(0, 12, 4000)] + 0.02 * rng.standard_normal((4000, 16))) * 256)
+    block, got = _block(rows, 5, False)
+    assert block.evaluated < 0.25 * block.met
+    for q, part in got.groupby("q"):
+        assert sorted(part.score) == sorted(np.sort(rows @ rows[q - 10_000])[-5:])
+
+
+def test_codes_spare_most_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((3000, 64)))]
+    search = vector_blocks.Search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 50, 20)
+    search.deal(ann_bits.with_codes(search.vectors, 512, 11).cache())
+    sure, pairs = ann_bits.reaching(search, 21, 2.5, 512, 11)
+    assert sure.count() == 60 * 42 and pairs.count() < 0.25 * 60 * 3000
 
 
 def test_vectors_of_nothing(spark):
@@ -71,6 +124,8 @@ def test_vectors_of_nothing(spark):
     two = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann_bits.op5(two).collect()] == [(0, 1, 1, 11.0)]
     assert [tuple(r) for r in pivot_topk.op7(two).collect()] == [(0, 1, 1, 11 * 65536)]
+    alone = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0])], "vec_id long, embedding array<float>")
+    assert ann_bits.op5(alone).count() == 0 and pivot_topk.op7(alone).count() == 0
 
 
 # urls ---------------------------------------------------------------------------------------------

@@ -1,18 +1,19 @@
 """URL filter: host rules, and a ratio of two character language models for the rest.
 
-Two Markov models of order two are learned from accepted and rejected URLs (those that rules judge): a
-character's probability after a context of two characters is smoothed with that after one character, that with
+Two Markov models of order two are learned from accepted and rejected URLs (those that rules judge), whole: scheme, query and
+fragment are read like host and path. A character's probability after a context of two characters is smoothed with that after one character, that with
 the one after none, and that with the uniform one, by Witten-Bell weights, so the order varies with what has
 been seen. A URL's score is the mean log ratio over its characters; the verdict compares it with a cut
 calibrated on labelled URLs that the models were not fitted on: the point between the two classes' mean
 scores that splits their distance by their deviations.
 
-The alphabet has 40 symbols (39 and one for all other characters), so the model is one array of 64,000 log
+The alphabet has 47 symbols (46 and one for all other characters), so the model is one array of 103,823 log
 ratios (in thousandths), whatever the input: it enters the scoring expression as a constant; URLs are neither
 exploded nor shuffled to be scored. Only DataFrame and SQL functions are used.
 
-Defined results: null URLs, and URLs without ``://``, have empty host and path, and score 0; where one class has
-no labelled URL, every score and the cut are 0 and the method allows; repeated rows each get a row.
+Defined results: null URLs, and URLs without ``://``, have empty host and path; null and empty URLs score 0, all others by their
+characters; where one class has no labelled URL, every score and the cut are 0 and the method allows; a score equal to the cut is
+allowed; repeated rows each get a row; columns of the same names as those added are replaced.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, packed
 
 # The rules of the contract (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789-./"
+SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789-./:?#=&_%"
 N = len(SYMBOLS) + 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -88,7 +89,7 @@ def ratios(labelled: DataFrame) -> DataFrame:
 def fitted(pages: DataFrame) -> tuple[F.Column, float]:
     """(score expression over ``code``, cut), from the URLs that rules judge."""
     seen = judged(pages.select("url")).filter("by_rule is not null")
-    seen = seen.select("url", F.expr(codes("concat(host, path)")).alias("code"), (F.col("by_rule") == "allow").alias("accepted"), F.expr("instr('048c', left(md5(url), 1)) > 0").alias("apart"))
+    seen = seen.select("url", F.expr(codes("url")).alias("code"), (F.col("by_rule") == "allow").alias("accepted"), F.expr("instr('048c', left(md5(url), 1)) > 0").alias("apart"))
     model = F.split(F.lit(ratios(seen.filter("not apart")).first()["lr"]), ",").cast("array<int>")  # folded to one constant
     grams = F.expr(f"if(size(code) > 2, {_grams()}, cast(array() as array<int>))")
     score = F.aggregate(grams, F.lit(0).cast("long"), lambda a, g: a + F.get(model, g)) / (1000.0 * F.greatest(F.size("code") - 2, F.lit(1)))
@@ -103,9 +104,11 @@ def fitted(pages: DataFrame) -> tuple[F.Column, float]:
 def filter_urls(pages: DataFrame) -> DataFrame:
     """``pages`` with host, path, rule, verdict and _score (null where a rule decides)."""
     score, cut = fitted(pages)
-    x = judged(pages).withColumn("code", F.expr(codes("concat(host, path)"))).withColumn("_score", F.when(F.col("by_rule").isNull(), score))
-    verdict = F.coalesce("by_rule", F.when(F.col("_score") >= F.lit(cut), "allow").otherwise("block"))
-    return x.withColumn("verdict", verdict).drop("code", "by_rule")
+    x = judged(packed(pages, F.col("url"))).withColumn("code", F.expr(codes("coalesce(url, '')")))
+    x = x.withColumn("_score", F.when(F.col("by_rule").isNull(), score))
+    x = x.withColumn("verdict", F.coalesce("by_rule", F.when(F.col("_score") >= F.lit(cut), "allow").otherwise("block")))
+    new = ("host", "path", "rule", "verdict", "_score")
+    return x.select(*[F.col(f"row.`{c}`") for c in pages.columns if c not in new], *new)
 
 
 def op6(pages: DataFrame) -> DataFrame:
@@ -124,7 +127,7 @@ def _model_sql() -> str:
 WITH r AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 j AS (SELECT *, CASE {said} END AS rule, CASE {judged_as} END AS by_rule,
-  list_concat([0, 0], list_transform(list_filter(string_split(translate(host || path, '{UPPER}', '{LOWER}'), ''), lambda c: c <> ''), lambda c: strpos('{SYMBOLS}', c))) AS code FROM h),
+  list_concat([0, 0], list_transform(list_filter(string_split(translate(coalesce(url, ''), '{UPPER}', '{LOWER}'), ''), lambda c: c <> ''), lambda c: strpos('{SYMBOLS}', c))) AS code FROM h),
 k AS (SELECT *, row_number() OVER () AS i, CASE WHEN len(code) > 2 THEN list_transform(range(1, len(code) - 1), lambda x: (code[x] * {N} + code[x + 1]) * {N} + code[x + 2]) ELSE [] END AS grams, strpos('048c', left(md5(url), 1)) > 0 AS apart FROM j),
 c AS (SELECT g, count(*) FILTER (by_rule = 'allow') AS n1, count(*) FILTER (by_rule = 'block') AS n0 FROM (SELECT by_rule, unnest(grams) AS g FROM k WHERE by_rule IS NOT NULL AND NOT apart) GROUP BY g),
 grid AS (SELECT x.g, x.g // {N * N} AS a, x.g // {N} % {N} AS b, x.g % {N} AS c, coalesce(n1, 0) AS n1, coalesce(n0, 0) AS n0 FROM (SELECT unnest(range({N**3})) AS g) x LEFT JOIN c ON x.g = c.g),

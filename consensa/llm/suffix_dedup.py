@@ -1,19 +1,18 @@
 """Removal of long repeated byte strings by bucket-pointer refinement of sparse suffix buckets.
 
-A byte goes if a string of ``LENGTH`` (200) bytes that covers it starts anywhere else too. Suffixes are named
-by buckets: the 8-gram at an offset is its first bucket, and a bucket of twice the depth is the pair of the
-bucket there and the bucket at the later offset (8, 16, 32, 64, 128), the names of one step being reused by
-the next; the last pair, 128-buckets at offsets 0 and 72, names all 200 bytes. Names are 64 bits of a mixing
-function, so no step sorts or ranks the whole corpus.
-
-Only suffixes that can still be equal are refined:
-1. Every start of a 200-byte string points to the least 32-bucket (leftmost of equals) among its 169 offsets.
+A byte goes if a string of ``LENGTH`` (200) bytes that covers it starts anywhere else too. Suffixes lie in buckets by
+the q-gram at their offset; a bucket is refined by sorting its members on the bucket identifiers of a later offset, and the
+identifiers so found are those that the next depth is refined by.
+
+Over the whole corpus nothing is sorted; suffixes are dealt to coarse buckets, and only those that can still be equal are refined:
+1. Every start of a 200-byte string points to the least 32-gram (leftmost of equals) among its 169 offsets.
    Equal strings point to equal buckets at equal distances. Consecutive starts with one pointer are a segment.
-2. Segments are grouped by pointed bucket, and by the name of the whole segment. A segment found twice is
-   repeated throughout. A bucket with one kind of segment is done; all others hold open segments.
-3. Open segments (one of each kind) are refined to all 200 bytes at every start: they travel with their bytes to
-   their bucket, and starts whose name occurs twice in it are repeated. A bucket with more than ``BUCKET`` kinds of
-   segment (a passage in very many surroundings) sends the names of its starts instead, which are counted one by one.
+2. Segments are grouped by pointed bucket, and by a name of the whole segment (64 bits of a mixing function beside the 64 of the
+   bucket). A segment found twice is repeated throughout. A bucket with one kind of segment is done; all others hold open segments.
+3. Open segments (one of each kind) travel with their bytes to their bucket and are refined there, exactly (``refined``): 8-gram
+   buckets become buckets of 16, 32, 64 and 128 bytes by pairs of identifiers half as deep, and the last sort, on the
+   128-byte identifiers at offsets 0 and 72, leaves the starts that agree in all 200 bytes together. A bucket with more than
+   ``BUCKET`` kinds of segment (a passage in very many surroundings) sends the names of its starts instead, which are counted one by one.
 Texts that occur twice as a whole and have 200 bytes go entirely.
 
 Row counts: one row in about 85 bytes in step 2, one row with about 300 bytes for each kind of open segment in step 3
@@ -21,8 +20,8 @@ Row counts: one row in about 85 bytes in step 2, one row with about 300 bytes fo
 name), so a passage that millions of documents share costs no task more than its own documents.
 
 Defined results: null text is empty; texts under 200 bytes keep everything unless step 2 cannot apply (they have
-no 200-byte string); repeated rows count as other places; an empty table gives an empty result. Two different strings
-share a 64-bit name with probability 2^-64 a pair.
+no 200-byte string); repeated rows count as other places; an empty table gives an empty result. Two different segments are
+taken for equal if bucket and name, 128 bits, both agree; step 3 compares bytes.
 """
 
 from __future__ import annotations
@@ -41,7 +40,7 @@ LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
 PIECE = 1 << 17
 BUCKET = 8_000  # open segments (of at most 368 bytes) that one task refines together
-SMALL = 64_000_000  # bytes: a table up to this size is broadcast, a larger one is joined by key
+SMALL = 128_000_000  # bytes as a hashed relation: a table up to this size is broadcast, a larger one is joined by key
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -165,6 +164,25 @@ def _open_rows(docs: DataFrame) -> DataFrame:
     return docs.select("k1", "k2", "text", "open").mapInArrow(run, "bucket long, k1 long, k2 long, start int, raw binary")
 
 
+def _buckets(key: np.ndarray) -> np.ndarray:
+    """Bucket identifiers: the ranks of the sorted keys."""
+    return np.unique(key, return_inverse=True)[1].astype(np.uint64)
+
+
+def refined(raw: bytes, starts: np.ndarray) -> np.ndarray:
+    """Bucket identifiers of the 200 bytes at ``starts``; suffixes alone in their bucket are sorted no further."""
+    ids = _buckets(np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,)))
+    depth = 8
+    while depth < 128:
+        here, later = ids[:-depth], ids[depth:]
+        open_ = np.bincount(here.astype(np.int64))[here.astype(np.int64)] > 1
+        new = np.empty(len(here), np.uint64)
+        new[open_] = _buckets(here[open_] * np.uint64(len(ids)) + later[open_])
+        new[~open_] = np.arange(open_.sum(), len(here), dtype=np.uint64)  # identifiers of their own
+        ids, depth = new, 2 * depth
+    return _buckets(ids[starts] * np.uint64(len(ids)) + ids[starts + LENGTH - depth])
+
+
 def _refine(batches):
     """Whole buckets in, (k1, k2, start, stop) of runs of repeated starts out."""
 
@@ -175,19 +193,11 @@ def _refine(batches):
         lens = np.array([len(parts[i]) for i in use])
         number = lens - LENGTH + 1
         first_of = np.cumsum(number) - number
-        names = np.empty(number.sum(), np.uint64)
-        for at in range(0, len(use), 512):  # names of a few hundred segments at a time
-            some = slice(at, at + 512)
-            raw = b"".join(parts[i] for i in use[some])
-            begin = np.repeat(np.cumsum(lens[some]) - lens[some] - first_of[some] + first_of[at], number[some])
-            p = np.arange(number[some].sum())
-            names[first_of[at] : first_of[at] + len(p)] = names200(names32(raw), p + begin)
-        ordered = np.sort(names)
-        twice = ordered[1:][ordered[1:] == ordered[:-1]]
-        if not len(twice):
+        begin = np.repeat(np.cumsum(lens) - lens - first_of, number)
+        ids = refined(b"".join(parts[i] for i in use), np.arange(number.sum()) + begin).astype(np.int64)
+        hit = np.flatnonzero(np.bincount(ids)[ids] > 1)
+        if not len(hit):
             return None
-        hit = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, names), len(twice) - 1)] == names)
-        del names, ordered
         row = np.searchsorted(first_of, hit, side="right") - 1
         within = hit - first_of[row]
         new = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(row) != 0)))
@@ -203,7 +213,7 @@ def _refine(batches):
             continue
         held.append(b)
         size += b.nbytes
-        if size >= 1 << 21:
+        if size >= 1 << 20:
             t = pa.Table.from_batches(held)
             bucket = t["bucket"].to_numpy()
             cut = int(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[-1])
@@ -220,19 +230,20 @@ def _refine(batches):
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """Rows (w, k1, k2, at) of the starts of open segments in large buckets."""
+    """Rows (bucket, w, k1, k2, at) of the starts of open segments in large buckets."""
 
     def run(batches):
         for b in batches:
             k1, k2, wide = b["k1"].to_numpy(), b["k2"].to_numpy(), b["wide"].to_pylist()
             for i, raw in enumerate(_raw(b)):
-                starts = np.unique(np.concatenate([np.arange(x["start"], x["stop"]) for x in wide[i]]))
+                starts, bucket = (np.concatenate(x) for x in zip(*((np.arange(x["start"], x["stop"]), np.full(x["stop"] - x["start"], x["bucket"])) for x in wide[i])))
                 for at, part in pieces(raw):
-                    p = starts[(starts >= at) & (starts < at + PIECE)]
+                    here = (starts >= at) & (starts < at + PIECE)  # segments of a text do not overlap
+                    p = starts[here]
                     if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(names200(names32(part), p - at).view(np.int64)), pa.array(np.full(len(p), k1[i])), pa.array(np.full(len(p), k2[i])), pa.array(p.astype(np.int32))], names=["w", "k1", "k2", "at"])
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket[here]), pa.array(names200(names32(part), p - at).view(np.int64)), pa.array(np.full(len(p), k1[i])), pa.array(np.full(len(p), k2[i])), pa.array(p.astype(np.int32))], names=["bucket", "w", "k1", "k2", "at"])
 
-    return docs.select("k1", "k2", "text", "wide").mapInArrow(run, "w long, k1 long, k2 long, at int")
+    return docs.select("k1", "k2", "text", "wide").mapInArrow(run, "bucket long, w long, k1 long, k2 long, at int")
 
 
 def _join_spans(batches):
@@ -260,30 +271,30 @@ def repeated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     every = durable(every, "suffix-names")
     # counted by partial aggregates and joined from tables, so a join's hot bucket can be split
     sizes = durable(every.groupBy("bucket").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "suffix-sizes")
-    kinds = every.join(_small(sizes, 16), "bucket", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
-    kinds = durable(kinds.filter("full or kinds > 1").select("name", "full", "kinds", "low"), "suffix-kinds")
+    kinds = every.join(_small(sizes, 48), "bucket", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
+    kinds = durable(kinds.filter("full or kinds > 1").select("bucket", "name", "full", "kinds", "low"), "suffix-kinds")
     release(every)
     release(sizes)
-    rows = _segment_rows(keyed).join(_small(kinds, 40), "name")
+    rows = _segment_rows(keyed).join(_small(kinds, 80), ["bucket", "name"])
     span = F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
     asked = (F.col("kinds") > 1) & (F.col("place") == F.col("low"))
     with_bucket = F.struct("bucket", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
     marked = rows.filter(F.col("full") | asked).groupBy("k1", "k2").agg(
         F.min("doc_id").alias("rep"), F.collect_set(F.when(F.col("full"), span)).alias("full"),  # at most the text's own segments
-        F.collect_set(F.when(asked & (F.col("kinds") <= bucket), with_bucket)).alias("open"), F.collect_set(F.when(asked & (F.col("kinds") > bucket), span)).alias("wide"))
+        F.collect_set(F.when(asked & (F.col("kinds") <= bucket), with_bucket)).alias("open"), F.collect_set(F.when(asked & (F.col("kinds") > bucket), with_bucket)).alias("wide"))
     marked = durable(marked.mapInArrow(_join_spans, marked.schema), "suffix-marked")
 
     def asking(column: str) -> DataFrame:
         """Texts with segments in ``column``, from one row of each text."""
         some = marked.filter(F.size(column) > 0).select("k1", "k2", "rep", column)
-        return keyed.join(_small(some, 40, column), ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+        return keyed.join(_small(some, 64, column), ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
 
     found = _open_rows(asking("open")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine, "k1 long, k2 long, start int, stop int")
     parts = found
     if not marked.filter(F.size("wide") > 0).isEmpty():
         windows = durable(_windows(asking("wide")), "suffix-windows")
-        twice = windows.withColumn("place", F.xxhash64("k1", "k2", "at")).groupBy("w").agg(*place).filter("low <> high").select("w")
-        parts = parts.unionByName(windows.join(durable(twice, "suffix-twice"), "w").select("k1", "k2", F.col("at").alias("start"), F.expr("at + 1").alias("stop")).distinct())
+        twice = windows.withColumn("place", F.xxhash64("k1", "k2", "at")).groupBy("bucket", "w").agg(*place).filter("low <> high").select("bucket", "w")
+        parts = parts.unionByName(windows.join(durable(twice, "suffix-twice"), ["bucket", "w"]).select("k1", "k2", F.col("at").alias("start"), F.expr("at + 1").alias("stop")).distinct())
     copies = keyed.select("k1", "k2", F.octet_length("text").alias("n")).groupBy("k1", "k2").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(f"c > 1 and n >= {LENGTH}")
     parts = parts.select("k1", "k2", "start", (F.col("stop") + LENGTH - 1).alias("stop"))
     parts = parts.unionByName(marked.select("k1", "k2", F.explode("full").alias("s")).select("k1", "k2", "s.start", "s.stop"))
@@ -319,7 +330,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                  pa.array([hashlib.sha256(k).hexdigest() for _, k, _ in rows]), pa.array([k for _, k, _ in rows], pa.binary())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    x = _keyed(docs).join(_small(spans, 32, "spans"), ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    x = _keyed(docs).join(_small(spans, 64, "spans"), ["k1", "k2"], "left").select("doc_id", "text", "spans")
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return x.mapInArrow(run, kind)
 

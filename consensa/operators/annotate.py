@@ -39,9 +39,13 @@ def essentiality_rows(dim: DataFrame, gene: str = "gene") -> DataFrame:
 
 
 # metrics ------------------------------------------------------------------------------------------
+# The usual names of a metric table's id column.
+GENE_COLUMNS = ("gene", "Gene", "ensembl_gene_id", "gene_id")
+
+
 def gene_column(df: DataFrame) -> str:
-    """The id column of a metric table, under any of its usual names."""
-    return next(c for c in ("gene", "Gene", "ensembl_gene_id", "gene_id", df.columns[0]) if c in df.columns)
+    """The id column of a metric table, under any of its usual names; else the first."""
+    return next(c for c in (*GENE_COLUMNS, df.columns[0]) if c in df.columns)
 
 
 def combine_metrics(metrics: dict[str, DataFrame | None], keys: Sequence[str] = ("sample_id",)) -> DataFrame:
@@ -60,11 +64,17 @@ def combine_metrics(metrics: dict[str, DataFrame | None], keys: Sequence[str] =
     return long.groupBy(*keys, "gene").agg(*[median(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
 
 
-def to_symbols(table: DataFrame, gene_map: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """Genes become symbols (the least symbol of an id); medians where ids share one; blank symbols go."""
-    ids = gene_map.groupBy(strip_version("gene_id").alias("gene")).agg(F.min(null_if_blank("symbol")).alias("symbol"))
-    named = table.join(ids, "gene").filter(F.col("symbol").isNotNull())
-    return named.groupBy(*keys, "symbol").agg(*[median(m).alias(m) for m in metrics])
+def symbols(gene_map: DataFrame) -> DataFrame:
+    """(gene, symbol) from a dictionary (gene_id, symbol): of an id's symbols the one with the least ``ordinal`` (a column of the dictionary's order), else the least."""
+    place = F.col("ordinal") if "ordinal" in gene_map.columns else F.lit(0)
+    named = gene_map.filter(null_if_blank("symbol").isNotNull())
+    return named.groupBy(strip_version("gene_id").alias("gene")).agg(F.min_by("symbol", F.struct(place, "symbol")).alias("symbol"))
+
+
+def to_symbols(table: DataFrame, gene_map: DataFrame | Sequence[DataFrame | None], metrics: Sequence[str], keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Genes become symbols, by the first of the dictionaries that is there; medians where ids share one; genes without a symbol go."""
+    given = gene_map if isinstance(gene_map, DataFrame) else next(m for m in gene_map if m is not None)
+    return table.join(symbols(given), "gene").groupBy(*keys, "symbol").agg(*[median(m).alias(m) for m in metrics])
 
 
 def attach_metrics(rows: DataFrame, by_symbol: DataFrame, gene: str = "gene_name", keys: Sequence[str] = ("sample_id",)) -> DataFrame:
@@ -100,12 +110,19 @@ def hallmarks(genes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 # allele frequencies -------------------------------------------------------------------------------
+# Spellings of a class's number, and of the word before it.
+CLASS_NUMBERS = {"I": ("i", "1"), "II": ("ii", "2")}
+CLASS_WORDS = ("mhc class ", "class ", "mhc", "mhc ")
+
+
 def class_of(x: Column | str) -> Column:
-    """'I' or 'II' from the many spellings of the class, else the text upper-cased."""
-    t = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")), "[_-]", " ")))
-    two = t.isin("ii", "2", "mhc class ii", "class ii", "mhcii", "mhc ii") | t.contains("class ii") | t.contains("mhc ii") | t.contains("mhcii")
-    one = t.isin("i", "1", "mhc class i", "class i", "mhci", "mhc i") | t.contains("class i") | t.contains("mhc i") | t.contains("mhci")
-    return F.when(two, "II").when(one, "I").otherwise(F.upper(t))
+    """'I' or 'II' from the many spellings of the class, else the trimmed text itself."""
+    raw = trim_blanks(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")))
+    t = F.regexp_replace(F.lower(raw), "[_-]", " ")
+    said = {k: t.isin(*numbers, *(w + numbers[0] for w in CLASS_WORDS)) for k, numbers in CLASS_NUMBERS.items()}
+    one = said["I"] | (~said["II"] & t.contains("class i") & ~t.contains("ii"))
+    two = said["II"] | t.contains("class ii") | t.contains("mhcii")
+    return F.when(one, "I").when(two, "II").otherwise(raw)
 
 
 def attach_values(rows: DataFrame, source: DataFrame, keys: Sequence[tuple[str, str]], values: dict[str, str], order: str, normal: dict | None = None, require: bool = True) -> DataFrame:
@@ -121,21 +138,36 @@ def attach_values(rows: DataFrame, source: DataFrame, keys: Sequence[tuple[str,
     return left.join(right, ks, "left").drop(*ks)
 
 
+def value_counts(rows: DataFrame, value: str = "tumor_dna_vaf", keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """(keys, rows, with_value, somatic): what a run reports of its table."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.count(value).alias("with_value"), F.count_if(F.coalesce(F.lower("mutation_source"), F.lit("")).contains("somatic")).alias("somatic"))
+
+
 # HLA ----------------------------------------------------------------------------------------------
 def allele_keys(allele: Column | str) -> Column:
     """Gene keys of an allele: 'HLA-A*02:01' -> [A]; 'DQA1*01:01-DQB1*02:01' -> [DQA1, DQB1]."""
     a = F.col(allele) if isinstance(allele, str) else allele
-    keys = F.transform(F.split(F.regexp_replace(a, "^HLA-", ""), "-"), lambda p: F.regexp_extract(p, r"^(?:HLA-)?([A-Z0-9]+)\*", 1))
+    keys = F.transform(F.split(trim_blanks(a), "-"), lambda p: F.regexp_extract(p, r"^([A-Z0-9]+)\*", 1))
     return F.filter(keys, lambda k: k != "")
 
 
-def hla_tpm(rows: DataFrame, allele: str, tpm_by_gene: Column) -> DataFrame:
-    """``rows`` with hla_tpm (least TPM of the allele's chains; two-part lists have none) and hla_tpm_detail."""
-    keys = allele_keys(allele)
-    of = lambda k: F.when(F.size(tpm_by_gene[k]) >= 3, tpm_by_gene[k][0])
-    known = F.filter(keys, lambda k: F.map_contains_key(tpm_by_gene, k))
-    return rows.withColumn("hla_tpm", F.array_min(F.transform(known, of))).withColumn(
-        "hla_tpm_detail", F.concat_ws("; ", F.transform(known, lambda k: F.concat(k, F.lit("="), F.coalesce(of(k).cast("string"), F.lit("NA"))))))
+def hla_tpm(rows: DataFrame, allele: str, by_gene: Column) -> DataFrame:
+    """``rows`` with hla_tpm (least TPM of the allele's chains) and hla_tpm_detail ('A: TPM=12.5; count=3; rel=0.1', chains joined).
+
+    ``by_gene``: map gene -> [TPM, count, rel], as text; a list of two is [count, rel], and a shorter one has nothing. What is absent reads None.
+    """
+    known = F.filter(allele_keys(allele), lambda k: F.map_contains_key(by_gene, k))
+
+    def part(k: Column, from_end: int) -> Column:
+        values = by_gene[k]
+        there = F.size(values) >= (3 if from_end == 3 else 2)
+        at = F.when(F.size(values) == 2, 3 - from_end).otherwise(4 - from_end)
+        return F.when(there, F.element_at(values, at.cast("int")).cast("string"))
+
+    said = lambda k, n: F.coalesce(part(k, n), F.lit("None"))
+    detail = lambda k: F.concat(k, F.lit(": TPM="), said(k, 3), F.lit("; count="), said(k, 2), F.lit("; rel="), said(k, 1))
+    least = F.array_min(F.transform(known, lambda k: part(k, 3).try_cast("double")))
+    return rows.withColumn("hla_tpm", least).withColumn("hla_tpm_detail", F.concat_ws("; ", F.transform(known, detail)))
 
 
 def hla_format(genotype: Column, with_prefix: bool = True) -> Column:
@@ -159,6 +191,3 @@ def sequence_windows(rows: DataFrame, sequence: str, lengths: Sequence[int]) ->
     x = x.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length(sequence) - F.col("k"))))
     return x.withColumn("kmer", F.substring(F.col(sequence), F.col("pos") + 1, F.col("k")))
 
-
-def trimmed(x: str) -> Column:
-    return trim_blanks(x)

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 TIES = ("average", "min", "max", "first", "random")
 POLICIES = ("ignore", "worst", "drop")
+DENOMINATORS = ("unfiltered_ppi_edges", "ppi_filtered_edges")
 
 
 @dataclass
@@ -74,7 +75,7 @@ class FilterConfig:
             raise ValueError("add_prop must be in [0, 1]")
         if self.metric != "absolute_weight":
             raise ValueError(f"metric: {self.metric}")
-        if self.denominator != "unfiltered_ppi_edges":
+        if self.denominator not in DENOMINATORS:
             raise ValueError(f"denominator: {self.denominator}")
         if not self.require_membrane_endpoint:
             raise ValueError("require_membrane_endpoint must be true")

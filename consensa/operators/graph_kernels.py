@@ -20,8 +20,8 @@ def _near(a: float, b: float) -> bool:
     return abs(a - b) <= EPS * max(abs(a), abs(b), 1e-30)
 
 
-def partial_betweenness(n: int, adj: list[list[tuple[int, float]]], sources) -> np.ndarray:
-    """Dependency sums of the given sources; parallel edges are separate paths."""
+def partial_betweenness(n: int, adj: list[list[tuple[int, float, int]]], sources) -> np.ndarray:
+    """Dependency sums of the given sources; a neighbour is (vertex, length, number of parallel edges), and each of these is a path."""
     out = np.zeros(n)
     for s in sources:
         dist = {s: 0.0}
@@ -34,44 +34,65 @@ def partial_betweenness(n: int, adj: list[list[tuple[int, float]]], sources) ->
                 continue
             done.add(u)
             order.append(u)
-            for v, w in adj[u]:
+            for v, w, times in adj[u]:
                 if v in done:
                     continue
                 alt = d + w
                 old = dist.get(v)
                 if old is None or (alt < old and not _near(alt, old)):
-                    dist[v], sigma[v], preds[v] = alt, sigma[u], [u]
+                    dist[v], sigma[v], preds[v] = alt, sigma[u] * times, [(u, times)]
                     heapq.heappush(heap, (alt, v))
                 elif _near(alt, old):
-                    sigma[v] += sigma[u]
-                    preds[v].append(u)
+                    sigma[v] += sigma[u] * times
+                    preds[v].append((u, times))
         delta = defaultdict(float)
         for v in reversed(order):
-            for u in preds[v]:
-                delta[u] += sigma[u] / sigma[v] * (1 + delta[v])
+            for u, times in preds[v]:
+                delta[u] += sigma[u] * times / sigma[v] * (1 + delta[v])
             if v != s:
                 out[v] += delta[v]
     return out
 
 
-def betweenness(edges: DataFrame, vertices: DataFrame, batches: int = 16) -> DataFrame:
-    """(sample_id, gene, betweenness): lengths 1 / |weight|, undirected, over (n - 1)(n - 2) / 2 pairs, isolated vertices counted."""
-    parts = edges.select("sample_id", "src", "dst", F.col("weight").cast("double").alias("weight")).filter("src <> dst")
-    lone = vertices.select("sample_id", F.col("gene").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("weight"))
-    rows = parts.unionByName(lone).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+def shortest_parallels(lengths: dict[float, int]) -> tuple[float, int]:
+    """(length, number) of the shortest of parallel edges: the others lie on no shortest path."""
+    low = min(lengths)
+    return low, sum(n for x, n in lengths.items() if _near(x, low))
+
+
+WORK = 2_000_000  # sources x edges that one batch walks
+
+
+def betweenness(edges: DataFrame, vertices: DataFrame, work: int = WORK) -> DataFrame:
+    """(sample_id, gene, betweenness): lengths 1 / |weight|, undirected, over (n - 1)(n - 2) / 2 pairs, isolated vertices counted.
+
+    Parallel edges of one weight are counted before the shuffle. A sample gets as many batches of sources as its size asks
+    (``work``), and its graph is sent once a batch.
+    """
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    parts = edges.filter("src <> dst and weight is not null").select("sample_id", low.alias("src"), high.alias("dst"), F.abs(F.col("weight").cast("double")).alias("weight"))
+    parts = parts.groupBy("sample_id", "src", "dst", "weight").agg(F.count("*").cast("int").alias("times"))
+    lone = vertices.select("sample_id", F.col("gene").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("weight"), F.lit(0).alias("times")).distinct()
+    rows = parts.unionByName(lone)
+    size = rows.groupBy("sample_id").agg((F.count_if(F.col("dst").isNull()) * F.count_if(F.col("dst").isNotNull()) / work).alias("w"))
+    size = size.select("sample_id", F.greatest(F.lit(1), F.ceil("w")).cast("int").alias("batches"))
+    rows = rows.join(size, "sample_id").withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
 
     def run(key, pdf):
         import pandas as pd
 
         names = sorted(set(pdf["src"].dropna()) | set(pdf["dst"].dropna()))
         at = {g: i for i, g in enumerate(names)}
-        n = len(names)
-        adj: list[list[tuple[int, float]]] = [[] for _ in names]
-        for a, b, w in zip(pdf["src"], pdf["dst"], pdf["weight"]):
+        n, batches = len(names), int(pdf["batches"].iloc[0])
+        pairs: dict[tuple[int, int], dict[float, int]] = defaultdict(lambda: defaultdict(int))
+        for a, b, w, times in zip(pdf["src"], pdf["dst"], pdf["weight"], pdf["times"]):
             if isinstance(b, str):
-                length = 1.0 / max(abs(w), EPS)
-                adj[at[a]].append((at[b], length))
-                adj[at[b]].append((at[a], length))
+                pairs[at[a], at[b]][1.0 / max(w, EPS)] += int(times)
+        adj: list[list[tuple[int, float, int]]] = [[] for _ in names]
+        for (a, b), lengths in pairs.items():
+            length, times = shortest_parallels(lengths)
+            adj[a].append((b, length, times))
+            adj[b].append((a, length, times))
         got = partial_betweenness(n, adj, range(int(key[1]), n, batches))
         scale = (n - 1) * (n - 2) or 1  # each pair is met from both ends
         return pd.DataFrame({"sample_id": key[0], "gene": names, "part": got / scale})
@@ -138,7 +159,7 @@ def component_impact(n: int, edges: list[tuple[int, int, float]]) -> np.ndarray:
     if not comps:
         return out
     top = rank[0]
-    big, mass = len(comps[top]), weights[top]
+    big, mass, ordered = len(comps[top]), weights[top], sorted(comps[top])
     second = rank[1] if len(rank) > 1 else None
     children = defaultdict(list)
     for v in order:
@@ -164,10 +185,7 @@ def component_impact(n: int, edges: list[tuple[int, int, float]]) -> np.ndarray:
         pieces = [(size[c], least[c], float(total[c]) - to_v[c]) for c in cut]
         rest = big - 1 - sum(p[0] for p in pieces)
         if rest > 0:
-            gone = set()
-            for c in cut:
-                gone.add(c)
-            low_rest = _least_outside(order, comps[top], v, [(disc[c], disc[c] + size[c]) for c in cut], disc)
+            low_rest = _least_outside(ordered, v, [(disc[c], disc[c] + size[c]) for c in cut], disc)
             pieces.append((rest, low_rest, mass - weight_at[v] - sum(p[2] for p in pieces)))
         if second is not None:
             pieces.append((len(comps[second]), tie[second], weights[second]))
@@ -176,23 +194,9 @@ def component_impact(n: int, edges: list[tuple[int, int, float]]) -> np.ndarray:
     return out
 
 
-def _least_outside(order, members, v, ranges, disc) -> int:
-    """Least vertex of the component that is neither ``v`` nor in one of the search-order ranges: members are few steps from the start."""
-    for m in sorted_once(members):
-        if m != v and not any(a <= disc[m] < b for a, b in ranges):
-            return m
-    return -1
-
-
-_SORTED: dict[int, list[int]] = {}
-
-
-def sorted_once(members: list[int]) -> list[int]:
-    key = id(members)
-    if key not in _SORTED or len(_SORTED[key]) != len(members):
-        _SORTED.clear()
-        _SORTED[key] = sorted(members)
-    return _SORTED[key]
+def _least_outside(ordered: list[int], v: int, ranges: list[tuple[int, int]], disc: list[int]) -> int:
+    """Least vertex of the component that is neither ``v`` nor in one of the search-order ranges."""
+    return next((m for m in ordered if m != v and not any(a <= disc[m] < b for a, b in ranges)), -1)
 
 
 def impact(edges: DataFrame, vertices: DataFrame) -> DataFrame:

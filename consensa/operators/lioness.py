@@ -20,32 +20,116 @@ def centred(values: DataFrame) -> DataFrame:
     return x.select("gene", "sample_id", "d", F.sum(F.col("d") * F.col("d")).over(g).alias("s"), F.lit(n).alias("n"))
 
 
+def _closed_form(da, db, sa, sb, sab, n, greatest):
+    """(whether there is a weight, weight) for one sample, of five numbers; columns or arrays."""
+    out = n / (n - 1)
+    ra, rb = sa - da * da * out, sb - db * db * out
+    fine = (sa > 0) & (sb > 0) & (ra > TINY * sa) & (rb > TINY * sb)
+    r = sab / greatest(sa * sb) ** 0.5
+    rq = (sab - da * db * out) / greatest(ra * rb) ** 0.5
+    return fine, n * (r - rq) + rq
+
+
+TINY = 1e-12
+BLOCK_CELLS = 2_000_000  # pairs x samples of one pair of gene blocks whose edges are listed
+BLOCK_GENES = 512  # genes of a block whose edges are only summed
+
+
+def _block_pairs(values: DataFrame, genes: int, kernel, schema: str) -> DataFrame:
+    """``kernel`` over every pair of gene blocks (i <= j): names, deviations (genes x samples) and sums of squares of both, and sample names."""
+    rows = centred(values).filter("n >= 3")
+    vectors = rows.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("sample_id", "d"))).alias("x"), F.first("s").alias("s"))  # a row a sample
+    blocks = max(1, -(-values.select("gene").distinct().count() // genes))
+    block = F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = vectors.withColumn("block", block).withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def run(key, pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values("gene", kind="stable")
+        names = [r["sample_id"] for r in pdf["x"].iloc[0]]
+        sides = []
+        for b in (int(key[0]), int(key[1])):
+            own = pdf[pdf["block"] == b]
+            sides.append((own["gene"].to_numpy(), np.array([[r["d"] for r in x] for x in own["x"]]).reshape(len(own), len(names)), own["s"].to_numpy()))
+        return kernel(*sides, key[0] == key[1], names)
+
+    return dealt.groupBy("i", "j").applyInPandas(run, schema)
+
+
+def _weights(a, b, names):
+    """For each sample, the matrix of weights of genes ``a`` by genes ``b``, 0 where there is none."""
+    import numpy as np
+
+    n = len(names)
+    sab = a[1] @ b[1].T
+    floor = lambda x: np.maximum(x, 1e-300)
+    for q in range(n):
+        fine, w = _closed_form(a[1][:, q, None], b[1][None, :, q], a[2][:, None], b[2][None, :], sab, n, floor)
+        yield np.where(fine, w, 0.0)
+
+
+def strengths(values: DataFrame) -> DataFrame:
+    """(sample_id, gene, strength, degree): sums of absolute weights and numbers of weights over all other genes.
+
+    Every pair of genes is met in one pair of blocks, a task each, and only sums by gene leave it.
+    """
+    kind = values.schema
+
+    def kernel(a, b, same, names):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        for q, w in enumerate(_weights(a, b, names)):
+            if same:
+                np.fill_diagonal(w, 0.0)
+            w = np.abs(w)
+            out.append((names[q], a[0], w.sum(axis=1), (w > 0).sum(axis=1)))
+            if not same:
+                out.append((names[q], b[0], w.sum(axis=0), (w > 0).sum(axis=0)))
+        return pd.concat([pd.DataFrame({"sample_id": s, "gene": g, "part": p, "n": c}) for s, g, p, c in out])
+
+    schema = f"sample_id {kind['sample_id'].dataType.simpleString()}, gene string, part double, n long"
+    parts = _block_pairs(values, BLOCK_GENES, kernel, schema)
+    return parts.groupBy("sample_id", "gene").agg(F.sum("part").alias("strength"), F.sum("n").alias("degree"))
+
+
 def edges(values: DataFrame, pairs: DataFrame | None = None, keep_zero: bool = False) -> DataFrame:
     """(sample_id, a, b, weight) for the canonical ``pairs`` (a, b), or for all pairs of genes.
 
     With fewer than 3 samples there are no edges. Pairs with a gene that is constant, or constant but for the
-    sample left out, have no weight there and are dropped; so are weights of 0.
+    sample left out, have no weight there and are dropped; so are weights of 0, unless ``keep_zero`` (given pairs only).
 
-    All pairs of G genes are G^2 / 2 rows a sample: give pairs (those of a reference network, those that touch a
-    gene set) wherever the result is not an aggregate.
+    All pairs of G genes are G^2 / 2 rows a sample (listed block by block, without a shuffle of pairs): give pairs (those of a reference
+    network, those that touch a gene set) wherever the result is not an aggregate; for the aggregate see ``strengths``.
     """
+    if pairs is None:
+        samples = values.select("sample_id").distinct().count()
+
+        def kernel(a, b, same, names):
+            import numpy as np
+            import pandas as pd
+
+            out = []
+            for q, w in enumerate(_weights(a, b, names)):
+                i, j = np.nonzero(np.triu(w, 1) if same else w)
+                u, v = a[0][i], b[0][j]
+                swap = u > v
+                out.append(pd.DataFrame({"sample_id": names[q], "a": np.where(swap, v, u), "b": np.where(swap, u, v), "weight": w[i, j]}))
+            return pd.concat(out)
+
+        schema = f"sample_id {values.schema['sample_id'].dataType.simpleString()}, a string, b string, weight double"
+        return _block_pairs(values, max(8, int((BLOCK_CELLS / max(samples, 1)) ** 0.5)), kernel, schema)
     d = centred(values)
     a = d.select(F.col("gene").alias("a"), "sample_id", F.col("d").alias("da"), F.col("s").alias("sa"), "n")
     b = d.select(F.col("gene").alias("b"), "sample_id", F.col("d").alias("db"), F.col("s").alias("sb"))
-    if pairs is None:
-        x = a.join(b, (a["sample_id"] == b["sample_id"]) & (F.col("a") < F.col("b"))).drop(b["sample_id"])
-    else:
-        x = pairs.select("a", "b").distinct().join(a, "a").join(b, ["b", "sample_id"])
-    pair = W.partitionBy("a", "b")
-    da, db, sa, sb, n = (F.col(c) for c in ("da", "db", "sa", "sb", "n"))
-    x = x.withColumn("sab", F.sum(da * db).over(pair))
-    out = n / (n - 1)
-    tiny = 1e-12
-    ra, rb = sa - da * da * out, sb - db * db * out
-    fine = (n >= 3) & (sa > 0) & (sb > 0) & (ra > tiny * sa) & (rb > tiny * sb)
-    r = F.col("sab") / F.sqrt(sa * sb)
-    rq = (F.col("sab") - da * db * out) / F.sqrt(F.when(fine, ra * rb))
-    x = x.filter(fine).withColumn("weight", n * (r - rq) + rq)
+    x = pairs.select("a", "b").distinct().join(a, "a").join(b, ["b", "sample_id"])
+    x = x.withColumn("sab", F.sum(F.col("da") * F.col("db")).over(W.partitionBy("a", "b")))  # a row a sample
+    da, db, sa, sb, sab, n = (F.col(c) for c in ("da", "db", "sa", "sb", "sab", "n"))
+    fine, w = _closed_form(da, db, sa, sb, sab, n, lambda c: F.greatest(c, F.lit(1e-300)))
+    x = x.filter((n >= 3) & fine).withColumn("weight", w)
     if not keep_zero:
         x = x.filter("weight <> 0")
     return x.select("sample_id", "a", "b", "weight")

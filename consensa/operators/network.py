@@ -45,33 +45,80 @@ def top_proportion(edges: DataFrame, top_prop: float) -> DataFrame:
     return edges.join(kept, ["sample_id", "edge_id"], "left_semi")
 
 
-def enrich(ppi: DataFrame, unfiltered: DataFrame, weights: DataFrame, membrane: DataFrame, cfg: FilterConfig) -> tuple[DataFrame, DataFrame]:
+def strongest(rows: DataFrame, wanted: DataFrame, ties: list[str], bins: int = 1024) -> DataFrame:
+    """Of each sample the ``wanted`` (sample_id, requested) rows of greatest |weight|, ties by the columns ``ties``.
+
+    No sample is ranked in one task: rows are counted by bins of log2 |weight|, running counts give the bin where the cut
+    lies, whole bins above it are taken, and only that bin's rows are ranked.
+    """
+    size = F.abs("weight")
+    binned = rows.withColumn("_bin", F.when(size > 0, F.floor(F.log2(size) * bins)).otherwise(F.lit(-(1 << 40))).cast("long"))
+    count = binned.groupBy("sample_id", "_bin").agg(F.count("*").alias("_n")).join(wanted, "sample_id")
+    upto = F.sum("_n").over(W.partitionBy("sample_id").orderBy(F.col("_bin").desc()))
+    at = count.withColumn("_above", upto - F.col("_n")).filter("_above < requested").withColumn("_left", F.col("requested") - F.col("_above")).select("sample_id", "_bin", "_left", (F.col("_n") <= F.col("_left")).alias("_whole"))
+    x = binned.join(at, ["sample_id", "_bin"])
+    order = W.partitionBy("sample_id", "_bin").orderBy(size.desc(), *ties)
+    last = x.filter("not _whole").withColumn("_r", F.row_number().over(order)).filter("_r <= _left")
+    return x.filter("_whole").select(*rows.columns).unionByName(last.select(*rows.columns))
+
+
+def enrich(ppi: DataFrame, unfiltered: DataFrame, weights: DataFrame, membrane: DataFrame, cfg: FilterConfig, graph_vertices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges, one summary row a sample): the PPI edges and the strongest further pairs that touch a membrane gene.
 
-    A sample gets ceil(add_prop * its unfiltered edges) pairs, or as many as there are. With none to add, its PPI
+    A sample gets ceil(add_prop * its unfiltered, or filtered, edges) pairs, or as many as there are. With none to add, its PPI
     edges stay as they are; otherwise parallel edges become one (PPI before added, then the lower edge_id).
+    ``graph_vertices`` (sample_id, gene): the PPI graph's, its edges' ends if not given.
     """
-    if not cfg.enrich or cfg.add_prop == 0:
-        none = F.lit(0).cast("long")
-        return ppi, ppi.groupBy("sample_id").agg(F.count("*").alias("ppi_edges")).select("sample_id", "ppi_edges", none.alias("candidates"), none.alias("requested"), F.col("ppi_edges").alias("final_edges"))
+    on = cfg.enrich and cfg.add_prop > 0
     genes = membrane.select(F.col("gene").alias("_m")).distinct()
     touching = weights.filter("a < b and weight is not null and not isnan(weight)")
     touching = touching.join(genes, F.col("a") == F.col("_m"), "left_semi").unionByName(touching.join(genes, F.col("b") == F.col("_m"), "left_semi")).distinct()
+    if not on:
+        touching = touching.filter("false")
     pairs = canonical(ppi).select("sample_id", "a", "b").distinct()
     free = touching.join(pairs, ["sample_id", "a", "b"], "left_anti")
-    base = unfiltered.groupBy("sample_id").agg(F.count("*").alias("base"))
-    counts = base.join(free.groupBy("sample_id").agg(F.count("*").alias("candidates")), "sample_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
-    counts = counts.withColumn("requested", F.least(share_ceil(F.col("base"), cfg.add_prop), F.col("candidates")))
-    order = W.partitionBy("sample_id").orderBy(F.abs("weight").desc_nulls_last(), "a", "b")
-    added = free.withColumn("_r", F.row_number().over(order)).join(counts.select("sample_id", "requested"), "sample_id").filter("_r <= requested")
+    whole = unfiltered.groupBy("sample_id").agg(F.count("*").alias("unfiltered_edges"))
+    counts = whole.join(ppi.groupBy("sample_id").agg(F.count("*").alias("ppi_edges")), "sample_id", "left")
+    counts = counts.join(free.groupBy("sample_id").agg(F.count("*").alias("candidates")), "sample_id", "left").na.fill(0, ["ppi_edges", "candidates"])
+    base = F.col("unfiltered_edges" if cfg.denominator == "unfiltered_ppi_edges" else "ppi_edges")
+    counts = counts.withColumn("requested", F.least(share_ceil(base, cfg.add_prop if on else 0.0), F.col("candidates")))
+    added = strongest(free, counts.filter("requested > 0").select("sample_id", "requested"), ["a", "b"])
     added = added.select("sample_id", F.lit(None).cast("long").alias("edge_id"), F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
     both = ppi.select("sample_id", F.col("edge_id").cast("long").alias("edge_id"), "src", "dst", "weight").withColumn("_o", F.lit(0)).unionByName(added.withColumn("_o", F.lit(1)))
     both = canonical(both).join(counts.select("sample_id", "requested"), "sample_id", "left")
     first = W.partitionBy("sample_id", "a", "b").orderBy("_o", "edge_id")
     edges = both.withColumn("_r", F.row_number().over(first)).filter("_r = 1 or coalesce(requested, 0) = 0").select("sample_id", "edge_id", "src", "dst", "weight")
-    qc = counts.join(ppi.groupBy("sample_id").agg(F.count("*").alias("ppi_edges")), "sample_id", "left").join(edges.groupBy("sample_id").agg(F.count("*").alias("final_edges")), "sample_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return edges, qc.select("sample_id", zero("ppi_edges"), "candidates", "requested", zero("final_edges"))
+    own = (graph_vertices if graph_vertices is not None else ends(ppi)).select("sample_id", "gene").distinct()
+    final = vertices(own, added, membrane, counts)
+    n = lambda df, name: df.groupBy("sample_id").agg(F.count("*").alias(name))
+    qc = counts
+    for df, name in ((edges, "final_edges"), (own, "ppi_vertices"), (final, "final_vertices")):
+        qc = qc.join(n(df, name), "sample_id", "left")
+    qc = qc.na.fill(0, ["final_edges", "ppi_vertices", "final_vertices"])
+    return edges, qc.select(
+        "sample_id", F.lit(cfg.enrich).alias("enabled"), F.lit(float(cfg.add_prop)).alias("add_prop"), F.lit(cfg.denominator).alias("denominator"), F.lit(cfg.require_membrane_endpoint).alias("require_membrane_endpoint"),
+        F.lit(cfg.metric).alias("metric"), "unfiltered_edges", "ppi_edges", "candidates", "requested", F.col("requested").alias("added"), "final_edges", "ppi_vertices", "final_vertices",
+    )
+
+
+def vertices(own: DataFrame, edges: DataFrame, membrane: DataFrame, counts: DataFrame) -> DataFrame:
+    """(sample_id, gene): a graph's own vertices, its edges' ends and, in the samples with added pairs (``requested``), every membrane gene."""
+    part = F.pmod(F.xxhash64("gene"), F.lit(DEAL)).cast("int")
+    samples = counts.filter("requested > 0").select("sample_id", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).alias("_d"))
+    listed = samples.join(membrane.select("gene", part.alias("_d")).distinct(), "_d").select("sample_id", "gene")
+    return own.select("sample_id", "gene").unionByName(listed).unionByName(ends(edges).select("sample_id", "gene")).distinct()
+
+
+#: Parts over which a gene set meets samples or genes, so that no task holds a whole product.
+DEAL = 16
+
+
+def membrane_pairs(genes: DataFrame, membrane: DataFrame) -> DataFrame:
+    """Canonical pairs (a, b) of a membrane gene and any other gene: the candidates themselves, made in ``DEAL`` parts."""
+    part = F.pmod(F.xxhash64("gene"), F.lit(DEAL)).cast("int")
+    x = genes.select(F.col("gene").alias("x"), part.alias("_d"))
+    y = membrane.select(F.col("gene").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).alias("_d"))
+    return x.join(y, "_d").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def degree_strength(edges: DataFrame, vertices: DataFrame | None = None, signed: bool = False) -> DataFrame:
@@ -84,10 +131,16 @@ def degree_strength(edges: DataFrame, vertices: DataFrame | None = None, signed:
 
 
 def full_strength(pairs: DataFrame) -> DataFrame:
-    """Strength, degree and share of connectivity in the full matrix: both triangles, and a diagonal of ones."""
+    """``connectivity`` from a list of pairs (sample_id, a, b, weight)."""
     both = pairs.select("sample_id", F.col("a").alias("gene"), "weight").unionByName(pairs.select("sample_id", F.col("b").alias("gene"), "weight"))
-    s = both.groupBy("sample_id", "gene").agg((F.sum(F.abs("weight")) + 1).alias("strength"), (F.count_if(F.col("weight") != 0) + 1).alias("degree"))
-    return s.withColumn("wci", F.try_divide("strength", F.sum("strength").over(W.partitionBy("sample_id"))))
+    return connectivity(both.groupBy("sample_id", "gene").agg(F.sum(F.abs("weight")).alias("strength"), F.count_if(F.col("weight") != 0).alias("degree")))
+
+
+def connectivity(sums: DataFrame) -> DataFrame:
+    """Strength, degree and share of connectivity in the full matrix, whose diagonal is one, from sums over other genes."""
+    s = sums.select("sample_id", "gene", (F.col("strength") + 1).alias("strength"), (F.col("degree") + 1).alias("degree"))
+    total = s.groupBy("sample_id").agg(F.sum("strength").alias("_t"))
+    return s.join(total, "sample_id").select("sample_id", "gene", "strength", "degree", F.try_divide("strength", "_t").alias("wci"))
 
 
 def components(edges: DataFrame, vertices: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nulls import finite, trim_blanks
+
 
 def escape(x: Column | str) -> Column:
     """HTML-escaped text, quotes too; null is empty."""
@@ -17,18 +19,47 @@ def escape(x: Column | str) -> Column:
     return out
 
 
-def badge(x: Column | str, kind: str) -> Column:
-    """A badge, or nothing for null, blank and 'nan'."""
-    t = F.trim((F.col(x) if isinstance(x, str) else x).cast("string"))
-    return F.when(t.isNull() | (t == "") | (F.lower(t) == "nan"), "").otherwise(F.concat(F.lit(f'<span class="badge {kind}">'), escape(t), F.lit("</span>")))
+def _shown(x: Column | str) -> tuple[Column, Column]:
+    """(trimmed text, whether there is nothing to show: null, blank or 'nan')."""
+    t = trim_blanks((F.col(x) if isinstance(x, str) else x).cast("string"))
+    return t, t.isNull() | (t == "") | (F.lower(t) == "nan")
+
+
+def badge(x: Column | str, short: str) -> Column:
+    """A compact badge that says ``short`` and shows the whole text as its tooltip; nothing for null, blank and 'nan'."""
+    t, none = _shown(x)
+    return F.when(none, "").otherwise(F.concat(F.lit('<span class="pill" title="'), escape(t), F.lit(f'">{_html.escape(short)}</span>')))
+
+
+# What the two roles mean, and the badges of the annotation columns.
+ROLES = {
+    "Act": "Activating mutation (oncogene-like): mutation confers gain-of-function or increased activity.",
+    "LoF": "Loss of Function (tumor suppressor-like): mutation likely inactivates or reduces the gene's function.",
+}
+BADGES = {"go_mf": "MF", "go_bp": "BP", "go_cc": "CC", "cancer_hallmark": "CH", "hallmark": "CH", "intogen_cohort": "Coh", "intogen_cancertype": "CT"}
 
 
 def driver_tip(x: Column | str) -> Column:
-    """Explanation of driver roles: distinct tokens, those that begin with act and lof spelled out."""
-    t = F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
-    tokens = F.array_distinct(F.filter(F.split(t, r"[;,\s]+"), lambda k: k != ""))
-    said = lambda k: F.when(F.lower(k).startswith("act"), F.concat(k, F.lit(": activating"))).when(F.lower(k).startswith("lof"), F.concat(k, F.lit(": loss of function"))).otherwise(k)
-    return F.array_join(F.transform(tokens, said), "; ")
+    """The driver roles with a tooltip: a line for each different role, those that begin with act and lof explained."""
+    t, none = _shown(x)
+    named = lambda k: F.coalesce(*[F.when(F.lower(k).startswith(r.lower()), F.lit(r)) for r in ROLES], k)
+    roles = F.array_distinct(F.transform(F.filter(F.split(t, r"[;,\s]+"), lambda k: k != ""), named))
+    lines = F.transform(roles, lambda k: F.coalesce(*[F.when(k == r, F.lit(f"{r}: {said}")) for r, said in ROLES.items()], k))
+    return F.when(none, "").otherwise(F.concat(F.lit('<span class="driver" title="'), escape(F.array_join(lines, " \n")), F.lit('">'), escape(t), F.lit("</span>")))
+
+
+def shapes(columns: list[str]) -> dict:
+    """How a final table's columns are shown: driver roles with tooltips, terms as badges, sources by their display names."""
+    out = {}
+    for c in columns:
+        key = c.lower().replace(".", "_").replace("-", "_").replace(" ", "_")
+        if key == "intogen_driver_role":
+            out[c] = driver_tip
+        elif key in BADGES:
+            out[c] = lambda x, short=BADGES[key]: badge(x, short)
+        elif key == "mutation_source":
+            out[c] = lambda x: escape(display_source(x))
+    return out
 
 
 def display_source(x: Column | str) -> Column:
@@ -39,7 +70,7 @@ def display_source(x: Column | str) -> Column:
 def page(title: str, columns: list[str], rows: Iterable[Iterable[str]]) -> Iterable[str]:
     """A standalone page, piece by piece: a table with paging (25 rows; 10, 25, 50, 100, all), given order kept. Cells are HTML."""
     t = _html.escape(title)
-    yield f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{t}</title><style>table{{border-collapse:collapse}}td,th{{border:1px solid #ccc;padding:4px}}.badge{{border-radius:4px;padding:1px 4px;background:#eee}}</style></head><body><h1>{t}</h1>"
+    yield f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{t}</title><style>table{{border-collapse:collapse}}td,th{{border:1px solid #ccc;padding:4px}}.pill{{border-radius:4px;padding:1px 4px;background:#eee}}</style></head><body><h1>{t}</h1>"
     yield "<label>Rows <select id='n'>" + "".join(f"<option value='{v}'{' selected' * (v == 25)}>{s}</option>" for v, s in ((10, 10), (25, 25), (50, 50), (100, 100), (-1, "All"))) + "</select></label> <button id='p'>Back</button><button id='f'>Next</button>"
     yield "<table><thead><tr>" + "".join(f"<th>{_html.escape(c)}</th>" for c in columns) + "</tr></thead><tbody id='b'>"
     for r in rows:
@@ -53,13 +84,17 @@ def summary(values: DataFrame, column: str, keys: list[str]) -> DataFrame:
 
 
 def histogram(values: DataFrame, column: str, keys: list[str], bins: int | None = 200, least: int = 80, most: int = 300) -> DataFrame:
-    """(keys, bin from 0, low, n): equal-width bins; without ``bins``, as many as the Freedman-Diaconis width asks, within bounds, or the number of distinct values if the spread is 0."""
-    c = F.col(column).cast("double")
-    s = values.groupBy(*keys).agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("_n"), F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.75).alias("q3"), F.count_distinct(c).alias("u"))
+    """(keys, bin from 0, low, n): equal-width bins of the finite values.
+
+    Without ``bins``, as many as the Freedman-Diaconis width asks, within bounds; where there is no such width, the number of values that differ in
+    six places; ``least`` for a single value.
+    """
+    c = finite(F.col(column).cast("double"))
+    s = values.groupBy(*keys).agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("_n"), F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.75).alias("q3"), F.count_distinct(F.round(c, 6)).alias("u"))
     if bins is None:
         width = 2 * (F.col("q3") - F.col("q1")) / F.pow(F.col("_n").cast("double"), F.lit(1 / 3))
-        wanted = F.when(width > 0, F.ceil((F.col("hi") - F.col("lo")) / width)).otherwise(F.col("u"))
-        s = s.withColumn("k", F.greatest(F.lit(least), F.least(F.lit(most), wanted)).cast("int"))
+        wanted = F.when((width > 0) & (F.col("hi") > F.col("lo")), F.ceil(F.try_divide(F.col("hi") - F.col("lo"), width))).otherwise(F.col("u"))
+        s = s.withColumn("k", F.when(F.col("_n") < 2, least).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), wanted))).cast("int"))
     else:
         s = s.withColumn("k", F.lit(bins))
     x = values.filter(c.isNotNull()).join(s, keys)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+DEAL = 16
+
 
 def cosine(strengths: DataFrame) -> DataFrame:
     """(s1, s2, similarity, distance) for s1 <= s2 from (sample_id, gene, value); null where a norm is 0.
@@ -18,5 +20,45 @@ def cosine(strengths: DataFrame) -> DataFrame:
     samples = norm.select(F.col("sample_id").alias("s1"), F.col("norm").alias("n1"))
     others = norm.select(F.col("sample_id").alias("s2"), F.col("norm").alias("n2"))
     sim = F.try_divide(F.coalesce("dot", F.lit(0.0)), F.nullif(F.col("n1") * F.col("n2"), F.lit(0.0)))
-    grid = samples.join(others, F.col("s1") <= F.col("s2"))  # the result itself: one row a pair of samples
+    # the grid is the result itself, one row a pair of samples; it is dealt over parts of the second sample
+    part = F.pmod(F.xxhash64("s2"), F.lit(DEAL)).cast("int")
+    grid = samples.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1)))).join(others.withColumn("_d", part), "_d").filter("s1 <= s2").drop("_d")
     return grid.join(dot, ["s1", "s2"], "left").select("s1", "s2", sim.alias("similarity"), (1 - sim).alias("distance"))
+
+
+def leaf_order(distances: DataFrame) -> DataFrame:
+    """(sample, position): the order of a clustered heat map, from (s1, s2, distance) for s1 <= s2.
+
+    Rows of the distance matrix are clustered by Euclidean distance and complete linkage. Of two single rows the earlier name comes first,
+    a single row before a cluster, and of two clusters the one joined earlier. Null distances count as 1. The matrix of a cohort, samples squared, is one
+    task's.
+    """
+
+    def run(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        names = sorted(set(pdf["s1"]) | set(pdf["s2"]))
+        at = {s: i for i, s in enumerate(names)}
+        m = np.zeros((len(names), len(names)))
+        i, j = pdf["s1"].map(at), pdf["s2"].map(at)
+        m[i, j] = m[j, i] = pdf["distance"].fillna(1.0)
+        return pd.DataFrame({"sample": [names[i] for i in complete_linkage(m)], "position": range(1, len(names) + 1)})
+
+    return distances.groupBy(F.lit(0).alias("all")).applyInPandas(run, f"sample {distances.schema['s1'].dataType.simpleString()}, position int")
+
+
+def complete_linkage(rows) -> list[int]:
+    """Leaf order of ``rows``."""
+    import numpy as np
+
+    d = np.sqrt(np.maximum(((rows[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2), 0))
+    np.fill_diagonal(d, np.inf)
+    groups = {i: ([i], -1) for i in range(len(rows))}  # leaves, and when the cluster was joined
+    for step in range(len(rows) - 1):
+        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
+        (a, when_a), (b, when_b) = groups[i], groups.pop(j)
+        groups[i] = (a + b if (when_a, a[0]) <= (when_b, b[0]) else b + a, step)
+        d[i] = d[:, i] = np.maximum(d[i], d[j])
+        d[j] = d[:, j] = d[i, i] = np.inf
+    return next(iter(groups.values()))[0] if groups else []

@@ -66,6 +66,20 @@ def restrict(rows: DataFrame, intervals: DataFrame, width: int = 10_000) -> Data
     return x.join(iv, (F.col("chrom") == F.col("_c")) & (F.col("bin") == F.col("_b")) & inside, "left_semi").drop("bin")
 
 
+# The calling modes.
+MODES = ("all_intervals", "WGS", "WES")
+
+
+def in_mode(rows: DataFrame, mode: str, wgs: DataFrame | None = None, wes: DataFrame | None = None, width: int = 10_000) -> DataFrame:
+    """``rows`` of the intervals that a mode calls: all of them, the genome's list, or the exome's where one is given."""
+    if mode not in MODES:
+        raise ValueError(f"mode: {mode}")
+    if mode == "WGS" and wgs is None:
+        raise ValueError("mode WGS needs its intervals")
+    chosen = {"all_intervals": None, "WGS": wgs, "WES": wes}[mode]
+    return rows if chosen is None else restrict(rows, chosen, width)
+
+
 def single_sample(rows: DataFrame, sample: str) -> DataFrame:
     return rows.filter(F.col("sample_id") == sample)
 

@@ -18,6 +18,7 @@ from ..functions.tables import keep
 from ..operators import annotate, borda, expression, graph_kernels, lioness, network, ontology, report, similarity, union, variants
 from ..operators.config import BordaConfig, Feature, FilterConfig
 from ..sources import readers, sinks
+from . import workflow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -153,11 +154,11 @@ def gene_set_lines(spark, sf_dir):
 
 
 # annotation ---------------------------------------------------------------------------------------
-@query("annotate_left", """WITH d AS (SELECT upper(trim(n_name)) AS k, n_nationkey, r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE n_nationkey % 6 <> 5)
+@query("annotate_left", """WITH d AS (SELECT upper(trim(n_name)) AS k, n_nationkey, r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA')
 SELECT c_custkey, d.n_nationkey AS nation_id, d.r_name AS region FROM {customer} JOIN {nation} n ON c_nationkey = n.n_nationkey LEFT JOIN d ON upper(trim(n.n_name)) = d.k""")
 def annotate_left(spark, sf_dir):
     rows = rel(spark, sf_dir, "SELECT c_custkey, concat(' ', lower(n_name), '\\t') AS gene FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey")
-    dim = rel(spark, sf_dir, "SELECT n_name AS gene, n_nationkey, r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE n_nationkey % 6 <> 5 UNION ALL SELECT 'V1', -1, 'x' UNION ALL SELECT '  ', -1, 'x'")
+    dim = rel(spark, sf_dir, "SELECT n_name AS gene, n_nationkey, r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' UNION ALL SELECT 'V1', -1, 'x' UNION ALL SELECT '  ', -1, 'x'")
     return annotate.by_key(rows, annotate.essentiality_rows(dim), "gene", "gene", {"n_nationkey": "nation_id", "r_name": "region"}).drop("gene")
 
 
@@ -177,7 +178,7 @@ def wide_median(spark, sf_dir):
     return annotate.essentiality(wide, "l_suppkey").filter("median_score is not null")
 
 
-METRIC = "SELECT l_returnflag AS sample_id, concat('G', l_suppkey, '.', l_linenumber) AS gene, {v} AS {n} FROM {lineitem} WHERE l_suppkey % {m} <> 0 GROUP BY l_returnflag, l_suppkey, l_linenumber"
+METRIC = "SELECT l_returnflag AS sample_id, concat(CASE WHEN l_suppkey % {m} = 0 THEN '{n}' ELSE 'G' END, l_suppkey, '.', l_linenumber) AS gene, {v} AS {n} FROM {lineitem} GROUP BY ALL"
 _M = {"betweenness": ("sum(l_quantity)", 2), "degree": ("CAST(count(*) AS DOUBLE)", 3), "strength": ("max(l_extendedprice)", 5), "largest_component_impact": ("min(l_discount)", 7), "wci": ("max(l_tax)", 11)}
 METRICS = {n: METRIC.replace("{v}", v).replace("{n}", n).replace("{m}", str(m)) for n, (v, m) in _M.items()}
 _OUTER = "SELECT sample_id, gene, " + ", ".join(f"median({n}) AS {n}" for n in METRICS) + " FROM (" + " UNION ALL BY NAME ".join(f"SELECT sample_id, split_part(gene, '.', 1) AS gene, {n} FROM ({s})" for n, s in METRICS.items()) + ") GROUP BY sample_id, gene"
@@ -204,7 +205,7 @@ def metric_attach(spark, sf_dir):
 
 
 GAF = "SELECT p_brand AS gene, concat('GO:', p_size % 12) AS go_id, CASE p_partkey % 3 WHEN 0 THEN 'MF' WHEN 1 THEN 'BP' ELSE 'CC' END AS ontology, CASE p_partkey % 5 WHEN 0 THEN 'IEA' WHEN 1 THEN 'EXP' WHEN 2 THEN 'IDA' WHEN 3 THEN NULL ELSE 'TAS' END AS evidence, CASE p_partkey % 7 WHEN 0 THEN 'NOT' WHEN 1 THEN 'NOT|x' ELSE NULL END AS qualifier FROM {part}"
-GO = "SELECT concat('GO:', r) AS go_id, concat('term ', r) AS term FROM (SELECT DISTINCT p_size % 12 AS r FROM {part} WHERE p_size % 12 <> 4)"
+GO = "SELECT concat('GO:', r) AS go_id, CASE WHEN r <> 4 THEN concat('term ', r) END AS term FROM (SELECT DISTINCT p_size % 12 AS r FROM {part})"
 _GO_SQL = f"WITH a AS ({GAF}), n AS ({GO}) SELECT gene, " + ", ".join(f"nullif(coalesce(string_agg(DISTINCT term, ';' ORDER BY term) FILTER (ontology = '{o}'), ''), '') AS go_{o.lower()}" for o in ("MF", "BP", "CC")) + " FROM a LEFT JOIN n ON a.go_id = n.go_id WHERE {w} GROUP BY gene"
 query("go_collapse", _GO_SQL.replace("{w}", "true"))(lambda spark, sf_dir: annotate.go_terms(rel(spark, sf_dir, GAF), rel(spark, sf_dir, GO)))
 query("go_collapse_no_iea", _GO_SQL.replace("{w}", "(evidence IS NULL OR evidence <> 'IEA')"))(lambda spark, sf_dir: annotate.go_terms(rel(spark, sf_dir, GAF), rel(spark, sf_dir, GO), True))
@@ -240,9 +241,9 @@ def gene_lists_sets(spark, sf_dir):
 
 
 # allele frequencies and HLA -----------------------------------------------------------------------
-VAF_ROWS = "SELECT p_partkey AS row_id, concat('t', p_partkey % 50) AS gene, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE concat(' k', p_size % 5, ' ') END AS wt, CASE p_partkey % 3 WHEN 0 THEN 'MHC Class I' WHEN 1 THEN 'mhc_class_ii' ELSE '1' END AS hla_class FROM {part}"
-VAF_SRC = "SELECT event_id, concat('t', user_id % 50) AS gene, CASE WHEN event_id % 6 = 0 THEN '' ELSE concat('k', event_id % 5) END AS wt, CASE WHEN event_id % 2 = 0 THEN 'I' ELSE 'MHC-Class-II' END AS hla_class, CASE event_id % 8 WHEN 0 THEN 'nan' WHEN 1 THEN ' ' ELSE CAST(event_id % 4 AS {S}) END AS depth FROM {events}"
-_CLASS = "CASE WHEN lower(replace(replace(hla_class, '_', ' '), '-', ' ')) IN ('mhc class ii', 'ii', '2') THEN 'II' ELSE 'I' END"
+VAF_ROWS = "SELECT p_partkey AS row_id, concat('t', p_partkey % 50) AS gene, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE concat(' k', p_size % 5, ' ') END AS wt, CASE p_partkey % 4 WHEN 0 THEN 'MHC Class I' WHEN 1 THEN 'mhc_class_ii' WHEN 2 THEN ' Other-one' ELSE '1' END AS hla_class FROM {part}"
+VAF_SRC = "SELECT event_id, concat('t', user_id % 50) AS gene, CASE WHEN event_id % 6 = 0 THEN '' ELSE concat('k', event_id % 5) END AS wt, CASE event_id % 3 WHEN 0 THEN 'I' WHEN 1 THEN 'MHC-Class-II' ELSE 'Other-one' END AS hla_class, CASE event_id % 8 WHEN 0 THEN 'nan' WHEN 1 THEN ' ' ELSE CAST(event_id % 4 AS {S}) END AS depth FROM {events}"
+_CLASS = "CASE WHEN lower(replace(replace(hla_class, '_', ' '), '-', ' ')) IN ('mhc class ii', 'ii', '2') THEN 'II' WHEN lower(hla_class) IN ('mhc class i', 'i', '1') THEN 'I' ELSE trim(hla_class) END"
 
 
 @query("vaf_collapse_join", f"""WITH e AS ({VAF_ROWS}), s AS (SELECT *, {_CLASS} AS c FROM ({VAF_SRC.replace('{S}', 'VARCHAR')})),
@@ -255,16 +256,24 @@ def vaf_collapse_join(spark, sf_dir):
     return x.select("row_id", "gene", "tumor_dna_depth")
 
 
-HLA_MAP = {"A": [12.5, 3, 0.1], "DQA1": [7.0, 2, 0.2], "DQB1": [4.0, 1, 0.3], "C": [5, 0.5]}
+HLA_JSON = '{"A": [12.5, 3, 0.1], "DQA1": [7.0, 2, 0.2], "DQB1": [4.0, 1, 0.3], "C": [5, 0.5], "E": [1]}'
+# allele -> (least TPM, detail) by the rule: 'gene: TPM=..; count=..; rel=..' a chain, None for what the list lacks
+HLA_CASES = {
+    "HLA-A*02:01": (12.5, "A: TPM=12.5; count=3; rel=0.1"),
+    " DQA1*01:01-DQB1*02:01 ": (4.0, "DQA1: TPM=7.0; count=2; rel=0.2; DQB1: TPM=4.0; count=1; rel=0.3"),
+    "X": (None, ""),
+    "HLA-C*01:01": (None, "C: TPM=None; count=5; rel=0.5"),
+    "HLA-B*07:02": (None, ""),
+    "HLA-E*01:01": (None, "E: TPM=None; count=None; rel=None"),
+}
+_CASE = lambda said: "CASE event_id % 6 " + " ".join(f"WHEN {i} THEN {said(x)}" for i, x in enumerate(HLA_CASES.items())) + " END"
 
 
-@query("hla_tpm", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(12.5 AS DOUBLE) WHEN 1 THEN CAST(4 AS DOUBLE) ELSE NULL END AS hla_tpm, CASE event_id % 5 WHEN 0 THEN 'A=12.5' WHEN 1 THEN 'DQA1=7.0; DQB1=4.0' WHEN 3 THEN 'C=NA' ELSE '' END AS hla_tpm_detail FROM {events}")
+@query("hla_tpm", "SELECT event_id, " + _CASE(lambda x: f"CAST({'NULL' if x[1][0] is None else x[1][0]} AS DOUBLE)") + " AS hla_tpm, " + _CASE(lambda x: f"'{x[1][1]}'") + " AS hla_tpm_detail FROM {events}")
 def hla_tpm(spark, sf_dir):
-    x = rel(spark, sf_dir, "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'HLA-A*02:01' WHEN 1 THEN 'DQA1*01:01-DQB1*02:01' WHEN 2 THEN 'X' WHEN 3 THEN 'HLA-C*01:01' ELSE 'HLA-B*07:02' END AS hla_allele FROM {events}")
-    import json
-
-    m = F.from_json(F.lit(json.dumps(HLA_MAP)), "map<string,array<double>>")
-    return annotate.hla_tpm(x, "hla_allele", m).select("event_id", "hla_tpm", F.coalesce("hla_tpm_detail", F.lit("")).alias("hla_tpm_detail"))
+    x = rel(spark, sf_dir, "SELECT event_id, " + _CASE(lambda x: f"'{x[0]}'") + " AS hla_allele FROM {events}")
+    m = F.from_json(F.lit(HLA_JSON), "map<string,array<string>>")
+    return annotate.hla_tpm(x, "hla_allele", m).select("event_id", "hla_tpm", "hla_tpm_detail")
 
 
 @query("props_json", "SELECT event_id, CAST(props->>'k' AS DOUBLE) AS k FROM {events}")
@@ -326,11 +335,11 @@ query("lioness_edges", _NAIVE + " SELECT sample_id, a, b, round(weight, 6) AS we
 
 @query("wci_strength", _NAIVE + ", g AS (SELECT sample_id, a AS gene, weight FROM e UNION ALL SELECT sample_id, b, weight FROM e), s AS (SELECT sample_id, gene, sum(abs(weight)) + 1 AS strength, count(*) + 1 AS degree FROM g GROUP BY 1, 2) SELECT sample_id, gene, round(strength, 6) AS strength, CAST(degree AS BIGINT) AS degree, round(strength / sum(strength) OVER (PARTITION BY sample_id), 6) AS wci FROM s")
 def wci_strength(spark, sf_dir):
-    x = network.full_strength(sample_edges(spark, sf_dir))
+    x = network.connectivity(lioness.strengths(rel(spark, sf_dir, VALUES)))
     return x.select("sample_id", "gene", F.round("strength", 6).alias("strength"), "degree", F.round("wci", 6).alias("wci"))
 
 
-PPI = "SELECT l_returnflag AS sample_id, min(l_orderkey * 10 + l_linenumber) AS edge_id, concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst, sum(l_extendedprice) AS weight FROM {lineitem} WHERE l_partkey % 4 <> 0 GROUP BY l_returnflag, l_partkey, l_suppkey, l_linenumber % 2"
+PPI = "SELECT l_returnflag AS sample_id, min(l_orderkey * 10 + l_linenumber) AS edge_id, concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst, sum(l_extendedprice) AS weight FROM {lineitem} GROUP BY l_returnflag, l_partkey, l_suppkey, l_linenumber % 2"
 _TOP = f"""WITH e AS ({PPI}), n AS (SELECT sample_id, edge_id, src AS gene, weight FROM e UNION ALL SELECT sample_id, edge_id, dst, weight FROM e),
 k AS (SELECT *, row_number() OVER (PARTITION BY sample_id, gene ORDER BY abs(weight) DESC, edge_id) AS r, count(*) OVER (PARTITION BY sample_id, gene) AS c FROM n),
 t AS (SELECT * FROM e WHERE (sample_id, edge_id) IN (SELECT sample_id, edge_id FROM k WHERE r <= greatest(1, ceil(CAST(c AS DOUBLE) * CAST(0.2 AS DOUBLE)))))"""
@@ -341,13 +350,15 @@ def top_edges(spark, sf_dir):
 
 
 query("ppi_top_prop", _TOP + " SELECT sample_id, edge_id, src, dst, round(weight, 6) AS weight FROM t")(lambda s, d: top_edges(s, d).select("sample_id", "edge_id", "src", "dst", F.round("weight", 6).alias("weight")))
-PAIRS = "SELECT l_returnflag AS sample_id, least(concat('p', l_partkey), concat('s', l_suppkey)) AS a, greatest(concat('p', l_partkey), concat('s', l_suppkey)) AS b, max(l_extendedprice) AS weight FROM {lineitem} GROUP BY 1, 2, 3"
-MEMBRANE = "SELECT concat('s', s_suppkey) AS gene FROM {supplier} WHERE s_suppkey % 9 = 1"
+# pairs with customers are in no reference network: they are the candidates
+PAIRS = """SELECT sample_id, a, b, max(w) AS weight FROM (SELECT l_returnflag AS sample_id, concat('p', l_partkey) AS a, concat('s', l_suppkey) AS b, l_extendedprice AS w FROM {lineitem}
+UNION ALL SELECT l_returnflag, concat('c', o_custkey % 200), concat('s', l_suppkey), l_extendedprice FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) x GROUP BY sample_id, a, b"""
+MEMBRANE = "SELECT concat('s', s_suppkey) AS gene FROM {supplier} WHERE s_nationkey < 8"
 _ENRICH = _TOP + f""", w AS ({PAIRS}), m AS ({MEMBRANE}), u AS (SELECT sample_id, count(*) AS base FROM e GROUP BY 1),
 f AS (SELECT * FROM w WHERE (a IN (SELECT gene FROM m) OR b IN (SELECT gene FROM m)) AND (sample_id, a, b) NOT IN (SELECT sample_id, least(src, dst), greatest(src, dst) FROM t)),
-c AS (SELECT u.sample_id, least(ceil(CAST(base AS DOUBLE) * CAST(0.05 AS DOUBLE)), coalesce(n, 0)) AS requested, coalesce(n, 0) AS candidates FROM u LEFT JOIN (SELECT sample_id, count(*) AS n FROM f GROUP BY 1) USING (sample_id)),
+c AS (SELECT u.sample_id, base, least(ceil(CAST(base AS DOUBLE) * CAST(0.05 AS DOUBLE)), coalesce(n, 0)) AS requested, coalesce(n, 0) AS candidates FROM u LEFT JOIN (SELECT sample_id, count(*) AS n FROM f GROUP BY 1) USING (sample_id)),
 d AS (SELECT sample_id, a, b, weight FROM (SELECT f.*, requested, row_number() OVER (PARTITION BY f.sample_id ORDER BY abs(weight) DESC, a, b) AS r FROM f JOIN c USING (sample_id)) WHERE r <= requested),
-x AS (SELECT sample_id, edge_id, least(src, dst) AS a, greatest(src, dst) AS b, weight FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, least(src, dst), greatest(src, dst) ORDER BY edge_id) AS r FROM t) WHERE r = 1
+x AS (SELECT sample_id, edge_id, least(src, dst) AS a, greatest(src, dst) AS b, weight FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, least(src, dst), greatest(src, dst) ORDER BY edge_id) AS r FROM t) LEFT JOIN c USING (sample_id) WHERE r = 1 OR coalesce(requested, 0) = 0
   UNION ALL SELECT sample_id, NULL, a, b, weight FROM d)"""
 
 
@@ -361,7 +372,14 @@ def membrane_enrich(spark, sf_dir):
     return x.select("sample_id", "edge_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.round("weight", 6).alias("weight"))
 
 
-@query("membrane_qc", _ENRICH + " SELECT c.sample_id, CAST(t1.n AS BIGINT) AS ppi_edges, CAST(candidates AS BIGINT) AS candidates, CAST(requested AS BIGINT) AS requested, CAST(x1.n AS BIGINT) AS final_edges FROM c JOIN (SELECT sample_id, count(*) AS n FROM t GROUP BY 1) t1 USING (sample_id) JOIN (SELECT sample_id, count(*) AS n FROM x GROUP BY 1) x1 USING (sample_id)")
+_QC = ", ".join(f"CAST({n} AS BIGINT) AS {c}" for n, c in (("base", "unfiltered_edges"), ("t1.n", "ppi_edges"), ("candidates", "candidates"), ("requested", "requested"), ("requested", "added"), ("x1.n", "final_edges"), ("v1.n", "ppi_vertices"), ("v2.n", "final_vertices")))
+
+
+@query("membrane_qc", _ENRICH + f""", own AS (SELECT DISTINCT sample_id, src AS gene FROM t UNION SELECT DISTINCT sample_id, dst FROM t),
+every AS (SELECT * FROM own UNION SELECT sample_id, gene FROM c, m WHERE requested > 0 UNION SELECT sample_id, a FROM d UNION SELECT sample_id, b FROM d),
+t1 AS (SELECT sample_id, count(*) AS n FROM t GROUP BY 1), x1 AS (SELECT sample_id, count(*) AS n FROM x GROUP BY 1), v1 AS (SELECT sample_id, count(*) AS n FROM own GROUP BY 1), v2 AS (SELECT sample_id, count(*) AS n FROM every GROUP BY 1)
+SELECT c.sample_id, true AS enabled, CAST(0.05 AS DOUBLE) AS add_prop, 'unfiltered_ppi_edges' AS denominator, true AS require_membrane_endpoint, 'absolute_weight' AS metric, {_QC}
+FROM c JOIN t1 USING (sample_id) JOIN x1 USING (sample_id) JOIN v1 USING (sample_id) JOIN v2 USING (sample_id)""")
 def membrane_qc(spark, sf_dir):
     return _enriched(spark, sf_dir)[1]
 
@@ -375,7 +393,8 @@ def degree_strength(spark, sf_dir):
     return x.withColumn("strength", F.round("strength", 4))
 
 
-SPARSE = "SELECT l_linestatus AS sample_id, l_orderkey * 10 + l_linenumber AS edge_id, concat('p', l_partkey % 300) AS src, concat('s', l_suppkey * 7 % 300) AS dst, CAST(1 + l_orderkey % 5 AS DOUBLE) AS weight FROM {lineitem} WHERE l_orderkey % 61 = 0"
+# every line is an edge; keys are folded, so that there are some components of different size
+SPARSE = "SELECT l_linestatus AS sample_id, l_orderkey * 10 + l_linenumber AS edge_id, concat('p', l_partkey % 300) AS src, concat('s', l_partkey % 20, '_', l_suppkey % (3 + l_partkey % 20)) AS dst, CAST(1 + l_orderkey % 5 AS DOUBLE) AS weight FROM {lineitem}"
 SPARSE_V = f"SELECT DISTINCT sample_id, src AS gene FROM ({SPARSE}) UNION SELECT DISTINCT sample_id, dst FROM ({SPARSE}) UNION SELECT 'O', 'lonely'"
 _COMP = f"WITH RECURSIVE e AS ({SPARSE}), l AS (SELECT DISTINCT sample_id, src AS x, dst AS y FROM e UNION SELECT DISTINCT sample_id, dst, src FROM e), v AS ({SPARSE_V}), r(sample_id, gene, c) AS (SELECT sample_id, gene, gene FROM v UNION SELECT r.sample_id, l.y, r.c FROM r JOIN l ON r.sample_id = l.sample_id AND r.gene = l.x), m AS (SELECT sample_id, gene, min(c) AS component FROM r GROUP BY 1, 2)"
 
@@ -399,14 +418,23 @@ query("betweenness")(lambda s, d: graph_kernels.betweenness(rel(s, d, SPARSE), r
 query("component_impact")(lambda s, d: graph_kernels.impact(rel(s, d, SPARSE), rel(s, d, SPARSE_V)).withColumn("largest_component_impact", F.round("largest_component_impact", 9)))
 
 
-@query("id_translation", "WITH m AS (SELECT s_nationkey AS k, concat('E', s_suppkey % 30) AS e FROM {supplier}) SELECT c_custkey, x.e AS src, y.e AS dst FROM {customer} JOIN m x ON c_nationkey = x.k JOIN m y ON c_custkey % 25 = y.k WHERE c_custkey % 20 = 0")
+@query("id_translation", "WITH m AS (SELECT s_suppkey // 2 AS k, concat('E', s_suppkey) AS e FROM {supplier}) SELECT c_custkey, x.e AS src, y.e AS dst FROM {customer} JOIN m x ON c_custkey % 53 = x.k JOIN m y ON c_custkey % 37 = y.k")
 def id_translation(spark, sf_dir):
-    pairs = rel(spark, sf_dir, "SELECT c_custkey, c_nationkey AS id1, CAST(c_custkey % 25 AS INT) AS id2 FROM {customer} WHERE c_custkey % 20 = 0")
-    ids = rel(spark, sf_dir, "SELECT s_nationkey AS entrez, concat('E', s_suppkey % 30) AS ensembl FROM {supplier}")
+    pairs = rel(spark, sf_dir, "SELECT c_custkey, c_custkey % 53 AS id1, c_custkey % 37 AS id2 FROM {customer}")
+    ids = rel(spark, sf_dir, "SELECT s_suppkey div 2 AS entrez, concat('E', s_suppkey) AS ensembl FROM {supplier}")
     return network.entrez_to_ensembl(pairs, ids).select("c_custkey", "src", "dst")
 
 
-STRENGTH = "SELECT concat('n', o_custkey % 25) AS sample_id, p_brand AS gene, sum(l_quantity) AS value FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey WHERE l_linenumber > 2 GROUP BY 1, 2"
+REFERENCE = "SELECT l_orderkey * 10 + l_linenumber AS edge_id, CASE l_linenumber WHEN 7 THEN concat('s', l_suppkey) ELSE concat('p', l_partkey) END AS src, concat('s', l_suppkey) AS dst FROM {lineitem}"
+SAMPLED = "SELECT l_linestatus AS sample_id, concat('p', l_partkey) AS a, concat('s', l_suppkey) AS b, CASE WHEN max(l_quantity) > 49 THEN CAST('NaN' AS DOUBLE) WHEN max(l_quantity) < 4 THEN NULL ELSE max(l_extendedprice) END AS weight FROM {lineitem} GROUP BY l_linestatus, l_partkey, l_suppkey"
+
+
+@query("ppi_weighted", f"WITH r AS ({REFERENCE}), w AS ({SAMPLED}) SELECT sample_id, edge_id, src, dst, weight FROM r JOIN w ON least(src, dst) = a AND greatest(src, dst) = b WHERE src <> dst AND weight IS NOT NULL AND NOT isnan(weight)")
+def ppi_weighted(spark, sf_dir):
+    return network.weighted(rel(spark, sf_dir, REFERENCE), rel(spark, sf_dir, SAMPLED))
+
+
+STRENGTH = "SELECT concat('n', o_custkey % 25) AS sample_id, p_brand AS gene, sum(l_quantity) AS value FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey GROUP BY 1, 2"
 
 
 @query("cosine_samples", f"WITH s AS ({STRENGTH}), n AS (SELECT sample_id, sqrt(sum(value * value)) AS n FROM s GROUP BY 1), d AS (SELECT x.sample_id AS s1, y.sample_id AS s2, sum(x.value * y.value) AS d FROM s x JOIN s y ON x.gene = y.gene AND x.sample_id <= y.sample_id GROUP BY 1, 2) SELECT a.sample_id AS s1, b.sample_id AS s2, round(coalesce(d, 0) / (a.n * b.n), 6) AS similarity, round(1 - coalesce(d, 0) / (a.n * b.n), 6) + 0.0 AS distance FROM n a JOIN n b ON a.sample_id <= b.sample_id LEFT JOIN d ON d.s1 = a.sample_id AND d.s2 = b.sample_id")
@@ -415,6 +443,11 @@ def cosine_samples(spark, sf_dir):
     return x.select("s1", "s2", F.round("similarity", 6).alias("similarity"), (F.round("distance", 6) + 0.0).alias("distance"))
 
 
+@query("cosine_leaf_order")
+def cosine_leaf_order(spark, sf_dir):
+    return similarity.leaf_order(similarity.cosine(rel(spark, sf_dir, STRENGTH)))
+
+
 # variants -----------------------------------------------------------------------------------------
 VCF = "SELECT concat('chr', l_linenumber) AS chrom, l_orderkey AS pos, CASE WHEN l_suppkey % 3 = 0 THEN 'AT' ELSE 'A' END AS ref, CASE WHEN l_partkey % 4 = 0 THEN 'GC' ELSE 'G' END AS alt, l_quantity / 10 AS QD, l_extendedprice / 1000 AS FS, CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE l_quantity + 10 END AS MQ, l_discount * 100 AS SOR, l_quantity - 30 AS MQRankSum, l_quantity - 20 AS ReadPosRankSum, l_quantity AS DP, l_tax * 500 AS GQ FROM {lineitem}"
 
@@ -443,18 +476,18 @@ def interval_restrict(spark, sf_dir):
     return variants.restrict(rel(spark, sf_dir, VCF), rel(spark, sf_dir, BED), 1000).select("chrom", "pos", "ref", "alt")
 
 
-HALF = "SELECT concat('chr', l_linenumber) AS chrom, l_orderkey AS pos, 'A' AS ref, 'G' AS alt, max(l_quantity) AS dp FROM {lineitem} WHERE l_suppkey % {m} = 0 GROUP BY 1, 2"
+HALF = "SELECT concat('chr', l_linenumber) AS chrom, l_orderkey AS pos, 'A' AS ref, 'G' AS alt, max(l_quantity) AS dp FROM {lineitem} WHERE l_returnflag <> '{m}' GROUP BY 1, 2"
 
 
-@query("vcf_combine", f"WITH a AS ({HALF.replace('{m}', '2')}), b AS ({HALF.replace('{m}', '3')}) SELECT coalesce(a.chrom, b.chrom) AS chrom, coalesce(a.pos, b.pos) AS pos, 'A' AS ref, 'G' AS alt, coalesce(a.dp, b.dp) AS dp, a.chrom IS NOT NULL AS in_first, b.chrom IS NOT NULL AS in_second FROM a FULL JOIN b ON a.chrom = b.chrom AND a.pos = b.pos")
+@query("vcf_combine", f"WITH a AS ({HALF.replace('{m}', 'A')}), b AS ({HALF.replace('{m}', 'R')}) SELECT coalesce(a.chrom, b.chrom) AS chrom, coalesce(a.pos, b.pos) AS pos, 'A' AS ref, 'G' AS alt, coalesce(a.dp, b.dp) AS dp, a.chrom IS NOT NULL AS in_first, b.chrom IS NOT NULL AS in_second FROM a FULL JOIN b ON a.chrom = b.chrom AND a.pos = b.pos")
 def vcf_combine(spark, sf_dir):
-    return variants.combine(rel(spark, sf_dir, HALF.replace("{m}", "2")), rel(spark, sf_dir, HALF.replace("{m}", "3")), ["dp"])
+    return variants.combine(rel(spark, sf_dir, HALF.replace("{m}", "A")), rel(spark, sf_dir, HALF.replace("{m}", "R")), ["dp"])
 
 
-@query("vcf_expression", "SELECT l_orderkey, l_linenumber, t.tpm FROM {lineitem} LEFT JOIN (SELECT p_partkey, p_retailprice AS tpm FROM {part} WHERE p_partkey % 3 <> 0) t ON l_partkey = p_partkey")
+@query("vcf_expression", "SELECT l_orderkey, l_linenumber, t.tpm FROM {lineitem} LEFT JOIN (SELECT p_partkey, p_retailprice AS tpm FROM {part} WHERE p_size > 15) t ON l_partkey = p_partkey")
 def vcf_expression(spark, sf_dir):
     rows = rel(spark, sf_dir, "SELECT l_orderkey, l_linenumber, concat('T', l_partkey, '.2') AS transcript FROM {lineitem}")
-    return variants.attach_expression(rows, rel(spark, sf_dir, "SELECT concat('T', p_partkey, '.7') AS transcript, p_retailprice AS tpm FROM {part} WHERE p_partkey % 3 <> 0")).select("l_orderkey", "l_linenumber", "tpm")
+    return variants.attach_expression(rows, rel(spark, sf_dir, "SELECT concat('T', p_partkey, '.7') AS transcript, p_retailprice AS tpm FROM {part} WHERE p_size > 15")).select("l_orderkey", "l_linenumber", "tpm")
 
 
 @query("variant_sample_rename", "SELECT event_id, 'NORMAL' AS sample_id FROM {events} WHERE event_type = 'error'")
@@ -482,9 +515,16 @@ def qc_histogram(spark, sf_dir):
     return report.histogram(_degrees(spark, sf_dir), "degree", ["sample_id"]).withColumn("low", F.round("low", 6))
 
 
-@query("qc_histogram_fd")
+_FD = """, g AS (SELECT sample_id, src AS gene, weight FROM t UNION ALL SELECT sample_id, dst, weight FROM t), d AS (SELECT sample_id, gene, round(sum(abs(weight)), 2) AS v FROM g GROUP BY 1, 2),
+s AS (SELECT sample_id, min(v) AS lo, max(v) AS hi, count(*) AS n, 2 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / pow(CAST(count(*) AS DOUBLE), CAST(1 AS DOUBLE) / 3) AS width, count(DISTINCT round(v, 6)) AS u FROM d GROUP BY 1),
+bk AS (SELECT *, CASE WHEN n < 2 THEN 80 ELSE greatest(80, least(300, CASE WHEN width > 0 AND hi > lo THEN ceil((hi - lo) / width) ELSE u END)) END AS k FROM s),
+b AS (SELECT d.sample_id, lo, hi, k, CASE WHEN hi > lo THEN CAST(least(k - 1, floor((v - lo) / (hi - lo) * k)) AS INTEGER) ELSE 0 END AS bin FROM d JOIN bk USING (sample_id))
+SELECT sample_id, bin, round(lo + bin * (hi - lo) / k, 4) AS low, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY sample_id, bin, lo, hi, k"""
+
+
+@query("qc_histogram_fd", _TOP + _FD)
 def qc_histogram_fd(spark, sf_dir):
-    x = network.degree_strength(top_edges(spark, sf_dir))
+    x = network.degree_strength(top_edges(spark, sf_dir)).withColumn("strength", F.round("strength", 2))
     return report.histogram(x, "strength", ["sample_id"], None).withColumn("low", F.round("low", 4))
 
 
@@ -499,23 +539,37 @@ def _top_components(spark, sf_dir):
     return x.withColumn("rank", F.row_number().over(W.partitionBy("sample_id").orderBy(F.desc("size"), "component"))).filter("rank <= 10")
 
 
-_ESC = "replace(replace(replace(replace(replace(coalesce(s, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+def _esc(x: str) -> str:
+    for raw, said in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{raw}', '{said}')"
+    return x
+
+
+_BARE = "regexp_replace({x}, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')"
 
 
-@query("html_cells", f"SELECT page_id, {_ESC} AS cell, CASE WHEN trim(s) = '' THEN '' ELSE concat('<span class=\"badge go\">', {_ESC.replace("(s,", "(trim(s),")}, '</span>') END AS badge FROM (SELECT page_id, substr(html, 1, 500) AS s FROM {{pages}})")
+@query("html_cells", f"SELECT page_id, {_esc('html')} AS cell, CASE WHEN t = '' OR lower(t) = 'nan' THEN '' ELSE concat('<span class=\"pill\" title=\"', {_esc('t')}, '\">MF</span>') END AS badge FROM (SELECT page_id, coalesce(html, '') AS html, coalesce({_BARE.replace('{x}', 'html')}, '') AS t FROM {{pages}})")
 def html_cells(spark, sf_dir):
-    x = rel(spark, sf_dir, "SELECT page_id, substr(html, 1, 500) AS s FROM {pages}")
-    return x.select("page_id", report.escape("s").alias("cell"), report.badge("s", "go").alias("badge"))
+    x = rel(spark, sf_dir, "SELECT page_id, html FROM {pages}")
+    return x.select("page_id", report.escape("html").alias("cell"), report.badge("html", "MF").alias("badge"))
+
+
+# what the table shows for each text of roles, written out
+_ACT, _LOF = ("Act: Activating mutation (oncogene-like): mutation confers gain-of-function or increased activity.", "LoF: Loss of Function (tumor suppressor-like): mutation likely inactivates or reduces the gene&#x27;s function.")
+ROLE_TEXTS = "CASE p_size % 5 WHEN 0 THEN 'Act, LoF;ACTIVATING' WHEN 1 THEN ' lof ' WHEN 2 THEN 'x \"q\" act' WHEN 3 THEN p_type ELSE 'NaN' END"
+_SPAN = lambda title, shown: f"concat('<span class=\"driver\" title=\"', {title}, '\">', {shown}, '</span>')"
+_TIPS = f"""CASE p_size % 5 WHEN 0 THEN {_SPAN(f"concat('{_ACT} ', chr(10), '{_LOF}')", "'Act, LoF;ACTIVATING'")} WHEN 1 THEN {_SPAN(f"'{_LOF}'", "'lof'")}
+WHEN 2 THEN {_SPAN(f"concat('x ', chr(10), '&quot;q&quot; ', chr(10), '{_ACT}')", "'x &quot;q&quot; act'")} WHEN 3 THEN {_SPAN("replace(p_type, ' ', concat(' ', chr(10)))", "p_type")} ELSE '' END"""
 
 
-@query("driver_tips", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Act: activating; LoF: loss of function' WHEN 1 THEN 'lof: loss of function' ELSE 'x' END AS tip, CASE WHEN p_size % 2 = 0 THEN 'Genomic' ELSE 'Fusion' END AS source FROM {part}")
+@query("driver_tips", f"SELECT p_partkey, {_TIPS} AS tip, CASE WHEN p_size % 2 = 0 THEN 'Genomic' ELSE 'Fusion' END AS source FROM {{part}}")
 def driver_tips(spark, sf_dir):
-    x = rel(spark, sf_dir, "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Act, LoF;Act' WHEN 1 THEN 'lof' ELSE ' x' END AS r, CASE WHEN p_size % 2 = 0 THEN 'Somatic' ELSE 'Fusion' END AS m FROM {part}")
+    x = rel(spark, sf_dir, f"SELECT p_partkey, {ROLE_TEXTS} AS r, CASE WHEN p_size % 2 = 0 THEN 'Somatic' ELSE 'Fusion' END AS m FROM {{part}}")
     return x.select("p_partkey", report.driver_tip("r").alias("tip"), report.display_source("m").alias("source"))
 
 
 # the whole chain ----------------------------------------------------------------------------------
-ESS = "SELECT concat('g', i) AS gene, CAST(i AS DOUBLE) / 10 - 2 AS chronos FROM (SELECT DISTINCT CAST(user_id % 40 AS INT) AS i FROM {events}) WHERE i % 3 <> 0"
+ESS = "SELECT concat('g', i) AS gene, CAST(i AS DOUBLE) / 10 - 2 AS chronos FROM (SELECT DISTINCT CAST(user_id % 40 AS INT) AS i FROM {events}) WHERE i < 27"
 FLAG_WEIGHTS = (("median_mt_ic50", 0.6, "lower_better"), ("chronos", 0.4, "lower_better"))
 
 
@@ -524,8 +578,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = merged(spark, sf_dir)
     x = annotate.by_key(x, annotate.essentiality_rows(rel(spark, sf_dir, ESS)), "gene_name", "gene", {"chronos": "chronos"})
     x = annotate.by_key(x, annotate.drivers(rel(spark, sf_dir, DRIVER.replace("p_brand AS symbol", "concat('G', p_size % 40) AS symbol"))), "gene_name", "symbol", {"role": "driver_role", "cohort": "driver_cohort"})
-    x = x.withColumn("row_id", F.xxhash64(*[F.col(c) for c in x.columns]))
-    return borda.consensus(x, BordaConfig([Feature(*w) for w in FLAG_WEIGHTS])).drop("row_id")
+    return borda.consensus(x.withColumn("row_id", union.merged_order(x)), BordaConfig([Feature(*w) for w in FLAG_WEIGHTS])).drop("row_id")
 
 
 _V = [w[0] for w in FLAG_WEIGHTS]
@@ -538,3 +591,64 @@ dd AS (SELECT symbol, {_JOIN.replace("{c}", "role")}, {_JOIN.replace("{c}", "coh
 j AS (SELECT u.*, chronos, dd.role AS driver_role, dd.cohort AS driver_cohort FROM u LEFT JOIN ess ON upper(u.gene_name) = upper(ess.gene) LEFT JOIN dd ON upper(u.gene_name) = upper(dd.symbol)),
 p AS (SELECT *, {_PTS} FROM j), s AS (SELECT * EXCLUDE (p0, p1), {_SC} AS s FROM p)
 SELECT * EXCLUDE (s), CASE WHEN s = 0 THEN s ELSE round(s * {_TEN}) / {_TEN} END AS "Borda_Score", CAST(rank() OVER (PARTITION BY sample_id ORDER BY -s) AS DOUBLE) + (count(*) OVER (PARTITION BY sample_id, s) - 1) / CAST(2 AS DOUBLE) AS "Borda_Rank" FROM s""")(flagship)
+
+
+# the candidate workflow, every step ------------------------------------------------------------------
+WF_METRICS = {n: f"SELECT concat('s', l_suppkey % 5) AS sample_id, concat('E', l_partkey % {60 + i}, '.', l_linenumber) AS gene, {v} AS {n} FROM {{lineitem}} GROUP BY l_suppkey % 5, l_partkey % {60 + i}, l_linenumber" for i, (n, (v, _)) in enumerate(_M.items())}
+WF_MAP = "SELECT DISTINCT concat('E', l_partkey % 60, '.9') AS gene_id, CASE WHEN l_partkey % 60 = 7 THEN ' ' ELSE concat('G', l_partkey % 60 % 45) END AS symbol FROM {lineitem}"
+WF_DRIVER = DRIVER.replace("p_brand AS symbol", "concat('G', p_size % 40) AS symbol")
+WF_GAF = GAF.replace("p_brand AS gene", "concat('G', p_partkey % 40) AS gene")
+WF_SETS = "SELECT concat('g', n_nationkey) AS gene, r_name AS set_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey UNION ALL SELECT concat('G', n_nationkey), concat('Z', n_regionkey % 2) FROM {nation}"
+WF_ALLELES = "SELECT event_id AS _order, concat('s', user_id % 5) AS sample_id, concat('G', user_id % 40) AS g, CASE WHEN event_id % 3 = 0 THEN 'mhc_ii' ELSE 'Class I' END AS c, CASE event_id % 8 WHEN 0 THEN 'nan' ELSE CAST(event_id % 4 AS {S}) END AS `Tumor DNA Depth`, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 3 AS {S}) END AS `Tumor DNA VAF` FROM {events}"
+WF_HLA = "SELECT concat('s', user_id % 5) AS sample_id, map('A', array(CAST(10 + user_id % 5 AS STRING), '3', '0.1'), 'B', array('7', '0.2'), 'DRB1', array('4.25', '1', '0.3')) AS m FROM {events} WHERE user_id % 5 > 0 GROUP BY user_id % 5"
+WF_FEATURES = (("median_mt_ic50", 0.5, "lower_better"), ("Net_Strength", 0.3, "higher_better"), ("Depmap_survivability_score", 0.2, "lower_better"))
+
+
+def candidate_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources to the final table: essentiality, drivers, network metrics, consensus rank, terms, gene sets, HLA abundance, allele frequencies."""
+    of = lambda sql: rel(spark, sf_dir, sql)
+    dims = workflow.Dimensions(
+        essentiality=of(ESS).withColumnRenamed("chronos", "median_score"), drivers=annotate.drivers(of(WF_DRIVER)), gene_map=of(WF_MAP), metrics={n: of(q) for n, q in WF_METRICS.items()},
+        go=of(WF_GAF), go_names=of(GO), gene_sets=of(WF_SETS), hla_expression=of(WF_HLA), allele_tables=of(WF_ALLELES.replace("{S}", "STRING")),
+    )
+    return workflow.prioritise(merged(spark, sf_dir), dims, BordaConfig([Feature(*w) for w in WF_FEATURES]), [("gene_name", "g"), ("hla_class", "c")])
+
+
+def _workflow_sql() -> str:
+    signed = [f'-"{c}"' if d == "higher_better" else f'"{c}"' for c, _, d in WF_FEATURES]
+    n = "count({v}) OVER (PARTITION BY sample_id)"
+    rank = "CAST(rank() OVER (PARTITION BY sample_id, {v} IS NULL ORDER BY {v}) AS DOUBLE) + (count(*) OVER (PARTITION BY sample_id, {v} IS NULL, {v}) - 1) / CAST(2 AS DOUBLE)"
+    points = ", ".join(f"CASE WHEN {{v}} IS NOT NULL THEN CASE WHEN {n} <= 1 THEN CAST(1 AS DOUBLE) ELSE ({n} - ({rank})) / CAST({n} - 1 AS DOUBLE) END END AS p{i}".replace("{v}", f"v{i}") for i in range(3))
+    w = [f"CAST({x[1]} AS DOUBLE)" for x in WF_FEATURES]
+    mass = " + ".join(["CAST(0 AS DOUBLE)", *(f"{w[i]} * coalesce(p{i}, 0)" for i in range(3))])
+    there = " + ".join(["CAST(0 AS DOUBLE)", *(f"CASE WHEN p{i} IS NOT NULL THEN {w[i]} ELSE 0 END" for i in range(3))])
+    outer = " UNION ALL BY NAME ".join(f"SELECT sample_id, split_part(gene, '.', 1) AS gene, {m} FROM ({q})" for m, q in WF_METRICS.items())
+    med = ", ".join(f"median({m}) AS {m}" for m in WF_METRICS)
+    nets = ", ".join(f'sy.{m} AS "{c}"' for m, c in workflow.NAMES.items())
+    kept = lambda c, name: f"SELECT sample_id, g, k, string_agg(d, ';' ORDER BY o) AS {name} FROM (SELECT sample_id, g, k, \"{c}\" AS d, min(_order) AS o FROM al WHERE \"{c}\" <> 'nan' GROUP BY ALL) GROUP BY ALL"
+    return f"""WITH u AS ({MERGED_SQL}), es AS ({ESS}), dr AS ({WF_DRIVER}),
+dd AS (SELECT symbol, {", ".join(_JOIN.replace("{c}", c) for c in ("role", "cohort", "cancer_type"))} FROM dr WHERE lower(role) LIKE '%act%' OR lower(role) LIKE '%lof%' GROUP BY symbol),
+mm AS (SELECT sample_id, gene, {med} FROM ({outer}) GROUP BY 1, 2), gm AS ({WF_MAP}),
+sy AS (SELECT sample_id, symbol, {med} FROM mm JOIN gm ON gene = split_part(gene_id, '.', 1) WHERE trim(symbol) <> '' GROUP BY 1, 2),
+go AS ({_GO_SQL.replace("{w}", "true").replace(GAF, WF_GAF)}), hs AS ({WF_SETS}),
+hm AS (SELECT gene_name AS gene, string_agg(DISTINCT set_name, ';' ORDER BY set_name) AS hallmark FROM u JOIN hs ON upper(gene_name) = upper(hs.gene) GROUP BY 1),
+al AS (SELECT *, CASE c WHEN 'mhc_ii' THEN 'II' ELSE 'I' END AS k FROM ({_duck(WF_ALLELES.replace("{S}", "VARCHAR"))})),
+vd AS ({kept("Tumor DNA Depth", "tumor_dna_depth")}), vv AS ({kept("Tumor DNA VAF", "tumor_dna_vaf")}),
+j AS (SELECT u.*, chronos AS "Depmap_survivability_score", dd.role AS "Intogen_Driver_role", dd.cohort AS "Intogen_Cohort", dd.cancer_type AS "Intogen_CancerType", {nets}
+  FROM u LEFT JOIN es ON upper(u.gene_name) = upper(es.gene) LEFT JOIN dd ON upper(u.gene_name) = upper(dd.symbol) LEFT JOIN sy ON u.sample_id = sy.sample_id AND u.gene_name = sy.symbol),
+f AS (SELECT *, {", ".join(f"{x} AS v{i}" for i, x in enumerate(signed))} FROM j), p AS (SELECT *, {points} FROM f),
+s AS (SELECT * EXCLUDE (p0, p1, p2, v0, v1, v2), CASE WHEN {there} > 0 THEN ({mass}) / ({there}) ELSE 0 END AS s FROM p),
+h AS (SELECT *, CASE WHEN sample_id = 's0' THEN '' WHEN hla_allele LIKE 'HLA-A*%' THEN 'A' WHEN hla_allele LIKE 'HLA-B*%' THEN 'B' WHEN hla_allele LIKE 'DRB1*%' THEN 'DRB1' ELSE '' END AS chain, 10 + CAST(substr(sample_id, 2) AS INTEGER) AS a FROM s)
+SELECT h.* EXCLUDE (s, chain, a), CASE WHEN s = 0 THEN s ELSE round(s * {_TEN}) / {_TEN} END AS "Borda_Score",
+  CAST(rank() OVER (PARTITION BY h.sample_id ORDER BY -s) AS DOUBLE) + (count(*) OVER (PARTITION BY h.sample_id, s) - 1) / CAST(2 AS DOUBLE) AS "Borda_Rank",
+  go.go_mf, go.go_bp, go.go_cc, hm.hallmark, CASE chain WHEN 'A' THEN CAST(a AS DOUBLE) WHEN 'DRB1' THEN CAST(4.25 AS DOUBLE) END AS hla_tpm,
+  CASE chain WHEN 'A' THEN concat('A: TPM=', a, '; count=3; rel=0.1') WHEN 'B' THEN 'B: TPM=None; count=7; rel=0.2' WHEN 'DRB1' THEN 'DRB1: TPM=4.25; count=1; rel=0.3' ELSE '' END AS hla_tpm_detail,
+  vd.tumor_dna_depth, vv.tumor_dna_vaf
+FROM h LEFT JOIN go ON h.gene_name = go.gene LEFT JOIN hm ON h.gene_name = hm.gene
+LEFT JOIN vd ON h.sample_id = vd.sample_id AND h.gene_name = vd.g AND split_part(h.hla_class, ' ', 3) = vd.k LEFT JOIN vv ON h.sample_id = vv.sample_id AND h.gene_name = vv.g AND split_part(h.hla_class, ' ', 3) = vv.k"""
+
+
+WORKFLOW_SQL = _workflow_sql()
+query("candidate_workflow", WORKFLOW_SQL)(candidate_workflow)
+query("workflow_counts", f"SELECT sample_id, CAST(count(*) AS BIGINT) AS rows, CAST(count(tumor_dna_vaf) AS BIGINT) AS with_value, CAST(count(*) FILTER (mutation_source = 'Somatic') AS BIGINT) AS somatic FROM ({WORKFLOW_SQL}) GROUP BY 1")(
+    lambda s, d: annotate.value_counts(candidate_workflow(s, d)))

@@ -31,13 +31,14 @@ class Dimensions:
 
     essentiality: DataFrame | None = None  # gene, median_score
     drivers: DataFrame | None = None  # symbol, role, cohort, cancer_type
-    gene_map: DataFrame | None = None  # gene_id, symbol
+    gene_map: DataFrame | None = None  # gene_id, symbol, optional ordinal
+    other_gene_map: DataFrame | None = None  # taken where there is no gene_map
     metrics: dict[str, DataFrame | None] = field(default_factory=dict)  # sample_id, gene, metric
     go: DataFrame | None = None  # gene, go_id, ontology, evidence
     go_names: DataFrame | None = None  # go_id, term
     gene_sets: DataFrame | None = None  # set_name, gene
-    hla_expression: DataFrame | None = None  # sample_id, m: map<string, array<double>>
-    allele_tables: DataFrame | None = None  # sample_id, keys and Tumor DNA columns
+    hla_expression: DataFrame | None = None  # sample_id, m: map<string, array<string>>
+    allele_tables: DataFrame | None = None  # sample_id, keys and Tumor DNA columns; _order or _place for the order of values
 
 
 def read_candidates(spark: SparkSession, paths: dict[tuple[str, str, str], str | None], columns: dict[str, list[str]]) -> DataFrame:
@@ -45,7 +46,7 @@ def read_candidates(spark: SparkSession, paths: dict[tuple[str, str, str], str |
     frames = []
     for (sample, source, hla_class), path in sorted(paths.items()):
         kind = ", ".join(f"`{c}` string" for c in columns[source])
-        raw = readers.tolerant(spark, path, kind).withColumn("sample_id", F.lit(sample))
+        raw = readers.tolerant(spark, path, kind, place=True).withColumn("sample_id", F.lit(sample))
         frames.append(union.project(raw, columns[source], source, hla_class))
     return union.merge(frames)
 
@@ -58,16 +59,16 @@ def prioritise(candidates: DataFrame, dims: Dimensions, cfg: BordaConfig, vaf_ke
         x = annotate.by_key(x, annotate.essentiality_rows(dims.essentiality), "gene_name", "gene", {"median_score": "Depmap_survivability_score"})
     if dims.drivers is not None:
         x = annotate.by_key(x, dims.drivers, "gene_name", "symbol", {"role": "Intogen_Driver_role", "cohort": "Intogen_Cohort", "cancer_type": "Intogen_CancerType"})
-    if any(d is not None for d in dims.metrics.values()) and dims.gene_map is not None:
+    maps = [m for m in (dims.gene_map, dims.other_gene_map) if m is not None]
+    if any(d is not None for d in dims.metrics.values()) and maps:
         table = annotate.combine_metrics({m: dims.metrics.get(m) for m in METRICS})
-        x = annotate.attach_metrics(x, annotate.to_symbols(table, dims.gene_map, METRICS))
+        x = annotate.attach_metrics(x, annotate.to_symbols(table, maps, METRICS))
     else:
         for m in METRICS:
             x = x.withColumn(m, F.lit(None).cast("double"))
     for m, n in NAMES.items():
         x = x.withColumnRenamed(m, n)
-    x = x.withColumn("row_id", F.xxhash64(*[F.col(f"`{c}`") for c in x.columns]))
-    x = borda.consensus(x, cfg).drop("row_id")
+    x = borda.consensus(x.withColumn("row_id", union.merged_order(x)), cfg)
     if dims.go is not None and dims.go_names is not None:
         x = x.join(annotate.go_terms(dims.go, dims.go_names).withColumnRenamed("gene", "gene_name"), "gene_name", "left")
     if dims.gene_sets is not None:
@@ -77,11 +78,14 @@ def prioritise(candidates: DataFrame, dims: Dimensions, cfg: BordaConfig, vaf_ke
         x = annotate.hla_tpm(x.join(dims.hla_expression.withColumnRenamed("m", "_m"), "sample_id", "left"), "hla_allele", F.col("_m"))
         x = annotate.insert_after(x.select(*names, "hla_tpm", "hla_tpm_detail"), "hla_allele", ["hla_tpm"])
     if dims.allele_tables is not None and vaf_keys:
-        t = dims.allele_tables if "_order" in dims.allele_tables.columns else dims.allele_tables.withColumn("_order", F.monotonically_increasing_id())
-        x = annotate.attach_values(x, t, [("sample_id", "sample_id"), *vaf_keys], {"Tumor DNA Depth": "tumor_dna_depth", "Tumor DNA VAF": "tumor_dna_vaf"}, "_order", {"hla_class": annotate.class_of})
+        t = dims.allele_tables
+        order = next((c for c in ("_order", "_place") if c in t.columns), None)
+        if order is None:  # no order is known: that of the values
+            t, order = t.withColumn("_order", F.struct(*[F.col(f"`{c}`") for c in sorted(t.columns)])), "_order"
+        x = annotate.attach_values(x, t, [("sample_id", "sample_id"), *vaf_keys], {"Tumor DNA Depth": "tumor_dna_depth", "Tumor DNA VAF": "tumor_dna_vaf"}, order, {"hla_class": annotate.class_of})
     first = ["sample_id", *union.STANDARD]
-    x = x.select(*first, *[F.col(f"`{c}`") for c in x.columns if c not in first])
-    return x.orderBy("sample_id", F.col("Borda_Rank").asc_nulls_last(), F.col("Borda_Score").desc_nulls_last())
+    x = x.orderBy("sample_id", F.col("Borda_Rank").asc_nulls_last(), F.col("Borda_Score").desc_nulls_last(), "row_id")
+    return x.select(*first, *[F.col(f"`{c}`") for c in x.columns if c not in (*first, "row_id", union.PLACE)])
 
 
 @dataclass
@@ -107,20 +111,18 @@ def networks(counts: DataFrame, reference: DataFrame, membrane: DataFrame, cfg:
     mem = membrane.filter(null_if_blank("gene").isNotNull()).select("gene").distinct()
     inside = store(mem.join(known, "gene", "left_semi"), "membrane")
     ref = network.canonical(reference)
-    near = known.select(F.col("gene").alias("y")).join(inside.select(F.col("gene").alias("x")), F.col("x") != F.col("y"))  # membrane genes x genes: the candidates themselves
-    pairs = ref.select("a", "b").unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    pairs = ref.select("a", "b").unionByName(network.membrane_pairs(known, inside)).distinct()
     weights = store(lioness.edges(values, pairs), "weights")
     unfiltered = network.weighted(reference, weights)
     ppi = network.top_proportion(unfiltered, cfg.top_prop)
-    edges, qc = network.enrich(ppi, unfiltered, weights, mem, cfg)
+    # the reference network's genes are vertices of every sample, as are the membrane genes where pairs are added
+    named = reference.filter("src <> dst").select(F.explode(F.array("src", "dst")).alias("gene")).distinct()
+    own = values.select("sample_id", "gene").join(named, "gene", "left_semi").select("sample_id", "gene")
+    edges, qc = network.enrich(ppi, unfiltered, weights, mem, cfg, own)
     edges = store(edges, "edges")
-    samples = values.select("sample_id").distinct()
-    enriched = qc.filter("requested > 0").select("sample_id")
-    named = reference.select(F.explode(F.array("src", "dst")).alias("gene")).join(known, "gene", "left_semi").distinct()
-    vertices = samples.crossJoin(named).unionByName(enriched.crossJoin(mem)).unionByName(network.ends(edges).select("sample_id", "gene")).distinct()
-    vertices = store(vertices, "vertices")
+    vertices = store(network.vertices(own, edges, mem, qc), "vertices")
     ds = network.degree_strength(edges, vertices)
-    full = network.full_strength(lioness.edges(values))
+    full = network.connectivity(lioness.strengths(values))
     metrics = {
         "betweenness": graph_kernels.betweenness(edges, vertices),
         "degree": ds.select("sample_id", "gene", "degree"),

@@ -46,23 +46,35 @@ def first_lane(files: DataFrame) -> DataFrame:
     return files.groupBy("sample_id").agg(F.min("path").alias("path"))
 
 
-def tolerant(spark: SparkSession, path: str | None, schema: T.StructType | str, sep: str = "\t", comment: str | None = None) -> DataFrame:
-    """A delimited file with header; absent, blank and zero-byte paths give an empty frame. Columns are matched by name."""
+def tolerant(spark: SparkSession, path: str | None, schema: T.StructType | str, sep: str = "\t", comment: str | None = None, place: bool = False) -> DataFrame:
+    """A delimited file with header; absent, blank and zero-byte paths give an empty frame. Columns are matched by name; ``place`` adds ``_place``."""
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     if size_of(spark, path) == 0:
-        return spark.createDataFrame([], kind)
+        none = spark.createDataFrame([], kind)
+        return none.withColumn("_place", F.lit(None).cast(PLACE_TYPE)) if place else none
     r = spark.read.option("header", True).option("sep", sep).option("quote", '"')
     if comment:
         r = r.option("comment", comment)
     raw = r.csv(path)
-    return raw.select(*[(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind])
+    have = raw.columns
+    raw = placed(raw) if place else raw
+    return raw.select(*[(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind], *["_place"] * place)
 
 
 def sample_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """One row a (sample_name, datatype, lane): the last of duplicates."""
-    raw = spark.read.option("header", True).csv(path)
-    x = raw.select(*[(F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in SHEET.names], F.monotonically_increasing_id().alias("_o"))
-    return last_of(x, ["sample_name", "datatype", "lane"], "_o").drop("_o")
+    """One row a (sample_name, datatype, lane): the last of duplicates, by file and place in it."""
+    raw = placed(spark.read.option("header", True).csv(path))
+    x = raw.select(*[(F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in SHEET.names], "_place")
+    return last_of(x, ["sample_name", "datatype", "lane"], "_place").drop("_place")
+
+
+PLACE_TYPE = "struct<file:string,block:bigint,row:bigint>"
+
+
+def placed(raw: DataFrame) -> DataFrame:
+    """A file scan with ``_place``: file, start of the file's block, and place in it, so rows sort as they were read."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return raw.select("*", at.cast(PLACE_TYPE).alias("_place"))
 
 
 def last_of(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
@@ -106,7 +118,7 @@ def split_sets(lines: DataFrame) -> DataFrame:
     return x.filter(F.col("gene") != "")
 
 
-def json_map(spark: SparkSession, path: str, kind: str = "map<string,array<double>>") -> DataFrame:
+def json_map(spark: SparkSession, path: str, kind: str = "map<string,array<string>>") -> DataFrame:
     """One row a file: (path, m)."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", kind).alias("m"))
 
@@ -118,6 +130,17 @@ def config(spark: SparkSession, path: str) -> dict:
     return yaml.safe_load("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
 
 
+def intervals(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, start, stop), start excluded, from BED, from interval lists with header lines ('@'), or from 'chrom:start-stop' lines."""
+    lines = spark.read.text(path).filter(~F.col("value").rlike(r"^(@|#|track|browser|\s*$)"))
+    cells, colon = F.split("value", "\t"), F.regexp_extract("value", r"^(.+):(\d+)-(\d+)$", 1)
+    bed = path.lower().removesuffix(".gz").endswith(".bed")
+    by_tab = F.struct(cells[0].alias("chrom"), (F.get(cells, F.lit(1)).cast("long") - (0 if bed else 1)).alias("start"), F.get(cells, F.lit(2)).cast("long").alias("stop"))
+    number = lambda i: F.regexp_extract("value", r"^(.+):(\d+)-(\d+)$", i).try_cast("long")
+    by_colon = F.struct(colon.alias("chrom"), (number(2) - 1).alias("start"), number(3).alias("stop"))
+    return lines.select(F.when(colon != "", by_colon).otherwise(by_tab).alias("x")).select("x.*")
+
+
 def zip_member(spark: SparkSession, path: str, ending: str) -> bytes:
     """The first archive member whose name ends so."""
     raw = spark.read.format("binaryFile").load(path).select("content").first()[0]

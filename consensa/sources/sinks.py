@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import report
+from . import readers
 
 
 def csv(df: DataFrame, path: str, by: Sequence[str] = (), sep: str = ",", header: bool = True, rename: dict[str, str] | None = None) -> None:
@@ -52,8 +53,9 @@ def matrix_market(edges: DataFrame, vertices: DataFrame, folder: str) -> None:
 
 
 def cells(df: DataFrame, shape: dict[str, Callable] | None = None) -> DataFrame:
-    """Every column as HTML: escaped text, or what ``shape`` makes of it."""
-    return df.select(*[(shape or {}).get(c, report.escape)(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    """Every column as HTML: escaped text, or what ``report.shapes`` or ``shape`` makes of it."""
+    how = report.shapes(df.columns) | (shape or {})
+    return df.select(*[how.get(c, report.escape)(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def html(df: DataFrame, path: str, title: str, shape: dict[str, Callable] | None = None) -> int:
@@ -80,6 +82,22 @@ def html_batch(df: DataFrame, folder: str, by: str = "sample_id", shape: dict[st
     return out
 
 
+def html_files(spark: SparkSession, source: str, folder: str, title: str = "Epitope Prioritisation Table", pattern: str = "*_epitopes_final.csv") -> list[str]:
+    """One page for each CSV of ``source``: a file, a folder (its files that match ``pattern``), or a glob. Rows keep their order."""
+    p, fs = readers._path(spark, source)
+    if fs.exists(p) and fs.getFileStatus(p).isDirectory():
+        p, fs = readers._path(spark, f"{source.rstrip('/')}/{pattern}")
+    found = fs.globStatus(p)
+    out = []
+    for path in sorted(x.getPath().toString() for x in found or []):
+        name = path.rsplit("/", 1)[1]
+        name = name.removesuffix("_epitopes_final.csv") + "_epitopes.html" if name.endswith("_epitopes_final.csv") else name.rsplit(".", 1)[0] + ".html"
+        df = readers.placed(spark.read.option("header", True).option("escape", '"').csv(path))
+        out.append(f"{folder}/{name}")
+        html(df.orderBy("_place").drop("_place"), out[-1], title)
+    return out
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """``df`` if it has any row; an error otherwise."""
     if df.isEmpty():

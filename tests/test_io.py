@@ -36,7 +36,7 @@ def test_formats(spark, tmp_path):
     (tmp_path / "a.gaf").write_text("!c\n" + "\t".join(f"v{i}" for i in range(17)) + "\n")
     assert readers.annotations(spark, str(tmp_path / "a.gaf")).first().go_id == "v4"
     (tmp_path / "g.json").write_text('{"A": [1.5, 2, 3], "B": [1, 2]}')
-    assert readers.json_map(spark, str(tmp_path / "g.json")).first().m == {"A": [1.5, 2.0, 3.0], "B": [1.0, 2.0]}
+    assert readers.json_map(spark, str(tmp_path / "g.json")).first().m == {"A": ["1.5", "2", "3"], "B": ["1", "2"]}
     (tmp_path / "c.yaml").write_text("a:\n  b: 1\n")
     assert readers.config(spark, str(tmp_path / "c.yaml")) == {"a": {"b": 1}}
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
@@ -47,6 +47,10 @@ def test_formats(spark, tmp_path):
     assert len(got) == 1 and got[0].fastq_R1 == "3"
     assert readers.first_match(spark, str(tmp_path / "*.csv")).endswith("m.csv") and readers.first_match(spark, str(tmp_path / "*.none")) is None
     assert readers.existing(spark, [str(tmp_path / "m.csv"), str(tmp_path / "q")]) == [str(tmp_path / "m.csv")]
+    (tmp_path / "x.bed").write_text("track x\nc1\t4\t9\n")
+    (tmp_path / "x.interval_list").write_text("@HD\n@SQ\nc1\t5\t9\t+\tn\nc2:7-8\n")
+    assert [tuple(r) for r in readers.intervals(spark, str(tmp_path / "x.bed")).collect()] == [("c1", 4, 9)]
+    assert [tuple(r) for r in readers.intervals(spark, str(tmp_path / "x.interval_list")).collect()] == [("c1", 4, 9), ("c2", 6, 8)]
     h = spark.createDataFrame([("@M:1:FC9:3:1:2:3 1:N:0:ACGT",), ("@odd",)], "h string")
     g = readers.read_group(h["h"])
     assert [tuple(r) for r in h.select(g["flowcell"], g["lane"], g["barcode"]).collect()] == [("FC9", "3", "ACGT"), ("flowcell", "lane", "barcode")]
@@ -67,9 +71,17 @@ def test_sinks(spark, tmp_path):
     assert "".join(p.read_text() for p in (tmp_path / "mm/genes/sample_id=s").glob("*.txt")).split() == ["a", "b", "c"]
     with pytest.raises(ValueError):
         sinks.require_rows(df.filter("false"), "x")
-    html = sinks.html_batch(spark.createDataFrame([("s", "<b>", "Act")], "sample_id string, x string, role string"), str(tmp_path), shape={"role": lambda c: report.badge(c, "act")})
+    html = sinks.html_batch(spark.createDataFrame([("s", "<b>", "Act", "Somatic")], "sample_id string, x string, GO_MF string, `Mutation.Source` string"), str(tmp_path), shape={"x": lambda c: report.badge(c, "X")})
     page = open(html[0]).read()
-    assert "&lt;b&gt;" in page and '<span class="badge act">Act</span>' in page and "All" in page
+    assert 'title="&lt;b&gt;">X<' in page and '<span class="pill" title="Act">MF</span>' in page and "Genomic" in page and "All" in page
+    for name in ("s1_epitopes_final.csv", "s2_epitopes_final.csv", "other.csv"):
+        (tmp_path / "final").mkdir(exist_ok=True)
+        (tmp_path / "final" / name).write_text('Gene,Intogen_Driver_role\n"z ""q""",LoF\nb,\n')
+    out = sinks.html_files(spark, str(tmp_path / "final"), str(tmp_path))
+    assert [x.rsplit("/", 1)[1] for x in out] == ["s1_epitopes.html", "s2_epitopes.html"]
+    assert "z &quot;q&quot;" in open(out[0]).read() and open(out[0]).read().index("z &quot;") < open(out[0]).read().index("<td>b</td>")
+    assert len(sinks.html_files(spark, str(tmp_path / "final" / "*.csv"), str(tmp_path))) == 3
+    assert [x.rsplit("/", 1)[1] for x in sinks.html_files(spark, str(tmp_path / "final" / "other.csv"), str(tmp_path))] == ["other.html"]
 
 
 def test_stream(spark, tmp_path):

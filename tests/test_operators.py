@@ -103,16 +103,35 @@ def test_partial_lengths_stay_null(spark):
 
 
 def test_hla(spark):
-    df = spark.createDataFrame([("HLA-A*02:01",), ("DQA1*01:01-DQB1*02:01",), ("X",), (None,)], "a string")
-    assert [r[0] for r in df.select(annotate.allele_keys("a")).collect()] == [["A"], ["DQA1", "DQB1"], [], None]
-    m = F.create_map(F.lit("DQA1"), F.array(*map(F.lit, [7.0, 1.0, 1.0])), F.lit("DQB1"), F.array(*map(F.lit, [4.0, 1.0, 1.0])), F.lit("A"), F.array(*map(F.lit, [1.0, 2.0])))
+    df = spark.createDataFrame([("HLA-A*02:01",), (" DQA1*01:01-DQB1*02:01",), ("X",), (None,), ("HLA-B*07:02",), ("C*01",)], "a string")
+    assert [r[0] for r in df.select(annotate.allele_keys("a")).collect()] == [["A"], ["DQA1", "DQB1"], [], None, ["B"], ["C"]]
+    m = F.from_json(F.lit('{"DQA1": [7.5, 1, 0.5], "DQB1": [4.0, 2, null], "A": [1, 2.5], "C": []}'), "map<string,array<string>>")
     got = annotate.hla_tpm(df, "a", m).collect()
-    assert [r.hla_tpm for r in got] == [None, 4.0, None, None] and got[0].hla_tpm_detail == "A=NA"
+    assert [r.hla_tpm for r in got] == [None, 4.0, None, None, None, None]
+    assert [r.hla_tpm_detail for r in got] == ["A: TPM=None; count=1; rel=2.5", "DQA1: TPM=7.5; count=1; rel=0.5; DQB1: TPM=4.0; count=2; rel=None", "", "", "", "C: TPM=None; count=None; rel=None"]
 
 
 def test_class_names(spark):
-    df = spark.createDataFrame([(x,) for x in ("I", "1", "MHC_Class-II", "mhci", "II", "class ii x", "other", None)], "c string")
-    assert [r[0] for r in df.select(annotate.class_of("c")).collect()] == ["I", "I", "II", "I", "II", "II", "OTHER", ""]
+    said = {"I": "I", "1": "I", "MHC_Class-II": "II", "mhci": "I", "II": "II", "class ii x": "II", " Other-one ": "Other-one", None: "", "class i b": "I", "MHC-II": "II", "mhcii?": "II"}
+    df = spark.createDataFrame([(x,) for x in said], "c string")
+    assert [r[0] for r in df.select(annotate.class_of("c")).collect()] == list(said.values())
+
+
+def test_tips_and_badges(spark):
+    df = spark.createDataFrame([("Act, ACTIVATING;x",), (" lof ",), (None,), (" nan",), ('a"b',)], "s string")
+    got = [tuple(r) for r in df.select(report.driver_tip("s"), report.badge("s", "MF")).collect()]
+    act = "Act: " + report.ROLES["Act"]
+    assert got[0] == (f'<span class="driver" title="{act} \nx">Act, ACTIVATING;x</span>', '<span class="pill" title="Act, ACTIVATING;x">MF</span>')
+    assert got[1][0].startswith('<span class="driver" title="LoF: Loss') and got[1][0].endswith("gene&#x27;s function.\">lof</span>")
+    assert got[2] == got[3] == ("", "") and got[4][1] == '<span class="pill" title="a&quot;b">MF</span>'
+
+
+def test_symbols_by_order_of_the_dictionary(spark):
+    first = spark.createDataFrame([("g.1", "Z", 1), ("g.2", "A", 2), ("h", " ", 3), ("h", "B", 4)], "gene_id string, symbol string, ordinal int")
+    assert rows(annotate.symbols(first), "gene", "symbol") == [("g", "Z"), ("h", "B")]
+    assert rows(annotate.symbols(first.drop("ordinal")), "gene", "symbol") == [("g", "A"), ("h", "B")]
+    table = spark.createDataFrame([("s", "g", 1.0), ("s", "h", 2.0)], "sample_id string, gene string, m double")
+    assert rows(annotate.to_symbols(table, [None, first], ["m"]), "symbol", "m") == [("B", 2.0), ("Z", 1.0)]
 
 
 def test_blank_keys_meet(spark):
@@ -148,7 +167,11 @@ def test_enrichment_edge_cases(spark):
     assert none.count() == 2
     one, qc = network.enrich(ppi, ppi, pairs, mem, FilterConfig(add_prop=0.5))
     assert rows(one, "src", "dst", "weight") == [("a", "b", 1.0), ("a", "m", -9.0)]
-    assert tuple(qc.first()) == ("s", 2, 2, 1, 2)
+    r = qc.first()
+    assert (r.unfiltered_edges, r.ppi_edges, r.candidates, r.requested, r.added, r.final_edges, r.ppi_vertices, r.final_vertices) == (2, 2, 2, 1, 1, 2, 2, 3)
+    assert len(qc.columns) == 14
+    other = FilterConfig(add_prop=0.5, denominator="ppi_filtered_edges")
+    assert network.enrich(ppi.limit(1), ppi.unionByName(ppi).unionByName(ppi), pairs, mem, other)[1].first().requested == 1
     every, qc = network.enrich(ppi, ppi.unionByName(ppi).unionByName(ppi), pairs, mem, FilterConfig(add_prop=1.0))
     assert every.count() == 3 and qc.first().requested == 2
 
@@ -174,6 +197,43 @@ def test_lioness_equals_naive(spark):
     assert lioness.edges(few).count() == 0
 
 
+def test_blocks_of_genes_equal_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((23, 6))
+    x[3], x[4] = 1.0, [0, 0, 5, 0, 0, 0]
+    values = spark.createDataFrame([(f"g{i:02}", f"s{j}", float(x[i, j])) for i in range(23) for j in range(6)] + [("part", "s1", 1.0)], "gene string, sample_id string, value double")
+    pairs = spark.createDataFrame([(f"g{i:02}", f"g{j:02}") for i, j in itertools.combinations(range(23), 2)], "a string, b string")
+    want = {(r.sample_id, r.a, r.b): r.weight for r in lioness.edges(values, pairs).collect()}
+    monkeypatch.setattr(lioness, "BLOCK_CELLS", 600)
+    monkeypatch.setattr(lioness, "BLOCK_GENES", 7)
+    got = {(r.sample_id, r.a, r.b): r.weight for r in lioness.edges(values).collect()}
+    assert got == pytest.approx(want) and len(want) > 1000
+    full = {(r.sample_id, r.gene): (r.strength, r.degree, r.wci) for r in network.connectivity(lioness.strengths(values)).collect()}
+    for (s, g), (strength, degree, _) in full.items():
+        own = [abs(w) for (q, a, b), w in want.items() if q == s and g in (a, b)]
+        assert strength == pytest.approx(1 + sum(own)) and degree == 1 + len(own)
+
+
+def test_strongest_equals_a_full_ranking(spark):
+    rng = random.Random(5)
+    data = [(rng.choice("st"), f"a{i}", f"b{rng.randrange(50)}", rng.choice([1.0, -1.0, 0.0, rng.uniform(-3, 3)])) for i in range(400)]
+    df = spark.createDataFrame(data, "sample_id string, a string, b string, weight double")
+    for n in (0, 1, 37, 160, 1000):
+        wanted = spark.createDataFrame([("s", n), ("t", n // 2)], "sample_id string, requested long")
+        got = {tuple(r) for r in network.strongest(df, wanted, ["a", "b"], 2).collect()}
+        want = set()
+        for s, k in (("s", n), ("t", n // 2)):
+            want |= set(sorted((d for d in data if d[0] == s), key=lambda d: (-abs(d[3]), d[1], d[2]))[:k])
+        assert got == want
+
+
+def test_leaf_order(spark):
+    d = {("a", "c"): 0.1, ("a", "b"): 0.9, ("b", "c"): 0.9, ("a", "d"): 0.8, ("b", "d"): 0.2, ("c", "d"): 0.85}
+    df = spark.createDataFrame([(*k, v) for k, v in d.items()] + [(s, s, 0.0) for s in "abcd"], "s1 string, s2 string, distance double")
+    assert [r.sample for r in similarity.leaf_order(df).orderBy("position").collect()] in (["a", "c", "b", "d"], ["b", "d", "a", "c"])
+    assert similarity.leaf_order(df.filter("false")).count() == 0
+
+
 def test_wci_sums_to_one(spark):
     pairs = spark.createDataFrame([("s", "a", "b", -2.0), ("s", "a", "c", 1.0)], "sample_id string, a string, b string, weight double")
     got = {r.gene: (r.strength, r.degree, r.wci) for r in network.full_strength(pairs).collect()}
@@ -216,21 +276,52 @@ def test_component_impact_equals_brute_force():
         assert np.allclose(graph_kernels.component_impact(n, edges), brute_impact(n, edges), atol=1e-9), (n, edges)
 
 
+def brute_betweenness(n, edges):
+    """Shares of shortest paths through each vertex, by listing all of them."""
+    out = [0.0] * n
+    adj = [[] for _ in range(n)]
+    for a, b, w in edges:
+        adj[a].append((b, 1 / abs(w)))
+        adj[b].append((a, 1 / abs(w)))
+    for s, t in itertools.combinations(range(n), 2):
+        best, paths, stack = math.inf, [], [(s, 0.0, (s,))]
+        while stack:
+            u, d, path = stack.pop()
+            if u == t:
+                if d < best - 1e-9:
+                    best, paths = d, []
+                if d <= best + 1e-9:
+                    paths.append(path)
+                continue
+            stack += [(v, d + w, (*path, v)) for v, w in adj[u] if v not in path and d + w <= best + 1e-9]
+        for path in paths:
+            for v in path[1:-1]:
+                out[v] += 1 / len(paths)
+    return [x / ((n - 1) * (n - 2) / 2) for x in out]
+
+
 def test_betweenness(spark):
     kind = "sample_id string, src string, dst string, weight double"
-    path = spark.createDataFrame([("s", "a", "b", 1.0), ("s", "b", "c", -1.0), ("s", "c", "d", 1.0)], kind)
-    vertices = spark.createDataFrame([("s", g) for g in "abcde"], "sample_id string, gene string")
-    got = {r.gene: r.betweenness for r in graph_kernels.betweenness(path, vertices, 3).collect()}
-    assert got == pytest.approx({"a": 0, "b": 2 / 6, "c": 2 / 6, "d": 0, "e": 0})
-    square = spark.createDataFrame([("s", "a", "b", 1.0), ("s", "b", "c", 1.0), ("s", "c", "d", 1.0), ("s", "d", "a", 1.0)], kind)
-    got = {r.gene: r.betweenness for r in graph_kernels.betweenness(square, vertices.filter("gene <> 'e'"), 2).collect()}
-    assert got == pytest.approx(dict.fromkeys("abcd", 0.5 / 3))
+    rng = random.Random(11)
+    data, want = [], {}
+    for k in range(12):
+        n = rng.randint(4, 7)
+        edges = [(*rng.sample(range(n), 2), rng.choice([1.0, -1.0, 2.0, 0.5])) for _ in range(rng.randint(4, 12))]
+        data += [(f"s{k}", f"v{a}", f"v{b}", w) for a, b, w in edges]
+        want |= {(f"s{k}", f"v{i}"): x for i, x in enumerate(brute_betweenness(n, edges))}
+    vertices = spark.createDataFrame(list(want), "sample_id string, gene string")
+    for work in (3, 10**9):
+        got = {(r.sample_id, r.gene): r.betweenness for r in graph_kernels.betweenness(spark.createDataFrame(data, kind), vertices, work).collect()}
+        assert got == pytest.approx(want)
 
 
 def test_components_and_degree(spark):
     e = spark.createDataFrame([("s", 1, "a", "b", 1.0), ("s", 2, "b", "a", 2.0), ("s", 3, "d", "c", -4.0)], "sample_id string, edge_id long, src string, dst string, weight double")
     v = spark.createDataFrame([("s", g) for g in "abcdx"], "sample_id string, gene string")
     assert rows(network.components(e, v, keep), "gene", "component") == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("x", "x")]
+    chain = spark.createDataFrame([("s", i, f"n{i:03}", f"n{i + 1:03}", 1.0) for i in range(200)], "sample_id string, edge_id long, src string, dst string, weight double")
+    ends_ = network.ends(chain).select("sample_id", "gene").distinct()
+    assert [r[0] for r in network.components(chain, ends_, keep).select("component").distinct().collect()] == ["n000"]
     assert rows(network.degree_strength(e, v), "gene", "degree", "strength") == [("a", 2, 3.0), ("b", 2, 3.0), ("c", 1, 4.0), ("d", 1, 4.0), ("x", 0, 0.0)]
 
 
@@ -268,6 +359,51 @@ def test_counts(spark):
     assert expression.expressed(g).count() == 4  # fewer than five samples: everything stays
 
 
+def test_dispersions_of_known_counts(spark):
+    rng = np.random.default_rng(8)
+
+    def likelihood(alpha, y, mu):
+        r = 1 / alpha
+        fit = sum(math.lgamma(k + r) - math.lgamma(r) - k * math.log(m + r) - r * math.log(1 + m / r) for k, m in zip(y, mu))
+        return fit - 0.5 * math.log(sum(1 / (1 / m + alpha) for m in mu))
+
+    size = rng.uniform(0.5, 2, 40)
+    for true in (0.05, 0.4, 2.0):
+        y = rng.negative_binomial(1 / true, 1 / (1 + true * 80 * size))
+        got, mu = expression.dispersion(y, size), (y / size).mean() * size
+        best = max((likelihood(a, y, mu), a) for a in np.exp(np.linspace(math.log(got) - 1, math.log(got) + 1, 2001)))
+        assert abs(math.log(got / best[1])) < 2e-3 and abs(math.log(got / true)) < 0.7
+    data = []
+    for g in range(300):
+        mean = 2.0 ** rng.uniform(3, 11)
+        a = 0.05 + 3 / mean
+        data += [(f"g{g}", f"s{j}", int(k)) for j, k in enumerate(rng.negative_binomial(1 / a, 1 / (1 + a * mean), 12))]
+    c = spark.createDataFrame(data, "gene string, sample_id string, count long")
+    a0, a1 = expression.trend(expression.dispersions(c.withColumn("size_factor", F.lit(1.0))))
+    assert 0.03 < a0 < 0.08 and 1.5 < a1 < 5
+    sd = expression.vst(c).groupBy("gene").agg(F.avg("value").alias("m"), F.stddev("value").alias("sd")).toPandas()
+    low, high = sd[sd.m < sd.m.median()].sd.median(), sd[sd.m >= sd.m.median()].sd.median()
+    assert 0.7 < low / high < 1.4  # the variance no longer depends on the mean
+
+
+def test_modes(spark):
+    v = spark.createDataFrame([("c", 5, "x"), ("d", 5, "y")], "chrom string, pos long, id string")
+    iv = spark.createDataFrame([("c", 4, 5)], "chrom string, start long, stop long")
+    assert variants.in_mode(v, "all_intervals", iv, iv).count() == variants.in_mode(v, "WES").count() == 2
+    assert rows(variants.in_mode(v, "WGS", iv), "id") == [("x",)] and rows(variants.in_mode(v, "WES", None, iv), "id") == [("x",)]
+    for bad in (("WGS", None), ("panel", iv)):
+        with pytest.raises(ValueError):
+            variants.in_mode(v, *bad)
+
+
+def test_histogram_of_odd_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("s", 1.0), ("s", inf), ("s", None), ("s", float("nan")), ("t", 2.0), ("t", 2.0000001), ("u", inf)], "sample_id string, v double")
+    for bins in (200, None):
+        got = report.histogram(df, "v", ["sample_id"], bins).groupBy("sample_id").agg(F.sum("n")).collect()
+        assert {tuple(r) for r in got} == {("s", 1), ("t", 2)}
+
+
 def test_histogram_counts_everything(spark):
     df = spark.range(1000).select(F.lit("s").alias("sample_id"), (F.col("id") % 97).cast("double").alias("v"))
     for bins in (200, None):

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed
+from .common import durable, packed, release
 
 BITS = 14
 _ASCII = np.arange(256, dtype=np.uint32)
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, per_language: int = 600) -> Model | None:
     rates = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / counts[k])))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language-sample")), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(rates, F.col("lang"))
-    sample = rows.filter(draw < share).select("lang", F.lower("text").alias("text"))
+    sample = durable(rows.filter(draw < share).select("lang", F.lower("text").alias("text")), "language-sample")  # read twice
 
     def tally(batches):
         import pandas as pd
@@ -141,6 +141,7 @@ def fit(docs: DataFrame, per_language: int = 600) -> Model | None:
         hit = np.clip((np.sign(f) == want).mean(axis=0), 0.501, 0.999)
         model.trust = np.log(hit / (1 - hit))
         model.trust /= model.trust.sum()
+    release(sample)
     return model
 
 

@@ -266,6 +266,9 @@ def _join_spans(batches):
 def repeated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(k1, k2, spans array<struct<start, stop>>): byte ranges to remove, by text."""
     keyed = _keyed(docs)
+    texts = keyed.groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("c"), F.max(F.octet_length("text")).alias("n"))
+    texts = durable(texts, "suffix-texts")
+    again = not texts.filter("c > 1").isEmpty()
     place = [F.min("place").alias("low"), F.max("place").alias("high")]
     every = _segment_rows(keyed).groupBy("bucket", "name").agg(*place).select("bucket", "name", "low", (F.col("low") != F.col("high")).alias("full"))
     every = durable(every, "suffix-names")
@@ -287,7 +290,8 @@ def repeated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     def asking(column: str) -> DataFrame:
         """Texts with segments in ``column``, from one row of each text."""
         some = marked.filter(F.size(column) > 0).select("k1", "k2", "rep", column)
-        return keyed.join(_small(some, 64, column), ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+        rows = keyed.join(_small(some, 64, column), ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+        return rows.dropDuplicates(["k1", "k2"]) if again else rows  # rows that are repeated whole
 
     found = _open_rows(asking("open")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine, "k1 long, k2 long, start int, stop int")
     parts = found
@@ -295,7 +299,7 @@ def repeated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
         windows = durable(_windows(asking("wide")), "suffix-windows")
         twice = windows.withColumn("place", F.xxhash64("k1", "k2", "at")).groupBy("bucket", "w").agg(*place).filter("low <> high").select("bucket", "w")
         parts = parts.unionByName(windows.join(durable(twice, "suffix-twice"), ["bucket", "w"]).select("k1", "k2", F.col("at").alias("start"), F.expr("at + 1").alias("stop")).distinct())
-    copies = keyed.select("k1", "k2", F.octet_length("text").alias("n")).groupBy("k1", "k2").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(f"c > 1 and n >= {LENGTH}")
+    copies = texts.groupBy("k1", "k2").agg(F.sum("c").alias("c"), F.max("n").alias("n")).filter(f"c > 1 and n >= {LENGTH}")
     parts = parts.select("k1", "k2", "start", (F.col("stop") + LENGTH - 1).alias("stop"))
     parts = parts.unionByName(marked.select("k1", "k2", F.explode("full").alias("s")).select("k1", "k2", "s.start", "s.stop"))
     parts = parts.unionByName(copies.select("k1", "k2", F.lit(0).alias("start"), F.col("n").alias("stop")))

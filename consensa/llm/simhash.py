@@ -12,9 +12,12 @@ small-star rounds.
 
 Only distinct fingerprints are joined; copies never meet in pairs.
 
-``keep_one``, the corpus stage, does not use fingerprints: two texts are near copies at a Jaccard similarity of
-0.8 or more over five-word shingles, which 3-word fingerprints within 2 bits mostly miss. Candidates come from
-bands of least hashes, and every candidate pair is checked on its texts.
+``keep_one``, the corpus stage, asks for a similarity of 0.8: at least that share of the bits of ``WIDE``-bit fingerprints of
+five-word shingles agrees (51 of 256 bits may differ). So wide a budget leaves no band that two prints must share, so the roots of the
+forests are other: every forest takes some of the bits (``roots``), and the prints that agree in them are a unit. A pair
+within the budget is missed by all forests with a probability of 0.005 at most (at the budget; 1e-5 at 0.85). Units hold about a thousand prints
+at any size of the corpus; a larger one (near copies) is dealt into parts, and each pair of parts is walked by itself.
+The walk, spanning links and components are the same.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows
 each get a row; null doc_ids count as larger than all others; an empty table gives an empty result.
@@ -22,37 +25,48 @@ each get a row; null doc_ids count as larger than all others; an empty table giv
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import durable, packed, release
 
 SPLIT_BITS = 6
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64-bit SimHash of lower-cased (A-Z) word shingles, repeats included."""
-    import xxhash
-
+def _majority(text: str | None, words: int, digest, bits: int) -> np.ndarray:
+    """The bits (of the digest, highest first) set in over half of the word shingles, lower-cased (A-Z), repeats included."""
     w = text.encode("utf-8", "replace").lower().split() if text else []
     if not w:
-        return 0
-    hash_of = xxhash.xxh64_intdigest
+        return np.zeros(bits, bool)
     n = max(len(w) - words + 1, 1)
-    votes = np.zeros(64, np.int64)
+    votes = np.zeros(bits, np.int64)
     for at in range(0, n, 1 << 15):
         part = w[at : at + (1 << 15) + words - 1]
         grams = map(b" ".join, zip(*(part[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-        h = np.fromiter((hash_of(g, 42) for g in grams), np.uint64)
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int32)
-    set_bits = np.flatnonzero(2 * votes > n)
-    return sum(1 << int(i) for i in set_bits)
+        raw = np.frombuffer(b"".join(map(digest, grams)), np.uint8).reshape(-1, bits // 8)
+        votes += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int32)
+    return 2 * votes > n
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """64-bit SimHash, by XXH64 (seed 42)."""
+    import xxhash
+
+    return int.from_bytes(np.packbits(_majority(text, words, lambda g: xxhash.xxh64_digest(g, 42), 64)).tobytes(), "big")
+
+
+def wide_print(text: str | None, words: int = 5) -> bytes:
+    """``WIDE``-bit SimHash, by XXH3 of 128 bits under as many seeds as it takes."""
+    import xxhash
+
+    one = xxhash.xxh3_128_digest
+    return np.packbits(_majority(text, words, lambda g: b"".join([one(g, s) for s in range(WIDE // 128)]), WIDE)).tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text") -> F.Column:
@@ -67,28 +81,63 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text") -> F.Colum
     return udf(F.col(text))
 
 
+def wide_prints(words: int, text: str = "text") -> F.Column:
+    """Column expression: the wide fingerprint as bytes."""
+
+    @F.pandas_udf("binary")
+    def udf(texts):
+        import pandas as pd
+
+        return pd.Series([wide_print(t, words) for t in texts], dtype=object)
+
+    return udf(F.col(text))
+
+
+LEAF = 1024  # pairs of prints below a pair of nodes that are not walked further but compared
+AT_ONCE = 250_000  # pairs compared together
+
+
+def _within(keys: np.ndarray, i: np.ndarray, j: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) that differ in ``budget`` bits at most; words are compared one by one, and most pairs fall out on the way."""
+    far = np.zeros(len(i), np.int16)
+    for word in keys.T:
+        far += np.bitwise_count(word[i] ^ word[j])
+        ok = far <= budget
+        i, j, far = i[ok], j[ok], far[ok]
+    return i, j
+
+
 def trie_pairs(keys: np.ndarray, starts: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within ``budget`` bits. ``keys``: sorted within each root range.
+    """Index pairs within ``budget`` bits. ``keys``: rows of 64-bit words, highest first, sorted within each root range.
 
-    ``starts``: rows (lo_a, hi_a, lo_b, hi_b, diff); equal ranges are a self-join.
+    ``starts``: rows (lo_a, hi_a, lo_b, hi_b); equal ranges are a self-join.
     """
-    lo_a, hi_a, lo_b, hi_b, diff = (starts[:, i].copy() for i in range(5))
-    left, right = [], []
-    for bit in range(63, -1, -1):
-        # a pair of leaves has one path left: its remaining bits are counted at once
-        leaf = (hi_a - lo_a == 1) & (hi_b - lo_b == 1)
+    lo_a, hi_a, lo_b, hi_b = (starts[:, i].astype(np.int32) for i in range(4))
+    diff = np.zeros(len(starts), np.int16)
+    left, right = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    for level in range(64 * keys.shape[1] + 1):
+        # few prints below a pair of nodes: all their bits are counted at once
+        wide = hi_b - lo_b
+        size = (hi_a - lo_a) * wide.astype(np.int64)
+        leaf = (size <= LEAF) | (level == 64 * keys.shape[1])
         if leaf.any():
-            i, j = lo_a[leaf], lo_b[leaf]
-            low = np.uint64((1 << (bit + 1)) - 1)
-            ok = diff[leaf] + np.bitwise_count((keys[i] ^ keys[j]) & low) <= budget
-            left.append(i[ok])
-            right.append(j[ok])
+            ready = (lo_a[leaf], lo_b[leaf], wide[leaf], size[leaf])
+            for some in np.split(np.arange(len(ready[0])), np.flatnonzero(np.diff(np.cumsum(ready[3]) // AT_ONCE)) + 1):
+                a, b, w, n = (x[some] for x in ready)
+                at = np.arange(n.sum(), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
+                row, column = np.divmod(at, np.repeat(w, n))
+                i, j = np.repeat(a, n) + row, np.repeat(b, n) + column
+                once = (i < j) | np.repeat(a != b, n)  # a node meets itself: each pair once
+                i, j = _within(keys, i[once], j[once], budget)
+                left.append(i)
+                right.append(j)
             lo_a, hi_a, lo_b, hi_b, diff = (x[~leaf] for x in (lo_a, hi_a, lo_b, hi_b, diff))
         if not len(lo_a):
             break
-        ones = np.concatenate(([0], np.cumsum((keys >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)))
+        word, bit = keys[:, level // 64], np.uint64(63 - level % 64)
+        ones = np.concatenate(([0], np.cumsum((word >> bit) & np.uint64(1)))).astype(np.int32)
         mid_a, mid_b = hi_a - (ones[hi_a] - ones[lo_a]), hi_b - (ones[hi_b] - ones[lo_b])
-        same = (lo_a == lo_b) & (hi_a == hi_b)
+        same = lo_a == lo_b
         nxt = [
             (lo_a, mid_a, lo_b, mid_b, diff),
             (mid_a, hi_a, mid_b, hi_b, diff),
@@ -96,13 +145,9 @@ def trie_pairs(keys: np.ndarray, starts: np.ndarray, budget: int) -> tuple[np.nd
             tuple(x[~same] for x in (mid_a, hi_a, lo_b, mid_b, diff + 1)),
         ]
         lo_a, hi_a, lo_b, hi_b, diff = (np.concatenate([x[k] for x in nxt]) for k in range(5))
-        same = (lo_a == lo_b) & (hi_a == hi_b)
-        keep = (diff <= budget) & (hi_a > lo_a) & (hi_b > lo_b) & ~(same & (hi_a - lo_a == 1))
+        keep = (diff <= budget) & (hi_a > lo_a) & (hi_b > lo_b) & ~((lo_a == lo_b) & (hi_a - lo_a == 1))
         lo_a, hi_a, lo_b, hi_b, diff = (x[keep] for x in (lo_a, hi_a, lo_b, hi_b, diff))
-    if len(lo_a):  # every bit was walked: leaves hold one key each
-        left.append(lo_a)
-        right.append(lo_b)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
+    return np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -119,30 +164,38 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _walk(budget: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(t: pa.Table) -> pa.RecordBatch | None:
-            unit = t["unit"].to_numpy()
-            side = t["side"].to_numpy()
-            rot = t["rot"].to_numpy().astype(np.uint64)
-            fp = t["fp"].to_numpy()
-            new = np.concatenate(([True], unit[1:] != unit[:-1]))
-            lo = np.flatnonzero(new)
-            hi = np.append(lo[1:], len(unit))
-            cross = t["cross"].to_numpy(zero_copy_only=False)[lo]
-            ones = np.concatenate(([0], np.cumsum(side)))
-            mid = hi - (ones[hi] - ones[lo])
-            # the walk starts above the unit's bits and counts those in which its two sides differ
-            starts = np.stack([lo, np.where(cross, mid, hi), np.where(cross, mid, lo), hi, np.zeros_like(lo)], 1)
-            keep = np.where(cross, (mid > lo) & (hi > mid), hi - lo > 1)
-            starts = starts[keep].astype(np.int64)
-            i, j = trie_pairs(rot, starts, budget)
-            label = forest(len(fp), i, j)
-            at = np.flatnonzero(label != np.arange(len(fp)))
-            if not len(at):
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[label[at]])], names=["u", "v"])
+PAIRS = 1_000_000  # pairs of leaves that one walk can meet at most, but for a single unit
+
+
+def _walk(budget: int, key: str):
+    """Whole units (unit, side, ``key``, fp; sorted so) in, spanning links (u, v) of prints ``fp`` out."""
+
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        unit, side, fp = t["unit"].combine_chunks(), t["side"].to_numpy(), t["fp"].combine_chunks()
+        if pa.types.is_binary(t[key].type):
+            keys = np.frombuffer(b"".join(t[key].to_pylist()), ">u8").astype(np.uint64).reshape(len(fp), -1)
+        else:
+            keys = t[key].to_numpy().astype(np.uint64)[:, None]
+        lo = np.flatnonzero(np.concatenate(([True], _differs(unit))))
+        hi = np.append(lo[1:], len(fp))
+        cross = t["cross"].to_numpy()[lo]
+        ones = np.concatenate(([0], np.cumsum(side)))
+        mid = hi - (ones[hi] - ones[lo])
+        # the walk starts above the unit's bits and counts those in which its two sides differ
+        starts = np.stack([lo, np.where(cross, mid, hi), np.where(cross, mid, lo), hi], 1)
+        use = np.where(cross, (mid > lo) & (hi > mid), hi - lo > 1)
+        work = np.where(cross, (mid - lo) * (hi - mid), (hi - lo) ** 2 // 2)[use].cumsum()
+        starts = starts[use].astype(np.int64)
+        for some in np.split(starts, np.flatnonzero(np.diff(work // PAIRS)) + 1):
+            if len(some):
+                i, j = trie_pairs(keys, some, budget)
+                base = int(some[0, 0])
+                label = forest(int(some[-1, 3]) - base, i - base, j - base) + base
+                at = np.flatnonzero(label != np.arange(base, base + len(label))) + base
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([fp.take(pa.array(at)), fp.take(pa.array(label[at - base]))], names=["u", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
         for b in batches:
@@ -150,24 +203,24 @@ def _walk(budget: int):
                 continue
             held.append(b)
             rows += b.num_rows
-            if rows >= 50_000:
+            if rows >= 20_000:
                 t = pa.Table.from_batches(held)
-                unit = t["unit"].to_numpy()
-                cut = int(np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))[-1])
+                cut = int(np.flatnonzero(np.concatenate(([True], _differs(t["unit"].combine_chunks()))))[-1])
                 if cut:
-                    out = solve(t.slice(0, cut))
-                    if out is not None:
-                        yield out
+                    yield from solve(t.slice(0, cut))
                     held = t.slice(cut).to_batches()
                     rows = t.num_rows - cut
         if held:
-            out = solve(pa.Table.from_batches(held))
-            if out is not None:
-                yield out
+            yield from solve(pa.Table.from_batches(held))
 
     return run
 
 
+def _differs(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before."""
+    return pa.compute.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+
+
 def _units(prints: DataFrame, budget: int) -> DataFrame:
     """Rows (unit, band, side, cross, diff, rot, fp): each fingerprint once in every band's forest."""
     bands = budget + 1
@@ -226,10 +279,13 @@ def links(prints: DataFrame, budget: int = 2, unit_rows: int = 2048) -> DataFram
     work = work.select("unit", "side", "cross", "diff", "rot", "fp", F.expr("rot ^ (-9223372036854775807L - 1L)").alias("o"))
     return (
         work.repartition("unit").sortWithinPartitions("unit", "side", "o").drop("o")
-        .mapInArrow(_walk(budget), "u long, v long")
+        .mapInArrow(_walk(budget, "rot"), "u long, v long")
     )
 
 
+ROUND_ROWS = 200_000  # links of a file that a component round writes
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node of ``edges`` (u, v) but the roots; root: the smallest node reachable.
 
@@ -237,145 +293,114 @@ def components(edges: DataFrame) -> DataFrame:
     """
     low, high = F.least("u", "v"), F.greatest("u", "v")
     cur = durable(edges.filter("u <> v").select(high.alias("u"), low.alias("v")).distinct(), "cc")
+    files = max(12, cur.count() // ROUND_ROWS)
+    put = lambda df, name: durable(df.coalesce(files), name)
     mark = None
     while True:
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that a join's side is a plain table and the rows of a hub can be split
-        mins = durable(both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m")), "cc-least")
+        mins = put(both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m")), "cc-least")
         large = both.join(mins, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = durable(large.select(high.alias("u"), low.alias("v")), "cc-large")
-        lows = durable(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        large = put(large.select(high.alias("u"), low.alias("v")), "cc-large")
+        lows = put(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(lows, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        nxt = durable(small.filter("u <> v").distinct(), "cc")
+        nxt = put(small.filter("u <> v").distinct(), "cc")
         got = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for done in (cur, mins, large, lows):
-            release(done)
+        release(cur, mins, large, lows)
         cur = nxt
         if tuple(got) == mark:
             return cur.select("u", F.col("v").alias("root"))
         mark = tuple(got)
 
 
-def near_duplicates(docs: DataFrame, budget: int = 2, words: int = 3, unit_rows: int = 2048) -> DataFrame:
-    """Per document: doc_id, fp (long), component_id (smallest doc_id reachable over links)."""
-    marked = durable(docs.select("doc_id", fingerprints(docs, words).alias("fp")), "simhash-prints")
-    prints = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    stars = components(links(prints.select("fp"), budget, unit_rows))
+def _grouped(marked: DataFrame, prints: DataFrame, stars: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) from (doc_id, fp), one row a print (fp, rep, n), and links to roots."""
     member = stars.unionByName(stars.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "fp")
-    least = member.join(prints, "fp").groupBy("root").agg(F.min("rep").alias("least"))
-    found = member.join(least, "root").select("fp", "least")
-    label = prints.join(found, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return marked.join(durable(label, "simhash-labels"), "fp").select("doc_id", "fp", "component_id")
+    least = durable(member.join(prints, "fp").groupBy("root").agg(F.min("rep").alias("least")), "simhash-least")
+    found = member.join(_few(least), "root").select("fp", "least")
+    # a document alone in its group needs no label; of the rest, a small table is sent whole, so copies stay where they are
+    label = durable(prints.filter("n > 1").join(found, "fp", "outer").select("fp", F.coalesce("least", "rep").alias("label")), "simhash-labels")
+    return marked.join(_few(label), "fp", "left").select("doc_id", "fp", F.coalesce("label", "doc_id").alias("component_id"))
 
 
-def op8(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+FEW_ROWS = 500_000  # of about 100 bytes each, hashed
 
 
-#: Near copies of a corpus: shingles of five words, Jaccard similarity of 4/5 or more. A pair at 4/5 shares none of
-#: ``BANDS`` bands of ``ROWS`` least hashes with probability (1 - 0.8^5)^28 = 1.5e-5.
-NEAR_WORDS, NEAR, BANDS, ROWS = 5, (4, 5), 28, 5
+def _few(table: DataFrame) -> DataFrame:
+    """``table``, marked for broadcast if it has few rows: what it is joined to stays where it is, copies and hubs too."""
+    return F.broadcast(table) if table.count() <= FEW_ROWS else table
 
 
-def shingles(text: str | None, words: int = NEAR_WORDS) -> set[bytes]:
-    """Different word shingles, lower-cased (A-Z); a shorter text is one shingle, an empty one has none."""
-    w = text.encode("utf-8", "replace").lower().split() if text else []
-    if len(w) < words:
-        return {b" ".join(w)} if w else set()
-    return set(map(b" ".join, zip(*(w[i:] for i in range(words)))))
+def _prints(marked: DataFrame) -> DataFrame:
+    return marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
 
 
-def sketch(text: str | None, words: int = NEAR_WORDS) -> tuple[int, int, np.ndarray]:
-    """(name of the shingle set, its size, a hash of each band's least hashes)."""
-    import xxhash
+def near_duplicates(docs: DataFrame, budget: int = 2, words: int = 3, unit_rows: int = 2048) -> DataFrame:
+    """Per document: doc_id, fp (long), component_id (smallest doc_id reachable over links)."""
+    marked = durable(docs.select("doc_id", fingerprints(docs, words).alias("fp")), "simhash-prints")
+    prints = _prints(marked)
+    return _grouped(marked, prints, components(links(prints.select("fp"), budget, unit_rows)))
 
-    grams = shingles(text, words)
-    h = np.sort(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams)))
-    rng = np.random.default_rng(42)
-    times, plus = rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
-    low = (h >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(low), 512):
-        least = np.minimum(least, (low[at : at + 512, None] * times + plus).min(axis=0))
-    raw = least.astype("<u4").tobytes()
-    bands = [xxhash.xxh64_intdigest(raw[4 * ROWS * b : 4 * ROWS * (b + 1)], b) for b in range(BANDS)]
-    return xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), 42), len(grams), np.array(bands, np.uint64).astype(np.int64)
 
+def op8(docs: DataFrame) -> DataFrame:
+    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-def sketches(words: int = NEAR_WORDS, text: str = "text") -> F.Column:
-    """Struct column: key, size, bands."""
 
-    @F.pandas_udf("key long, size long, bands array<long>")
-    def udf(texts):
-        import pandas as pd
+# near copies of a corpus ------------------------------------------------------------------------------
+WIDE, NEAR_WORDS, NEAR, MISSED = 256, 5, 0.8, 0.005
+MOST_BITS = 24  # bits of a root
 
-        rows = [sketch(t, words) for t in texts]
-        keys = np.array([r[0] for r in rows], np.uint64).astype(np.int64)
-        return pd.DataFrame({"key": keys, "size": [r[1] for r in rows], "bands": [r[2] for r in rows]})
 
-    return udf(F.col(text))
+def roots(n: int, near: float = NEAR, missed: float = MISSED, seed: int = 42) -> list[np.ndarray]:
+    """For each forest its bits: enough for about a thousand of ``n`` prints a unit, in enough forests."""
+    bits = min(MOST_BITS, max(4, round(math.log2(max(n, 1))) - 10))
+    forests = math.ceil(math.log(missed) / math.log(1 - near**bits))
+    rng = np.random.default_rng(seed)
+    return [np.sort(rng.choice(WIDE, bits, replace=False)) for _ in range(forests)]
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, words: int, near: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose shingle sets are similar enough, by exact counts."""
+def _rooted(chosen: list[np.ndarray]):
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                bit = np.unpackbits(np.frombuffer(b"".join(b["fp"].to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
+                for f, at in enumerate(chosen):
+                    unit = bit[:, at].astype(np.int64) @ (1 << np.arange(len(at), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(unit + (f << MOST_BITS)), b["fp"]], names=["unit", "fp"])
 
-    @F.pandas_udf("boolean")
-    def alike(left, right):
-        import pandas as pd
+    return run
 
-        out, last, a = [], None, set()
-        for x, y in zip(left, right):
-            if x is not last and x != last:
-                last, a = x, shingles(x, words)
-            b = shingles(y, words)
-            both = len(a & b)
-            out.append(near[1] * both >= near[0] * (len(a) + len(b) - both))
-        return pd.Series(out, dtype=bool)
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    held = durable(texts.join(asked, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "near-texts")
-    x = pairs.join(held.select(F.col("key").alias("v"), F.col("text").alias("right")), "v").join(held.select(F.col("key").alias("u"), F.col("text").alias("left")), "u")
-    found = durable(x.filter(alike("left", "right")).select("u", "v"), "near-links")
-    release(held)
-    return found
+PARTS = 4095  # parts of a unit at most; beyond that parts grow
 
 
-def near_copies(docs: DataFrame, words: int = NEAR_WORDS, near: tuple[int, int] = NEAR) -> DataFrame:
-    """Per document: doc_id, key (its shingle set), component_id (smallest doc_id reachable over similar pairs).
+def wide_links(prints: DataFrame, near: float = NEAR, unit_rows: int = 1536) -> DataFrame:
+    """Spanning links (u, v) between distinct wide prints ``fp`` of which a share ``near`` of the bits agrees."""
+    budget = int(WIDE * (1 - near) + 1e-9)
+    units = prints.mapInArrow(_rooted(roots(prints.count(), near)), "unit long, fp binary")
+    hot = units.groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") > unit_rows)
+    hot = durable(hot.select("unit", F.least(F.ceil(F.col("n") / unit_rows), F.lit(PARTS)).cast("int").alias("parts")), "simhash-hot")
+    if not hot.isEmpty():  # every pair of a unit's parts is a unit
+        x = units.join(hot, "unit", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        x = x.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        units = x.withColumn("k", F.expr("(unit << 25) + (least(part, other) << 13) + (greatest(part, other) << 1) + if(part > other, 1, 0)")).select("k", "fp")
+    else:
+        units = units.select(F.expr("unit << 25").alias("k"), "fp")
+    # one number has unit, parts and side, so little is sent
+    x = units.repartition(F.expr("shiftright(k, 1)")).sortWithinPartitions("k", "fp")
+    cross = F.expr("(shiftright(k, 1) & 4095) <> (shiftright(k, 13) & 4095)")
+    return x.select(F.expr("shiftright(k, 1)").alias("unit"), F.expr("cast(k & 1 as int)").alias("side"), cross.alias("cross"), "fp").mapInArrow(_walk(budget, "fp"), "u binary, v binary")
 
-    Candidates share a band; each pair is checked on its texts. In a first round every member of a bucket is held
-    against the bucket's smallest key; then all pairs of a bucket that are not yet in one component are.
-    """
-    marked = durable(docs.select("doc_id", "text", sketches(words).alias("s")).select("doc_id", "text", "s.*"), "near-sketches")
-    texts = marked.select("key", "text")
-    one = durable(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "near-keys")
-    rows = one.filter("size > 0").select("key", "size", F.posexplode("bands").alias("band", "h"))
-    heads = rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.min_by(F.struct("key", "size"), "key").alias("head")).filter("n > 1").drop("n")
-    shared = durable(rows.join(heads, ["band", "h"]), "near-buckets")
-    sized = lambda a, b: F.least(a, b) * near[1] >= F.greatest(a, b) * near[0]
-    first = shared.filter(F.col("key") != F.col("head.key")).filter(sized("size", "head.size"))
-    first = durable(first.select(F.col("head.key").alias("u"), F.col("key").alias("v")).distinct(), "near-pairs")
-    sure = _similar(first, texts, words, near)
-    stars = components(sure)
-    labelled = shared.drop("head").join(stars.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = labelled.groupBy("band", "h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("band", "h")
-    open_ = durable(labelled.join(mixed, ["band", "h"], "left_semi"), "near-open")
-    a = open_.select("band", "h", F.col("key").alias("u"), F.col("size").alias("n"), F.col("root").alias("r"))
-    b = open_.select("band", "h", F.col("key").alias("v"), F.col("size").alias("m"), F.col("root").alias("s"))
-    rest = a.join(b, ["band", "h"]).filter("u < v and r <> s").filter(sized("n", "m")).select("u", "v").distinct()
-    rest = durable(rest.join(first, ["u", "v"], "left_anti"), "near-pairs")
-    ends = components(sure.unionByName(_similar(rest, texts, words, near)))
-    member = ends.unionByName(ends.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "key")
-    least = member.join(one, "key").groupBy("root").agg(F.min("rep").alias("least"))
-    found = member.join(least, "root").select("key", "least")
-    label = durable(one.join(found, "key", "left").select("key", F.coalesce("least", "rep").alias("component_id")), "near-labels")
-    for done in (one, shared, first, open_, rest):
-        release(done)
-    return marked.select("doc_id", "key").join(label, "key").select("doc_id", "key", "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = NEAR_WORDS, near: tuple[int, int] = NEAR) -> DataFrame:
+
+def near_copies(docs: DataFrame, words: int = NEAR_WORDS, near: float = NEAR, unit_rows: int = 1536) -> DataFrame:
+    """Per document: doc_id, fp (wide), component_id (smallest doc_id reachable over similar prints)."""
+    marked = durable(docs.select("doc_id", wide_prints(words).alias("fp")), "simhash-prints")
+    prints = durable(_prints(marked), "simhash-distinct")
+    return _grouped(marked, prints, components(wide_links(prints.select("fp"), near, unit_rows)))
+
+
+def keep_one(docs: DataFrame, words: int = NEAR_WORDS, near: float = NEAR) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id.
 
     Exact repetitions of a row leave one row; rows without a doc_id all stay.

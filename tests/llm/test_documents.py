@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -35,25 +36,79 @@ def test_base_spans(spark):
         assert set(filter(None, said.split(","))) <= set(r.spans.split(","))
 
 
+def token(rng, name, n):
+    return "".join(rng.choice(secret_scan._SYMBOLS[name]) for _ in range(n))
+
+
+WORDS = "get user name from session parse the config file this is a very long identifier customer order line item http response status code read next page total number of open issues".split()
+
+
+def identifier(rng):
+    """Written runs: words joined in the ways of source text, numbers behind some."""
+    out, joint = "", rng.choice(["", "_", "-", "/", "camel"])
+    while len(out) < 20:
+        w = rng.choice(WORDS)
+        out += w.capitalize() if joint == "camel" else (joint if out else "") + w
+    return out + rng.choice(["", "", "2", "2024", "_44"])
+
+
+def brute_random(texts, q=0.01):
+    """Random spans by text: the battery on every run outside base spans, then the textbook step-up within each stratum."""
+    profile = secret_scan.written(secret_scan.tally(texts))
+    runs = []
+    for i, t in enumerate(texts):
+        base = [tuple(map(int, x.split(":")[1:])) for x in brute_base(t or "").split(",") if x]
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t or ""):
+            got = secret_scan.battery(m[0], profile)
+            if got and not any(s <= m.start() and m.end() <= e for s, e in base):
+                runs.append((got[:2], 10 ** (-got[2] / 4), i, m.span()))
+    found = set()
+    for stratum in {r[0] for r in runs}:
+        own = sorted((r for r in runs if r[0] == stratum), key=lambda r: r[1])
+        last = max((n for n, r in enumerate(own, 1) if r[1] * len(own) / n <= q and r[1] < 1), default=0)
+        found |= {(i, *at) for _, p, i, at in own if last and p <= own[last - 1][1]}
+    return found
+
+
 def test_random_runs_are_found_and_written_ones_left(spark):
     rng = random.Random(1)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    secret = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (28, 32, 40, 64) for _ in range(25)]
-    words = "getUserNameFromSession parse_the_config_file_2024 thisIsAVeryLongIdentifier2 customer-order-line-item-44 http_response_status_code_200".split()
-    written = [a + b for a, b in itertools.product(words, words)] + ["A1" * 20, "0123456789abcdefghijklmnopqrstuvwxyz", "x" * 40 + "1"]
-    df = spark.createDataFrame(list(enumerate([f"see {t} there" for t in secret + written])), "doc_id long, text string")
-    hit = {r.doc_id for r in secret_scan.op1(df).collect() if "random" in r.spans}
-    assert len(hit & set(range(100))) >= 90
-    assert not hit & set(range(100, 100 + len(written)))
+    secret = [(name, n, token(rng, name, n)) for name in secret_scan.ENCODINGS for n in (20, 24, 32, 48, 64) for _ in range(25)]
+    written = [identifier(rng) for _ in range(600)] + ["A1" * 20, "0123456789abcdefghijklmnopqrstuvwxyz", "x" * 40 + "1", "A" * 30, "Donaudampfschifffahrtsgesellschaft"]
+    texts = [f"see {t} there" for t in [x[2] for x in secret] + written] + ["the page is read by " + " ".join(rng.choices(WORDS, k=60)) for _ in range(40)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, *map(int, x.split(":")[1:])) for r in secret_scan.op1(df).collect() for x in r.spans.split(",") if x.startswith("random")}
+    assert got == brute_random(texts)
+    hit = {i for i, *_ in got}
+    share = lambda names, lengths: np.mean([i in hit for i, (k, n, t) in enumerate(secret) if k in names and n in lengths and not brute_base(t)])
+    assert share(("base62", "base64"), (20, 24, 32, 48, 64)) > 0.85 and share(("hex", "base36"), (32, 48, 64)) > 0.8
+    assert len(hit & set(range(len(secret), len(texts)))) <= 0.02 * len(hit)
+
+
+def test_nulls_of_the_battery():
+    """p-values under uniform symbols are as small as they say, but no smaller."""
+    rng = random.Random(3)
+    for name in secret_scan.ENCODINGS:
+        for n in (20, 40):
+            p = np.array([secret_scan.uniform_tests(name, secret_scan.statistics(name, token(rng, name, n))) for _ in range(1500)])
+            assert (p < 0.01).mean(axis=0).max() < 0.03, (name, n)
+
+
+def test_secrets_of_nothing(spark, none):
+    assert secret_scan.op1(none).count() == 0 and secret_scan.redact(none).count() == 0
+    long = "".join(f"secret=abcdef{i:06d} é " for i in range(5000))
+    df = spark.createDataFrame([(0, long, "x"), (0, long, "x"), (None, "token: abcdefg", "x")], "doc_id long, text string, row string")
+    got = secret_scan.op1(df).collect()
+    assert sorted((r.n_assign for r in got)) == [1, 5000, 5000]
+    out = secret_scan.redact(df)
+    assert out.columns == df.columns and [r.text for r in out.filter("doc_id = 0").collect()] == ["[SECRET] é " * 5000] * 2
 
 
 def test_masks_join_overlaps_and_nested_runs():
     key = "deadbeef" * 3
     text = f"é token={key} {key}\x20AKIA{'A1' * 8}" + "x" * 3 + f" token={key}"
-    assert secret_scan.masked_text(text, {}, "#") == "é # # #xxx #"
-    assert secret_scan.masked_text("nothing here", {}, "#") is None and secret_scan.masked_text("", {}, "#") is None
-    long = "".join(f"secret=abcdef{i:06d} é " for i in range(5000))
-    assert secret_scan.masked_text(long, {}, "#") == "# é " * 5000
+    base, _ = secret_scan.scan_text(text, secret_scan.written([0] * 4097))
+    assert secret_scan.masked_text(text, [(s, e) for s, _, e in base], "#") == "é # # #xxx #"
+    assert secret_scan.masked_text("abcdef", [(0, 4), (1, 2), (3, 5)], "#") == "#f" and secret_scan.masked_text("", [], "#") == ""
 
 
 def test_redaction_keeps_rows_and_columns(spark, docs, rows):
@@ -103,6 +158,34 @@ def test_mix(docs, rows):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def brute_copies(rows, seed=7):
+    """How often each row (doc_id, text, source) is taken whole: whole epochs, then rows in the order of their keys."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    key = [md5(f"{seed}:{'' if i is None else i}:{md5(t or '')}")[:15] for i, t, _ in rows]
+    sizes = Counter()
+    for n, (_, _, s) in zip(size, rows):
+        sizes[s] += n
+    out = [0] * len(rows)
+    for s, target in brute_targets(sizes).items():
+        epochs, left = divmod(int(target + 1e-6), sizes[s]) if sizes[s] else (0, 0)
+        own = sorted((key[i], i) for i in range(len(rows)) if rows[i][2] == s)
+        for k, group in itertools.groupby(own, key=lambda x: x[0]):
+            at = [i for _, i in group if size[i]]
+            share = min(max(left, 0) // max(len(at), 1), max((size[i] for i in at), default=0))
+            for i in at:
+                out[i] = epochs + (2 * share >= size[i])
+            left -= sum(size[i] for i in at)
+    return out
+
+
+def test_mix_stage_takes_whole_documents(docs, rows):
+    want = Counter()
+    for r, n in zip(rows, brute_copies([(r[0], r[1], r[3]) for r in rows])):
+        want[r[0], r[1]] += n
+    assert Counter((r.doc_id, r.text) for r in source_mix.mix(docs).collect()) == +want
+
+
 def test_mix_rows(docs, none):
     out = source_mix.mix(docs)
     assert out.columns == docs.columns and out.count() > 0
@@ -124,6 +207,57 @@ def test_language(docs, rows, none):
     assert kept.columns == docs.columns and kept.filter("doc_id in (90, 91, 93)").count() == 0
 
 
+def trigrams(text):
+    """Hashed trigrams of the bytes, one by one."""
+    raw = [32 if b < 128 and not chr(b).isalpha() else b for b in b" " + text.lower().encode() + b" "]
+    out = Counter()
+    for x, y, z in zip(raw, raw[1:], raw[2:]):
+        h = (x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) % 2**32
+        h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+        out[h >> 18] += 1
+    return out
+
+
+def brute_language(rows, texts):
+    """[(language, score)] of ``texts`` by output codes learned from (doc_id, text, lang), bit by bit."""
+    learn = [(t, k) for i, t, k in rows if k is not None and t is not None and i is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    names = sorted({k for _, k in learn})
+    mass = {k: [1e-4] * 2**14 for k in names}
+    for t, k in learn:
+        seen = trigrams(t)
+        for g, n in seen.items():
+            mass[k][g] += n / sum(seen.values())
+    freq = np.array([np.array(mass[k]) / sum(mass[k]) for k in names])
+    code = language_id.codewords(len(names)).astype(int)
+    weight = [np.log(freq[code[:, b] > 0].mean(axis=0)) - np.log(freq[code[:, b] < 0].mean(axis=0)) for b in range(code.shape[1])]
+    margins = lambda t: [sum(n * w[g] for g, n in trigrams(t).items()) / max(sum(trigrams(t).values()), 1) for w in weight]
+    f = np.array([margins(t) for t, _ in learn])
+    scale = np.abs(f).mean(axis=0)
+    right = np.array([[np.sign(f[i, b]) == code[names.index(k), b] for b in range(len(weight))] for i, (_, k) in enumerate(learn)]).mean(axis=0)
+    trust = np.log(np.clip(right, 0.501, 0.999) / (1 - np.clip(right, 0.501, 0.999)))
+    trust /= trust.sum()
+    out = []
+    for t in texts:
+        if t is None or not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        m = margins(t)
+        loss = sorted((sum(trust[b] * max(0, 1 - code[k, b] * m[b] / scale[b]) for b in range(len(m))), k) for k in range(len(names)))
+        (a, k), (b, _) = loss[:2]
+        out.append((names[k], (b - a) / (b + a) if b > 0 else 0.0))
+    return out
+
+
+def test_language_equals_codes_decoded_bit_by_bit(spark, docs, rows):
+    want = brute_language([r[:3] for r in rows], [r[1] for r in rows])
+    got = language_id.op3(docs).collect()
+    say = lambda x: sorted((-1 if i is None else i, k, round(s, 4)) for i, k, s in x)
+    far = [(g, w) for g, w in zip(say((r.doc_id, r.lang_pred, r.score) for r in got), say((r[0], *w) for r, w in zip(rows, want))) if g[:2] != w[:2] or abs(g[2] - w[2]) > 2e-3]
+    assert not far
+    kept = Counter(r.doc_id for r in language_id.keep_identified(docs).collect())
+    assert kept == Counter(r[0] for r, (k, s) in zip(rows, want) if k != "und" and s >= 0.02)
+
+
 def test_codewords_lie_apart():
     for n in (2, 3, 5, 7, 12, 60):
         m = language_id.codewords(n)
@@ -153,6 +287,15 @@ def test_bpe_matches_the_library(spark, docs, rows, library):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_token_stage_matches_the_library(docs, rows, none, library):
+    out = bpe.encoded(docs)
+    assert "text" not in out.columns and {"ids", "n_tokens", "row", "scan"} <= set(out.columns)
+    want = Counter((r[0], tuple(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows)
+    got = out.collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want and all(r.n_tokens == len(r.ids) for r in got)
+    assert bpe.op4(none).count() == bpe.encoded(none).count() == 0
+
+
 def test_bpe_stream_is_stable_and_bounded(library):
     import public_tokenizers
 
@@ -271,27 +414,72 @@ def test_keep_one(docs, rows):
     assert ids[7] == 1 and ids[5] == 1 and ids[None] == 1 and not any(ids[100 + i] for i in range(20))
 
 
-def test_keep_one_drops_near_copies(spark):
-    rng = random.Random(6)
+def copies(rng, groups=30, length=200):
+    """Texts in groups: a base, and copies with one to twelve words changed."""
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    rows = []
-    for g in range(30):
-        base = [word() for _ in range(200)]
-        rows.append((10 * g, " ".join(base)))
-        for k in range(1, 8):
+    out = []
+    for g in range(groups):
+        base = [word() for _ in range(length)]
+        out.append((100 * g, " ".join(base)))
+        for k in range(1, 13):
             t = list(base)
-            for at in rng.sample(range(200), k):
+            for at in rng.sample(range(length), k):
                 t[at] = word()
-            rows.append((10 * g + k, " ".join(t)))
+            out.append((100 * g + k, " ".join(t)))
+    return out
+
+
+@pytest.mark.parametrize("unit_rows", [2048, 16])
+def test_keep_one_drops_near_copies(spark, unit_rows):
+    rows = copies(random.Random(6))
+    prints = [int.from_bytes(simhash.wide_print(t), "big") for _, t in rows]
+    label = brute_components(prints, 51)
+    want = {rows[i][0]: rows[j][0] for i, j in enumerate(label)}
+    assert 30 < len(set(want.values())) < 200  # near copies on both sides of the bound
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df, unit_rows=unit_rows).collect()} == want
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(want.values())
+
+
+def test_similar_texts_share_a_print():
+    """At a Jaccard similarity of 0.8 or more over five-word shingles nearly every pair is within the budget, and unlike texts never are."""
+    rows = copies(random.Random(7), 40)
     sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t in rows]
-    label = list(range(len(rows)))
+    prints = [int.from_bytes(simhash.wide_print(t), "big") for _, t in rows]
+    similar, unlike = [], []
     for i, j in itertools.combinations(range(len(rows)), 2):
-        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
-            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
-    want = {rows[i][0] for i in range(len(rows)) if label[i] == i}
-    assert 30 < len(want) < 200  # near copies on both sides of the bound
-    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r.doc_id for r in got.collect()} == want
+        far = (prints[i] ^ prints[j]).bit_count() <= 51
+        if rows[i][0] // 100 != rows[j][0] // 100:
+            unlike.append(far)
+        elif 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            similar.append(far)
+    assert len(similar) > 100 and np.mean(similar) > 0.97 and not any(unlike)
+
+
+def test_wide_join_loses_no_link(spark, monkeypatch):
+    rng = random.Random(9)
+    prints = set()
+    for _ in range(60):
+        c = rng.getrandbits(256)
+        prints |= {c, *(c ^ sum(1 << b for b in rng.sample(range(256), rng.choice([1, 20, 40, 50, 51, 52, 80]))) for _ in range(6))}
+    prints = sorted(prints)
+    monkeypatch.setattr(simhash, "PAIRS", 50)
+    rows = [(bytearray(p.to_bytes(32, "big")),) for p in prints]
+    edges = simhash.wide_links(spark.createDataFrame(rows, "fp binary"), 0.8, 64).collect()
+    at = {p.to_bytes(32, "big"): i for i, p in enumerate(prints)}
+    parent = list(range(len(prints)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for e in edges:
+        a, b = find(at[bytes(e.u)]), find(at[bytes(e.v)])
+        parent[max(a, b)] = min(a, b)
+    want = brute_components(prints, 51)
+    got = [find(i) for i in range(len(prints))]
+    assert all(want[g] == want[i] for i, g in enumerate(got)) and sum(a != b for a, b in zip(got, want)) <= 0.01 * len(want)
 
 
 # repeated byte strings ----------------------------------------------------------------------------

@@ -159,6 +159,27 @@ def test_url_model_learns(spark):
     assert np.mean([got[1000 + i] == "allow" for i in range(30)]) > 0.9 and np.mean([got[2000 + i] == "block" for i in range(30)]) > 0.9
 
 
+def test_url_model_reads_the_whole_url(spark):
+    """URLs that differ behind the path only get different verdicts, repeated rows alike ones; odd URLs are judged too."""
+    rng = random.Random(2)
+    word = lambda s: "".join(rng.choice(s) for _ in range(12))
+    rows = [(i, f"http://h.org/fr/x?{word('abcde')}", "h") for i in range(200)] + [(200 + i, f"http://h.net/x#{word('vwxyz')}", "h") for i in range(200)]
+    rows += [(1000, f"http://h.info/x?{word('abcde')}", "h"), (1001, f"http://h.info/x#{word('vwxyz')}", "h"), (1002, "no scheme " + word("vwxyz"), "h"), (1003, "abcde" * 40_000, "h"), (1004, None, None), (1004, None, None), (1005, "", "h")]
+    rows += [(1000, rows[400][1], "h")]
+    got = url_filter.op6(spark.createDataFrame(rows, "page_id long, url string, path string")).collect()
+    assert len(got) == len(rows)
+    verdict = {}
+    for r in got:
+        assert verdict.setdefault(r.page_id, r.verdict) == r.verdict
+    assert [verdict[i] for i in (1000, 1001, 1002, 1003)] == ["allow", "block", "block", "allow"]
+
+
+def test_url_scores_at_the_cut_are_allowed(spark):
+    one = spark.createDataFrame([(1, "http://a.org/fr/", 0.5), (2, "http://b.info/", 0.5), (3, None, 0.5)], "page_id long, url string, _score double")
+    out = url_filter.filter_urls(one)
+    assert [r.verdict for r in out.orderBy("page_id").collect()] == ["allow"] * 3 and out.columns.count("_score") == 1
+
+
 def test_url_plan_is_native(spark):
     plan = url_filter.op6(spark.read.parquet(f"{DIR}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
@@ -182,6 +203,17 @@ def test_preference_pairs(spark):
     assert set(wide) == {2**59 + 1, -1} and "a" in wide[2**59 + 1].chosen and wide[-1].chosen is None
 
 
+def test_pairs_of_odd_tables(spark):
+    kind = "conv_id long, turn long, role string, text string, pair_id string, head string, c int, r int"
+    assert chat_pairs.op9(spark.createDataFrame([], kind)).count() == 0
+    long = "word " * 60_000
+    turns = [(0, 0, "user", long), (0, 1, "assistant", "a"), (1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long), (2, None, None, ""), (3, None, None, "")]
+    got = {r.pair_id: r for r in chat_pairs.op9(spark.createDataFrame([(*t, "p", "h", 1, 2) for t in turns], kind)).collect()}
+    assert got[0].prefix_turns == 1 and got[0].prompt == f"<|user|>\n{long}<|end|>\n" and got[0].rejected == f"<|assistant|>\n{long}<|end|>\n" * 2
+    assert [got[0].rejected[int(s) : int(e)] for s, e in (x.split(":") for x in got[0].rejected_mask.split(","))] == [long + "<|end|>"] * 2
+    assert (got[1].prefix_turns, got[1].prompt, got[1].chosen, got[1].chosen_mask) == (1, "<||>\n<|end|>\n", "", "")
+
+
 @pytest.mark.parametrize("name", ["op2_source_mix", "op6_url_filter", "op7_pivot_topk", "op9_chat_pairs"])
 def test_queries_match_their_sql(spark, name):
     from consensa.llm.entry import ORACLE_SQL, QUERIES

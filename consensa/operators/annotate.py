@@ -99,7 +99,9 @@ def go_terms(annotations: DataFrame, names: DataFrame, drop_iea: bool = False) -
     if drop_iea:
         x = x.filter(F.col("evidence").isNull() | (F.col("evidence") != "IEA"))
     x = x.join(names, "go_id", "left")
-    return x.groupBy("gene").agg(*[F.nullif(collapse_sorted(F.when(F.col("ontology") == o, F.col("term"))), F.lit("")).alias(f"go_{o.lower()}") for o in ("MF", "BP", "CC")])
+    return x.groupBy("gene").agg(*[F.nullif(
+        collapse_sorted(F.when(F.col("ontology") == o, F.col("term"))), F.lit(""),
+    ).alias(f"go_{o.lower()}") for o in ("MF", "BP", "CC")])
 
 
 def hallmarks(genes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -125,7 +127,10 @@ def class_of(x: Column | str) -> Column:
     return F.when(one, "I").when(two, "II").otherwise(raw)
 
 
-def attach_values(rows: DataFrame, source: DataFrame, keys: Sequence[tuple[str, str]], values: dict[str, str], order: str, normal: dict | None = None, require: bool = True) -> DataFrame:
+def attach_values(
+    rows: DataFrame, source: DataFrame, keys: Sequence[tuple[str, str]], values: dict[str, str], order: str, normal: dict | None = None,
+    require: bool = True,
+) -> DataFrame:
     """Left join on normalised keys (blank meets blank) to values collapsed in first-seen order, so rows never fan out."""
     missing = [b for _, b in keys if b not in source.columns] + [v for v in values if v not in source.columns]
     if missing and require:
@@ -140,7 +145,10 @@ def attach_values(rows: DataFrame, source: DataFrame, keys: Sequence[tuple[str,
 
 def value_counts(rows: DataFrame, value: str = "tumor_dna_vaf", keys: Sequence[str] = ("sample_id",)) -> DataFrame:
     """(keys, rows, with_value, somatic): what a run reports of its table."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.count(value).alias("with_value"), F.count_if(F.coalesce(F.lower("mutation_source"), F.lit("")).contains("somatic")).alias("somatic"))
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("rows"), F.count(value).alias("with_value"),
+        F.count_if(F.coalesce(F.lower("mutation_source"), F.lit("")).contains("somatic")).alias("somatic"),
+    )
 
 
 # HLA ----------------------------------------------------------------------------------------------

@@ -85,4 +85,7 @@ class FilterConfig:
         """Also reads the older keys: a top-level top_prop, and mem_prop = 1 - add_prop."""
         ppi, mem = d.get("ppi", {}), d.get("membrane", {})
         add = mem.get("add_prop", 1 - mem["mem_prop"] if "mem_prop" in mem else 0.05)
-        return cls(ppi.get("top_prop", d.get("top_prop", 0.2)), mem.get("enabled", True), add, mem.get("denominator", "unfiltered_ppi_edges"), mem.get("require_membrane_endpoint", True), mem.get("metric", "absolute_weight"))
+        return cls(
+            ppi.get("top_prop", d.get("top_prop", 0.2)), mem.get("enabled", True), add, mem.get("denominator", "unfiltered_ppi_edges"),
+            mem.get("require_membrane_endpoint", True), mem.get("metric", "absolute_weight"),
+        )

@@ -70,9 +70,14 @@ def betweenness(edges: DataFrame, vertices: DataFrame, work: int = WORK) -> Data
     (``work``), and its graph is sent once a batch.
     """
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
-    parts = edges.filter("src <> dst and weight is not null").select("sample_id", low.alias("src"), high.alias("dst"), F.abs(F.col("weight").cast("double")).alias("weight"))
+    parts = edges.filter("src <> dst and weight is not null").select(
+        "sample_id", low.alias("src"), high.alias("dst"), F.abs(F.col("weight").cast("double")).alias("weight"),
+    )
     parts = parts.groupBy("sample_id", "src", "dst", "weight").agg(F.count("*").cast("int").alias("times"))
-    lone = vertices.select("sample_id", F.col("gene").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("weight"), F.lit(0).alias("times")).distinct()
+    lone = vertices.select(
+        "sample_id", F.col("gene").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("weight"),
+        F.lit(0).alias("times"),
+    ).distinct()
     rows = parts.unionByName(lone)
     size = rows.groupBy("sample_id").agg((F.count_if(F.col("dst").isNull()) * F.count_if(F.col("dst").isNotNull()) / work).alias("w"))
     size = size.select("sample_id", F.greatest(F.lit(1), F.ceil("w")).cast("int").alias("batches"))
@@ -202,7 +207,9 @@ def _least_outside(ordered: list[int], v: int, ranges: list[tuple[int, int]], di
 def impact(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(sample_id, gene, largest_component_impact)."""
     parts = edges.select("sample_id", "src", "dst", F.col("weight").cast("double").alias("weight")).filter("src <> dst")
-    rows = parts.unionByName(vertices.select("sample_id", F.col("gene").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("weight")))
+    rows = parts.unionByName(vertices.select(
+        "sample_id", F.col("gene").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("weight"),
+    ))
 
     def run(key, pdf):
         import pandas as pd
@@ -212,4 +219,6 @@ def impact(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         es = [(at[a], at[b], w) for a, b, w in zip(pdf["src"], pdf["dst"], pdf["weight"]) if isinstance(b, str)]
         return pd.DataFrame({"sample_id": key[0], "gene": names, "largest_component_impact": component_impact(len(names), es)})
 
-    return rows.groupBy("sample_id").applyInPandas(run, f"sample_id {edges.schema['sample_id'].dataType.simpleString()}, gene string, largest_component_impact double")
+    return rows.groupBy("sample_id").applyInPandas(
+        run, f"sample_id {edges.schema['sample_id'].dataType.simpleString()}, gene string, largest_component_impact double",
+    )

@@ -23,7 +23,9 @@ def canonical(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
 
 def weighted(reference: DataFrame, weights: DataFrame) -> DataFrame:
     """Reference edges (edge_id, src, dst) with each sample's weight (sample_id, a, b, weight); missing or NaN weights drop the edge."""
-    return canonical(reference).join(weights.filter(F.col("weight").isNotNull() & ~F.isnan("weight")), ["a", "b"]).select("sample_id", "edge_id", "src", "dst", "weight")
+    return canonical(reference).join(
+        weights.filter(F.col("weight").isNotNull() & ~F.isnan("weight")), ["a", "b"],
+    ).select("sample_id", "edge_id", "src", "dst", "weight")
 
 
 def entrez_to_ensembl(pairs: DataFrame, id_map: DataFrame) -> DataFrame:
@@ -55,14 +57,19 @@ def strongest(rows: DataFrame, wanted: DataFrame, ties: list[str], bins: int = 1
     binned = rows.withColumn("_bin", F.when(size > 0, F.floor(F.log2(size) * bins)).otherwise(F.lit(-(1 << 40))).cast("long"))
     count = binned.groupBy("sample_id", "_bin").agg(F.count("*").alias("_n")).join(wanted, "sample_id")
     upto = F.sum("_n").over(W.partitionBy("sample_id").orderBy(F.col("_bin").desc()))
-    at = count.withColumn("_above", upto - F.col("_n")).filter("_above < requested").withColumn("_left", F.col("requested") - F.col("_above")).select("sample_id", "_bin", "_left", (F.col("_n") <= F.col("_left")).alias("_whole"))
+    at = count.withColumn("_above", upto - F.col("_n")).filter("_above < requested").withColumn("_left", F.col("requested") - F.col("_above")).select(
+        "sample_id", "_bin", "_left", (F.col("_n") <= F.col("_left")).alias("_whole"),
+    )
     x = binned.join(at, ["sample_id", "_bin"])
     order = W.partitionBy("sample_id", "_bin").orderBy(size.desc(), *ties)
     last = x.filter("not _whole").withColumn("_r", F.row_number().over(order)).filter("_r <= _left")
     return x.filter("_whole").select(*rows.columns).unionByName(last.select(*rows.columns))
 
 
-def enrich(ppi: DataFrame, unfiltered: DataFrame, weights: DataFrame, membrane: DataFrame, cfg: FilterConfig, graph_vertices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def enrich(
+    ppi: DataFrame, unfiltered: DataFrame, weights: DataFrame, membrane: DataFrame, cfg: FilterConfig,
+    graph_vertices: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(edges, one summary row a sample): the PPI edges and the strongest further pairs that touch a membrane gene.
 
     A sample gets ceil(add_prop * its unfiltered, or filtered, edges) pairs, or as many as there are. With none to add, its PPI
@@ -84,7 +91,9 @@ def enrich(ppi: DataFrame, unfiltered: DataFrame, weights: DataFrame, membrane:
     counts = counts.withColumn("requested", F.least(share_ceil(base, cfg.add_prop if on else 0.0), F.col("candidates")))
     added = strongest(free, counts.filter("requested > 0").select("sample_id", "requested"), ["a", "b"])
     added = added.select("sample_id", F.lit(None).cast("long").alias("edge_id"), F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
-    both = ppi.select("sample_id", F.col("edge_id").cast("long").alias("edge_id"), "src", "dst", "weight").withColumn("_o", F.lit(0)).unionByName(added.withColumn("_o", F.lit(1)))
+    both = ppi.select(
+        "sample_id", F.col("edge_id").cast("long").alias("edge_id"), "src", "dst", "weight",
+    ).withColumn("_o", F.lit(0)).unionByName(added.withColumn("_o", F.lit(1)))
     both = canonical(both).join(counts.select("sample_id", "requested"), "sample_id", "left")
     first = W.partitionBy("sample_id", "a", "b").orderBy("_o", "edge_id")
     edges = both.withColumn("_r", F.row_number().over(first)).filter("_r = 1 or coalesce(requested, 0) = 0").select("sample_id", "edge_id", "src", "dst", "weight")
@@ -127,7 +136,9 @@ def degree_strength(edges: DataFrame, vertices: DataFrame | None = None, signed:
     got = ends(edges).groupBy("sample_id", "gene").agg(F.count("*").alias("degree"), F.sum(w).alias("strength"))
     if vertices is None:
         return got
-    return vertices.join(got, ["sample_id", "gene"], "left").select("sample_id", "gene", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
+    return vertices.join(got, ["sample_id", "gene"], "left").select(
+        "sample_id", "gene", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("strength", F.lit(0.0)).alias("strength"),
+    )
 
 
 def full_strength(pairs: DataFrame) -> DataFrame:
@@ -148,11 +159,15 @@ def components(edges: DataFrame, vertices: DataFrame, keep: Callable[[DataFrame,
 
     ``keep(df, name)`` writes a round's table and reads it back, so lineage stays short and rounds survive lost executors.
     """
-    both = edges.select("sample_id", F.col("src").alias("gene"), F.col("dst").alias("other")).unionByName(edges.select("sample_id", F.col("dst").alias("gene"), F.col("src").alias("other"))).filter("gene <> other").distinct()
+    both = edges.select(
+        "sample_id", F.col("src").alias("gene"), F.col("dst").alias("other"),
+    ).unionByName(edges.select("sample_id", F.col("dst").alias("gene"), F.col("src").alias("other"))).filter("gene <> other").distinct()
     both = keep(both, "links")
     label = keep(vertices.select("sample_id", "gene").distinct().withColumn("component", F.col("gene")), "labels")
     while True:
-        near = both.join(label.select("sample_id", F.col("gene").alias("other"), "component"), ["sample_id", "other"]).groupBy("sample_id", "gene").agg(F.min("component").alias("near"))
+        near = both.join(
+            label.select("sample_id", F.col("gene").alias("other"), "component"), ["sample_id", "other"],
+        ).groupBy("sample_id", "gene").agg(F.min("component").alias("near"))
         step = label.join(near, ["sample_id", "gene"], "left").withColumn("low", F.least("component", "near"))
         jump = step.select("sample_id", F.col("gene").alias("low"), F.col("low").alias("next"))
         nxt = keep(step.join(jump, ["sample_id", "low"], "left").select("sample_id", "gene", F.least("low", "next").alias("new"), "component"), "labels")

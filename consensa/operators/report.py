@@ -45,7 +45,9 @@ def driver_tip(x: Column | str) -> Column:
     named = lambda k: F.coalesce(*[F.when(F.lower(k).startswith(r.lower()), F.lit(r)) for r in ROLES], k)
     roles = F.array_distinct(F.transform(F.filter(F.split(t, r"[;,\s]+"), lambda k: k != ""), named))
     lines = F.transform(roles, lambda k: F.coalesce(*[F.when(k == r, F.lit(f"{r}: {said}")) for r, said in ROLES.items()], k))
-    return F.when(none, "").otherwise(F.concat(F.lit('<span class="driver" title="'), escape(F.array_join(lines, " \n")), F.lit('">'), escape(t), F.lit("</span>")))
+    return F.when(none, "").otherwise(F.concat(
+        F.lit('<span class="driver" title="'), escape(F.array_join(lines, " \n")), F.lit('">'), escape(t), F.lit("</span>"),
+    ))
 
 
 def shapes(columns: list[str]) -> dict:
@@ -71,7 +73,9 @@ def page(title: str, columns: list[str], rows: Iterable[Iterable[str]]) -> Itera
     """A standalone page, piece by piece: a table with paging (25 rows; 10, 25, 50, 100, all), given order kept. Cells are HTML."""
     t = _html.escape(title)
     yield f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{t}</title><style>table{{border-collapse:collapse}}td,th{{border:1px solid #ccc;padding:4px}}.pill{{border-radius:4px;padding:1px 4px;background:#eee}}</style></head><body><h1>{t}</h1>"
-    yield "<label>Rows <select id='n'>" + "".join(f"<option value='{v}'{' selected' * (v == 25)}>{s}</option>" for v, s in ((10, 10), (25, 25), (50, 50), (100, 100), (-1, "All"))) + "</select></label> <button id='p'>Back</button><button id='f'>Next</button>"
+    yield "<label>Rows <select id='n'>" + "".join(
+        f"<option value='{v}'{' selected' * (v == 25)}>{s}</option>" for v, s in ((10, 10), (25, 25), (50, 50), (100, 100), (-1, "All"))
+    ) + "</select></label> <button id='p'>Back</button><button id='f'>Next</button>"
     yield "<table><thead><tr>" + "".join(f"<th>{_html.escape(c)}</th>" for c in columns) + "</tr></thead><tbody id='b'>"
     for r in rows:
         yield "<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>"
@@ -80,7 +84,10 @@ def page(title: str, columns: list[str], rows: Iterable[Iterable[str]]) -> Itera
 
 def summary(values: DataFrame, column: str, keys: list[str]) -> DataFrame:
     c = F.col(column)
-    return values.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("sd"), F.max(c).alias("max"), F.min(c).alias("min"))
+    return values.groupBy(*keys).agg(
+        F.count(c).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("sd"), F.max(c).alias("max"),
+        F.min(c).alias("min"),
+    )
 
 
 def histogram(values: DataFrame, column: str, keys: list[str], bins: int | None = 200, least: int = 80, most: int = 300) -> DataFrame:
@@ -90,7 +97,10 @@ def histogram(values: DataFrame, column: str, keys: list[str], bins: int | None
     six places; ``least`` for a single value.
     """
     c = finite(F.col(column).cast("double"))
-    s = values.groupBy(*keys).agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("_n"), F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.75).alias("q3"), F.count_distinct(F.round(c, 6)).alias("u"))
+    s = values.groupBy(*keys).agg(
+        F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("_n"), F.percentile(c, 0.25).alias("q1"),
+        F.percentile(c, 0.75).alias("q3"), F.count_distinct(F.round(c, 6)).alias("u"),
+    )
     if bins is None:
         width = 2 * (F.col("q3") - F.col("q1")) / F.pow(F.col("_n").cast("double"), F.lit(1 / 3))
         wanted = F.when((width > 0) & (F.col("hi") > F.col("lo")), F.ceil(F.try_divide(F.col("hi") - F.col("lo"), width))).otherwise(F.col("u"))
@@ -98,6 +108,8 @@ def histogram(values: DataFrame, column: str, keys: list[str], bins: int | None
     else:
         s = s.withColumn("k", F.lit(bins))
     x = values.filter(c.isNotNull()).join(s, keys)
-    at = F.when(F.col("hi") > F.col("lo"), F.least(F.col("k") - 1, F.floor((c - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("k")))).otherwise(0).cast("int")
+    at = F.when(
+        F.col("hi") > F.col("lo"), F.least(F.col("k") - 1, F.floor((c - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("k"))),
+    ).otherwise(0).cast("int")
     low = F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.col("k")
     return x.withColumn("bin", at).groupBy(*keys, "bin", "lo", "hi", "k").agg(F.count("*").alias("n")).select(*keys, "bin", low.alias("low"), "n")

@@ -12,7 +12,10 @@ from ..functions.nulls import to_double, to_int
 
 STANDARD = ["gene_name", "hla_allele", "peptide_length", "mt_epitope_seq", "wt_epitope_seq", "median_mt_ic50", "mutation_source", "hla_class", "fusion_genes"]
 # Display names at the sink.
-DISPLAY = dict(zip(STANDARD, ["Gene.Name", "HLA.Allele", "Peptide.Length", "MT.Epitope.Seq", "WT.Epitope.Seq", "Median.MT.IC50.Score", "Mutation.Source", "HLA.Class", "Fusion_Genes"]))
+DISPLAY = dict(zip(
+    STANDARD,
+    ["Gene.Name", "HLA.Allele", "Peptide.Length", "MT.Epitope.Seq", "WT.Epitope.Seq", "Median.MT.IC50.Score", "Mutation.Source", "HLA.Class", "Fusion_Genes"],
+))
 
 
 #: Column of a row's place in its file (``readers.placed``).
@@ -46,7 +49,11 @@ def project(df: DataFrame, columns: Sequence[str], source: str, hla_class: str,
     gene, allele, length, seq, wild, ic50 = (column_or_null(df, n) for n in names)
     extras = [c for c in columns[need:] if c in df.columns and c not in STANDARD and c not in keys]
     place = [PLACE] if PLACE in df.columns else []
-    x = df.select(*keys, *place, gene.alias("_gene"), allele.cast("string").alias("hla_allele"), to_int(length).alias("_len"), seq.cast("string").alias("mt_epitope_seq"), wild.cast("string").alias("wt_epitope_seq"), to_double(ic50).alias("median_mt_ic50"), *[F.col(f"`{c}`") for c in extras])
+    x = df.select(
+        *keys, *place, gene.alias("_gene"), allele.cast("string").alias("hla_allele"), to_int(length).alias("_len"),
+        seq.cast("string").alias("mt_epitope_seq"), wild.cast("string").alias("wt_epitope_seq"), to_double(ic50).alias("median_mt_ic50"),
+        *[F.col(f"`{c}`") for c in extras]
+    )
     if not somatic:  # a source without any length gets the sequences' lengths
         none = F.count("_len").over(W.partitionBy(*keys)) == 0
         x = x.withColumn("_len", F.when(none, F.length("mt_epitope_seq")).otherwise(F.col("_len")))

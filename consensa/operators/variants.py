@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Thresholds of the site and genotype filters (name, field, comparison, bound).
-SNP = (("QD2", "QD", "<", 2.0), ("FS60", "FS", ">", 60.0), ("MQ40", "MQ", "<", 40.0), ("SOR4", "SOR", ">", 4.0), ("MQRankSum-12.5", "MQRankSum", "<", -12.5), ("ReadPosRankSum-8", "ReadPosRankSum", "<", -8.0))
+SNP = (
+    ("QD2", "QD", "<", 2.0), ("FS60", "FS", ">", 60.0), ("MQ40", "MQ", "<", 40.0), ("SOR4", "SOR", ">", 4.0),
+    ("MQRankSum-12.5", "MQRankSum", "<", -12.5), ("ReadPosRankSum-8", "ReadPosRankSum", "<", -8.0),
+)
 INDEL = (("QD2", "QD", "<", 2.0), ("FS200", "FS", ">", 200.0), ("SOR10", "SOR", ">", 10.0))
 GENOTYPE = (("LowDP", "DP", "<", 10.0), ("LowGQ", "GQ", "<", 10.0))
 
@@ -54,7 +57,10 @@ def combine(first: DataFrame, second: DataFrame, columns: Sequence[str]) -> Data
     a = first.select(*key, *[F.col(c).alias(f"a_{c}") for c in columns], F.lit(True).alias("in_first"))
     b = second.select(*key, *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(True).alias("in_second"))
     flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    return a.join(b, key, "outer").select(*key, *[F.when(F.col("in_first"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c) for c in columns], flag("in_first"), flag("in_second"))
+    return a.join(b, key, "outer").select(
+        *key, *[F.when(F.col("in_first"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c) for c in columns], flag("in_first"),
+        flag("in_second"),
+    )
 
 
 def restrict(rows: DataFrame, intervals: DataFrame, width: int = 10_000) -> DataFrame:

@@ -58,7 +58,10 @@ def prioritise(candidates: DataFrame, dims: Dimensions, cfg: BordaConfig, vaf_ke
     if dims.essentiality is not None:
         x = annotate.by_key(x, annotate.essentiality_rows(dims.essentiality), "gene_name", "gene", {"median_score": "Depmap_survivability_score"})
     if dims.drivers is not None:
-        x = annotate.by_key(x, dims.drivers, "gene_name", "symbol", {"role": "Intogen_Driver_role", "cohort": "Intogen_Cohort", "cancer_type": "Intogen_CancerType"})
+        x = annotate.by_key(
+            x, dims.drivers, "gene_name", "symbol",
+            {"role": "Intogen_Driver_role", "cohort": "Intogen_Cohort", "cancer_type": "Intogen_CancerType"},
+        )
     maps = [m for m in (dims.gene_map, dims.other_gene_map) if m is not None]
     if any(d is not None for d in dims.metrics.values()) and maps:
         table = annotate.combine_metrics({m: dims.metrics.get(m) for m in METRICS})
@@ -82,7 +85,10 @@ def prioritise(candidates: DataFrame, dims: Dimensions, cfg: BordaConfig, vaf_ke
         order = next((c for c in ("_order", "_place") if c in t.columns), None)
         if order is None:  # no order is known: that of the values
             t, order = t.withColumn("_order", F.struct(*[F.col(f"`{c}`") for c in sorted(t.columns)])), "_order"
-        x = annotate.attach_values(x, t, [("sample_id", "sample_id"), *vaf_keys], {"Tumor DNA Depth": "tumor_dna_depth", "Tumor DNA VAF": "tumor_dna_vaf"}, order, {"hla_class": annotate.class_of})
+        x = annotate.attach_values(
+            x, t, [("sample_id", "sample_id"), *vaf_keys], {"Tumor DNA Depth": "tumor_dna_depth", "Tumor DNA VAF": "tumor_dna_vaf"}, order,
+            {"hla_class": annotate.class_of},
+        )
     first = ["sample_id", *union.STANDARD]
     x = x.orderBy("sample_id", F.col("Borda_Rank").asc_nulls_last(), F.col("Borda_Score").desc_nulls_last(), "row_id")
     return x.select(*first, *[F.col(f"`{c}`") for c in x.columns if c not in (*first, "row_id", union.PLACE)])
@@ -97,7 +103,10 @@ class Networks:
     distances: DataFrame
 
 
-def networks(counts: DataFrame, reference: DataFrame, membrane: DataFrame, cfg: FilterConfig, store: Callable[[DataFrame, str], DataFrame] = keep, normalise: bool = True) -> Networks:
+def networks(
+    counts: DataFrame, reference: DataFrame, membrane: DataFrame, cfg: FilterConfig, store: Callable[[DataFrame, str], DataFrame] = keep,
+    normalise: bool = True,
+) -> Networks:
     """Counts (gene, sample_id, count) and reference edges (edge_id, src, dst) to filtered networks and their measures.
 
     Pair weights are computed for the reference's pairs and for those that touch a membrane gene; the full matrix is

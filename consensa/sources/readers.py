@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 
 SHEET = T.StructType([T.StructField(c, T.StringType()) for c in ("sample_name", "fastq_R1", "fastq_R2", "datatype", "lane", "HLA-types")])
 # The 17 columns of gene annotation files.
-GAF = ["db", "object_id", "gene", "qualifier", "go_id", "reference", "evidence", "with_from", "aspect", "name", "synonym", "type", "taxon", "date", "assigned_by", "extension", "product"]
+GAF = [
+    "db", "object_id", "gene", "qualifier", "go_id", "reference", "evidence", "with_from", "aspect", "name", "synonym", "type", "taxon",
+    "date", "assigned_by", "extension", "product",
+]
 
 
 def _path(spark: SparkSession, path: str):
@@ -58,7 +61,10 @@ def tolerant(spark: SparkSession, path: str | None, schema: T.StructType | str,
     raw = r.csv(path)
     have = raw.columns
     raw = placed(raw) if place else raw
-    return raw.select(*[(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind], *["_place"] * place)
+    return raw.select(
+        *[(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind],
+        *["_place"] * place
+    )
 
 
 def sample_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +92,10 @@ def counts(spark: SparkSession, paths: Sequence[str], suffix: str = r"_CancerRNA
     """(gene, sample_id, count) from count files: one comment line, a header, gene id first and the count last."""
     lines = spark.read.text(list(paths)).withColumn("f", F.input_file_name())
     cells = F.split("value", "\t")
-    x = lines.filter(~F.col("value").startswith("#")).select(cells[0].alias("gene"), F.element_at(cells, -1).try_cast("double").try_cast("long").alias("count"), F.regexp_replace(F.element_at(F.split("f", "/"), -1), suffix, "").alias("sample_id"))
+    x = lines.filter(~F.col("value").startswith("#")).select(
+        cells[0].alias("gene"), F.element_at(cells, -1).try_cast("double").try_cast("long").alias("count"),
+        F.regexp_replace(F.element_at(F.split("f", "/"), -1), suffix, "").alias("sample_id"),
+    )
     return x.filter(F.col("gene") != "Geneid").select("gene", "sample_id", "count")
 
 
@@ -135,7 +144,10 @@ def intervals(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).filter(~F.col("value").rlike(r"^(@|#|track|browser|\s*$)"))
     cells, colon = F.split("value", "\t"), F.regexp_extract("value", r"^(.+):(\d+)-(\d+)$", 1)
     bed = path.lower().removesuffix(".gz").endswith(".bed")
-    by_tab = F.struct(cells[0].alias("chrom"), (F.get(cells, F.lit(1)).cast("long") - (0 if bed else 1)).alias("start"), F.get(cells, F.lit(2)).cast("long").alias("stop"))
+    by_tab = F.struct(
+        cells[0].alias("chrom"), (F.get(cells, F.lit(1)).cast("long") - (0 if bed else 1)).alias("start"),
+        F.get(cells, F.lit(2)).cast("long").alias("stop"),
+    )
     number = lambda i: F.regexp_extract("value", r"^(.+):(\d+)-(\d+)$", i).try_cast("long")
     by_colon = F.struct(colon.alias("chrom"), (number(2) - 1).alias("start"), number(3).alias("stop"))
     return lines.select(F.when(colon != "", by_colon).otherwise(by_tab).alias("x")).select("x.*")
@@ -159,4 +171,7 @@ def read_group(header: F.Column) -> dict[str, F.Column]:
     f = F.split(left, ":")
     has = F.size(f) >= 4
     bar = F.split(F.get(right, F.lit(1)), ":")
-    return {"flowcell": F.when(has, F.get(f, F.lit(2))).otherwise("flowcell"), "lane": F.when(has, F.get(f, F.lit(3))).otherwise("lane"), "barcode": F.coalesce(F.nullif(F.element_at(F.when(F.size(bar) >= 4, bar), -1), F.lit("")), F.lit("barcode"))}
+    return {
+        "flowcell": F.when(has, F.get(f, F.lit(2))).otherwise("flowcell"), "lane": F.when(has, F.get(f, F.lit(3))).otherwise("lane"),
+        "barcode": F.coalesce(F.nullif(F.element_at(F.when(F.size(bar) >= 4, bar), -1), F.lit("")), F.lit("barcode")),
+    }

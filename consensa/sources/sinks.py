@@ -35,9 +35,13 @@ def graph(vertices: DataFrame, edges: DataFrame, folder: str) -> None:
 def indexed(edges: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cells, genes) of symmetric coordinate matrices: row numbers from 1 in gene order, each edge in both triangles."""
     genes = vertices.select("sample_id", "gene").distinct().withColumn("i", F.row_number().over(W.partitionBy("sample_id").orderBy("gene")))
-    both = edges.select("sample_id", F.col("a").alias("r"), F.col("b").alias("c"), "weight").unionByName(edges.select("sample_id", F.col("b").alias("r"), F.col("a").alias("c"), "weight"))
+    both = edges.select(
+        "sample_id", F.col("a").alias("r"), F.col("b").alias("c"), "weight",
+    ).unionByName(edges.select("sample_id", F.col("b").alias("r"), F.col("a").alias("c"), "weight"))
     at = lambda n: genes.select("sample_id", F.col("gene").alias(n), F.col("i").alias(f"{n}_i"))
-    return both.join(at("r"), ["sample_id", "r"]).join(at("c"), ["sample_id", "c"]).select("sample_id", F.col("r_i").alias("row"), F.col("c_i").alias("col"), "weight"), genes
+    return both.join(at("r"), ["sample_id", "r"]).join(at("c"), ["sample_id", "c"]).select(
+        "sample_id", F.col("r_i").alias("row"), F.col("c_i").alias("col"), "weight",
+    ), genes
 
 
 def matrix_market(edges: DataFrame, vertices: DataFrame, folder: str) -> None:
@@ -45,10 +49,16 @@ def matrix_market(edges: DataFrame, vertices: DataFrame, folder: str) -> None:
     cells, genes = indexed(edges, vertices)
     n = genes.groupBy("sample_id").agg(F.count("*").alias("n"))
     m = cells.groupBy("sample_id").agg(F.count("*").alias("m"))
-    head = n.join(m, "sample_id", "left").select("sample_id", F.lit(0).alias("o"), F.lit(0).alias("p"), F.concat(F.lit("%%MatrixMarket matrix coordinate real general\n"), F.concat_ws(" ", "n", "n", F.coalesce("m", F.lit(0)))).alias("value"))
+    head = n.join(m, "sample_id", "left").select(
+        "sample_id", F.lit(0).alias("o"), F.lit(0).alias("p"),
+        F.concat(F.lit("%%MatrixMarket matrix coordinate real general\n"), F.concat_ws(" ", "n", "n", F.coalesce("m", F.lit(0)))).alias("value"),
+    )
     body = cells.select("sample_id", F.col("row").alias("o"), F.col("col").alias("p"), F.concat_ws(" ", "row", "col", "weight").alias("value"))
     lines = head.unionByName(body).repartition("sample_id").sortWithinPartitions("sample_id", "o", "p").select("sample_id", "value")
-    for df, name in ((lines, "matrix"), (genes.repartition("sample_id").sortWithinPartitions("sample_id", "i").select("sample_id", F.col("gene").alias("value")), "genes")):
+    for df, name in (
+        (lines, "matrix"),
+        (genes.repartition("sample_id").sortWithinPartitions("sample_id", "i").select("sample_id", F.col("gene").alias("value")), "genes"),
+    ):
         df.write.mode("overwrite").partitionBy("sample_id").text(f"{folder}/{name}")
 
 

@@ -71,7 +71,10 @@ def test_sinks(spark, tmp_path):
     assert "".join(p.read_text() for p in (tmp_path / "mm/genes/sample_id=s").glob("*.txt")).split() == ["a", "b", "c"]
     with pytest.raises(ValueError):
         sinks.require_rows(df.filter("false"), "x")
-    html = sinks.html_batch(spark.createDataFrame([("s", "<b>", "Act", "Somatic")], "sample_id string, x string, GO_MF string, `Mutation.Source` string"), str(tmp_path), shape={"x": lambda c: report.badge(c, "X")})
+    html = sinks.html_batch(
+        spark.createDataFrame([("s", "<b>", "Act", "Somatic")], "sample_id string, x string, GO_MF string, `Mutation.Source` string"),
+        str(tmp_path), shape={"x": lambda c: report.badge(c, "X")},
+    )
     page = open(html[0]).read()
     assert 'title="&lt;b&gt;">X<' in page and '<span class="pill" title="Act">MF</span>' in page and "Genomic" in page and "All" in page
     for name in ("s1_epitopes_final.csv", "s2_epitopes_final.csv", "other.csv"):

@@ -20,7 +20,10 @@ def rows(df, *cols):
 
 def test_numbers(spark):
     df = spark.createDataFrame([("abc",), (" 1e-3 ",), ("8.0",), ("Infinity",), ("NaN",), (None,)], "s string")
-    got = df.select(nulls.to_double("s").alias("d"), nulls.to_int("s").alias("i"), F.coalesce(nulls.is_finite(nulls.to_double("s")), F.lit(False)).alias("ok")).collect()
+    got = df.select(
+        nulls.to_double("s").alias("d"), nulls.to_int("s").alias("i"),
+        F.coalesce(nulls.is_finite(nulls.to_double("s")), F.lit(False)).alias("ok"),
+    ).collect()
     assert [r.ok for r in got] == [False, True, True, False, False, False]
     assert got[1].d == 0.001 and got[2].i == 8 and got[0].d is None
 
@@ -54,7 +57,9 @@ def points(values, ties="average", higher=False):
 @pytest.mark.parametrize("ties,policy", list(itertools.product(("average", "min", "max", "first"), ("ignore", "worst", "drop"))))
 def test_borda(spark, ties, policy):
     rng = random.Random(hash((ties, policy)) % 100)
-    data = [(f"s{i % 3}", i, rng.choice([None, 1.0, 2.0, float("nan"), 5.0]), rng.choice([None, 1.0, float("inf"), 3.0])) for i in range(40)] + [("one", 99, 2.0, None)]
+    data = [(
+        f"s{i % 3}", i, rng.choice([None, 1.0, 2.0, float("nan"), 5.0]), rng.choice([None, 1.0, float("inf"), 3.0]),
+    ) for i in range(40)] + [("one", 99, 2.0, None)]
     df = spark.createDataFrame(data, "sample_id string, row_id int, a double, Net_B double")
     cfg = BordaConfig([Feature("a", 2), Feature("Network_B", 1, "higher_better"), Feature("absent", 1)], ties, policy)
     got = {r.row_id: (r.Borda_Score, r.Borda_Rank) for r in borda.consensus(df, cfg).collect()}
@@ -87,18 +92,30 @@ def test_config_checks():
 
 
 def test_union(spark):
-    a = spark.createDataFrame([("s", "A_B", "x", None, "PEP", "1.5", "e"), ("s", None, "x", None, "PEPT", "abc", "e")], "sample_id string, gene string, al string, len string, seq string, ic string, extra string")
+    a = spark.createDataFrame(
+        [("s", "A_B", "x", None, "PEP", "1.5", "e"), ("s", None, "x", None, "PEPT", "abc", "e")],
+        "sample_id string, gene string, al string, len string, seq string, ic string, extra string",
+    )
     f = union.project(a, ["gene", "al", "len", "seq", "ic", "extra", "missing"], "Fusion", "MHC Class I")
     s = union.project(a, ["gene", "al", "len", "seq", "nope", "ic"], "Somatic", "MHC Class II")
     m = union.merge([f, s, s])
     assert m.columns == ["sample_id", *union.STANDARD, "extra"]
     got = rows(m, "gene_name", "peptide_length", "median_mt_ic50", "mutation_source", "fusion_genes", "extra")
-    assert got == sorted([("A", 3, 1.5, "Fusion", "A_B", "e"), ("B", 3, 1.5, "Fusion", "A_B", "e"), (None, 4, None, "Fusion", None, "e"), ("A_B", None, 1.5, "Somatic", None, None), (None, None, None, "Somatic", None, None)], key=str)
+    assert got == sorted(
+        [
+            ("A", 3, 1.5, "Fusion", "A_B", "e"), ("B", 3, 1.5, "Fusion", "A_B", "e"), (None, 4, None, "Fusion", None, "e"),
+            ("A_B", None, 1.5, "Somatic", None, None), (None, None, None, "Somatic", None, None),
+        ],
+        key=str,
+    )
     assert union.first_present(a.withColumnRenamed("extra", "HLA.Allele"), "HLA_Allele") == "HLA.Allele"
 
 
 def test_partial_lengths_stay_null(spark):
-    a = spark.createDataFrame([("s", "A", "x", "9", "PEP", "1"), ("s", "B", "x", None, "PEPT", "2")], "sample_id string, gene string, al string, len string, seq string, ic string")
+    a = spark.createDataFrame(
+        [("s", "A", "x", "9", "PEP", "1"), ("s", "B", "x", None, "PEPT", "2")],
+        "sample_id string, gene string, al string, len string, seq string, ic string",
+    )
     assert rows(union.project(a, ["gene", "al", "len", "seq", "ic"], "Splice Variant", "MHC Class I"), "gene_name", "peptide_length") == [("A", 9), ("B", None)]
 
 
@@ -108,11 +125,17 @@ def test_hla(spark):
     m = F.from_json(F.lit('{"DQA1": [7.5, 1, 0.5], "DQB1": [4.0, 2, null], "A": [1, 2.5], "C": []}'), "map<string,array<string>>")
     got = annotate.hla_tpm(df, "a", m).collect()
     assert [r.hla_tpm for r in got] == [None, 4.0, None, None, None, None]
-    assert [r.hla_tpm_detail for r in got] == ["A: TPM=None; count=1; rel=2.5", "DQA1: TPM=7.5; count=1; rel=0.5; DQB1: TPM=4.0; count=2; rel=None", "", "", "", "C: TPM=None; count=None; rel=None"]
+    assert [r.hla_tpm_detail for r in got] == [
+        "A: TPM=None; count=1; rel=2.5", "DQA1: TPM=7.5; count=1; rel=0.5; DQB1: TPM=4.0; count=2; rel=None", "", "", "",
+        "C: TPM=None; count=None; rel=None",
+    ]
 
 
 def test_class_names(spark):
-    said = {"I": "I", "1": "I", "MHC_Class-II": "II", "mhci": "I", "II": "II", "class ii x": "II", " Other-one ": "Other-one", None: "", "class i b": "I", "MHC-II": "II", "mhcii?": "II"}
+    said = {
+        "I": "I", "1": "I", "MHC_Class-II": "II", "mhci": "I", "II": "II", "class ii x": "II", " Other-one ": "Other-one", None: "",
+        "class i b": "I", "MHC-II": "II", "mhcii?": "II",
+    }
     df = spark.createDataFrame([(x,) for x in said], "c string")
     assert [r[0] for r in df.select(annotate.class_of("c")).collect()] == list(said.values())
 
@@ -201,7 +224,10 @@ def test_blocks_of_genes_equal_pairs(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((23, 6))
     x[3], x[4] = 1.0, [0, 0, 5, 0, 0, 0]
-    values = spark.createDataFrame([(f"g{i:02}", f"s{j}", float(x[i, j])) for i in range(23) for j in range(6)] + [("part", "s1", 1.0)], "gene string, sample_id string, value double")
+    values = spark.createDataFrame(
+        [(f"g{i:02}", f"s{j}", float(x[i, j])) for i in range(23) for j in range(6)] + [("part", "s1", 1.0)],
+        "gene string, sample_id string, value double",
+    )
     pairs = spark.createDataFrame([(f"g{i:02}", f"g{j:02}") for i, j in itertools.combinations(range(23), 2)], "a string, b string")
     want = {(r.sample_id, r.a, r.b): r.weight for r in lioness.edges(values, pairs).collect()}
     monkeypatch.setattr(lioness, "BLOCK_CELLS", 600)
@@ -316,10 +342,16 @@ def test_betweenness(spark):
 
 
 def test_components_and_degree(spark):
-    e = spark.createDataFrame([("s", 1, "a", "b", 1.0), ("s", 2, "b", "a", 2.0), ("s", 3, "d", "c", -4.0)], "sample_id string, edge_id long, src string, dst string, weight double")
+    e = spark.createDataFrame(
+        [("s", 1, "a", "b", 1.0), ("s", 2, "b", "a", 2.0), ("s", 3, "d", "c", -4.0)],
+        "sample_id string, edge_id long, src string, dst string, weight double",
+    )
     v = spark.createDataFrame([("s", g) for g in "abcdx"], "sample_id string, gene string")
     assert rows(network.components(e, v, keep), "gene", "component") == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("x", "x")]
-    chain = spark.createDataFrame([("s", i, f"n{i:03}", f"n{i + 1:03}", 1.0) for i in range(200)], "sample_id string, edge_id long, src string, dst string, weight double")
+    chain = spark.createDataFrame(
+        [("s", i, f"n{i:03}", f"n{i + 1:03}", 1.0) for i in range(200)],
+        "sample_id string, edge_id long, src string, dst string, weight double",
+    )
     ends_ = network.ends(chain).select("sample_id", "gene").distinct()
     assert [r[0] for r in network.components(chain, ends_, keep).select("component").distinct().collect()] == ["n000"]
     assert rows(network.degree_strength(e, v), "gene", "degree", "strength") == [("a", 2, 3.0), ("b", 2, 3.0), ("c", 1, 4.0), ("d", 1, 4.0), ("x", 0, 0.0)]
@@ -343,7 +375,10 @@ def test_closure_with_cycle(spark):
 
 
 def test_filters_and_intervals(spark):
-    v = spark.createDataFrame([("c", 5, "A", "G", 1.0, 1.0, 50.0, 1.0, None, 0.0, 5.0, 99.0), ("c", 10, "A", "G", 9.0, 1.0, 50.0, 1.0, 0.0, 0.0, 50.0, 99.0)], "chrom string, pos long, ref string, alt string, QD double, FS double, MQ double, SOR double, MQRankSum double, ReadPosRankSum double, DP double, GQ double")
+    v = spark.createDataFrame(
+        [("c", 5, "A", "G", 1.0, 1.0, 50.0, 1.0, None, 0.0, 5.0, 99.0), ("c", 10, "A", "G", 9.0, 1.0, 50.0, 1.0, 0.0, 0.0, 50.0, 99.0)],
+        "chrom string, pos long, ref string, alt string, QD double, FS double, MQ double, SOR double, MQRankSum double, ReadPosRankSum double, DP double, GQ double",
+    )
     f = variants.hard_filter(v, variants.SNP)
     assert rows(f, "pos", "filter", "ft") == [(10, "PASS", "PASS"), (5, "QD2", "LowDP")]
     iv = spark.createDataFrame([("c", 4, 5), ("c", 5, 9)], "chrom string, start long, stop long")
@@ -398,7 +433,9 @@ def test_modes(spark):
 
 def test_histogram_of_odd_values(spark):
     inf = float("inf")
-    df = spark.createDataFrame([("s", 1.0), ("s", inf), ("s", None), ("s", float("nan")), ("t", 2.0), ("t", 2.0000001), ("u", inf)], "sample_id string, v double")
+    df = spark.createDataFrame(
+        [("s", 1.0), ("s", inf), ("s", None), ("s", float("nan")), ("t", 2.0), ("t", 2.0000001), ("u", inf)], "sample_id string, v double",
+    )
     for bins in (200, None):
         got = report.histogram(df, "v", ["sample_id"], bins).groupBy("sample_id").agg(F.sum("n")).collect()
         assert {tuple(r) for r in got} == {("s", 1), ("t", 2)}

@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 from consensa.operators.config import BordaConfig, Feature, FilterConfig
 from consensa.plans import workflow
 
-COLUMNS = {"Somatic": ["Gene Name", "HLA Allele", "Peptide Length", "MT Epitope Seq", "WT Epitope Seq", "Median MT IC50 Score"], "Fusion": ["Gene Name", "HLA Allele", "Peptide Length", "Epitope Seq", "Median IC50 Score"]}
+COLUMNS = {
+    "Somatic": ["Gene Name", "HLA Allele", "Peptide Length", "MT Epitope Seq", "WT Epitope Seq", "Median MT IC50 Score"],
+    "Fusion": ["Gene Name", "HLA Allele", "Peptide Length", "Epitope Seq", "Median IC50 Score"],
+}
 
 
 def test_networks_then_prioritisation(spark, tmp_path):
     rng = random.Random(1)
     genes = [f"E{i}" for i in range(14)]
-    counts = spark.createDataFrame([(f"{g}.{rng.randint(1, 3)}", f"s{j}", rng.randint(20, 400)) for g in genes for j in range(6)], "gene string, sample_id string, count int")
+    counts = spark.createDataFrame(
+        [(f"{g}.{rng.randint(1, 3)}", f"s{j}", rng.randint(20, 400)) for g in genes for j in range(6)],
+        "gene string, sample_id string, count int",
+    )
     ref = spark.createDataFrame([(i, *rng.sample([*genes, "E99"], 2)) for i in range(40)], "edge_id long, src string, dst string")
     mem = spark.createDataFrame([("E1",), ("E2",), ("E77",), (" ",)], "gene string")
     n = workflow.networks(counts, ref, mem, FilterConfig(top_prop=0.3, add_prop=0.1))
@@ -24,7 +30,10 @@ def test_networks_then_prioritisation(spark, tmp_path):
     assert total.filter("abs(t - 1) > 1e-9").isEmpty() and total.count() == 6
     (tmp_path / "a.tsv").write_text("\t".join(COLUMNS["Somatic"]) + "\n" + "".join(f"G{i}\tHLA-A*02:01\t9\tPEP{i}\tWT{i}\t{i * 10}\n" for i in range(8)))
     (tmp_path / "b.tsv").write_text("\t".join(COLUMNS["Fusion"]) + "\nG1_G2\tDQA1*01:01-DQB1*02:01\t15\tFUS\t33\n")
-    paths = {("s1", "Somatic", "MHC Class I"): str(tmp_path / "a.tsv"), ("s1", "Fusion", "MHC Class II"): str(tmp_path / "b.tsv"), ("s2", "Somatic", "MHC Class I"): str(tmp_path / "none.tsv")}
+    paths = {
+        ("s1", "Somatic", "MHC Class I"): str(tmp_path / "a.tsv"), ("s1", "Fusion", "MHC Class II"): str(tmp_path / "b.tsv"),
+        ("s2", "Somatic", "MHC Class I"): str(tmp_path / "none.tsv"),
+    }
     x = workflow.read_candidates(spark, paths, COLUMNS)
     assert x.count() == 10
     dims = workflow.Dimensions(

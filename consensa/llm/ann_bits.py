@@ -61,7 +61,10 @@ def with_codes(vectors: DataFrame, bits: int, seed: int) -> DataFrame:
             for size in np.unique(d):
                 part = b.filter(pa.array(d == size))
                 code, norm, fix = encode(matrix(part["v"]), rotation(int(size), bits, seed))
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in b.schema.names), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(norm), pa.array(fix)], names=[*b.schema.names, "code", "norm", "fix"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part[c] for c in b.schema.names), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(norm), pa.array(fix)],
+                    names=[*b.schema.names, "code", "norm", "fix"],
+                )
 
     return vectors.mapInArrow(run, "rid long, key binary, d int, v array<double>, least long, asked boolean, code binary, norm double, fix double")
 

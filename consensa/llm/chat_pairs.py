@@ -44,7 +44,10 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     x = x.withColumn("prefix_turns", F.expr("cast(if(array_position(same, false) = 0, size(same), array_position(same, false) - 1) as int)"))
     x = x.withColumn("head", F.expr("slice(c, 1, prefix_turns)"))
     for k in "cr":
-        x = x.withColumn(f"{k}_rest", F.expr(f"if(size({k}) = 0, null, if(size({k}) > prefix_turns, slice({k}, prefix_turns + 1, size({k})), slice({k}, 1, 0)))"))
+        x = x.withColumn(
+            f"{k}_rest",
+            F.expr(f"if(size({k}) = 0, null, if(size({k}) > prefix_turns, slice({k}, prefix_turns + 1, size({k})), slice({k}, 1, 0)))"),
+        )
     return x.select(
         "pair_id", "prefix_turns", F.expr(_render("head")).alias("prompt"),
         F.expr(_render("c_rest")).alias("chosen"), F.expr(_mask("c_rest")).alias("chosen_mask"),
@@ -54,7 +57,10 @@ def format_pairs(turns: DataFrame) -> DataFrame:
 
 def op9(conversations: DataFrame) -> DataFrame:
     rows = conversations.filter("conv_id is not null")
-    return format_pairs(rows.select(F.expr("shiftright(cast(conv_id as long), 1)").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_chosen"), "turn", "role", "text"))
+    return format_pairs(rows.select(
+        F.expr("shiftright(cast(conv_id as long), 1)").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_chosen"), "turn",
+        "role", "text",
+    ))
 
 
 OP9_SQL = f"""

@@ -30,4 +30,7 @@ QUERIES = {
 }
 
 #: op1, op3, op4, op5, op8 and op10 have no practical SQL form: tests hold them against brute force, round trips and held-out rows.
-ORACLE_SQL = {"op2_source_mix": source_mix.OP2_SQL, "op6_url_filter": url_filter.OP6_SQL, "op7_pivot_topk": pivot_topk.OP7_SQL, "op9_chat_pairs": chat_pairs.OP9_SQL}
+ORACLE_SQL = {
+    "op2_source_mix": source_mix.OP2_SQL, "op6_url_filter": url_filter.OP6_SQL, "op7_pivot_topk": pivot_topk.OP7_SQL,
+    "op9_chat_pairs": chat_pairs.OP9_SQL,
+}

@@ -131,7 +131,10 @@ class _Block:
             out.append((qid, ids[pos], got))
         self.met += len(out) * len(ids)
         score = np.concatenate([g for _, _, g in out]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x for x, _, _ in out], [len(c) for _, c, _ in out])), pa.array(np.concatenate([c for _, c, _ in out])), pa.array(score)], names=["q", "c", "score"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat([x for x, _, _ in out], [len(c) for _, c, _ in out])), pa.array(np.concatenate([c for _, c, _ in out])), pa.array(score)],
+            names=["q", "c", "score"],
+        )
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS) -> DataFrame:

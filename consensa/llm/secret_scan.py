@@ -209,7 +209,9 @@ def profile(docs: DataFrame, text: str = "text") -> list[tuple[float, float, flo
             texts = b[0].to_pylist()
             for at in range(0, len(texts), 64):
                 found = [(i, n) for i, n in enumerate(tally(texts[at : at + 64])) if n]
-                yield pa.RecordBatch.from_pydict({"cell": [i for i, _ in found], "n": [n for _, n in found]}, pa.schema([("cell", pa.int32()), ("n", pa.int64())]))
+                yield pa.RecordBatch.from_pydict(
+                    {"cell": [i for i, _ in found], "n": [n for _, n in found]}, pa.schema([("cell", pa.int32()), ("n", pa.int64())])
+                )
 
     counts = [0] * 4097
     for cell, n in docs.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
@@ -289,7 +291,10 @@ def scan(profile: list[tuple], text: str = "text", reject: float = 1e-4) -> F.Co
         for t in texts:
             base, found = scan_text(t or "", profile, reject)
             said = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
-            rows.append(([{"start": s, "kind": k, "stop": e} for s, k, e in base], hashlib.sha256(said.encode()).hexdigest(), [dict(zip(("start", "stop", "stratum", "strength"), f)) for f in found]))
+            rows.append((
+                [{"start": s, "kind": k, "stop": e} for s, k, e in base], hashlib.sha256(said.encode()).hexdigest(),
+                [dict(zip(("start", "stop", "stratum", "strength"), f)) for f in found]
+            ))
         return pd.DataFrame(rows, columns=["base", "base_sha256", "found"])
 
     return udf(F.col(text))

@@ -45,7 +45,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     x = x.withColumn("total", F.sum("source_size").over(W.partitionBy())).withColumn("capped", F.coalesce(F.sum("source_size").over(upto), F.lit(0)))
     x = x.withColumn("level", (F.col("total") - most * F.col("capped")) / F.sum("w").over(rest))
     # the level holds from the first source that it doesn't fill
-    level = F.min_by(F.when(F.col("level") <= F.col("ratio"), F.col("level")), F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.coalesce("source", F.lit("")), F.col("source").isNull()))).over(W.partitionBy())
+    level = F.min_by(
+        F.when(F.col("level") <= F.col("ratio"), F.col("level")),
+        F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.coalesce("source", F.lit("")), F.col("source").isNull())),
+    ).over(W.partitionBy())
     x = x.withColumn("common", F.coalesce(level, F.lit(0.0)))
     return x.select("source", "source_size", F.least(F.lit(float(most)) * F.col("source_size"), F.col("w") * F.col("common")).alias("target"))
 
@@ -76,7 +79,9 @@ def cuts(rows: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), m
     inside = rows.join(F.broadcast(at) if few else at, rows["source"].eqNullSafe(at["c_source"]) & F.expr("left(_key, 6) = prefix"))
     ties = inside.groupBy("c_source", "_key", "left").agg(F.sum("_size").alias("n"), F.count_if(F.col("_size") > 0).alias("rows"))
     run = ties.withColumn("upto", F.sum("n").over(W.partitionBy("c_source").orderBy("_key")))
-    hit = run.filter("upto >= left").groupBy("c_source").agg(F.min("_key").alias("cut"), F.min_by(F.expr("left - (upto - n)"), "_key").alias("over"), F.min_by("rows", "_key").alias("rows"))
+    hit = run.filter("upto >= left").groupBy("c_source").agg(
+        F.min("_key").alias("cut"), F.min_by(F.expr("left - (upto - n)"), "_key").alias("over"), F.min_by("rows", "_key").alias("rows"),
+    )
     out = goal.join(hit.withColumnRenamed("c_source", "h_source"), F.col("c_source").eqNullSafe(F.col("h_source")), "left")
     out = durable(out.select("c_source", "source_size", "target", "epochs", "cut", F.expr("over div rows").alias("share")), "mix-cuts")
     out._few = few

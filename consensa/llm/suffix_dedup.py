@@ -136,7 +136,10 @@ def _segment_rows(keyed: DataFrame) -> DataFrame:
         for b in batches:
             k1, k2, ids = b["k1"].to_numpy(), b["k2"].to_numpy(), b["doc_id"]
             for i, s, e, bucket, name in segments(_raw(b)):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), *(pa.array(x) for x in (k1[i], k2[i], s, e, bucket, name))], names=["doc_id", "k1", "k2", "start", "stop", "bucket", "name"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(i)), *(pa.array(x) for x in (k1[i], k2[i], s, e, bucket, name))],
+                    names=["doc_id", "k1", "k2", "start", "stop", "bucket", "name"],
+                )
 
     kind = f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, start long, stop long, bucket long, name long"
     return keyed.select("doc_id", "k1", "k2", "text").mapInArrow(run, kind).withColumn("place", F.xxhash64("k1", "k2", "start"))
@@ -159,7 +162,13 @@ def _open_rows(docs: DataFrame) -> DataFrame:
                 rows = [(x["bucket"], x["start"], raw[x["start"] : x["stop"] + LENGTH - 1]) for x in open_.as_py()]
                 if rows:
                     n = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(np.full(n, k1[i])), pa.array(np.full(n, k2[i])), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "k1", "k2", "start", "raw"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([r[0] for r in rows], pa.int64()), pa.array(np.full(n, k1[i])), pa.array(np.full(n, k2[i])),
+                            pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())
+                        ],
+                        names=["bucket", "k1", "k2", "start", "raw"],
+                    )
 
     return docs.select("k1", "k2", "text", "open").mapInArrow(run, "bucket long, k1 long, k2 long, start int, raw binary")
 
@@ -204,7 +213,10 @@ def _refine(batches):
         first, last = hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)]
         at = np.array(use)[row[new]]
         begin = start[at] + within[new]
-        return pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), pa.array(begin.astype(np.int32)), pa.array((begin + last - first + 1).astype(np.int32))], names=["k1", "k2", "start", "stop"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(k1[at]), pa.array(k2[at]), pa.array(begin.astype(np.int32)), pa.array((begin + last - first + 1).astype(np.int32))],
+            names=["k1", "k2", "start", "stop"],
+        )
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -236,12 +248,20 @@ def _windows(docs: DataFrame) -> DataFrame:
         for b in batches:
             k1, k2, wide = b["k1"].to_numpy(), b["k2"].to_numpy(), b["wide"].to_pylist()
             for i, raw in enumerate(_raw(b)):
-                starts, bucket = (np.concatenate(x) for x in zip(*((np.arange(x["start"], x["stop"]), np.full(x["stop"] - x["start"], x["bucket"])) for x in wide[i])))
+                starts, bucket = (np.concatenate(x) for x in zip(*((
+                    np.arange(x["start"], x["stop"]), np.full(x["stop"] - x["start"], x["bucket"]),
+                ) for x in wide[i])))
                 for at, part in pieces(raw):
                     here = (starts >= at) & (starts < at + PIECE)  # segments of a text do not overlap
                     p = starts[here]
                     if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket[here]), pa.array(names200(names32(part), p - at).view(np.int64)), pa.array(np.full(len(p), k1[i])), pa.array(np.full(len(p), k2[i])), pa.array(p.astype(np.int32))], names=["bucket", "w", "k1", "k2", "at"])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(bucket[here]), pa.array(names200(names32(part), p - at).view(np.int64)),
+                                pa.array(np.full(len(p), k1[i])), pa.array(np.full(len(p), k2[i])), pa.array(p.astype(np.int32)),
+                            ],
+                            names=["bucket", "w", "k1", "k2", "at"],
+                        )
 
     return docs.select("k1", "k2", "text", "wide").mapInArrow(run, "bucket long, w long, k1 long, k2 long, at int")
 
@@ -260,7 +280,9 @@ def _join_spans(batches):
         last = np.append(new[1:] - 1, len(row) - 1)[: len(new)]
         offsets = np.searchsorted(row[new], np.arange(b.num_rows + 1)).astype(np.int32)
         joined = pa.StructArray.from_arrays([pa.array(start[new].astype(np.int32)), pa.array(stop[last].astype(np.int32))], names=["start", "stop"])
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), joined) if c == "full" else b[c] for c in b.schema.names], names=b.schema.names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(pa.array(offsets), joined) if c == "full" else b[c] for c in b.schema.names], names=b.schema.names
+        )
 
 
 def repeated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -298,7 +320,9 @@ def repeated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     if not marked.filter(F.size("wide") > 0).isEmpty():
         windows = durable(_windows(asking("wide")), "suffix-windows")
         twice = windows.withColumn("place", F.xxhash64("k1", "k2", "at")).groupBy("bucket", "w").agg(*place).filter("low <> high").select("bucket", "w")
-        parts = parts.unionByName(windows.join(durable(twice, "suffix-twice"), ["bucket", "w"]).select("k1", "k2", F.col("at").alias("start"), F.expr("at + 1").alias("stop")).distinct())
+        parts = parts.unionByName(windows.join(durable(twice, "suffix-twice"), ["bucket", "w"]).select(
+            "k1", "k2", F.col("at").alias("start"), F.expr("at + 1").alias("stop"),
+        ).distinct())
     copies = texts.groupBy("k1", "k2").agg(F.sum("c").alias("c"), F.max("n").alias("n")).filter(f"c > 1 and n >= {LENGTH}")
     parts = parts.select("k1", "k2", "start", (F.col("stop") + LENGTH - 1).alias("stop"))
     parts = parts.unionByName(marked.select("k1", "k2", F.explode("full").alias("s")).select("k1", "k2", "s.start", "s.stop"))

@@ -64,7 +64,13 @@ def ratios(labelled: DataFrame) -> DataFrame:
     grams = labelled.filter("size(code) > 2").select("accepted", F.explode(F.expr(_grams())).alias("g"))
     counts = grams.groupBy("g").agg(F.count_if("accepted").alias("n1"), F.count_if(~F.col("accepted")).alias("n0"))
     grid = spark.range(N**3).withColumnRenamed("id", "g").join(counts.withColumn("g", F.col("g").cast("long")), "g", "left")
-    grid = durable(grid.select("g", F.expr(f"cast(g div {N * N} as int) a"), F.expr(f"cast(g div {N} % {N} as int) b"), F.expr(f"cast(g % {N} as int) c"), F.coalesce("n1", F.lit(0)).alias("n1"), F.coalesce("n0", F.lit(0)).alias("n0")), "url-grams")
+    grid = durable(
+        grid.select(
+            "g", F.expr(f"cast(g div {N * N} as int) a"), F.expr(f"cast(g div {N} % {N} as int) b"), F.expr(f"cast(g % {N} as int) c"),
+            F.coalesce("n1", F.lit(0)).alias("n1"), F.coalesce("n0", F.lit(0)).alias("n0"),
+        ),
+        "url-grams",
+    )
     uni, bi, ab = grid.groupBy("c"), grid.groupBy("b", "c"), grid.groupBy("a", "b")
     both = lambda f: [f(k).alias(f.__name__ + k) for k in "10"]
 
@@ -81,7 +87,9 @@ def ratios(labelled: DataFrame) -> DataFrame:
     m1 = b2.groupBy("b").agg(*both(N_), *both(T_))
     p1 = b2.join(m1, "b").join(p0, "c").select("b", "c", *[F.expr(f"if(N_{k} = 0, p0_{k}, (n{k} + T_{k} * p0_{k}) / (N_{k} + T_{k})) as p1_{k}") for k in "10"])
     m2 = ab.agg(*both(N_), *both(T_))
-    p2 = grid.join(m2, ["a", "b"]).join(p1, ["b", "c"]).select("g", *[F.expr(f"if(N_{k} = 0, p1_{k}, (n{k} + T_{k} * p1_{k}) / (N_{k} + T_{k})) as p2_{k}") for k in "10"])
+    p2 = grid.join(m2, ["a", "b"]).join(p1, ["b", "c"]).select(
+        "g", *[F.expr(f"if(N_{k} = 0, p1_{k}, (n{k} + T_{k} * p1_{k}) / (N_{k} + T_{k})) as p2_{k}") for k in "10"]
+    )
     lr = p2.select(F.struct("g", F.expr("cast(round(1000 * coalesce(ln(p2_1) - ln(p2_0), 0.0)) as int)").alias("r")).alias("x"))
     return lr.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"].cast("string")), ",").alias("lr"))
 
@@ -89,7 +97,10 @@ def ratios(labelled: DataFrame) -> DataFrame:
 def fitted(pages: DataFrame) -> tuple[F.Column, float]:
     """(score expression over ``code``, cut), from the URLs that rules judge."""
     seen = judged(pages.select("url")).filter("by_rule is not null")
-    seen = seen.select("url", F.expr(codes("url")).alias("code"), (F.col("by_rule") == "allow").alias("accepted"), F.expr("instr('048c', left(md5(url), 1)) > 0").alias("apart"))
+    seen = seen.select(
+        "url", F.expr(codes("url")).alias("code"), (F.col("by_rule") == "allow").alias("accepted"),
+        F.expr("instr('048c', left(md5(url), 1)) > 0").alias("apart"),
+    )
     model = F.split(F.lit(ratios(seen.filter("not apart")).first()["lr"]), ",").cast("array<int>")  # folded to one constant
     grams = F.expr(f"if(size(code) > 2, {_grams()}, cast(array() as array<int>))")
     score = F.aggregate(grams, F.lit(0).cast("long"), lambda a, g: a + F.get(model, g)) / (1000.0 * F.greatest(F.size("code") - 2, F.lit(1)))

@@ -56,7 +56,9 @@ def _keyed(floored: int | None):
             flat = flat + 0.0  # one zero
             keys = [hashlib.blake2b(flat[s:e].tobytes(), digest_size=16).digest() for s, e in zip(at, at[1:])]
             v = pa.ListArray.from_arrays(b["v"].offsets, pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(keys, pa.binary()), pa.array(np.diff(at).astype(np.int32)), v], names=["vec_id", "key", "d", "v"])
+            yield pa.RecordBatch.from_arrays(
+                [b["vec_id"], pa.array(keys, pa.binary()), pa.array(np.diff(at).astype(np.int32)), v], names=["vec_id", "key", "d", "v"],
+            )
 
     return run
 
@@ -71,7 +73,9 @@ class Search:
     def __init__(self, vectors: DataFrame, every: int, k: int, floored: int | None = None, zero: bool = True):
         self.k = k
         fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter((F.size("v") > 0) & fine)
+        rows = vectors.select(
+            F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"),
+        ).filter((F.size("v") > 0) & fine)
         if not zero:
             rows = rows.filter(F.exists("v", lambda x: x != 0))
         keyed = lambda x: x.mapInArrow(_keyed(floored), "vec_id long, key binary, d int, v array<double>")
@@ -82,7 +86,10 @@ class Search:
         self.asks = durable(keyed(rows.filter(F.col("vec_id") % every == 0)).select("key", "vec_id"), "vector-asks")
         asked = self.asks.select("key").distinct().withColumn("asked", F.lit(True))
         one = first.filter("r = 1").join(asked, "key", "left")
-        self.vectors = one.select(F.monotonically_increasing_id().alias("rid"), "key", "d", "v", F.coalesce("vec_id", F.lit(NO_ID)).alias("least"), F.coalesce("asked", F.lit(False)).alias("asked"))
+        self.vectors = one.select(
+            F.monotonically_increasing_id().alias("rid"), "key", "d", "v", F.coalesce("vec_id", F.lit(NO_ID)).alias("least"),
+            F.coalesce("asked", F.lit(False)).alias("asked"),
+        )
 
     def deal(self, index: DataFrame, block_row_bytes: int = 0, tile_row_bytes: int = 0) -> None:
         """Number of blocks and tiles for the rows of ``index`` (made from ``vectors``); a row's bytes beside 8 a component."""

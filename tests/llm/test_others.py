@@ -164,7 +164,10 @@ def test_url_model_reads_the_whole_url(spark):
     rng = random.Random(2)
     word = lambda s: "".join(rng.choice(s) for _ in range(12))
     rows = [(i, f"http://h.org/fr/x?{word('abcde')}", "h") for i in range(200)] + [(200 + i, f"http://h.net/x#{word('vwxyz')}", "h") for i in range(200)]
-    rows += [(1000, f"http://h.info/x?{word('abcde')}", "h"), (1001, f"http://h.info/x#{word('vwxyz')}", "h"), (1002, "no scheme " + word("vwxyz"), "h"), (1003, "abcde" * 40_000, "h"), (1004, None, None), (1004, None, None), (1005, "", "h")]
+    rows += [
+        (1000, f"http://h.info/x?{word('abcde')}", "h"), (1001, f"http://h.info/x#{word('vwxyz')}", "h"),
+        (1002, "no scheme " + word("vwxyz"), "h"), (1003, "abcde" * 40_000, "h"), (1004, None, None), (1004, None, None), (1005, "", "h"),
+    ]
     rows += [(1000, rows[400][1], "h")]
     got = url_filter.op6(spark.createDataFrame(rows, "page_id long, url string, path string")).collect()
     assert len(got) == len(rows)
@@ -188,7 +191,11 @@ def test_url_plan_is_native(spark):
 
 # conversations ------------------------------------------------------------------------------------
 def test_preference_pairs(spark):
-    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yo"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 2, "user", None), (2, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 0, "user", "a"), (5, 0, "user", "a"), (5, 1, "assistant", "b"), (None, 0, "user", "x")]
+    turns = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "yo"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 2, "user", None),
+        (2, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 0, "user", "a"), (5, 0, "user", "a"), (5, 1, "assistant", "b"),
+        (None, 0, "user", "x"),
+    ]
     got = {r.pair_id: r for r in chat_pairs.op9(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
     r = got[0]
     assert (r.prefix_turns, r.prompt) == (1, "<|user|>\nhi<|end|>\n")
@@ -207,7 +214,10 @@ def test_pairs_of_odd_tables(spark):
     kind = "conv_id long, turn long, role string, text string, pair_id string, head string, c int, r int"
     assert chat_pairs.op9(spark.createDataFrame([], kind)).count() == 0
     long = "word " * 60_000
-    turns = [(0, 0, "user", long), (0, 1, "assistant", "a"), (1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long), (2, None, None, ""), (3, None, None, "")]
+    turns = [
+        (0, 0, "user", long), (0, 1, "assistant", "a"), (1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long),
+        (2, None, None, ""), (3, None, None, ""),
+    ]
     got = {r.pair_id: r for r in chat_pairs.op9(spark.createDataFrame([(*t, "p", "h", 1, 2) for t in turns], kind)).collect()}
     assert got[0].prefix_turns == 1 and got[0].prompt == f"<|user|>\n{long}<|end|>\n" and got[0].rejected == f"<|assistant|>\n{long}<|end|>\n" * 2
     assert [got[0].rejected[int(s) : int(e)] for s, e in (x.split(":") for x in got[0].rejected_mask.split(","))] == [long + "<|end|>"] * 2

@@ -68,29 +68,33 @@ def strongest(rows: DataFrame, wanted: DataFrame, ties: list[str], bins: int = 1
 
 def enrich(
     ppi: DataFrame, unfiltered: DataFrame, weights: DataFrame, membrane: DataFrame, cfg: FilterConfig,
-    graph_vertices: DataFrame | None = None,
+    graph_vertices: DataFrame | None = None, store: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(edges, one summary row a sample): the PPI edges and the strongest further pairs that touch a membrane gene.
 
     A sample gets ceil(add_prop * its unfiltered, or filtered, edges) pairs, or as many as there are. With none to add, its PPI
     edges stay as they are; otherwise parallel edges become one (PPI before added, then the lower edge_id).
-    ``graph_vertices`` (sample_id, gene): the PPI graph's, its edges' ends if not given.
+    ``weights`` has one row a pair. ``graph_vertices`` (sample_id, gene): the PPI graph's, its edges' ends if not given.
+    ``store(df, name)`` writes what several steps read, and reads it back.
     """
     on = cfg.enrich and cfg.add_prop > 0
+    put = store or (lambda df, _: df)
+    ppi = put(ppi, "ppi")
     genes = membrane.select(F.col("gene").alias("_m")).distinct()
     touching = weights.filter("a < b and weight is not null and not isnan(weight)")
-    touching = touching.join(genes, F.col("a") == F.col("_m"), "left_semi").unionByName(touching.join(genes, F.col("b") == F.col("_m"), "left_semi")).distinct()
+    by = lambda df, end, how: df.join(genes, F.col(end) == F.col("_m"), how)
+    touching = by(touching, "a", "left_semi").unionByName(by(by(touching, "a", "left_anti"), "b", "left_semi"))
     if not on:
         touching = touching.filter("false")
     pairs = canonical(ppi).select("sample_id", "a", "b").distinct()
-    free = touching.join(pairs, ["sample_id", "a", "b"], "left_anti")
+    free = put(touching.join(pairs, ["sample_id", "a", "b"], "left_anti"), "candidates")
     whole = unfiltered.groupBy("sample_id").agg(F.count("*").alias("unfiltered_edges"))
     counts = whole.join(ppi.groupBy("sample_id").agg(F.count("*").alias("ppi_edges")), "sample_id", "left")
     counts = counts.join(free.groupBy("sample_id").agg(F.count("*").alias("candidates")), "sample_id", "left").na.fill(0, ["ppi_edges", "candidates"])
     base = F.col("unfiltered_edges" if cfg.denominator == "unfiltered_ppi_edges" else "ppi_edges")
-    counts = counts.withColumn("requested", F.least(share_ceil(base, cfg.add_prop if on else 0.0), F.col("candidates")))
+    counts = put(counts.withColumn("requested", F.least(share_ceil(base, cfg.add_prop if on else 0.0), F.col("candidates"))), "counts")
     added = strongest(free, counts.filter("requested > 0").select("sample_id", "requested"), ["a", "b"])
-    added = added.select("sample_id", F.lit(None).cast("long").alias("edge_id"), F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
+    added = put(added.select("sample_id", F.lit(None).cast("long").alias("edge_id"), F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), "added")
     both = ppi.select(
         "sample_id", F.col("edge_id").cast("long").alias("edge_id"), "src", "dst", "weight",
     ).withColumn("_o", F.lit(0)).unionByName(added.withColumn("_o", F.lit(1)))

@@ -6,7 +6,10 @@ rows is written twice, as DataFrame code in ``operators`` and as plain SQL here.
 
 from __future__ import annotations
 
+import io
 import re
+import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import to_double, to_int
 from ..functions.session import prepare
-from ..functions.tables import keep
+from ..functions.tables import keep, shared_dir
 from ..operators import annotate, borda, expression, graph_kernels, lioness, network, ontology, report, similarity, union, variants
 from ..operators.config import BordaConfig, Feature, FilterConfig
 from ..sources import readers, sinks
+from ..streaming import incremental
 from . import workflow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -486,7 +490,7 @@ ORDER BY edge_id) AS r FROM t) LEFT JOIN c USING (sample_id) WHERE r = 1 OR coal
 
 
 def _enriched(spark, sf_dir):
-    return network.enrich(top_edges(spark, sf_dir), rel(spark, sf_dir, PPI), rel(spark, sf_dir, PAIRS), rel(spark, sf_dir, MEMBRANE), FilterConfig())
+    return network.enrich(top_edges(spark, sf_dir), rel(spark, sf_dir, PPI), rel(spark, sf_dir, PAIRS), rel(spark, sf_dir, MEMBRANE), FilterConfig(), store=keep)
 
 
 @query("membrane_enrich", _ENRICH + " SELECT sample_id, edge_id, a, b, round(weight, 6) AS weight FROM x")
@@ -883,3 +887,138 @@ query("candidate_workflow", WORKFLOW_SQL)(candidate_workflow)
 query("workflow_counts", f"""SELECT sample_id, CAST(count(*) AS BIGINT) AS rows, CAST(count(tumor_dna_vaf) AS BIGINT) AS with_value, CAST(count(*) FILTER (mutation_source = 'Somatic') AS BIGINT) AS somatic
 FROM ({WORKFLOW_SQL}) GROUP BY 1""")(
     lambda s, d: annotate.value_counts(candidate_workflow(s, d)))
+
+
+# files: what a sink writes, a reader reads back ------------------------------------------------------
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(prepare(spark))}/{name}-{uuid.uuid4().hex}"
+
+
+def put_bytes(spark: SparkSession, path: str, raw: bytes) -> str:
+    p, fs = readers._path(spark, path)
+    out = fs.create(p)
+    out.write(bytearray(raw))
+    out.close()
+    return path
+
+
+TYPED = """SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_name END AS c_name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
+  concat('a "quoted", word', c_nationkey) AS note FROM {customer}"""
+_TYPES = "c_custkey long, c_name string, c_acctbal double, note string"
+
+
+def _read_back(sep: str):
+    def run(spark, sf_dir):
+        x, path = rel(spark, sf_dir, TYPED), folder(spark, "delimited")
+        sinks.csv(x, path, sep=sep)
+        return readers.tolerant(spark, path, _TYPES, sep)
+
+    return run
+
+
+query("csv_round_trip", TYPED)(_read_back(","))
+query("tsv_round_trip", TYPED)(_read_back("\t"))
+
+
+@query("empty_csv_header", "SELECT 'c_custkey,c_name' AS value")
+def empty_csv_header(spark, sf_dir):
+    path = folder(spark, "empty")
+    sinks.csv(rel(spark, sf_dir, "SELECT c_custkey, c_name FROM {customer} WHERE false"), path)
+    return spark.read.text(path)
+
+
+@query("samples_replaced", "SELECT p_brand, CASE WHEN p_brand < 'Brand#2' THEN 2 ELSE 1 END AS version, CAST(count(*) AS BIGINT) AS n FROM {part} GROUP BY 1, 2")
+def samples_replaced(spark, sf_dir):
+    """A second run over some samples replaces theirs and leaves the others'."""
+    x, path = rel(spark, sf_dir, "SELECT p_partkey, p_brand FROM {part}"), folder(spark, "samples")
+    sinks.csv(x.withColumn("version", F.lit(1)), path, ["p_brand"])
+    sinks.csv(x.withColumn("version", F.lit(2)).filter("p_brand < 'Brand#2'"), path, ["p_brand"])
+    back = spark.read.option("header", True).schema("p_partkey long, version int, p_brand string").csv(path)
+    return back.groupBy("p_brand", "version").agg(F.count("*").alias("n"))
+
+
+@query("count_files", "SELECT concat('G', p_partkey, '.3') AS gene, concat('S', p_size % 4) AS sample_id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) END AS count FROM {part}")
+def count_files(spark, sf_dir):
+    lines = """SELECT concat('G', p_partkey, '.3\t1\t', CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE concat(p_size, '.0') END) AS value, concat('/d/S', p_size % 4, '_CancerRNA_L1.txt') AS path
+FROM {part} UNION ALL SELECT concat('# run ', r_name), '/d/S0_CancerRNA_L1.txt' FROM {region} UNION ALL SELECT 'Geneid\tChr\tx.bam', concat('/d/S', r_regionkey % 4, '_CancerRNA_L1.txt') FROM {region}"""
+    return readers.count_lines(rel(spark, sf_dir, lines))
+
+
+@query("dense_matrix", "SELECT concat('g', l_suppkey) AS gene, l_returnflag AS sample_id, sum(l_quantity) AS value FROM {lineitem} GROUP BY 1, 2")
+def dense_matrix(spark, sf_dir):
+    path = folder(spark, "matrix")
+    wide = rel(spark, sf_dir, "SELECT concat('g', l_suppkey) AS gene, l_returnflag, l_quantity FROM {lineitem}").groupBy("gene").pivot("l_returnflag", ["A", "N", "R"]).sum("l_quantity")
+    sinks.csv(wide, path)
+    return readers.matrix(spark, path).filter("value is not null")
+
+
+@query("annotation_file", "SELECT concat('G', p_partkey) AS gene, concat('GO:', p_size) AS go_id, p_type AS evidence FROM {part}")
+def annotation_file(spark, sf_dir):
+    path = folder(spark, "gaf")
+    said = {"gene": "concat('G', p_partkey)", "go_id": "concat('GO:', p_size)", "evidence": "p_type"}
+    full = ", ".join(f"{said.get(c, repr(c))} AS {c}" for c in readers.GAF)
+    x = rel(spark, sf_dir, f"SELECT {full} FROM {{part}} UNION ALL SELECT " + ", ".join("'!x'" if c == "db" else "NULL" for c in readers.GAF) + " FROM {region}")
+    sinks.tsv(x, path, header=False)
+    return readers.annotations(spark, path).select("gene", "go_id", "evidence")
+
+
+@query("graph_round_trip", SPARSE)
+def graph_round_trip(spark, sf_dir):
+    path = folder(spark, "graph")
+    sinks.graph(rel(spark, sf_dir, SPARSE_V), rel(spark, sf_dir, SPARSE), path)
+    return readers.graph(spark, path)[1].select("sample_id", "edge_id", "src", "dst", "weight")
+
+
+@query("yaml_config", "SELECT CAST(0.3 AS DOUBLE) AS top_prop, CAST(0.1 AS DOUBLE) AS add_prop, true AS enrich, 'ppi_filtered_edges' AS denominator")
+def yaml_config(spark, sf_dir):
+    path = put_bytes(prepare(spark), folder(spark, "config"), b"ppi:\n  top_prop: 0.3\nmembrane:\n  enabled: true\n  add_prop: 0.1\n  denominator: ppi_filtered_edges\n")
+    c = FilterConfig.from_dict(readers.config(spark, path))
+    return spark.createDataFrame([(c.top_prop, c.add_prop, c.enrich, c.denominator)], "top_prop double, add_prop double, enrich boolean, denominator string")
+
+
+@query("archive_member", "SELECT r_regionkey, r_name FROM {region}")
+def archive_member(spark, sf_dir):
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("notes.txt", "x")
+        z.writestr("top/regions.tsv", "".join(f"{r.r_regionkey}\t{r.r_name}\n" for r in rel(spark, sf_dir, "SELECT * FROM {region}").collect()))
+    text = readers.zip_member(spark, put_bytes(spark, folder(spark, "archive"), raw.getvalue()), "regions.tsv").decode()
+    return spark.createDataFrame([(int(k), n) for k, n in (line.split("\t") for line in text.splitlines())], "r_regionkey int, r_name string")
+
+
+@query("read_groups", """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'flowcell' ELSE concat('FC', p_size) END AS flowcell, CASE WHEN p_size % 3 = 0 THEN 'lane' ELSE CAST(p_size % 8 AS VARCHAR) END AS lane,
+CASE p_size % 3 WHEN 1 THEN 'ACGT' ELSE 'barcode' END AS barcode FROM {part}""")
+def read_groups(spark, sf_dir):
+    x = rel(spark, sf_dir, """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '@odd' WHEN 1 THEN concat('@M:1:FC', p_size, ':', p_size % 8, ':9:9 1:N:0:ACGT')
+ELSE concat('@M:1:FC', p_size, ':', p_size % 8) END AS h FROM {part}""")
+    g = readers.read_group(F.col("h"))
+    return x.select("p_partkey", *[g[c].alias(c) for c in ("flowcell", "lane", "barcode")])
+
+
+@query("existing_paths", "SELECT 'full' AS name UNION ALL SELECT 'other'")
+def existing_paths(spark, sf_dir):
+    top = folder(prepare(spark), "paths")
+    for name, raw in (("full", b"x"), ("other", b"yy"), ("empty", b"")):
+        put_bytes(spark, f"{top}/{name}", raw)
+    found = readers.existing(spark, [f"{top}/{n}" for n in ("full", "absent", "empty", "other")] + ["", None])
+    return spark.createDataFrame([(p.rsplit("/", 1)[1],) for p in found], "name string")
+
+
+@query("ranked_stream", borda_sql("average", "ignore"))
+def ranked_stream(spark, sf_dir):
+    """The candidates arrive in two batches of whole samples and are ranked as they come."""
+    x, top = rel(spark, sf_dir, EPI), folder(spark, "stream")
+    for at, part in enumerate(("sample_id < 'Brand#2'", "sample_id >= 'Brand#2'")):
+        x.filter(part).coalesce(1).write.parquet(f"{top}/in/{at}")
+        incremental.rank_arrivals(spark, f"{top}/in/*", x.schema, f"{top}/out", f"{top}/state", borda_config()).awaitTermination()
+    return spark.read.parquet(f"{top}/out").select("sample_id", "row_id", F.col("Borda_Score").alias("borda_score"), F.col("Borda_Rank").alias("borda_rank"))
+
+
+@query("presented_order", """SELECT CAST(row_number() OVER (ORDER BY hla_class NULLS LAST, gene_name NULLS LAST) AS BIGINT) AS place, hla_class, gene_name
+FROM (SELECT DISTINCT CASE WHEN p_size % 7 = 0 THEN NULL ELSE concat('c', p_size % 2) END AS hla_class, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS gene_name FROM {part})""")
+def presented_order(spark, sf_dir):
+    x = rel(spark, sf_dir, "SELECT DISTINCT CASE WHEN p_size % 7 = 0 THEN NULL ELSE concat('c', p_size % 2) END AS hla_class, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS gene_name FROM {part}")
+    path = folder(spark, "presented")
+    union.presented(x).coalesce(1).write.parquet(path)
+    return spark.read.parquet(path).coalesce(1).select((F.monotonically_increasing_id() + 1).alias("place"), "hla_class", "gene_name")

@@ -122,12 +122,12 @@ def networks(
     ref = network.canonical(reference)
     pairs = ref.select("a", "b").unionByName(network.membrane_pairs(known, inside)).distinct()
     weights = store(lioness.edges(values, pairs), "weights")
-    unfiltered = network.weighted(reference, weights)
+    unfiltered = store(network.weighted(reference, weights), "unfiltered")
     ppi = network.top_proportion(unfiltered, cfg.top_prop)
     # the reference network's genes are vertices of every sample, as are the membrane genes where pairs are added
     named = reference.filter("src <> dst").select(F.explode(F.array("src", "dst")).alias("gene")).distinct()
     own = values.select("sample_id", "gene").join(named, "gene", "left_semi").select("sample_id", "gene")
-    edges, qc = network.enrich(ppi, unfiltered, weights, mem, cfg, own)
+    edges, qc = network.enrich(ppi, unfiltered, weights, mem, cfg, own, store)
     edges = store(edges, "edges")
     vertices = store(network.vertices(own, edges, mem, qc), "vertices")
     ds = network.degree_strength(edges, vertices)

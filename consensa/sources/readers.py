@@ -55,7 +55,7 @@ def tolerant(spark: SparkSession, path: str | None, schema: T.StructType | str,
     if size_of(spark, path) == 0:
         none = spark.createDataFrame([], kind)
         return none.withColumn("_place", F.lit(None).cast(PLACE_TYPE)) if place else none
-    r = spark.read.option("header", True).option("sep", sep).option("quote", '"')
+    r = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')  # quotes are doubled
     if comment:
         r = r.option("comment", comment)
     raw = r.csv(path)
@@ -90,12 +90,15 @@ def last_of(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
 
 def counts(spark: SparkSession, paths: Sequence[str], suffix: str = r"_CancerRNA.*$") -> DataFrame:
     """(gene, sample_id, count) from count files: one comment line, a header, gene id first and the count last."""
-    lines = spark.read.text(list(paths)).withColumn("f", F.input_file_name())
+    return count_lines(spark.read.text(list(paths)).withColumn("path", F.input_file_name()), suffix)
+
+
+def count_lines(lines: DataFrame, suffix: str = r"_CancerRNA.*$") -> DataFrame:
+    """``counts`` from lines (value, path); the sample is the file's name without ``suffix``."""
     cells = F.split("value", "\t")
-    x = lines.filter(~F.col("value").startswith("#")).select(
-        cells[0].alias("gene"), F.element_at(cells, -1).try_cast("double").try_cast("long").alias("count"),
-        F.regexp_replace(F.element_at(F.split("f", "/"), -1), suffix, "").alias("sample_id"),
-    )
+    number = F.element_at(cells, -1).try_cast("double").try_cast("long")
+    sample = F.regexp_replace(F.element_at(F.split("path", "/"), -1), suffix, "")
+    x = lines.filter(~F.col("value").startswith("#")).select(cells[0].alias("gene"), number.alias("count"), sample.alias("sample_id"))
     return x.filter(F.col("gene") != "Geneid").select("gene", "sample_id", "count")
 
 

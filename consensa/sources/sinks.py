@@ -13,11 +13,11 @@ from . import readers
 
 
 def csv(df: DataFrame, path: str, by: Sequence[str] = (), sep: str = ",", header: bool = True, rename: dict[str, str] | None = None) -> None:
-    """Delimited files; null is blank; an empty frame still writes its header."""
+    """Delimited files; null is blank, quotes are doubled; an empty frame still writes its header."""
     out = df.select(*[F.col(f"`{c}`").alias((rename or {}).get(c, c)) for c in df.columns])
     if not by and out.isEmpty():
         out = out.coalesce(1)
-    w = out.write.mode("overwrite").option("header", header).option("sep", sep).option("nullValue", "").option("emptyValue", "")
+    w = out.write.mode("overwrite").option("header", header).option("sep", sep).option("nullValue", "").option("emptyValue", "").option("escape", '"')
     if by:
         w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*by)
     w.csv(path)

@@ -129,6 +129,19 @@ def test_component_sizes_of_measures(spark):
     assert i.filter("largest_component_impact > 1").count() == 0
 
 
+def test_tables_between_steps(spark):
+    from consensa.functions import tables
+
+    first = tables.keep(spark.range(3).toDF("x"), "first")
+    before = tables.mark()
+    second, third = tables.keep(first, "second"), tables.keep(first, "third")
+    paths = [t._consensa_path for t in (first, second, third)]
+    tables.sweep(spark, before, third)
+    assert [readers.size_of(spark, p) > 0 for p in paths] == [True, False, True] and third.count() == 3
+    tables.release(first, third)
+    assert [readers.size_of(spark, p) > 0 for p in paths] == [False] * 3
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

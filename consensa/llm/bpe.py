@@ -21,6 +21,7 @@ import codecs
 import functools
 import hashlib
 import json
+import re
 
 import regex
 from pyspark.sql import DataFrame
@@ -61,6 +62,9 @@ class Vocabulary:
         self.longest = max(map(len, self.bytes_of.values()), default=1)
         self.lookahead = sufficient_lookahead(pairs) + self.longest
         self.pattern = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+        # the same split for text of the first 256 code points, by the faster engine; its classes are written out
+        space, letter, number = r"\t-\r \x85\xa0", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+        self.latin = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
         self.runs = [regex.compile(p) for p in (r"\s*", r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*")]
 
     def merge(self, raw: bytes) -> list[int]:
@@ -99,21 +103,32 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class Recent:
+    """Tokens of words met lately, in two halves: a full young half becomes the old one, and what is met again moves to the young one."""
+
+    def __init__(self, size: int = CACHE):
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def put(self, word: str, ids: list[int]) -> None:
+        if len(self.young) >= self.half:
+            self.young, self.old = {}, self.young
+        self.young[word] = ids
+
+
 class StreamEncoder:
     """feed(text) and finish() give token ids as soon as they are stable."""
 
-    def __init__(self, vocab: Vocabulary, cache: dict[str, list[int]] | None = None):
-        self.v, self.cache = vocab, {} if cache is None else cache
+    def __init__(self, vocab: Vocabulary, cache: Recent | None = None, latin: bool = False):
+        """``latin``: whether all the text to come is of the first 256 code points."""
+        self.v, self.cache, self.pattern = vocab, Recent() if cache is None else cache, vocab.latin if latin else vocab.pattern
         self.text, self.raw, self.open = "", b"", None
 
     def _word(self, w: str) -> list[int]:
-        got = self.cache.get(w)
-        if got is None:
-            if len(w) > 64:
-                return self._push(w.encode("utf-8", "replace")) + self._flush()
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            got = self.cache[w] = self.v.merge(w.encode("utf-8", "replace"))
+        """Tokens of a word that is not among the young ones."""
+        if len(w) > 64:
+            return self._push(w.encode("utf-8", "replace")) + self._flush()
+        got = self.cache.young.get(w) or self.cache.old.get(w) or self.v.merge(w.encode("utf-8", "replace"))
+        self.cache.put(w, got)
         return got
 
     def _push(self, raw: bytes) -> list[int]:
@@ -161,7 +176,7 @@ class StreamEncoder:
                 return out
             out += self._flush()
             self.open = None
-        words = self.v.pattern.findall(text)
+        words = self.pattern.findall(text)
         if last:
             self.text = ""
         else:
@@ -169,10 +184,12 @@ class StreamEncoder:
             while words and held < 3:
                 held += len(words.pop())
             self.text = text[len(text) - held :] if held else ""
+        known = self.cache.young.get
         for w in words:
-            out += self._word(w)
+            ids = known(w)
+            out += self._word(w) if ids is None else ids
         if not last and len(self.text) > CHUNK // 16:
-            first = self.v.pattern.match(self.text)
+            first = self.pattern.match(self.text)
             if first and first.end() > CHUNK // 32 and first.end() >= len(self.text) - 2:
                 c = self.text[first.end() - 1]
                 self.open = next(k for k, p in ((0, r"\s"), (1, r"\p{L}"), (2, r"\p{N}"), (3, r"")) if regex.match(p, c))
@@ -196,7 +213,15 @@ class StreamDecoder:
         return self.state.decode(b"", True)
 
 
-def encode(vocab: Vocabulary, text: str, cache: dict[str, list[int]] | None = None):
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def encode(vocab: Vocabulary, text: str, cache: Recent | None = None):
     """Yield lists of ids, at most about a chunk each; strings of special tokens give their ids."""
     parts = [text]
     if any(s in text for s in vocab.special):
@@ -205,13 +230,13 @@ def encode(vocab: Vocabulary, text: str, cache: dict[str, list[int]] | None = No
         if part in vocab.special:
             yield [vocab.special[part]]
         elif part:
-            e = StreamEncoder(vocab, cache)
+            e = StreamEncoder(vocab, cache, _is_latin(part))
             for at in range(0, len(part), CHUNK):
                 yield e.feed(part[at : at + CHUNK])
             yield e.finish()
 
 
-_CACHES: dict[str, dict[str, list[int]]] = {}
+_CACHES: dict[str, Recent] = {}
 
 
 def coded(path: str | None = None, text: str = "text", with_ids: bool = False) -> F.Column:
@@ -227,7 +252,7 @@ def coded(path: str | None = None, text: str = "text", with_ids: bool = False) -
             import public_tokenizers
 
             where = public_tokenizers.path("byte_bpe_50k.json")
-        vocab, cache = vocabulary(where), _CACHES.setdefault(where, {})
+        vocab, cache = vocabulary(where), _CACHES.setdefault(where, Recent())
         said = [str(i) for i in range(max(vocab.bytes_of) + 1)]
         rows = []
         for t in texts:

@@ -24,7 +24,10 @@ def brute_base(text):
     return ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(got))
 
 
-SECRETS = ["é PassWord: 'abc' token=abcdef0", "AKIA" + "A1" * 8 + " x " + "0123456789abcdef" * 2, "api_key = zz.yy-xx secret:\"short\" toKen='longer_1'", "ſecret=abcdefg", "deadbeef" * 3 + "g" + "f" * 23, ""]
+SECRETS = [
+    "é PassWord: 'abc' token=abcdef0", "AKIA" + "A1" * 8 + " x " + "0123456789abcdef" * 2,
+    "api_key = zz.yy-xx secret:\"short\" toKen='longer_1'", "ſecret=abcdefg", "deadbeef" * 3 + "g" + "f" * 23, "",
+]
 
 
 def test_base_spans(spark):
@@ -73,7 +76,9 @@ def brute_random(texts, q=0.01):
 def test_random_runs_are_found_and_written_ones_left(spark):
     rng = random.Random(1)
     secret = [(name, n, token(rng, name, n)) for name in secret_scan.ENCODINGS for n in (20, 24, 32, 48, 64) for _ in range(25)]
-    written = [identifier(rng) for _ in range(600)] + ["A1" * 20, "0123456789abcdefghijklmnopqrstuvwxyz", "x" * 40 + "1", "A" * 30, "Donaudampfschifffahrtsgesellschaft"]
+    written = [identifier(rng) for _ in range(600)] + [
+        "A1" * 20, "0123456789abcdefghijklmnopqrstuvwxyz", "x" * 40 + "1", "A" * 30, "Donaudampfschifffahrtsgesellschaft",
+    ]
     texts = [f"see {t} there" for t in [x[2] for x in secret] + written] + ["the page is read by " + " ".join(rng.choices(WORDS, k=60)) for _ in range(40)] + [None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, *map(int, x.split(":")[1:])) for r in secret_scan.op1(df).collect() for x in r.spans.split(",") if x.startswith("random")}
@@ -252,7 +257,10 @@ def test_language_equals_codes_decoded_bit_by_bit(spark, docs, rows):
     want = brute_language([r[:3] for r in rows], [r[1] for r in rows])
     got = language_id.op3(docs).collect()
     say = lambda x: sorted((-1 if i is None else i, k, round(s, 4)) for i, k, s in x)
-    far = [(g, w) for g, w in zip(say((r.doc_id, r.lang_pred, r.score) for r in got), say((r[0], *w) for r, w in zip(rows, want))) if g[:2] != w[:2] or abs(g[2] - w[2]) > 2e-3]
+    far = [
+        (g, w) for g,
+        w in zip(say((r.doc_id, r.lang_pred, r.score) for r in got), say((r[0], *w) for r, w in zip(rows, want))) if g[:2] != w[:2] or abs(g[2] - w[2]) > 2e-3
+    ]
     assert not far
     kept = Counter(r.doc_id for r in language_id.keep_identified(docs).collect())
     assert kept == Counter(r[0] for r, (k, s) in zip(rows, want) if k != "und" and s >= 0.02)
@@ -266,7 +274,10 @@ def test_codewords_lie_apart():
 
 
 # byte-pair encoding -------------------------------------------------------------------------------
-TEXTS = ["", "Hello world", "don't  stop\n\n it's   ", " \t\n é<|endoftext|>x 12345 ---", "日本語 テキスト 🙂 ", "a" * 70_000, "   " * 9_000 + "x", "ab" * 40_000 + "'ll", "1" * 5000 + "é" * 5000, "'" * 3000 + "ll " * 3000, "<|endoftext|>"]
+TEXTS = [
+    "", "Hello world", "don't  stop\n\n it's   ", " \t\n é<|endoftext|>x 12345 ---", "日本語 テキスト 🙂 ", "a" * 70_000, "   " * 9_000 + "x",
+    "ab" * 40_000 + "'ll", "1" * 5000 + "é" * 5000, "'" * 3000 + "ll " * 3000, "<|endoftext|>",
+]
 
 
 @pytest.fixture(scope="module")
@@ -329,6 +340,31 @@ def test_bpe_random_chunks(library):
         assert "".join(d.feed([i]) for i in out) + d.finish() == text
 
 
+def test_bpe_with_a_tiny_cache(library):
+    import public_tokenizers
+
+    v = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    rng, cache = random.Random(13), bpe.Recent(6)
+    for _ in range(100):
+        t = " ".join(rng.choice(["the", "of", "zebra", "quixotic", "don't", "naïve", "x" * 70]) + str(rng.randrange(9)) for _ in range(40))
+        assert [i for ids in bpe.encode(v, t, cache) for i in ids] == library.encode(t, add_special_tokens=False).ids
+        assert len(cache.young) <= 4 and len(cache.old) <= 4
+
+
+def test_bpe_splits_latin_text_alike(library):
+    import public_tokenizers
+
+    v = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    for c in map(chr, range(256)):
+        for t in (c, f"a{c}b", f" {c} ", f"1{c}", f"'{c}", c * 3 + "x"):
+            assert v.latin.findall(t) == v.pattern.findall(t), repr(t)
+    for _ in range(300):
+        t = "".join(rng.choice("a é'lsvt\n\t\xa0\x1c\x1f\x85²½_-9ß×") for _ in range(rng.randint(1, 80)))
+        assert v.latin.findall(t) == v.pattern.findall(t) and "".join(v.latin.findall(t)) == t
+        assert [i for ids in bpe.encode(v, t) for i in ids] == library.encode(t, add_special_tokens=False).ids
+
+
 # near duplicates ----------------------------------------------------------------------------------
 def brute_print(text):
     import xxhash
@@ -437,8 +473,11 @@ def test_keep_one_drops_near_copies(spark, unit_rows):
     want = {rows[i][0]: rows[j][0] for i, j in enumerate(label)}
     assert 30 < len(set(want.values())) < 200  # near copies on both sides of the bound
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in simhash.near_copies(df, unit_rows=unit_rows).collect()} == want
-    assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(want.values())
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df, unit_rows=unit_rows).collect()}
+    assert all(want[got[i]] == want[i] for i in got)  # never more than is linked
+    assert sum(got[i] != want[i] for i in want) <= 0.02 * len(want)  # pairs at the budget may be missed
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert set(want.values()) <= kept and len(kept - set(want.values())) <= 0.02 * len(want)
 
 
 def test_similar_texts_share_a_print():

@@ -5,7 +5,7 @@ difference of a query's and a vector's distances to a pivot is a lower bound of
 gives an upper bound of their inner product: <q, x> = (|q|^2 + |x|^2 - |q - x|^2) / 2.
 
 Two passes over the groups. 1: of each block, the ``CHUNK`` candidates of highest bound are evaluated; the k-th best score
-over all blocks is the query's bar. 2: a block's candidates are evaluated in the order of the bound, in chunks, until
+over all blocks is the query's bar. 2: a block's candidates are evaluated in the order of the bound, in chunks of 64, 128, 256 and so on, until
 the next bound is below the bar and below the k-th best score found: no candidate left can enter.
 
 Pivots are chosen farthest-first among the vectors of a dimension in a sample of ``SAMPLE`` vectors (the smallest hashes); a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import durable
 from .vector_blocks import Search, best, kth, matrix
 
-SAMPLE, CHUNK, PIVOTS = 1024, 64, 32
+SAMPLE, CHUNK, LARGEST, PIVOTS = 1024, 64, 2048, 32
 MOST = (1 << 63) - 1
 
 
@@ -119,12 +119,20 @@ class _Block:
                 order = np.flatnonzero(top >= bar)
                 order = order[np.argsort(-top[order], kind="stable")]
             pos, got = np.empty(0, np.int64), np.empty(0, np.float64 if exact else object)
-            for i in range(0, len(order), CHUNK):
-                part = order[i : i + CHUNK]
+            i, size = 0, CHUNK
+            while i < len(order):
+                part = order[i : i + size]
                 if len(got) == self.k and top[part[0]] < got[-1]:
                     break
-                s = v[part] @ q if exact else np.array([max(-MOST - 1, min(MOST, sum(a * b for a, b in zip(row, map(int, q))))) for row in big[part]], object)
+                if exact:
+                    s = v[part] @ q
+                else:
+                    s = np.array([max(-MOST - 1, min(MOST, sum(a * b for a, b in zip(row, map(int, q))))) for row in big[part]], object)
                 self.evaluated += len(part)
+                i, size = i + size, min(2 * size, LARGEST)  # at most about twice of what is needed is evaluated
+                if len(got) == self.k:
+                    some = s >= got[-1]
+                    part, s = part[some], s[some]
                 pos, got = np.concatenate([pos, part]), np.concatenate([got, s])
                 keep = best(least[pos], got, self.k)
                 pos, got = pos[keep], got[keep]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, packed
+from .common import durable, mark, packed, release, sweep
 
 WORD = r"[^\x20\x09-\x0D]+"
 MANY_SOURCES = 100_000  # up to so many sources, the table of cuts (about 100 bytes a source) is broadcast
@@ -66,6 +66,7 @@ def _narrow(rows: DataFrame, cuts: DataFrame, lead: int, digits: int) -> DataFra
 
 def cuts(rows: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """One row a source: c_source, source_size, target, epochs, cut (key; rows below it are taken once more), share (words of each row at the cut)."""
+    before = mark()
     sizes = rows.groupBy("source").agg(F.sum("_size").alias("source_size"))
     goal = durable(targets(sizes, weights, most).withColumnRenamed("source", "c_source"), "mix-targets")
     few = goal.count() <= MANY_SOURCES
@@ -84,6 +85,7 @@ def cuts(rows: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), m
     )
     out = goal.join(hit.withColumnRenamed("c_source", "h_source"), F.col("c_source").eqNullSafe(F.col("h_source")), "left")
     out = durable(out.select("c_source", "source_size", "target", "epochs", "cut", F.expr("over div rows").alias("share")), "mix-cuts")
+    sweep(rows.sparkSession, before, out)
     out._few = few
     return out
 
@@ -103,7 +105,9 @@ def op2(docs: DataFrame, seed: int = 7) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """Whole documents, repeated by epochs. The document at a cut joins once more if at least half of it fits."""
     rows = durable(keyed(docs.select("doc_id", "source", "text"), seed).select("doc_id", "source", "_size", "_key"), "mix-keys")
-    x = plan(keyed(packed(docs, "doc_id", "source", "text"), seed), cuts(rows, seed))
+    at = cuts(rows, seed)
+    release(rows)
+    x = plan(keyed(packed(docs, "doc_id", "source", "text"), seed), at)
     copies = F.when(F.col("_size") > 0, F.col("epochs") + (2 * F.col("_again") >= F.col("_size")).cast("long")).otherwise(F.lit(0)).cast("int")
     return x.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select("row.*")
 

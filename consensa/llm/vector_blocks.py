@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, mark, sweep
 
 BLOCK_ROWS, TILE_ROWS, GROUP_BYTES = 20_000, 16_000, 64_000_000
 LEAST_BLOCKS, LEAST_ROWS = 12, 1_000  # small tables still give some tasks, unless blocks fall below so many rows
@@ -71,7 +71,7 @@ class Search:
     """
 
     def __init__(self, vectors: DataFrame, every: int, k: int, floored: int | None = None, zero: bool = True):
-        self.k = k
+        self.k, self.before = k, mark()
         fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         rows = vectors.select(
             F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"),
@@ -119,6 +119,7 @@ class Search:
         x = x.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= self.k + 1)
         near = F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score", (F.col("lead") & (F.col("q") == F.col("c"))).alias("own"))))  # k + 1 at most
         near = durable(x.groupBy("q").agg(near.alias("near")).join(names.withColumnRenamed("rid", "q"), "q").select("key", "near"), "vector-lists")
+        sweep(near.sparkSession, self.before, self.asks, near)
         x = self.asks.select("key", F.col("vec_id").alias("query_id")).join(near, "key")
         kept = F.expr(f"slice(filter(near, x -> not (x.own and x.vec_id <=> query_id)), 1, {self.k})")
         return x.select("query_id", F.posexplode(kept).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")

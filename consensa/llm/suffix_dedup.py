@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, release
+from .common import durable, mark, release, sweep
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
@@ -300,7 +300,9 @@ def repeated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     kinds = durable(kinds.filter("full or kinds > 1").select("bucket", "name", "full", "kinds", "low"), "suffix-kinds")
     release(every)
     release(sizes)
-    rows = _segment_rows(keyed).join(_small(kinds, 80), ["bucket", "name"])
+    # one long as the key makes a table in a third of the memory; buckets are compared beside it
+    kinds = _small(kinds.withColumnRenamed("bucket", "its"), 80)
+    rows = _segment_rows(keyed).join(kinds, "name").filter("(bucket ^ its) = 0").drop("its")
     span = F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
     asked = (F.col("kinds") > 1) & (F.col("place") == F.col("low"))
     with_bucket = F.struct("bucket", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
@@ -348,7 +350,9 @@ def strip(raw: bytes, spans) -> tuple[bytes, int]:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (bytes) and its digest."""
+    before = mark()
     spans = durable(repeated(docs), "suffix-spans")
+    sweep(docs.sparkSession, before, spans)
 
     def run(batches):
         for b in batches:

@@ -15,7 +15,7 @@ Only distinct fingerprints are joined; copies never meet in pairs.
 ``keep_one``, the corpus stage, asks for a similarity of 0.8: at least that share of the bits of ``WIDE``-bit fingerprints of
 five-word shingles agrees (51 of 256 bits may differ). So wide a budget leaves no band that two prints must share, so the roots of the
 forests are other: every forest takes some of the bits (``roots``), and the prints that agree in them are a unit. A pair
-within the budget is missed by all forests with a probability of 0.005 at most (at the budget; 1e-5 at 0.85). Units hold about a thousand prints
+within the budget is missed by all forests with a probability of 0.01 at most (at the budget; about 3e-4 at 0.85). Units hold about a thousand prints
 at any size of the corpus; a larger one (near copies) is dealt into parts, and each pair of parts is walked by itself.
 The walk, spanning links and components are the same.
 
@@ -34,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, packed, release
+from .common import durable, mark, packed, release, sweep
 
 SPLIT_BITS = 6
 
@@ -295,7 +295,7 @@ def components(edges: DataFrame) -> DataFrame:
     cur = durable(edges.filter("u <> v").select(high.alias("u"), low.alias("v")).distinct(), "cc")
     files = max(12, cur.count() // ROUND_ROWS)
     put = lambda df, name: durable(df.coalesce(files), name)
-    mark = None
+    last = None
     while True:
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that a join's side is a plain table and the rows of a hub can be split
@@ -309,18 +309,19 @@ def components(edges: DataFrame) -> DataFrame:
         got = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         release(cur, mins, large, lows)
         cur = nxt
-        if tuple(got) == mark:
+        if tuple(got) == last:
             return cur.select("u", F.col("v").alias("root"))
-        mark = tuple(got)
+        last = tuple(got)
 
 
-def _grouped(marked: DataFrame, prints: DataFrame, stars: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) from (doc_id, fp), one row a print (fp, rep, n), and links to roots."""
+def _grouped(marked: DataFrame, prints: DataFrame, stars: DataFrame, before: set[str]) -> DataFrame:
+    """(doc_id, fp, component_id) from (doc_id, fp), one row a print (fp, rep, n), and links to roots; tables made since ``before`` go."""
     member = stars.unionByName(stars.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "fp")
     least = durable(member.join(prints, "fp").groupBy("root").agg(F.min("rep").alias("least")), "simhash-least")
     found = member.join(_few(least), "root").select("fp", "least")
     # a document alone in its group needs no label; of the rest, a small table is sent whole, so copies stay where they are
     label = durable(prints.filter("n > 1").join(found, "fp", "outer").select("fp", F.coalesce("least", "rep").alias("label")), "simhash-labels")
+    sweep(marked.sparkSession, before, marked, label)
     return marked.join(_few(label), "fp", "left").select("doc_id", "fp", F.coalesce("label", "doc_id").alias("component_id"))
 
 
@@ -338,9 +339,10 @@ def _prints(marked: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, budget: int = 2, words: int = 3, unit_rows: int = 2048) -> DataFrame:
     """Per document: doc_id, fp (long), component_id (smallest doc_id reachable over links)."""
+    before = mark()
     marked = durable(docs.select("doc_id", fingerprints(docs, words).alias("fp")), "simhash-prints")
     prints = _prints(marked)
-    return _grouped(marked, prints, components(links(prints.select("fp"), budget, unit_rows)))
+    return _grouped(marked, prints, components(links(prints.select("fp"), budget, unit_rows)), before)
 
 
 def op8(docs: DataFrame) -> DataFrame:
@@ -348,7 +350,7 @@ def op8(docs: DataFrame) -> DataFrame:
 
 
 # near copies of a corpus ------------------------------------------------------------------------------
-WIDE, NEAR_WORDS, NEAR, MISSED = 256, 5, 0.8, 0.005
+WIDE, NEAR_WORDS, NEAR, MISSED = 256, 5, 0.8, 0.01
 MOST_BITS = 24  # bits of a root
 
 
@@ -390,14 +392,17 @@ def wide_links(prints: DataFrame, near: float = NEAR, unit_rows: int = 1536) ->
     # one number has unit, parts and side, so little is sent
     x = units.repartition(F.expr("shiftright(k, 1)")).sortWithinPartitions("k", "fp")
     cross = F.expr("(shiftright(k, 1) & 4095) <> (shiftright(k, 13) & 4095)")
-    return x.select(F.expr("shiftright(k, 1)").alias("unit"), F.expr("cast(k & 1 as int)").alias("side"), cross.alias("cross"), "fp").mapInArrow(_walk(budget, "fp"), "u binary, v binary")
+    return x.select(
+        F.expr("shiftright(k, 1)").alias("unit"), F.expr("cast(k & 1 as int)").alias("side"), cross.alias("cross"), "fp",
+    ).mapInArrow(_walk(budget, "fp"), "u binary, v binary")
 
 
 def near_copies(docs: DataFrame, words: int = NEAR_WORDS, near: float = NEAR, unit_rows: int = 1536) -> DataFrame:
     """Per document: doc_id, fp (wide), component_id (smallest doc_id reachable over similar prints)."""
+    before = mark()
     marked = durable(docs.select("doc_id", wide_prints(words).alias("fp")), "simhash-prints")
     prints = durable(_prints(marked), "simhash-distinct")
-    return _grouped(marked, prints, components(wide_links(prints.select("fp"), near, unit_rows)))
+    return _grouped(marked, prints, components(wide_links(prints.select("fp"), near, unit_rows)), before)
 
 
 def keep_one(docs: DataFrame, words: int = NEAR_WORDS, near: float = NEAR) -> DataFrame:
@@ -405,11 +410,13 @@ def keep_one(docs: DataFrame, words: int = NEAR_WORDS, near: float = NEAR) -> Da
 
     Exact repetitions of a row leave one row; rows without a doc_id all stay.
     """
+    before = mark()
     found = near_copies(docs, words, near).filter("doc_id is not null")
     marks = durable(
         found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), (F.count("*") > 1).alias("again")).filter("gone or again"),
         "simhash-gone",
     )
+    sweep(docs.sparkSession, before, marks)
     kept = packed(docs, "doc_id").join(marks, "doc_id", "left").filter("not coalesce(gone, false)")
     if marks.filter("again").isEmpty():
         return kept.select("row.*")

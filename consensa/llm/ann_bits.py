@@ -66,7 +66,8 @@ def with_codes(vectors: DataFrame, bits: int, seed: int) -> DataFrame:
                     names=[*b.schema.names, "code", "norm", "fix"],
                 )
 
-    return vectors.mapInArrow(run, "rid long, key binary, d int, v array<double>, least long, asked boolean, code binary, norm double, fix double")
+    kind = vectors.schema["v"].dataType.simpleString()
+    return vectors.mapInArrow(run, f"rid long, key binary, d int, v {kind}, least long, asked boolean, code binary, norm double, fix double")
 
 
 class _Codes:
@@ -150,7 +151,8 @@ def _measure(batches):
     """Exact inner products of (v, w), component by component."""
     for b in batches:
         if b.num_rows:
-            product = b["v"].flatten().to_numpy(zero_copy_only=False) * b["w"].flatten().to_numpy(zero_copy_only=False)
+            v, w = (b[c].flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in "vw")
+            product = v * w
             ends = np.cumsum(b["v"].value_lengths().to_numpy(zero_copy_only=False))
             yield _rows(b["q"], b["c"], score=np.add.reduceat(product, np.concatenate(([0], ends[:-1]))))
 

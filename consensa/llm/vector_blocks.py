@@ -41,8 +41,8 @@ def matrix(column, dtype=np.float64) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(n, -1) if n else np.empty((0, 0), dtype)
 
 
-def _keyed(floored: int | None):
-    """Batches (vec_id, v) with d and a 128-bit key of the vector; ``floored``: components become floor(floored * x)."""
+def _keyed(floored: int | None, single: bool):
+    """Batches (vec_id, v) with d and a 128-bit key of the vector; ``floored``: components become floor(floored * x); ``single``: floats stay floats."""
 
     def run(batches):
         for b in batches:
@@ -55,7 +55,7 @@ def _keyed(floored: int | None):
                     flat = np.clip(np.floor(flat * floored), -MOST, MOST)
             flat = flat + 0.0  # one zero
             keys = [hashlib.blake2b(flat[s:e].tobytes(), digest_size=16).digest() for s, e in zip(at, at[1:])]
-            v = pa.ListArray.from_arrays(b["v"].offsets, pa.array(flat))
+            v = pa.ListArray.from_arrays(b["v"].offsets, pa.array(flat.astype(np.float32) if single else flat))
             yield pa.RecordBatch.from_arrays(
                 [b["vec_id"], pa.array(keys, pa.binary()), pa.array(np.diff(at).astype(np.int32)), v], names=["vec_id", "key", "d", "v"],
             )
@@ -72,13 +72,15 @@ class Search:
 
     def __init__(self, vectors: DataFrame, every: int, k: int, floored: int | None = None, zero: bool = True):
         self.k, self.before = k, mark()
+        single = vectors.schema["embedding"].dataType.simpleString() == "array<float>" and floored is None
+        kind = "array<float>" if single else "array<double>"
         fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         rows = vectors.select(
-            F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"),
+            F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"),
         ).filter((F.size("v") > 0) & fine)
         if not zero:
             rows = rows.filter(F.exists("v", lambda x: x != 0))
-        keyed = lambda x: x.mapInArrow(_keyed(floored), "vec_id long, key binary, d int, v array<double>")
+        keyed = lambda x: x.mapInArrow(_keyed(floored, single), f"vec_id long, key binary, d int, v {kind}")
         order = W.partitionBy("key").orderBy(F.col("vec_id").asc_nulls_last())
         first = keyed(rows).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).withColumn("lead", F.rank().over(order) == F.col("r"))
         first = durable(first, "vector-rows")

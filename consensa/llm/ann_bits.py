@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, scope
 from .vector_blocks import Search, kth, matrix
 
 BITS, CHUNK = 512, 2048
@@ -177,13 +177,16 @@ def reaching(search: Search, k: int, eps: float, bits: int, seed: int) -> tuple[
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, eps: float = 2.5, bits: int = BITS, seed: int = 11) -> DataFrame:
     """Per query row its ``k`` nearest: query_id, rank, vec_id, score."""
-    search = Search(vectors, every, k, zero=False)
-    search.deal(durable(with_codes(search.vectors, bits, seed), "ann-index"), bits // 8)
-    sure, pairs = reaching(search, k + 1, eps, bits, seed)
-    rest = measured(pairs.join(sure, ["q", "c"], "left_anti"), search.index, "ann-rest")
-    order = W.partitionBy("q").orderBy(F.col("score").desc(), "least")
-    hits = sure.unionByName(rest).join(search.index.select(F.col("rid").alias("c"), "least"), "c")
-    return search.lists(hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).select("q", "c", "score"))
+    with scope(vectors.sparkSession) as own:
+        search = Search(vectors, every, k, zero=False)
+        search.deal(durable(with_codes(search.vectors, bits, seed), "ann-index"), bits // 8)
+        sure, pairs = reaching(search, k + 1, eps, bits, seed)
+        rest = measured(pairs.join(sure, ["q", "c"], "left_anti"), search.index, "ann-rest")
+        order = W.partitionBy("q").orderBy(F.col("score").desc(), "least")
+        hits = sure.unionByName(rest).join(search.index.select(F.col("rid").alias("c"), "least"), "c")
+        out = search.lists(hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).select("q", "c", "score"))
+        own.spare(search.asks, search.near)
+    return out
 
 
 def op5(vectors: DataFrame) -> DataFrame:

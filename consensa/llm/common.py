@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tables import keep as durable
-from ..functions.tables import mark, release, sweep
+from ..functions.tables import release, scope
 
-__all__ = ["durable", "mark", "packed", "release", "sweep", "table"]
+__all__ = ["durable", "packed", "release", "scope", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, scope
 from .vector_blocks import Search, best, kth, matrix
 
 SAMPLE, CHUNK, LARGEST, PIVOTS = 1024, 64, 2048, 32
@@ -147,15 +147,18 @@ class _Block:
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
     """Per query row its ``k`` best: query_id, rank, vec_id, score."""
-    search = Search(vectors, every, k, floored=256)
-    search.deal(durable(with_table(search.vectors, pivots), "pivot-table"), 8 * pivots, 8 * pivots)
-    given = search.index.select("rid", "d", "v", "far", "least")
-    asked = search.index.filter("asked").select("rid", "d", "v", "far")
-    found = lambda q, first: search.streamed(given, q, lambda _: _Block(k + 1, first), "q long, c long, score long")
-    bars = durable(kth(found(asked.withColumn("bar", F.lit(None).cast("double")), True), k + 1), "pivot-bars")
-    order = W.partitionBy("q").orderBy(F.col("score").desc(), "least")
-    hits = found(asked.join(bars, "rid", "left"), False).join(search.index.select(F.col("rid").alias("c"), "least"), "c")
-    return search.lists(hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).select("q", "c", "score"))
+    with scope(vectors.sparkSession) as own:
+        search = Search(vectors, every, k, floored=256)
+        search.deal(durable(with_table(search.vectors, pivots), "pivot-table"), 8 * pivots, 8 * pivots)
+        given = search.index.select("rid", "d", "v", "far", "least")
+        asked = search.index.filter("asked").select("rid", "d", "v", "far")
+        found = lambda q, first: search.streamed(given, q, lambda _: _Block(k + 1, first), "q long, c long, score long")
+        bars = durable(kth(found(asked.withColumn("bar", F.lit(None).cast("double")), True), k + 1), "pivot-bars")
+        order = W.partitionBy("q").orderBy(F.col("score").desc(), "least")
+        hits = found(asked.join(bars, "rid", "left"), False).join(search.index.select(F.col("rid").alias("c"), "least"), "c")
+        out = search.lists(hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).select("q", "c", "score"))
+        own.spare(search.asks, search.near)
+    return out
 
 
 def op7(vectors: DataFrame) -> DataFrame:

@@ -12,20 +12,15 @@ small-star rounds.
 
 Only distinct fingerprints are joined; copies never meet in pairs.
 
-``keep_one``, the corpus stage, asks for a similarity of 0.8: at least that share of the bits of ``WIDE``-bit fingerprints of
-five-word shingles agrees (51 of 256 bits may differ). So wide a budget leaves no band that two prints must share, so the roots of the
-forests are other: every forest takes some of the bits (``roots``), and the prints that agree in them are a unit. A pair
-within the budget is missed by all forests with a probability of 0.01 at most (at the budget; about 3e-4 at 0.85). Units hold about a thousand prints
-at any size of the corpus; a larger one (near copies) is dealt into parts, and each pair of parts is walked by itself.
-The walk, spanning links and components are the same.
-
-Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows
-each get a row; null doc_ids count as larger than all others; an empty table gives an empty result.
+``near_copies``, the corpus stage, walks the same tries below other roots and then compares texts.
+
+Defined results: null and empty texts have fingerprint zero and link like any other; a very long text is one row of a task, its
+shingles counted in runs of 32,768; repeated rows each get a row; null doc_ids count as larger than all others; an empty table gives an empty
+result; columns of any name are ignored but for doc_id and text.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mark, packed, release, sweep
+from .common import durable, packed, release, scope
 
 SPLIT_BITS = 6
 
@@ -61,14 +56,6 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(_majority(text, words, lambda g: xxhash.xxh64_digest(g, 42), 64)).tobytes(), "big")
 
 
-def wide_print(text: str | None, words: int = 5) -> bytes:
-    """``WIDE``-bit SimHash, by XXH3 of 128 bits under as many seeds as it takes."""
-    import xxhash
-
-    one = xxhash.xxh3_128_digest
-    return np.packbits(_majority(text, words, lambda g: b"".join([one(g, s) for s in range(WIDE // 128)]), WIDE)).tobytes()
-
-
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text") -> F.Column:
     """Column expression: the fingerprint as a signed long."""
 
@@ -81,18 +68,6 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text") -> F.Colum
     return udf(F.col(text))
 
 
-def wide_prints(words: int, text: str = "text") -> F.Column:
-    """Column expression: the wide fingerprint as bytes."""
-
-    @F.pandas_udf("binary")
-    def udf(texts):
-        import pandas as pd
-
-        return pd.Series([wide_print(t, words) for t in texts], dtype=object)
-
-    return udf(F.col(text))
-
-
 LEAF = 1024  # pairs of prints below a pair of nodes that are not walked further but compared
 AT_ONCE = 250_000  # pairs compared together
 
@@ -314,15 +289,13 @@ def components(edges: DataFrame) -> DataFrame:
         last = tuple(got)
 
 
-def _grouped(marked: DataFrame, prints: DataFrame, stars: DataFrame, before: set[str]) -> DataFrame:
-    """(doc_id, fp, component_id) from (doc_id, fp), one row a print (fp, rep, n), and links to roots; tables made since ``before`` go."""
+def _labels(prints: DataFrame, stars: DataFrame) -> DataFrame:
+    """(fp, label) of prints that more than one document or link has, from one row a print (fp, rep, n) and links to roots."""
     member = stars.unionByName(stars.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "fp")
     least = durable(member.join(prints, "fp").groupBy("root").agg(F.min("rep").alias("least")), "simhash-least")
     found = member.join(_few(least), "root").select("fp", "least")
     # a document alone in its group needs no label; of the rest, a small table is sent whole, so copies stay where they are
-    label = durable(prints.filter("n > 1").join(found, "fp", "outer").select("fp", F.coalesce("least", "rep").alias("label")), "simhash-labels")
-    sweep(marked.sparkSession, before, marked, label)
-    return marked.join(_few(label), "fp", "left").select("doc_id", "fp", F.coalesce("label", "doc_id").alias("component_id"))
+    return durable(prints.filter("n > 1").join(found, "fp", "outer").select("fp", F.coalesce("least", "rep").alias("label")), "simhash-labels")
 
 
 FEW_ROWS = 500_000  # of about 100 bytes each, hashed
@@ -339,86 +312,13 @@ def _prints(marked: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, budget: int = 2, words: int = 3, unit_rows: int = 2048) -> DataFrame:
     """Per document: doc_id, fp (long), component_id (smallest doc_id reachable over links)."""
-    before = mark()
-    marked = durable(docs.select("doc_id", fingerprints(docs, words).alias("fp")), "simhash-prints")
-    prints = _prints(marked)
-    return _grouped(marked, prints, components(links(prints.select("fp"), budget, unit_rows)), before)
+    with scope(docs.sparkSession) as own:
+        marked = durable(docs.select("doc_id", fingerprints(docs, words).alias("fp")), "simhash-prints")
+        prints = _prints(marked)
+        label = _labels(prints, components(links(prints.select("fp"), budget, unit_rows)))
+        own.spare(marked, label)
+    return marked.join(_few(label), "fp", "left").select("doc_id", "fp", F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def op8(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# near copies of a corpus ------------------------------------------------------------------------------
-WIDE, NEAR_WORDS, NEAR, MISSED = 256, 5, 0.8, 0.01
-MOST_BITS = 24  # bits of a root
-
-
-def roots(n: int, near: float = NEAR, missed: float = MISSED, seed: int = 42) -> list[np.ndarray]:
-    """For each forest its bits: enough for about a thousand of ``n`` prints a unit, in enough forests."""
-    bits = min(MOST_BITS, max(4, round(math.log2(max(n, 1))) - 10))
-    forests = math.ceil(math.log(missed) / math.log(1 - near**bits))
-    rng = np.random.default_rng(seed)
-    return [np.sort(rng.choice(WIDE, bits, replace=False)) for _ in range(forests)]
-
-
-def _rooted(chosen: list[np.ndarray]):
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                bit = np.unpackbits(np.frombuffer(b"".join(b["fp"].to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
-                for f, at in enumerate(chosen):
-                    unit = bit[:, at].astype(np.int64) @ (1 << np.arange(len(at), dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(unit + (f << MOST_BITS)), b["fp"]], names=["unit", "fp"])
-
-    return run
-
-
-PARTS = 4095  # parts of a unit at most; beyond that parts grow
-
-
-def wide_links(prints: DataFrame, near: float = NEAR, unit_rows: int = 1536) -> DataFrame:
-    """Spanning links (u, v) between distinct wide prints ``fp`` of which a share ``near`` of the bits agrees."""
-    budget = int(WIDE * (1 - near) + 1e-9)
-    units = prints.mapInArrow(_rooted(roots(prints.count(), near)), "unit long, fp binary")
-    hot = units.groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") > unit_rows)
-    hot = durable(hot.select("unit", F.least(F.ceil(F.col("n") / unit_rows), F.lit(PARTS)).cast("int").alias("parts")), "simhash-hot")
-    if not hot.isEmpty():  # every pair of a unit's parts is a unit
-        x = units.join(hot, "unit", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        x = x.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        units = x.withColumn("k", F.expr("(unit << 25) + (least(part, other) << 13) + (greatest(part, other) << 1) + if(part > other, 1, 0)")).select("k", "fp")
-    else:
-        units = units.select(F.expr("unit << 25").alias("k"), "fp")
-    # one number has unit, parts and side, so little is sent
-    x = units.repartition(F.expr("shiftright(k, 1)")).sortWithinPartitions("k", "fp")
-    cross = F.expr("(shiftright(k, 1) & 4095) <> (shiftright(k, 13) & 4095)")
-    return x.select(
-        F.expr("shiftright(k, 1)").alias("unit"), F.expr("cast(k & 1 as int)").alias("side"), cross.alias("cross"), "fp",
-    ).mapInArrow(_walk(budget, "fp"), "u binary, v binary")
-
-
-def near_copies(docs: DataFrame, words: int = NEAR_WORDS, near: float = NEAR, unit_rows: int = 1536) -> DataFrame:
-    """Per document: doc_id, fp (wide), component_id (smallest doc_id reachable over similar prints)."""
-    before = mark()
-    marked = durable(docs.select("doc_id", wide_prints(words).alias("fp")), "simhash-prints")
-    prints = durable(_prints(marked), "simhash-distinct")
-    return _grouped(marked, prints, components(wide_links(prints.select("fp"), near, unit_rows)), before)
-
-
-def keep_one(docs: DataFrame, words: int = NEAR_WORDS, near: float = NEAR) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
-
-    Exact repetitions of a row leave one row; rows without a doc_id all stay.
-    """
-    before = mark()
-    found = near_copies(docs, words, near).filter("doc_id is not null")
-    marks = durable(
-        found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), (F.count("*") > 1).alias("again")).filter("gone or again"),
-        "simhash-gone",
-    )
-    sweep(docs.sparkSession, before, marks)
-    kept = packed(docs, "doc_id").join(marks, "doc_id", "left").filter("not coalesce(gone, false)")
-    if marks.filter("again").isEmpty():
-        return kept.select("row.*")
-    again = F.coalesce("again", F.lit(False))
-    return kept.filter(~again).select("row.*").unionByName(kept.filter(again).select("row.*").dropDuplicates())

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, mark, packed, release, sweep
+from .common import durable, packed, release, scope
 
 WORD = r"[^\x20\x09-\x0D]+"
 MANY_SOURCES = 100_000  # up to so many sources, the table of cuts (about 100 bytes a source) is broadcast
@@ -66,26 +66,26 @@ def _narrow(rows: DataFrame, cuts: DataFrame, lead: int, digits: int) -> DataFra
 
 def cuts(rows: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """One row a source: c_source, source_size, target, epochs, cut (key; rows below it are taken once more), share (words of each row at the cut)."""
-    before = mark()
-    sizes = rows.groupBy("source").agg(F.sum("_size").alias("source_size"))
-    goal = durable(targets(sizes, weights, most).withColumnRenamed("source", "c_source"), "mix-targets")
-    few = goal.count() <= MANY_SOURCES
-    budget = F.floor(F.col("target") + 1e-6)  # a target that is whole but for rounding stays whole
-    goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
-    goal = goal.withColumn("left", budget.cast("long") - F.col("epochs") * F.col("source_size"))
-    at = goal.filter("left > 0").select("c_source", F.lit("").alias("prefix"), "left")
-    for lead in (0, 3):
-        at._few = few
-        at = durable(_narrow(rows, at, lead, 3).select("c_source", "prefix", "left"), "mix-range")
-    inside = rows.join(F.broadcast(at) if few else at, rows["source"].eqNullSafe(at["c_source"]) & F.expr("left(_key, 6) = prefix"))
-    ties = inside.groupBy("c_source", "_key", "left").agg(F.sum("_size").alias("n"), F.count_if(F.col("_size") > 0).alias("rows"))
-    run = ties.withColumn("upto", F.sum("n").over(W.partitionBy("c_source").orderBy("_key")))
-    hit = run.filter("upto >= left").groupBy("c_source").agg(
-        F.min("_key").alias("cut"), F.min_by(F.expr("left - (upto - n)"), "_key").alias("over"), F.min_by("rows", "_key").alias("rows"),
-    )
-    out = goal.join(hit.withColumnRenamed("c_source", "h_source"), F.col("c_source").eqNullSafe(F.col("h_source")), "left")
-    out = durable(out.select("c_source", "source_size", "target", "epochs", "cut", F.expr("over div rows").alias("share")), "mix-cuts")
-    sweep(rows.sparkSession, before, out)
+    with scope(rows.sparkSession) as own:
+        sizes = rows.groupBy("source").agg(F.sum("_size").alias("source_size"))
+        goal = durable(targets(sizes, weights, most).withColumnRenamed("source", "c_source"), "mix-targets")
+        few = goal.count() <= MANY_SOURCES
+        budget = F.floor(F.col("target") + 1e-6)  # a target that is whole but for rounding stays whole
+        goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
+        goal = goal.withColumn("left", budget.cast("long") - F.col("epochs") * F.col("source_size"))
+        at = goal.filter("left > 0").select("c_source", F.lit("").alias("prefix"), "left")
+        for lead in (0, 3):
+            at._few = few
+            at = durable(_narrow(rows, at, lead, 3).select("c_source", "prefix", "left"), "mix-range")
+        inside = rows.join(F.broadcast(at) if few else at, rows["source"].eqNullSafe(at["c_source"]) & F.expr("left(_key, 6) = prefix"))
+        ties = inside.groupBy("c_source", "_key", "left").agg(F.sum("_size").alias("n"), F.count_if(F.col("_size") > 0).alias("rows"))
+        run = ties.withColumn("upto", F.sum("n").over(W.partitionBy("c_source").orderBy("_key")))
+        hit = run.filter("upto >= left").groupBy("c_source").agg(
+            F.min("_key").alias("cut"), F.min_by(F.expr("left - (upto - n)"), "_key").alias("over"), F.min_by("rows", "_key").alias("rows"),
+        )
+        out = goal.join(hit.withColumnRenamed("c_source", "h_source"), F.col("c_source").eqNullSafe(F.col("h_source")), "left")
+        out = durable(out.select("c_source", "source_size", "target", "epochs", "cut", F.expr("over div rows").alias("share")), "mix-cuts")
+        own.spare(out)
     out._few = few
     return out
 

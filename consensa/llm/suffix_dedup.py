@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mark, release, sweep
+from .common import durable, release, scope
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
@@ -350,9 +350,9 @@ def strip(raw: bytes, spans) -> tuple[bytes, int]:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (bytes) and its digest."""
-    before = mark()
-    spans = durable(repeated(docs), "suffix-spans")
-    sweep(docs.sparkSession, before, spans)
+    with scope(docs.sparkSession) as own:
+        spans = durable(repeated(docs), "suffix-spans")
+        own.spare(spans)
 
     def run(batches):
         for b in batches:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mark, packed, sweep
+from .common import durable, packed, scope
 
 # The rules of the contract (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -101,9 +101,8 @@ def fitted(pages: DataFrame) -> tuple[F.Column, float]:
         "url", F.expr(codes("url")).alias("code"), (F.col("by_rule") == "allow").alias("accepted"),
         F.expr("instr('048c', left(md5(url), 1)) > 0").alias("apart"),
     )
-    before = mark()
-    model = F.split(F.lit(ratios(seen.filter("not apart")).first()["lr"]), ",").cast("array<int>")  # folded to one constant
-    sweep(pages.sparkSession, before)
+    with scope(pages.sparkSession):
+        model = F.split(F.lit(ratios(seen.filter("not apart")).first()["lr"]), ",").cast("array<int>")  # folded to one constant
     grams = F.expr(f"if(size(code) > 2, {_grams()}, cast(array() as array<int>))")
     score = F.aggregate(grams, F.lit(0).cast("long"), lambda a, g: a + F.get(model, g)) / (1000.0 * F.greatest(F.size("code") - 2, F.lit(1)))
     by = {r["accepted"]: r for r in seen.filter("apart").select("accepted", F.round(score, 9).alias("s")).groupBy("accepted").agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d")).collect()}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, mark, sweep
+from .common import durable
 
 BLOCK_ROWS, TILE_ROWS, GROUP_BYTES = 20_000, 16_000, 64_000_000
 LEAST_BLOCKS, LEAST_ROWS = 12, 1_000  # small tables still give some tasks, unless blocks fall below so many rows
@@ -67,11 +67,11 @@ class Search:
     """``vectors`` made ready for lists of ``k`` for every row whose vec_id is divisible by ``every``.
 
     members (key, vec_id, lead): the rows that can be listed; asks (key, vec_id): the query rows;
-    vectors (rid, key, d, v, least, asked): the distinct vectors.
+    vectors (rid, key, d, v, least, asked): the distinct vectors. The result of ``lists`` is read from ``asks`` and ``near``.
     """
 
     def __init__(self, vectors: DataFrame, every: int, k: int, floored: int | None = None, zero: bool = True):
-        self.k, self.before = k, mark()
+        self.k = k
         single = vectors.schema["embedding"].dataType.simpleString() == "array<float>" and floored is None
         kind = "array<float>" if single else "array<double>"
         fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -120,8 +120,7 @@ class Search:
         order = W.partitionBy("q").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), (~F.col("lead")).cast("int"))
         x = x.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= self.k + 1)
         near = F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score", (F.col("lead") & (F.col("q") == F.col("c"))).alias("own"))))  # k + 1 at most
-        near = durable(x.groupBy("q").agg(near.alias("near")).join(names.withColumnRenamed("rid", "q"), "q").select("key", "near"), "vector-lists")
-        sweep(near.sparkSession, self.before, self.asks, near)
+        self.near = near = durable(x.groupBy("q").agg(near.alias("near")).join(names.withColumnRenamed("rid", "q"), "q").select("key", "near"), "vector-lists")
         x = self.asks.select("key", F.col("vec_id").alias("query_id")).join(near, "key")
         kept = F.expr(f"slice(filter(near, x -> not (x.own and x.vec_id <=> query_id)), 1, {self.k})")
         return x.select("query_id", F.posexplode(kept).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")

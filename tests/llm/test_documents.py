@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from consensa.llm import bpe, language_id, secret_scan, simhash, source_mix, suffix_dedup
+from consensa.llm import bpe, language_id, near_copies, secret_scan, simhash, source_mix, suffix_dedup
 
 
 # secret scan --------------------------------------------------------------------------------------
@@ -443,15 +443,17 @@ def test_components_of_long_chains(spark):
     assert all(got.get(x, x) == a for x in order[:200]) and all(got.get(x, x) == b for x in order[200:])
 
 
-def test_keep_one(docs, rows):
-    kept = simhash.keep_one(docs)
+def test_keep_one(docs, rows, none):
+    kept = near_copies.keep_one(docs)
     assert kept.columns == docs.columns
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids[7] == 1 and ids[5] == 1 and ids[None] == 1 and not any(ids[100 + i] for i in range(20))
+    assert ids[90] == 1 and ids[91] == 0  # null and empty texts are alike
+    assert near_copies.keep_one(none).count() == 0
 
 
 def copies(rng, groups=30, length=200):
-    """Texts in groups: a base, and copies with one to twelve words changed."""
+    """Texts in groups: a base, and copies with one to twelve words changed, partly of one another."""
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     out = []
     for g in range(groups):
@@ -462,63 +464,76 @@ def copies(rng, groups=30, length=200):
             for at in rng.sample(range(length), k):
                 t[at] = word()
             out.append((100 * g + k, " ".join(t)))
+            if g % 3 == 0:
+                base = t  # a chain: its ends are not alike
+    rng.shuffle(out)
     return out
 
 
-@pytest.mark.parametrize("unit_rows", [2048, 16])
-def test_keep_one_drops_near_copies(spark, unit_rows):
-    rows = copies(random.Random(6))
-    prints = [int.from_bytes(simhash.wide_print(t), "big") for _, t in rows]
-    label = brute_components(prints, 51)
-    want = {rows[i][0]: rows[j][0] for i, j in enumerate(label)}
-    assert 30 < len(set(want.values())) < 200  # near copies on both sides of the bound
+def grams(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+
+def brute_kept(rows):
+    """Texts in order of their ids; one goes if one that stays is similar."""
+    kept = {}
+    for i, t in sorted(rows):
+        s = grams(t)
+        if not any(5 * len(s & k) >= 4 * len(s | k) for k in kept.values()):
+            kept[i] = s
+    return set(kept)
+
+
+@pytest.mark.parametrize("unit_rows,group_bytes", [(2048, 32 << 20), (4, 9_000)])
+def test_keep_one_drops_near_copies(spark, monkeypatch, unit_rows, group_bytes):
+    rows = copies(random.Random(6), 30 if unit_rows > 4 else 7)
+    if unit_rows == 4:
+        monkeypatch.setattr(near_copies, "PEELS", 1)  # what is large after it goes in parts
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in near_copies.keep_one(df, unit_rows=unit_rows, group_bytes=group_bytes).collect()}
+    assert kept == brute_kept(rows)
+
+
+def test_gone_texts_have_one_that_stays(spark):
+    rows = copies(random.Random(8), 12)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(df, unit_rows=unit_rows).collect()}
-    assert all(want[got[i]] == want[i] for i in got)  # never more than is linked
-    assert sum(got[i] != want[i] for i in want) <= 0.02 * len(want)  # pairs at the budget may be missed
-    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
-    assert set(want.values()) <= kept and len(kept - set(want.values())) <= 0.02 * len(want)
+    texts, gone = near_copies.near_copies(df)
+    of = {bytes(r.tid): r.rep for r in texts.collect()}
+    by = {of[bytes(r.tid)]: of[bytes(r.by)] for r in gone.collect()}
+    text = dict(rows)
+    for i, j in by.items():
+        a, b = grams(text[i]), grams(text[j])
+        assert j not in by and 5 * len(a & b) >= 4 * len(a | b)
 
 
-def test_similar_texts_share_a_print():
-    """At a Jaccard similarity of 0.8 or more over five-word shingles nearly every pair is within the budget, and unlike texts never are."""
+def test_similar_texts_meet():
+    """At a similarity of 0.8 or more pairs share a root and stay within the budget; unlike texts never do."""
     rows = copies(random.Random(7), 40)
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t in rows]
-    prints = [int.from_bytes(simhash.wide_print(t), "big") for _, t in rows]
+    sets = [grams(t) for _, t in rows]
+    signed = [near_copies.signature(t) for _, t in rows]
+    prints = [int.from_bytes(p, "big") for p, _ in signed]
     similar, unlike = [], []
     for i, j in itertools.combinations(range(len(rows)), 2):
-        far = (prints[i] ^ prints[j]).bit_count() <= 51
+        near = (prints[i] ^ prints[j]).bit_count() <= near_copies.SPARE_BITS and (signed[i][1] == signed[j][1]).any()
         if rows[i][0] // 100 != rows[j][0] // 100:
-            unlike.append(far)
+            unlike.append(near)
         elif 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-            similar.append(far)
-    assert len(similar) > 100 and np.mean(similar) > 0.97 and not any(unlike)
-
-
-def test_wide_join_loses_no_link(spark, monkeypatch):
-    rng = random.Random(9)
-    prints = set()
-    for _ in range(60):
-        c = rng.getrandbits(256)
-        prints |= {c, *(c ^ sum(1 << b for b in rng.sample(range(256), rng.choice([1, 20, 40, 50, 51, 52, 80]))) for _ in range(6))}
-    prints = sorted(prints)
-    monkeypatch.setattr(simhash, "PAIRS", 50)
-    rows = [(bytearray(p.to_bytes(32, "big")),) for p in prints]
-    edges = simhash.wide_links(spark.createDataFrame(rows, "fp binary"), 0.8, 64).collect()
-    at = {p.to_bytes(32, "big"): i for i, p in enumerate(prints)}
-    parent = list(range(len(prints)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for e in edges:
-        a, b = find(at[bytes(e.u)]), find(at[bytes(e.v)])
-        parent[max(a, b)] = min(a, b)
-    want = brute_components(prints, 51)
-    got = [find(i) for i in range(len(prints))]
-    assert all(want[g] == want[i] for i, g in enumerate(got)) and sum(a != b for a, b in zip(got, want)) <= 0.01 * len(want)
+            similar.append(near)
+    assert len(similar) > 100 and np.mean(similar) > 0.995 and not any(unlike)
+
+
+def test_sets_of_a_group():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        base = np.unique(rng.integers(0, 1 << 60, 40, np.uint64))
+        kept, sets = near_copies.Kept(0.8), []
+        for k in range(6):
+            s = np.unique(np.concatenate((base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 60, rng.integers(0, 6), np.uint64))))
+            want = next((i for i, t in enumerate(sets) if near_copies.similarity(s, t) >= 0.8), None)
+            assert kept.similar(s) == want
+            kept.add(k, s)
+            sets.append(s)
 
 
 # repeated byte strings ----------------------------------------------------------------------------

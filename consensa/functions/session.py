@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import threading
 import uuid
 import zipfile
 
@@ -13,6 +14,7 @@ from .tables import shared_dir
 
 ARROW_ROWS, ARROW_BYTES = "512", "16m"
 _SHIPPED: set[str] = set()
+_LOCK = threading.Lock()
 
 
 def _stored(spark: SparkSession, raw: bytes) -> str:
@@ -25,20 +27,26 @@ def _stored(spark: SparkSession, raw: bytes) -> str:
     return path
 
 
+def _archive() -> bytes:
+    """The package as a zip file."""
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    return raw.getvalue()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship the package to the executors once an application; keep Arrow batches small, since rows can be long texts."""
     app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        raw = io.BytesIO()
-        with zipfile.ZipFile(raw, "w") as z:
-            for folder, _, names in os.walk(top):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, os.path.dirname(top)))
-        spark.sparkContext.addPyFile(_stored(spark, raw.getvalue()))
-        _SHIPPED.add(app)
+    with _LOCK:
+        if app not in _SHIPPED:
+            spark.sparkContext.addPyFile(_stored(spark, _archive()))
+            _SHIPPED.add(app)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark

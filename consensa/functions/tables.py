@@ -5,12 +5,48 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-_MADE: list[str] = []
+_LOCK = threading.Lock()
+_NOW: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+class Scope:
+    """The tables that one call has made with ``keep``; calls in other threads have scopes of their own."""
+
+    def __init__(self) -> None:
+        self.made: list[str] = []
+        self.spared: set[str] = set()
+
+    def spare(self, *tables: DataFrame) -> None:
+        """Leave ``tables`` when the scope ends: they go on to the scope around it, or stay if there is none."""
+        self.spared |= {t._consensa_path for t in tables if hasattr(t, "_consensa_path")}
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Tables kept inside are deleted at its end, errors included, but for those it spares."""
+    own, around = Scope(), _NOW.get()
+    token = _NOW.set(own)
+    try:
+        yield own
+    except BaseException:
+        own.spared.clear()
+        raise
+    finally:
+        _NOW.reset(token)
+        for path in own.made:
+            if path not in own.spared:
+                _delete(spark, path)
+            elif around is not None:
+                around.made.append(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,18 +57,22 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
-    app = context.applicationId
-    if app not in _OWN:
-        if context.master.startswith("local[") or context.master == "local":
-            folder = tempfile.mkdtemp(prefix="consensa-")
-            atexit.register(shutil.rmtree, folder, True)
-            _OWN[app] = f"file://{folder}"
-        else:
-            _OWN[app] = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_consensa/{app}"
+    app = spark.sparkContext.applicationId
+    with _LOCK:
+        if app not in _OWN:
+            _OWN[app] = _folder(spark)
     return _OWN[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.master == "local" or context.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="consensa-")
+        atexit.register(shutil.rmtree, folder, True)
+        return f"file://{folder}"
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_consensa/{context.applicationId}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back: lineage is cut there, and the table survives lost executors."""
     spark = df.sparkSession
@@ -40,7 +80,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._consensa_path = path
-    _MADE.append(path)
+    own = _NOW.get()
+    if own is not None:
+        own.made.append(path)
     return out
 
 
@@ -51,22 +93,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def release(*tables: DataFrame) -> None:
     """Delete tables of ``keep`` that no later step reads."""
+    own = _NOW.get()
     for df in tables:
         path = getattr(df, "_consensa_path", None)
         if path:
             _delete(df.sparkSession, path)
-            if path in _MADE:
-                _MADE.remove(path)
-
-
-def mark() -> set[str]:
-    """The tables there are now, for ``sweep``."""
-    return set(_MADE)
-
-
-def sweep(spark: SparkSession, before: set[str], *spare: DataFrame) -> None:
-    """Delete the tables made since ``mark``, but for ``spare``: call it when what reads them has been written."""
-    kept = before | {getattr(df, "_consensa_path", None) for df in spare}
-    for path in [p for p in _MADE if p not in kept]:
-        _delete(spark, path)
-        _MADE.remove(path)
+            if own is not None and path in own.made:
+                own.made.remove(path)

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.nulls import share_ceil
+from ..functions.tables import keep, release, scope
 from .config import FilterConfig
 
 
@@ -158,28 +159,36 @@ def connectivity(sums: DataFrame) -> DataFrame:
     return s.join(total, "sample_id").select("sample_id", "gene", "strength", "degree", F.try_divide("strength", "_t").alias("wci"))
 
 
-def components(edges: DataFrame, vertices: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(sample_id, gene, component): the least gene reachable. Labels spread along edges, then jump to their label's label.
 
-    ``keep(df, name)`` writes a round's table and reads it back, so lineage stays short and rounds survive lost executors.
+    Each round's table is written and read back, so lineage stays short and rounds survive lost executors; it goes when the next one is there.
     """
+    with scope(edges.sparkSession) as own:
+        label = _components(edges, vertices)
+        own.spare(label)
+    return label.select("sample_id", "gene", F.col("new").alias("component"))
+
+
+def _components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     both = edges.select(
         "sample_id", F.col("src").alias("gene"), F.col("dst").alias("other"),
     ).unionByName(edges.select("sample_id", F.col("dst").alias("gene"), F.col("src").alias("other"))).filter("gene <> other").distinct()
     both = keep(both, "links")
-    label = keep(vertices.select("sample_id", "gene").distinct().withColumn("component", F.col("gene")), "labels")
+    first = vertices.select("sample_id", "gene").distinct()
+    last = keep(first.select("*", F.col("gene").alias("new"), F.col("gene").alias("component")), "labels")
     while True:
+        label = last.select("sample_id", "gene", F.col("new").alias("component"))
         near = both.join(
             label.select("sample_id", F.col("gene").alias("other"), "component"), ["sample_id", "other"],
         ).groupBy("sample_id", "gene").agg(F.min("component").alias("near"))
         step = label.join(near, ["sample_id", "gene"], "left").withColumn("low", F.least("component", "near"))
         jump = step.select("sample_id", F.col("gene").alias("low"), F.col("low").alias("next"))
         nxt = keep(step.join(jump, ["sample_id", "low"], "left").select("sample_id", "gene", F.least("low", "next").alias("new"), "component"), "labels")
-        changed = nxt.filter("new <> component").limit(1).count()
-        label = nxt.select("sample_id", "gene", F.col("new").alias("component"))
-        if not changed:
-            break
-    return label
+        release(last)
+        last = nxt
+        if nxt.filter("new <> component").isEmpty():
+            return nxt
 
 
 def component_sizes(labels: DataFrame, edges: DataFrame) -> DataFrame:

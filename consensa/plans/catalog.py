@@ -298,7 +298,7 @@ SELECT CAST(7 AS BIGINT) UNION SELECT child FROM r JOIN e ON r.id = e.parent) SE
 FROM r""")
 def ontology_closure(spark, sf_dir):
     e = rel(spark, sf_dir, "SELECT p_partkey AS child, p_partkey div 2 AS parent FROM {part} UNION ALL SELECT p_partkey, p_partkey div 3 FROM {part}")
-    return ontology.descendants(e, spark.sql("SELECT 7L AS id"), keep)
+    return ontology.descendants(e, spark.sql("SELECT 7L AS id"))
 
 
 @query("gene_lists_sets", """SELECT 'union' AS op, k FROM (SELECT p_partkey AS k FROM {part} WHERE p_size > 40
@@ -545,7 +545,7 @@ FROM r GROUP BY 1, 2)"""
 
 
 def _labels(spark, sf_dir):
-    return network.components(rel(spark, sf_dir, SPARSE), rel(spark, sf_dir, SPARSE_V), keep)
+    return network.components(rel(spark, sf_dir, SPARSE), rel(spark, sf_dir, SPARSE_V))
 
 
 query("components", _COMP + " SELECT * FROM m")(_labels)

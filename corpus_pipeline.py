@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from consensa.functions.session import prepare
-from consensa.functions.tables import mark, sweep
-from consensa.llm import bpe, language_id, secret_scan, simhash, source_mix
+from consensa.functions.tables import scope
+from consensa.llm import bpe, language_id, near_copies, secret_scan, source_mix
 from consensa.llm.common import durable, release
 
 
@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what a stage read and made on its way is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        before, last = mark(), docs
-        docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
-        sweep(spark, before, docs)
+        last = docs
+        with scope(spark) as own:
+            docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+            own.spare(docs)
         release(last)
     return STAGES[-1][1](spark, docs, sf_dir)

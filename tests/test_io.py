@@ -133,13 +133,22 @@ def test_tables_between_steps(spark):
     from consensa.functions import tables
 
     first = tables.keep(spark.range(3).toDF("x"), "first")
-    before = tables.mark()
-    second, third = tables.keep(first, "second"), tables.keep(first, "third")
+    with tables.scope(spark) as own:
+        second = tables.keep(first, "second")
+        with tables.scope(spark) as inner:  # what an inner scope spares is the outer one's
+            third, fourth = tables.keep(second, "third"), tables.keep(second, "fourth")
+            inner.spare(third, fourth)
+        own.spare(third)
     paths = [t._consensa_path for t in (first, second, third)]
-    tables.sweep(spark, before, third)
+    assert readers.size_of(spark, fourth._consensa_path) == 0
     assert [readers.size_of(spark, p) > 0 for p in paths] == [True, False, True] and third.count() == 3
     tables.release(first, third)
     assert [readers.size_of(spark, p) > 0 for p in paths] == [False] * 3
+    with pytest.raises(ValueError), tables.scope(spark) as own:
+        fifth = tables.keep(spark.range(3), "fifth")
+        own.spare(fifth)
+        raise ValueError
+    assert readers.size_of(spark, fifth._consensa_path) == 0
 
 
 def test_entry(spark):

@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from consensa.functions import nulls
-from consensa.functions.tables import keep
 from consensa.operators import annotate, borda, expression, graph_kernels, lioness, network, ontology, report, similarity, union, variants
 from consensa.operators.config import BordaConfig, Feature, FilterConfig
 
@@ -347,13 +346,13 @@ def test_components_and_degree(spark):
         "sample_id string, edge_id long, src string, dst string, weight double",
     )
     v = spark.createDataFrame([("s", g) for g in "abcdx"], "sample_id string, gene string")
-    assert rows(network.components(e, v, keep), "gene", "component") == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("x", "x")]
+    assert rows(network.components(e, v), "gene", "component") == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("x", "x")]
     chain = spark.createDataFrame(
         [("s", i, f"n{i:03}", f"n{i + 1:03}", 1.0) for i in range(200)],
         "sample_id string, edge_id long, src string, dst string, weight double",
     )
     ends_ = network.ends(chain).select("sample_id", "gene").distinct()
-    assert [r[0] for r in network.components(chain, ends_, keep).select("component").distinct().collect()] == ["n000"]
+    assert [r[0] for r in network.components(chain, ends_).select("component").distinct().collect()] == ["n000"]
     assert rows(network.degree_strength(e, v), "gene", "degree", "strength") == [("a", 2, 3.0), ("b", 2, 3.0), ("c", 1, 4.0), ("d", 1, 4.0), ("x", 0, 0.0)]
 
 
@@ -365,13 +364,13 @@ def test_cosine(spark):
 
 def test_closure_of_a_deep_chain(spark):
     rel = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(70)], "parent string, child string").coalesce(1).cache()
-    got = ontology.descendants(rel, spark.createDataFrame([("t0",)], "id string"), keep)
+    got = ontology.descendants(rel, spark.createDataFrame([("t0",)], "id string"))
     assert {r.id for r in got.collect()} == {f"t{i}" for i in range(71)}
 
 
 def test_closure_with_cycle(spark):
     rel = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 4), (2, 4), (9, 8)], "parent int, child int")
-    assert rows(ontology.descendants(rel, spark.createDataFrame([(1,)], "id int"), keep), "id") == [(1,), (2,), (3,), (4,)]
+    assert rows(ontology.descendants(rel, spark.createDataFrame([(1,)], "id int")), "id") == [(1,), (2,), (3,), (4,)]
 
 
 def test_filters_and_intervals(spark):

@@ -13,6 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import keep, scope
+from . import biconnected
+
 EPS = 1e-9
 
 
@@ -204,13 +207,28 @@ def _least_outside(ordered: list[int], v: int, ranges: list[tuple[int, int]], di
     return next((m for m in ordered if m != v and not any(a <= disc[m] < b for a, b in ranges)), -1)
 
 
-def impact(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(sample_id, gene, largest_component_impact)."""
+LOCAL_EDGES = 1_000_000  # edges and vertices of a graph that one task searches
+
+
+def impact(edges: DataFrame, vertices: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """(sample_id, gene, largest_component_impact). A graph of up to ``local`` edges and vertices is one search; larger ones go by joins (``biconnected``)."""
     parts = edges.select("sample_id", "src", "dst", F.col("weight").cast("double").alias("weight")).filter("src <> dst")
     rows = parts.unionByName(vertices.select(
         "sample_id", F.col("gene").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("weight"),
     ))
+    with scope(edges.sparkSession) as own:
+        large = keep(rows.groupBy("sample_id").count().filter(F.col("count") > local).select("sample_id"), "impact-large")
+        if large.isEmpty():
+            return _searched(rows)
+        # a number of samples
+        few = _searched(rows.join(large, "sample_id", "left_anti"))
+        many = biconnected.impact(edges.join(large, "sample_id", "left_semi"), vertices.join(large, "sample_id", "left_semi"))
+        out = keep(few.unionByName(many), "impact")
+        own.spare(out)
+    return out
+
 
+def _searched(rows: DataFrame) -> DataFrame:
     def run(key, pdf):
         import pandas as pd
 
@@ -219,6 +237,5 @@ def impact(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         es = [(at[a], at[b], w) for a, b, w in zip(pdf["src"], pdf["dst"], pdf["weight"]) if isinstance(b, str)]
         return pd.DataFrame({"sample_id": key[0], "gene": names, "largest_component_impact": component_impact(len(names), es)})
 
-    return rows.groupBy("sample_id").applyInPandas(
-        run, f"sample_id {edges.schema['sample_id'].dataType.simpleString()}, gene string, largest_component_impact double",
-    )
+    kind = f"sample_id {rows.schema['sample_id'].dataType.simpleString()}, gene string, largest_component_impact double"
+    return rows.groupBy("sample_id").applyInPandas(run, kind)

@@ -122,14 +122,78 @@ def edges(values: DataFrame, pairs: DataFrame | None = None, keep_zero: bool = F
 
         schema = f"sample_id {values.schema['sample_id'].dataType.simpleString()}, a string, b string, weight double"
         return _block_pairs(values, max(8, int((BLOCK_CELLS / max(samples, 1)) ** 0.5)), kernel, schema)
-    d = centred(values)
-    a = d.select(F.col("gene").alias("a"), "sample_id", F.col("d").alias("da"), F.col("s").alias("sa"), "n")
-    b = d.select(F.col("gene").alias("b"), "sample_id", F.col("d").alias("db"), F.col("s").alias("sb"))
-    x = pairs.select("a", "b").distinct().join(a, "a").join(b, ["b", "sample_id"])
-    x = x.withColumn("sab", F.sum(F.col("da") * F.col("db")).over(W.partitionBy("a", "b")))  # a row a sample
-    da, db, sa, sb, sab, n = (F.col(c) for c in ("da", "db", "sa", "sb", "sab", "n"))
-    fine, w = _closed_form(da, db, sa, sb, sab, n, lambda c: F.greatest(c, F.lit(1e-300)))
-    x = x.filter((n >= 3) & fine).withColumn("weight", w)
-    if not keep_zero:
-        x = x.filter("weight <> 0")
-    return x.select("sample_id", "a", "b", "weight")
+    return _listed(values, pairs, keep_zero)
+
+
+LISTED_CELLS = 4_000_000  # genes x samples of a block of vectors whose pairs are listed
+CHUNK_CELLS = 1_000_000  # pairs x samples that are weighed at once
+
+
+def _listed(values: DataFrame, pairs: DataFrame, keep_zero: bool) -> DataFrame:
+    """Weights of listed pairs as a sampled product of two dense matrices.
+
+    Genes are dealt over blocks and pairs over pairs of blocks. A task gets both blocks' vectors once and the pairs that are listed there;
+    products are taken for these pairs only, in chunks. A pair is one row until its weights are written.
+    """
+    x = centred(values).filter("n >= 3")
+    sample = values.schema["sample_id"].dataType
+    vectors = x.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("sample_id", "d")))["d"].alias("d"), F.first("s").alias("s"))  # a gene's samples
+    samples, genes = values.select("sample_id").distinct().count(), values.select("gene").distinct().count()
+    blocks = max(1, min(1024, -(-genes * max(samples, 1) // LISTED_CELLS)), -(-genes // 4096))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    own = vectors.withColumn("own", block("gene")).withColumn("other", F.explode(every))
+    low, high = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    rows = own.select(low, high, F.lit(1).alias("kind"), F.col("gene").alias("a"), "d", "s")
+    names = values.agg(F.sort_array(F.collect_set("sample_id")).alias("names")).select("names", F.explode(every).alias("i")).select("names", "i", F.explode(every).alias("j"))
+    listed = pairs.select("a", "b").distinct().filter("a is not null and b is not null").withColumn("u", block("a")).withColumn("v", block("b"))
+    listed = listed.select(F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), F.lit(2).alias("kind"), "a", "b")
+    work = names.filter("i <= j").withColumn("kind", F.lit(0)).unionByName(rows, True).unionByName(listed, True)
+    work = work.repartition("i", "j").sortWithinPartitions("i", "j", "kind").select("i", "j", "kind", "a", "b", "d", "s", "names")
+    return work.mapInArrow(_weigh(keep_zero), f"sample_id {sample.simpleString()}, a string, b string, weight double")
+
+
+def _weigh(keep_zero: bool):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        now, names, at, matrix, squares = None, None, {}, None, None
+        held: list = []
+        floor = lambda v: np.maximum(v, 1e-300)
+
+        def weighed(a, b):
+            ia = np.array([at.get(g, -1) for g in a.to_pylist()], np.int64)
+            ib = np.array([at.get(g, -1) for g in b.to_pylist()], np.int64)
+            known = np.flatnonzero((ia >= 0) & (ib >= 0))
+            step = max(1, CHUNK_CELLS // len(names))
+            for some in (known[k : k + step] for k in range(0, len(known), step)):
+                da, db = matrix[ia[some]], matrix[ib[some]]
+                sab = np.einsum("ij,ij->i", da, db)
+                fine, w = _closed_form(da, db, squares[ia[some], None], squares[ib[some], None], sab[:, None], len(names), floor)
+                row, q = np.nonzero(fine if keep_zero else fine & (w != 0))
+                which = pa.array(some[row])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), a.take(which), b.take(which), pa.array(w[row, q])], names=["sample_id", "a", "b", "weight"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch[c].to_numpy() for c in ("i", "j", "kind")], 1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(key)]):
+                part, (i, j, kind) = batch.slice(lo, hi - lo), key[lo]
+                if (i, j) != now:
+                    now, at, matrix, held = (i, j), {}, None, []
+                if kind == 0:
+                    names = part["names"].flatten()
+                elif kind == 1:
+                    held.append((part["a"].to_pylist(), part["d"].flatten().to_numpy(), part["s"].to_numpy()))
+                elif held or matrix is not None:
+                    if matrix is None:
+                        at = {g: k for k, g in enumerate(g for genes, _, _ in held for g in genes)}
+                        matrix = np.concatenate([d for _, d, _ in held]).reshape(len(at), len(names))
+                        squares = np.concatenate([s for _, _, s in held])
+                        held = []
+                    yield from weighed(part["a"], part["b"])
+
+    return run

@@ -301,6 +301,25 @@ def test_component_impact_equals_brute_force():
         assert np.allclose(graph_kernels.component_impact(n, edges), brute_impact(n, edges), atol=1e-9), (n, edges)
 
 
+def test_component_impact_by_joins(spark):
+    """Graphs that are taken by joins: parallel edges, equal sizes, chains, isolated vertices and several components."""
+    rng = random.Random(5)
+    data, names, want = [], [], {}
+    for k in range(40):
+        n = rng.randint(2, 12)
+        edges = [(*rng.sample(range(n), 2), rng.choice([1.0, -2.0, 0.5])) for _ in range(rng.randint(1, 16))]
+        if k % 4 == 0:  # a cactus with a tail
+            edges = [(i, i + 1, 1.0) for i in range(n - 1)] + [(0, n // 2, 2.0)] * (n > 3)
+        data += [(f"s{k}", f"v{a:02}", f"v{b:02}", w) for a, b, w in edges]
+        names += [(f"s{k}", f"v{i:02}") for i in range(n)]
+        want |= {(f"s{k}", f"v{i:02}"): x for i, x in enumerate(brute_impact(n, edges))}
+    e = spark.createDataFrame(data, "sample_id string, src string, dst string, weight double")
+    v = spark.createDataFrame(names, "sample_id string, gene string")
+    for local in (8,):
+        got = {(r.sample_id, r.gene): r.largest_component_impact for r in graph_kernels.impact(e, v, local).collect()}
+        assert got == pytest.approx(want, abs=1e-9), local
+
+
 def brute_betweenness(n, edges):
     """Shares of shortest paths through each vertex, by listing all of them."""
     out = [0.0] * n

@@ -1,7 +1,7 @@
 """Graph measures without a relational form, one sample's graph a call: weighted betweenness, component impact.
 
-Betweenness is split into batches of source vertices, so a large sample is spread over many tasks; partial
-sums are added by Spark. Component impact is one depth-first search a sample.
+Betweenness is split into batches of source vertices over one set of arrays a sample, so a large sample is spread over many tasks; partial
+sums are added by Spark. Component impact is one depth-first search a sample, and joins where a sample is too large for that.
 """
 
 from __future__ import annotations
@@ -57,56 +57,165 @@ def partial_betweenness(n: int, adj: list[list[tuple[int, float, int]]], sources
     return out
 
 
-def shortest_parallels(lengths: dict[float, int]) -> tuple[float, int]:
-    """(length, number) of the shortest of parallel edges: the others lie on no shortest path."""
-    low = min(lengths)
-    return low, sum(n for x, n in lengths.items() if _near(x, low))
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of each range, one after another."""
+    return np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)
+
+
+def _once(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Each value of ``x`` once; ``place`` is room for all values there are."""
+    at = np.arange(len(x))
+    place[x] = at
+    return x[place[x] == at]
+
+
+def _distances(start, to, length, sources: np.ndarray, width: float) -> np.ndarray:
+    """Distances from each source, flat (source x vertex). All searches run together: each takes its nearest bucket of open vertices at a time."""
+    n, many = len(start) - 1, len(sources)
+    dist = np.full(many * n, np.inf)
+    active = np.arange(many) * n + sources
+    dist[active] = 0.0
+    is_open, place = np.zeros(many * n, bool), np.empty(many * n, np.int64)
+    while len(active):
+        search, d = active // n, dist[active]
+        low = np.full(many, np.inf)
+        np.minimum.at(low, search, d)
+        now = d <= low[search] + width
+        here = active[now]
+        v = here % n
+        count = start[v + 1] - start[v]
+        edge = _spread(start[v], count)
+        target = np.repeat(here - v, count) + to[edge]
+        reach = np.repeat(dist[here], count) + length[edge]
+        better = reach < dist[target]
+        target = target[better]
+        np.minimum.at(dist, target, reach[better])
+        is_open[here] = False
+        target = _once(target, place)
+        target = target[~is_open[target]]
+        is_open[target] = True
+        active = np.concatenate((active[~now], target))
+    return dist
+
+
+def dependencies(start: np.ndarray, to: np.ndarray, length: np.ndarray, times: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """As ``partial_betweenness``, over compressed rows: the neighbours of v are ``to[start[v]:start[v + 1]]``; all sources at once in arrays."""
+    n, many, m = len(start) - 1, len(sources), len(to)
+    out = np.zeros(n)
+    if not m:
+        return out
+    width = float(np.median(length)) / 2
+    dist = _distances(start, to, length, sources, width).reshape(many, n)
+    tail = np.repeat(np.arange(n), np.diff(start))
+    before, after = dist[:, tail], dist[:, to]
+    with np.errstate(invalid="ignore"):
+        alt = before + length
+        tight = (before < after) & (alt - after <= EPS * alt)  # no sum is below its vertex's distance
+    row, edge = np.nonzero(tight)  # by source, then tail
+    u, v, t = row * n + tail[edge], row * n + to[edge], times[edge]
+    ins = np.bincount(v, minlength=many * n)
+    outs = np.bincount(u, minlength=many * n)
+    first = np.cumsum(outs) - outs
+    sigma, delta = np.zeros(many * n), np.zeros(many * n)
+    front = np.arange(many) * n + sources
+    sigma[front] = 1.0
+    met = np.zeros(many * n, bool)
+    met[front] = True
+    levels, place = [], np.empty(many * n, np.int64)
+    while len(front):
+        e = _spread(first[front], outs[front])
+        levels.append(e)
+        np.add.at(sigma, v[e], sigma[u[e]] * t[e])
+        np.subtract.at(ins, v[e], 1)
+        front = _once(v[e], place)
+        front = front[ins[front] == 0]
+        met[front] = True
+    for e in reversed(levels):
+        np.add.at(delta, u[e], sigma[u[e]] * t[e] / sigma[v[e]] * (1 + delta[v[e]]))
+    delta[np.arange(many) * n + sources] = 0.0
+    delta = delta.reshape(many, n)
+    # lengths too small beside a distance to tell its ends apart: these searches go one vertex at a time
+    whole = (met.reshape(many, n) == np.isfinite(dist)).all(axis=1)
+    out += delta[whole].sum(axis=0)
+    if not whole.all():
+        adj = [[(int(to[k]), float(length[k]), times[k]) for k in range(start[x], start[x + 1])] for x in range(n)]
+        out += partial_betweenness(n, adj, sources[~whole].tolist())
+    return out
 
 
-WORK = 2_000_000  # sources x edges that one batch walks
+WORK = 20_000_000  # sources x edges that one batch walks
+AT_ONCE = 2_000_000  # sources x edges of searches that run together
+SENT_BYTES = 64 << 20  # graphs of up to so many bytes are sent to each executor once
 
 
-def betweenness(edges: DataFrame, vertices: DataFrame, work: int = WORK) -> DataFrame:
-    """(sample_id, gene, betweenness): lengths 1 / |weight|, undirected, over (n - 1)(n - 2) / 2 pairs, isolated vertices counted.
+def compressed(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """One row a sample: names, and its graph in compressed rows, as bytes (start long, to int, length double, times double).
 
-    Parallel edges of one weight are counted before the shuffle. A sample gets as many batches of sources as its size asks
-    (``work``), and its graph is sent once a batch.
+    Parallel edges of one weight are counted before the shuffle; of parallel edges only the shortest lie on shortest paths.
     """
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
     parts = edges.filter("src <> dst and weight is not null").select(
-        "sample_id", low.alias("src"), high.alias("dst"), F.abs(F.col("weight").cast("double")).alias("weight"),
+        "sample_id", low.alias("src"), high.alias("dst"), (1.0 / F.greatest(F.abs(F.col("weight").cast("double")), F.lit(EPS))).alias("length"),
     )
-    parts = parts.groupBy("sample_id", "src", "dst", "weight").agg(F.count("*").cast("int").alias("times"))
-    lone = vertices.select(
-        "sample_id", F.col("gene").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("weight"),
-        F.lit(0).alias("times"),
-    ).distinct()
-    rows = parts.unionByName(lone)
-    size = rows.groupBy("sample_id").agg((F.count_if(F.col("dst").isNull()) * F.count_if(F.col("dst").isNotNull()) / work).alias("w"))
-    size = size.select("sample_id", F.greatest(F.lit(1), F.ceil("w")).cast("int").alias("batches"))
-    rows = rows.join(size, "sample_id").withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
+    parts = parts.groupBy("sample_id", "src", "dst", "length").agg(F.count("*").cast("double").alias("times"))
+    lone = vertices.select("sample_id", F.col("gene").alias("src")).distinct()
+    kind = f"sample_id {edges.schema['sample_id'].dataType.simpleString()}, names array<string>, start binary, to binary, length binary, times binary, n long, m long"
 
     def run(key, pdf):
         import pandas as pd
 
-        names = sorted(set(pdf["src"].dropna()) | set(pdf["dst"].dropna()))
-        at = {g: i for i, g in enumerate(names)}
-        n, batches = len(names), int(pdf["batches"].iloc[0])
-        pairs: dict[tuple[int, int], dict[float, int]] = defaultdict(lambda: defaultdict(int))
-        for a, b, w, times in zip(pdf["src"], pdf["dst"], pdf["weight"], pdf["times"]):
-            if isinstance(b, str):
-                pairs[at[a], at[b]][1.0 / max(w, EPS)] += int(times)
-        adj: list[list[tuple[int, float, int]]] = [[] for _ in names]
-        for (a, b), lengths in pairs.items():
-            length, times = shortest_parallels(lengths)
-            adj[a].append((b, length, times))
-            adj[b].append((a, length, times))
-        got = partial_betweenness(n, adj, range(int(key[1]), n, batches))
-        scale = (n - 1) * (n - 2) or 1  # each pair is met from both ends
-        return pd.DataFrame({"sample_id": key[0], "gene": names, "part": got / scale})
+        names, at = np.unique(np.concatenate((pdf["src"].to_numpy(), pdf["dst"].dropna().to_numpy())).astype(str), return_inverse=True)
+        has = pdf["dst"].notna().to_numpy()
+        a, b = at[: len(pdf)][has], at[len(pdf) :]
+        length, times = pdf["length"].to_numpy(float)[has], pdf["times"].to_numpy(float)[has]
+        order = np.lexsort((length, b, a))
+        a, b, length, times = (x[order] for x in (a, b, length, times))
+        new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, int)
+        least = np.repeat(length[new], np.diff(np.append(new, len(a))))
+        near = np.abs(length - least) <= EPS * np.maximum(length, 1e-30)
+        times = np.add.reduceat(np.where(near, times, 0.0), new) if len(new) else times[:0]
+        a, b, length = a[new], b[new], length[new]
+        tail, to = np.concatenate((a, b)), np.concatenate((b, a)).astype(np.int32)
+        order = np.lexsort((to, tail))
+        start = np.concatenate(([0], np.cumsum(np.bincount(tail, minlength=len(names))))).astype(np.int64)
+        two = lambda x: np.concatenate((x, x))[order].tobytes()
+        return pd.DataFrame({
+            "sample_id": [key[0]], "names": [names.tolist()], "start": [start.tobytes()], "to": [to[order].tobytes()], "length": [two(length)], "times": [two(times)],
+            "n": [len(names)], "m": [len(to)],
+        })
+
+    return parts.unionByName(lone, True).groupBy("sample_id").applyInPandas(run, kind)
+
 
+def betweenness(edges: DataFrame, vertices: DataFrame, work: int = WORK) -> DataFrame:
+    """(sample_id, gene, betweenness): lengths 1 / |weight|, undirected, over (n - 1)(n - 2) / 2 pairs, isolated vertices counted.
+
+    A sample's graph is made once, as arrays. It gets as many batches of sources as its size asks (``work``); the graphs are sent to each executor
+    once if they are small, and otherwise once a batch.
+    """
+    with scope(edges.sparkSession) as own:
+        graphs = keep(compressed(edges, vertices), "graphs")
+        own.spare(graphs)
+    batches = graphs.select("sample_id", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("m") / work)).cast("int").alias("batches"))
+    batches = batches.withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
+    tasks = max(1, min(batches.count(), 4096))
+    size = graphs.agg(F.sum(16 * F.col("m") + 40 * F.col("n"))).first()[0] or 0
+    rows = batches.repartition(tasks, "sample_id", "batch").join(F.broadcast(graphs) if size <= SENT_BYTES else graphs, "sample_id")
     kind = f"sample_id {edges.schema['sample_id'].dataType.simpleString()}, gene string, part double"
-    return rows.groupBy("sample_id", "batch").applyInPandas(run, kind).groupBy("sample_id", "gene").agg(F.sum("part").alias("betweenness"))
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            for g in pdf.itertuples():
+                arrays = [np.frombuffer(x, k) for x, k in ((g.start, np.int64), (g.to, np.int32), (g.length, float), (g.times, float))]
+                sources = np.arange(g.batch, g.n, g.batches)
+                step = max(1, AT_ONCE // max(g.m, 1))
+                got = sum((dependencies(*arrays, sources[k : k + step]) for k in range(0, len(sources), step)), np.zeros(g.n))
+                scale = (g.n - 1) * (g.n - 2) or 1  # each pair is met from both ends
+                yield pd.DataFrame({"sample_id": g.sample_id, "gene": g.names, "part": got / scale})
+
+    return rows.mapInPandas(run, kind).groupBy("sample_id", "gene").agg(F.sum("part").alias("betweenness"))
 
 
 def component_impact(n: int, edges: list[tuple[int, int, float]]) -> np.ndarray:

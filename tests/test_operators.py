@@ -359,6 +359,27 @@ def test_betweenness(spark):
         assert got == pytest.approx(want)
 
 
+def test_arrays_equal_single_searches():
+    """Many searches at once against one vertex at a time, with equal lengths, very unequal ones and several components."""
+    rng = np.random.default_rng(4)
+    for k in range(60):
+        n, m = int(rng.integers(3, 40)), int(rng.integers(2, 90))
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        pairs = sorted({(int(min(x, y)), int(max(x, y))) for x, y in zip(a, b) if x != y})
+        length = {e: float(rng.choice([[1.0, 2.0, 3.0], [1e-3, 1.0, 1e3], [1.0, 1.0, 1.0]][k % 3])) for e in pairs}
+        adj = [[] for _ in range(n)]
+        for (x, y), w in length.items():
+            times = int(rng.integers(1, 3))
+            adj[x].append((y, w, times))
+            adj[y].append((x, w, times))
+        adj = [sorted(x) for x in adj]
+        flat = [e for x in adj for e in x]
+        start = np.concatenate(([0], np.cumsum([len(x) for x in adj]))).astype(np.int64)
+        to, w, t = (np.array([e[i] for e in flat], kind) for i, kind in ((0, np.int32), (1, float), (2, float)))
+        got = graph_kernels.dependencies(start, to, w, t, np.arange(n))
+        assert np.allclose(got, graph_kernels.partial_betweenness(n, adj, range(n)), atol=1e-9)
+
+
 def test_components_and_degree(spark):
     e = spark.createDataFrame(
         [("s", 1, "a", "b", 1.0), ("s", 2, "b", "a", 2.0), ("s", 3, "d", "c", -4.0)],

@@ -14,7 +14,11 @@ from ..functions.nulls import blank_key, collapse_ordered, collapse_sorted, medi
 def essentiality(wide: DataFrame, index: str | None = None) -> DataFrame:
     """(gene, entrez_id, median) per column 'SYMBOL (ID)' of a cell-line matrix; the index column is dropped."""
     genes = [c for c in wide.columns if c != index]
-    long = wide.unpivot([], [F.col(f"`{c}`").cast("double").alias(c) for c in genes], "label", "score")
+    return essentiality_cells(wide.unpivot([], [F.col(f"`{c}`").cast("double").alias(c) for c in genes], "label", "score"))
+
+
+def essentiality_cells(long: DataFrame) -> DataFrame:
+    """``essentiality`` from cells (label, score): for matrices of thousands of columns, see ``readers.cells``."""
     one = long.groupBy("label").agg(median("score").alias("median_score"))
     part = lambda i: F.regexp_extract("label", r"^(.*?) \((.*)\)$", i)
     return one.select(F.when(part(1) != "", part(1)).otherwise(F.col("label")).alias("gene"), F.nullif(part(2), F.lit("")).alias("entrez_id"), "median_score")

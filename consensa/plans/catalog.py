@@ -207,13 +207,23 @@ def driver_collapse(spark, sf_dir):
     return annotate.drivers(rel(spark, sf_dir, DRIVER))
 
 
-@query("wide_median", """SELECT concat('N', l_linenumber) AS gene, concat('E', l_linenumber) AS entrez_id, median(q) AS median_score
-FROM (SELECT l_suppkey, l_linenumber, sum(l_quantity) AS q FROM {lineitem}
-GROUP BY ALL) GROUP BY l_linenumber""")
+_WIDE = "SELECT concat('m', l_linenumber, l_returnflag) AS model, l_partkey, sum(l_quantity) AS q FROM {lineitem} GROUP BY ALL"
+
+
+@query("wide_median", f"""SELECT concat('N', l_partkey) AS gene, concat('E', l_partkey) AS entrez_id, median(q) AS median_score
+FROM ({_WIDE}) GROUP BY l_partkey""")
 def wide_median(spark, sf_dir):
-    x = rel(spark, sf_dir, "SELECT l_suppkey, concat('N', l_linenumber, ' (E', l_linenumber, ')') AS g, l_quantity FROM {lineitem}")
-    wide = x.groupBy("l_suppkey").pivot("g", [f"N{i} (E{i})" for i in range(1, 8)]).sum("l_quantity")
-    return annotate.essentiality(wide, "l_suppkey").filter("median_score is not null")
+    """A file of a column a part, written and read back; a header in each part of it."""
+    x = rel(spark, sf_dir, _WIDE)
+    every = "sequence({}L, {}L)".format(*x.agg(F.min("l_partkey"), F.max("l_partkey")).first())
+    line = x.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("l_partkey", "q"))).alias("m")).select(
+        F.crc32("model").alias("deal"), F.lit(1).alias("at"), F.expr(f"concat(model, ',', array_join(transform({every}, p -> coalesce(cast(m[p] as string), '')), ','))").alias("value"))
+    head = F.expr(f"concat(',', array_join(transform({every}, p -> concat('N', p, ' (E', p, ')')), ','))")
+    head = spark.range(4).select(F.col("id").alias("deal"), F.lit(0).alias("at"), head.alias("value"))
+    path = folder(spark, "wide")
+    line.withColumn("deal", F.col("deal") % 4).unionByName(head).repartition(4, "deal").sortWithinPartitions("deal", "at").select("value").write.text(path)
+    found = readers.cells(spark, path)
+    return annotate.essentiality_cells(found.select(F.col("column").alias("label"), F.col("value").alias("score"))).filter("median_score is not null")
 
 
 METRIC = """SELECT l_returnflag AS sample_id, concat(CASE WHEN l_suppkey % {m} = 0 THEN '{n}' ELSE 'G' END, l_suppkey, '.', l_linenumber) AS gene, {v} AS {n}
@@ -940,9 +950,16 @@ def samples_replaced(spark, sf_dir):
 
 @query("count_files", "SELECT concat('G', p_partkey, '.3') AS gene, concat('S', p_size % 4) AS sample_id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) END AS count FROM {part}")
 def count_files(spark, sf_dir):
-    lines = """SELECT concat('G', p_partkey, '.3\t1\t', CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE concat(p_size, '.0') END) AS value, concat('/d/S', p_size % 4, '_CancerRNA_L1.txt') AS path
-FROM {part} UNION ALL SELECT concat('# run ', r_name), '/d/S0_CancerRNA_L1.txt' FROM {region} UNION ALL SELECT 'Geneid\tChr\tx.bam', concat('/d/S', r_regionkey % 4, '_CancerRNA_L1.txt') FROM {region}"""
-    return readers.count_lines(rel(spark, sf_dir, lines))
+    """Files of several samples, each with a comment line and a header, written and read back."""
+    row = "concat('G', p_partkey, '.3\t1\t', CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE concat(p_size, '.0') END)"
+    lines = f"SELECT concat('S', p_size % 4) AS sample, 2 AS at, {row} AS value FROM {{part}}"
+    lines += "".join(f" UNION ALL SELECT DISTINCT concat('S', p_size % 4), {at}, {value} FROM {{part}}" for at, value in ((0, "'# run'"), (1, "'Geneid\tChr\tx.bam'")))
+    path = folder(spark, "counts")
+    x = rel(spark, sf_dir, lines).withColumn("sample", F.concat("sample", F.lit("_CancerRNA_L1.txt")))
+    x.repartition("sample").sortWithinPartitions("sample", "at").drop("at").write.partitionBy("sample").text(path)
+    # the sample's name is that of the folder here, and of the file where a caller writes one file a sample
+    back = spark.read.option("recursiveFileLookup", True).text(path)
+    return readers.count_lines(back.withColumn("path", F.regexp_extract(F.input_file_name(), "sample=([^/]+)", 1)))
 
 
 @query("dense_matrix", "SELECT concat('g', l_suppkey) AS gene, l_returnflag AS sample_id, sum(l_quantity) AS value FROM {lineitem} GROUP BY 1, 2")
@@ -1022,3 +1039,7 @@ def presented_order(spark, sf_dir):
     path = folder(spark, "presented")
     union.presented(x).coalesce(1).write.parquet(path)
     return spark.read.parquet(path).coalesce(1).select((F.monotonically_increasing_id() + 1).alias("place"), "hla_class", "gene_name")
+
+
+# the cohort workflow's queries build on those above
+from . import cohort  # noqa: E402, F401

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import null_if_blank
 from ..functions.session import prepare
-from ..functions.tables import keep
-from ..operators import annotate, borda, expression, graph_kernels, lioness, network, similarity, union
+from ..functions.tables import keep, scope
+from ..operators import annotate, borda, expression, graph_kernels, lioness, network, ontology, similarity, union
 from ..operators.config import BordaConfig, FilterConfig
 from ..sources import readers
 
@@ -94,6 +94,34 @@ def prioritise(candidates: DataFrame, dims: Dimensions, cfg: BordaConfig, vaf_ke
     return x.select(*first, *[F.col(f"`{c}`") for c in x.columns if c not in (*first, "row_id", union.PLACE)])
 
 
+@dataclass
+class ReferenceNetwork:
+    edges: DataFrame  # edge_id, src, dst; parallel edges stay
+    membrane: DataFrame  # gene
+    combined: DataFrame  # gene: of the network or the membrane
+    absent: DataFrame  # gene: of the membrane, not of the network
+
+
+def reference_network(
+    ontology_relation: DataFrame, roots: DataFrame, annotations: DataFrame, symbol_ids: DataFrame, interactions: DataFrame, entrez_ids: DataFrame, strict_not: bool = False,
+) -> ReferenceNetwork:
+    """The gene network and the membrane genes, from an ontology (parent, child) below ``roots`` (id), an annotation file (gene, go_id, evidence,
+    qualifier), symbols (symbol, ensembl), interactions (id1, id2, ...) and their ids (entrez, ensembl).
+
+    Edges are numbered as they are stored.
+    """
+    terms = ontology.descendants(ontology_relation, roots).withColumnRenamed("id", "go_id")
+    genes = annotate.annotated_genes(annotations, terms, strict_not).withColumnRenamed("gene", "symbol")
+    membrane = symbol_ids.join(genes, "symbol", "left_semi").filter("ensembl is not null").select(F.col("ensembl").alias("gene")).distinct()
+    ids = entrez_ids.filter("ensembl is not null").select("entrez", "ensembl").distinct()
+    with scope(annotations.sparkSession) as own:
+        membrane = keep(membrane, "membrane")
+        edges = keep(network.entrez_to_ensembl(interactions, ids).select("src", "dst").withColumn("edge_id", F.monotonically_increasing_id()), "reference")
+        own.spare(membrane, edges)
+    known = edges.select(F.explode(F.array("src", "dst")).alias("gene")).distinct()
+    return ReferenceNetwork(edges, membrane, known.unionByName(membrane).distinct(), membrane.join(known, "gene", "left_anti"))
+
+
 @dataclass
 class Networks:
     edges: DataFrame

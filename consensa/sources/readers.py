@@ -104,10 +104,53 @@ def count_lines(lines: DataFrame, suffix: str = r"_CancerRNA.*$") -> DataFrame:
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:
     """(gene, sample_id, value) from a dense CSV whose first column is the row name."""
-    raw = spark.read.option("header", True).csv(path)
-    row = raw.columns[0]
-    x = raw.select(F.col(f"`{row}`").alias("gene"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns[1:]])
-    return x.unpivot(["gene"], [f"`{c}`" for c in raw.columns[1:]], "sample_id", "value")
+    return cells(spark, path).select(F.col("row").alias("gene"), F.col("column").alias("sample_id"), "value")
+
+
+def cells(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """(row, column, value) of a dense delimited matrix: row names first, a header in each file (the same). Cells that are no number are null.
+
+    Lines are taken apart in tasks, each into one array beside the header's, so the plan has three columns however wide the file is.
+    Quotes are doubled; a field with a line end in it is not for such files.
+    """
+    lines = spark.read.text(path)
+    first = lines.filter("value <> ''").first()
+    kind = "row string, column string, value double"
+    if first is None:
+        return spark.createDataFrame([], kind)
+    return lines.filter((F.col("value") != first[0]) & (F.col("value") != "")).mapInArrow(_dense(first[0], sep), kind)
+
+
+def _dense(header: str, sep: str):
+    """Lines in, a row a cell out."""
+
+    def run(batches):
+        import csv
+
+        import numpy as np
+        import pyarrow as pa
+
+        def fields(line: str) -> list[str]:
+            return next(csv.reader([line], delimiter=sep)) if '"' in line else line.split(sep)
+
+        def number(x: str) -> float | None:
+            try:
+                return float(x)
+            except ValueError:
+                return None
+
+        columns = pa.array(fields(header)[1:])
+        for b in batches:
+            for line in b.column(0).to_pylist():
+                name, *rest = fields(line)
+                rest = (rest + [""] * len(columns))[: len(columns)]
+                try:  # numbers throughout
+                    value = pa.array(np.array(rest, np.float64))
+                except ValueError:
+                    value = pa.array([number(x) for x in rest], pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(columns), np.int32)), pa.array([name])).dictionary_decode(), columns, value], names=["row", "column", "value"])
+
+    return run
 
 
 def interactions(spark: SparkSession, path: str) -> DataFrame:

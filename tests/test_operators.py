@@ -402,6 +402,45 @@ def test_cosine(spark):
     assert got[("x", "x")] == pytest.approx(1) and got[("x", "y")] == pytest.approx(0.6) and got[("x", "z")] is None
 
 
+def test_cosine_of_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(23, 17)) * (rng.random((23, 17)) < 0.4)
+    m[5] = 0
+    m[6, :9], m[7, 9:] = 0, 0
+    data = [(f"s{i:02}", f"g{j}", float(m[i, j])) for i in range(23) for j in range(17) if m[i, j] or i == 5 and j == 0]
+    df = spark.createDataFrame(data, "sample_id string, gene string, value double")
+    monkeypatch.setattr(similarity, "TILE", 7)
+    monkeypatch.setattr(similarity, "CELLS", 50)
+    got = {(r.s1, r.s2): r.similarity for r in similarity.cosine(df).collect()}
+    assert len(got) == 23 * 24 // 2
+    for (a, b), sim in got.items():
+        u, v = m[int(a[1:])], m[int(b[1:])]
+        n = np.linalg.norm(u) * np.linalg.norm(v)
+        assert (sim is None and n == 0) or sim == pytest.approx(u @ v / n, abs=1e-12)
+
+
+def test_leaf_order_of_many_rows():
+    """The nearest rows that are kept give the order that a search of the whole matrix gives."""
+
+    def searched(rows):
+        d = np.sqrt(((rows[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2))
+        np.fill_diagonal(d, np.inf)
+        groups = {i: ([i], -1) for i in range(len(rows))}
+        for step in range(len(rows) - 1):
+            i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
+            (a, x), (b, y) = groups[i], groups.pop(j)
+            groups[i] = (a + b if (x, a[0]) <= (y, b[0]) else b + a, step)
+            d[i] = d[:, i] = np.maximum(d[i], d[j])
+            d[j] = d[:, j] = d[i, i] = np.inf
+        return next(iter(groups.values()))[0]
+
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 10, 60):
+        for rows in (rng.random((n, n)), rng.integers(0, 3, (n, n)).astype(float)):  # ties too
+            assert similarity.complete_linkage(rows) == searched(rows)
+    assert sorted(similarity.complete_linkage(rng.random((2000, 2000)))) == list(range(2000))
+
+
 def test_closure_of_a_deep_chain(spark):
     rel = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(70)], "parent string, child string").coalesce(1).cache()
     got = ontology.descendants(rel, spark.createDataFrame([("t0",)], "id string"))

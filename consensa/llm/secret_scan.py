@@ -54,6 +54,7 @@ _SYMBOLS = {
     "letters": _LOWER,
     "both": _UPPER + _LOWER,
 }
+LEAST = 20  # symbols of a run that is tested
 ENCODINGS, BANDS = tuple(_SYMBOLS), (32, 64)
 _CODE = {k: {c: i for i, c in enumerate(v)} for k, v in _SYMBOLS.items()}
 # Shares of letters in English text, in 1/10000.
@@ -67,8 +68,14 @@ def _upper(z: float) -> float:
 
 
 def infer(token: str) -> tuple[str, str] | None:
-    """(encoding, symbols tested): the smallest alphabet that holds the run; digits alone have none."""
+    """(encoding, symbols tested): the smallest alphabet that holds the run; digits alone have none.
+
+    Hyphens and underscores are separators where 20 symbols remain without them, as in hyphenated hex or after a prefix.
+    """
     t = token.rstrip("=")
+    parted = t.replace("-", "").replace("_", "")
+    if len(parted) >= LEAST:
+        t = parted
     kinds = {("d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s") for c in t}
     if kinds <= {"d", "s"}:
         return None

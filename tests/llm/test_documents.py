@@ -443,6 +443,22 @@ def test_components_of_long_chains(spark):
     assert all(got.get(x, x) == a for x in order[:200]) and all(got.get(x, x) == b for x in order[200:])
 
 
+def test_separators_part_runs(spark):
+    """Hyphenated hex and keys after prefixes are found; words joined by separators are not."""
+    rng = random.Random(12)
+    key = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    digits, letters = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "the quick brown fox jumps over lazy dogs while seven silent readers wander through this ordinary village".split()
+    plain = " ".join(words)
+    made = [("-".join(key(digits, n) for n in (8, 4, 4, 4, 12)), True) for _ in range(40)] + [("ghp_" + key(letters, 36), True) for _ in range(40)]
+    made += [(sep.join(rng.choice(words) for _ in range(7)), False) for sep in "-_" for _ in range(20)]
+    rows = [(i, f"{plain} {s} {plain}", hit) for i, (s, hit) in enumerate(made)]
+    got = {r.doc_id: r.spans for r in secret_scan.op1(spark.createDataFrame(rows, "doc_id long, text string, hit boolean")).collect()}
+    at = len(plain) + 1
+    found = [f"random:{at}:{at + len(made[i][0])}" in got[i].split(",") for i in range(len(made))]
+    assert sum(found[:80]) >= 78 and not any(found[80:])
+
+
 def test_keep_one(docs, rows, none):
     kept = near_copies.keep_one(docs)
     assert kept.columns == docs.columns

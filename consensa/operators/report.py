@@ -37,6 +37,8 @@ ROLES = {
     "LoF": "Loss of Function (tumor suppressor-like): mutation likely inactivates or reduces the gene's function.",
 }
 BADGES = {"go_mf": "MF", "go_bp": "BP", "go_cc": "CC", "cancer_hallmark": "CH", "hallmark": "CH", "intogen_cohort": "Coh", "intogen_cancertype": "CT"}
+# What the badges' short names stand for.
+BADGE_NAMES = {"MF": "Molecular Function", "BP": "Biological Process", "CC": "Cellular Component", "CH": "Cancer Hallmark", "Coh": "IntOGen Cohort", "CT": "IntOGen Cancer Type"}
 
 
 def driver_tip(x: Column | str) -> Column:
@@ -50,11 +52,15 @@ def driver_tip(x: Column | str) -> Column:
     ))
 
 
+def _key(column: str) -> str:
+    return column.lower().replace(".", "_").replace("-", "_").replace(" ", "_")
+
+
 def shapes(columns: list[str]) -> dict:
     """How a final table's columns are shown: driver roles with tooltips, terms as badges, sources by their display names."""
     out = {}
     for c in columns:
-        key = c.lower().replace(".", "_").replace("-", "_").replace(" ", "_")
+        key = _key(c)
         if key == "intogen_driver_role":
             out[c] = driver_tip
         elif key in BADGES:
@@ -69,17 +75,37 @@ def display_source(x: Column | str) -> Column:
     return F.when(x == "Somatic", "Genomic").otherwise(x)
 
 
-def page(title: str, columns: list[str], rows: Iterable[Iterable[str]]) -> Iterable[str]:
-    """A standalone page, piece by piece: a table with paging (25 rows; 10, 25, 50, 100, all), given order kept. Cells are HTML."""
-    t = _html.escape(title)
-    yield f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{t}</title><style>table{{border-collapse:collapse}}td,th{{border:1px solid #ccc;padding:4px}}.pill{{border-radius:4px;padding:1px 4px;background:#eee}}</style></head><body><h1>{t}</h1>"
-    yield "<label>Rows <select id='n'>" + "".join(
-        f"<option value='{v}'{' selected' * (v == 25)}>{s}</option>" for v, s in ((10, 10), (25, 25), (50, 50), (100, 100), (-1, "All"))
-    ) + "</select></label> <button id='p'>Back</button><button id='f'>Next</button>"
-    yield "<table><thead><tr>" + "".join(f"<th>{_html.escape(c)}</th>" for c in columns) + "</tr></thead><tbody id='b'>"
-    for r in rows:
-        yield "<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>"
-    yield "</tbody></table><script>const r=[...document.querySelectorAll('#b tr')],n=document.getElementById('n');let p=0;function d(){const k=+n.value<0?r.length:+n.value;p=Math.max(0,Math.min(p,Math.ceil(r.length/k)-1));r.forEach((x,i)=>x.style.display=i>=p*k&&i<(p+1)*k?'':'none')}n.onchange=()=>{p=0;d()};document.getElementById('p').onclick=()=>{p--;d()};document.getElementById('f').onclick=()=>{p++;d()};d()</script></body></html>"
+#: Style and behaviour of a page: search over all cells, sorting by a click on a column (numbers as numbers, a second click turns it), paging.
+_STYLE = (
+    "body{font-family:sans-serif;margin:16px}h1{font-size:20px}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:4px;vertical-align:top}th{cursor:pointer;white-space:nowrap}"
+    ".pill{border-radius:9px;padding:1px 5px;background:#e8eef6;cursor:help}.driver{border-bottom:1px dotted #777;cursor:help}.bar>*{margin-right:8px}"
+)
+_SCRIPT = """
+const body=document.getElementById('rows'),size=document.getElementById('size'),find=document.getElementById('find'),info=document.getElementById('info');
+const given=[...body.rows];let order=given.slice(),at=0,column=-1,down=false;
+const text=(row,i)=>row.cells[i].textContent.trim();
+function matching(){const words=find.value.toLowerCase().split(/\s+/).filter(w=>w);return order.filter(row=>{const t=row.textContent.toLowerCase();return words.every(w=>t.includes(w))})}
+function show(){const some=matching(),n=+size.value<0?Math.max(some.length,1):+size.value;at=Math.max(0,Math.min(at,Math.ceil(some.length/n)-1));
+body.replaceChildren(...some.slice(at*n,(at+1)*n));info.textContent=some.length?`${at*n+1} to ${Math.min((at+1)*n,some.length)} of ${some.length}`:'none'}
+function compare(a,b){const x=text(a,column),y=text(b,column),p=x===''?NaN:+x,q=y===''?NaN:+y;
+if(x===''||y==='')return(x==='')-(y==='');const c=isNaN(p)||isNaN(q)?x.localeCompare(y):p-q;return down?-c:c}
+document.querySelectorAll('th').forEach((th,i)=>th.onclick=()=>{down=column===i&&!down;column=i;order=given.slice().sort(compare);at=0;show()});
+size.onchange=find.oninput=()=>{at=0;show()};document.getElementById('back').onclick=()=>{at--;show()};document.getElementById('next').onclick=()=>{at++;show()};show();
+"""
+PAGE_FOOT = f"</tbody></table><script>{_SCRIPT}</script></body></html>"
+
+
+def page_head(title: Column, columns: list[str]) -> Column:
+    """A page up to its rows: title, search, page sizes (25 first; 10, 25, 50, 100, all), and the names of the columns."""
+    sizes = "".join(f"<option value='{v}'{' selected' * (v == 25)}>{s}</option>" for v, s in ((10, 10), (25, 25), (50, 50), (100, 100), (-1, "All")))
+    bar = f"<div class='bar'><label>Rows <select id='size'>{sizes}</select></label><label>Search <input id='find' type='search'></label><button id='back'>Back</button><button id='next'>Next</button><span id='info'></span></div>"
+    pills = "".join(f"<span class='pill'>{short}</span> {BADGE_NAMES[short]} " for short in dict.fromkeys(BADGES.values()) if any(BADGES.get(_key(c)) == short for c in columns))
+    names = "".join(f"<th>{_html.escape(c)}</th>" for c in columns)
+    t = escape(title)
+    return F.concat(
+        F.lit("<!DOCTYPE html><html><head><meta charset='utf-8'><title>"), t, F.lit(f"</title><style>{_STYLE}</style></head><body><h1>"), t,
+        F.lit(f"</h1><p>{pills}</p>{bar}<table><thead><tr>{names}</tr></thead><tbody id='rows'>"),
+    )
 
 
 def summary(values: DataFrame, column: str, keys: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.nulls import to_double, to_int
@@ -1024,10 +1025,10 @@ def existing_paths(spark, sf_dir):
 
 @query("ranked_stream", borda_sql("average", "ignore"))
 def ranked_stream(spark, sf_dir):
-    """The candidates arrive in two batches of whole samples and are ranked as they come."""
+    """The candidates arrive in two batches, each with some of every sample's rows, and are ranked as they come."""
     x, top = rel(spark, sf_dir, EPI), folder(spark, "stream")
-    for at, part in enumerate(("sample_id < 'Brand#2'", "sample_id >= 'Brand#2'")):
-        x.filter(part).coalesce(1).write.parquet(f"{top}/in/{at}")
+    for at, part in enumerate(("row_id % 3 = 0", "row_id % 3 <> 0")):
+        x.filter(part).write.parquet(f"{top}/in/{at}")
         incremental.rank_arrivals(spark, f"{top}/in/*", x.schema, f"{top}/out", f"{top}/state", borda_config()).awaitTermination()
     return spark.read.parquet(f"{top}/out").select("sample_id", "row_id", F.col("Borda_Score").alias("borda_score"), F.col("Borda_Rank").alias("borda_rank"))
 
@@ -1037,8 +1038,9 @@ FROM (SELECT DISTINCT CASE WHEN p_size % 7 = 0 THEN NULL ELSE concat('c', p_size
 def presented_order(spark, sf_dir):
     x = rel(spark, sf_dir, "SELECT DISTINCT CASE WHEN p_size % 7 = 0 THEN NULL ELSE concat('c', p_size % 2) END AS hla_class, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS gene_name FROM {part}")
     path = folder(spark, "presented")
-    union.presented(x).coalesce(1).write.parquet(path)
-    return spark.read.parquet(path).coalesce(1).select((F.monotonically_increasing_id() + 1).alias("place"), "hla_class", "gene_name")
+    union.presented(x).write.parquet(path)  # a range a file, named in order
+    back = spark.read.parquet(path).select(F.struct(F.input_file_name(), F.monotonically_increasing_id()).alias("at"), "hla_class", "gene_name")
+    return back.select(F.row_number().over(W.orderBy("at")).cast("long").alias("place"), "hla_class", "gene_name")  # some dozens of rows
 
 
 # the cohort workflow's queries build on those above

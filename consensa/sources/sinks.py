@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,44 +69,81 @@ def cells(df: DataFrame, shape: dict[str, Callable] | None = None) -> DataFrame:
     return df.select(*[how.get(c, report.escape)(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
-def html(df: DataFrame, path: str, title: str, shape: dict[str, Callable] | None = None) -> int:
-    """Write one standalone page to a local path, row by row; returns the number of rows."""
-    n = 0
+def pages(df: DataFrame, folder: str, name: Column, title: Column | None = None, drop: Sequence[str] = (), shape: dict[str, Callable] | None = None) -> list[str]:
+    """One standalone page for each ``name``, in one job: their paths, by name. Rows keep the order they have.
+
+    Tasks write the pages as text below a folder of their own, a page in one task, through the file system of ``folder``; when all are there, each is moved
+    to its name, so a failed run leaves no page half written. No cell passes the driver.
+    """
+    spark, shown = df.sparkSession, [c for c in df.columns if c not in drop]
+    at = F.monotonically_increasing_id().alias("_row")
+    named = df.select(name.alias("_name"), (title if title is not None else name).alias("_title"), at, *[F.col(f"`{c}`") for c in shown])
+    how = report.shapes(shown) | (shape or {})
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.coalesce(how.get(c, report.escape)(F.col(f"`{c}`")), F.lit("")), F.lit("</td>")) for c in shown], F.lit("</tr>"))
+    body = named.select("_name", F.lit(1).alias("_part"), "_row", row.alias("value"))
+    around = named.groupBy("_name").agg(F.min("_title").alias("_title"))
+    head, foot = report.page_head(F.col("_title"), shown), F.lit(report.PAGE_FOOT)
+    ends = [around.select("_name", F.lit(k).alias("_part"), F.lit(0).cast("long").alias("_row"), v.alias("value")) for k, v in ((0, head), (2, foot))]
+    lines = body.unionByName(ends[0]).unionByName(ends[1]).repartition("_name").sortWithinPartitions("_name", "_part", "_row")
+    made = f"{folder.rstrip('/')}/_pages-{uuid.uuid4().hex}"
+    lines.select("_name", "value").write.partitionBy("_name").text(made)
+    return _moved(spark, made, folder)
+
+
+def _moved(spark: SparkSession, made: str, folder: str) -> list[str]:
+    """Each page of ``made`` to its name in ``folder``."""
+    p, fs = readers._path(spark, made)
+    plain = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    out = []
+    for at in fs.globStatus(readers._path(spark, f"{made}/_name=*/part-*")[0]) or []:
+        name = plain(at.getPath().getParent().getName().removeprefix("_name="))
+        to, _ = readers._path(spark, f"{folder.rstrip('/')}/{name}")
+        fs.delete(to, False)
+        if not fs.rename(at.getPath(), to):
+            raise OSError(f"{name} could not be moved to {folder}")
+        out.append(f"{folder.rstrip('/')}/{name}")
+    fs.delete(p, True)
+    return sorted(out)
 
-    def rows():
-        nonlocal n
-        for r in cells(df, shape).toLocalIterator():
-            n += 1
-            yield r
 
-    with open(path, "w", encoding="utf-8") as f:
-        f.writelines(report.page(title, df.columns, rows()))
-    return n
+def html(df: DataFrame, path: str, title: str, shape: dict[str, Callable] | None = None) -> None:
+    """Write one standalone page."""
+    folder, _, name = path.rpartition("/")
+    if df.isEmpty():  # a page without rows has no name of its own
+        df = df.unionByName(df.sparkSession.createDataFrame([tuple([None] * len(df.columns))], df.schema))
+    pages(df, folder or ".", F.lit(name), F.lit(title), shape=shape)
 
 
 def html_batch(df: DataFrame, folder: str, by: str = "sample_id", shape: dict[str, Callable] | None = None) -> list[str]:
-    """One page a sample: <sample>_epitopes.html."""
-    out = []
-    for (s,) in df.select(by).distinct().orderBy(by).toLocalIterator():
-        out.append(f"{folder}/{s}_epitopes.html")
-        html(df.filter(F.col(by) == s).drop(by), out[-1], str(s), shape)
-    return out
+    """One page a sample, in one job: <sample>_epitopes.html."""
+    sample = F.coalesce(F.col(by).cast("string"), F.lit("None"))
+    return pages(df, folder, F.concat(sample, F.lit("_epitopes.html")), sample, [by], shape)
 
 
 def html_files(spark: SparkSession, source: str, folder: str, title: str = "Epitope Prioritisation Table", pattern: str = "*_epitopes_final.csv") -> list[str]:
-    """One page for each CSV of ``source``: a file, a folder (its files that match ``pattern``), or a glob. Rows keep their order."""
+    """One page for each CSV of ``source``: a file, a folder (its files that match ``pattern``), or a glob. Rows keep their order.
+
+    Files with the same header are one job.
+    """
     p, fs = readers._path(spark, source)
     if fs.exists(p) and fs.getFileStatus(p).isDirectory():
         p, fs = readers._path(spark, f"{source.rstrip('/')}/{pattern}")
-    found = fs.globStatus(p)
+    found = [x.getPath().toString() for x in fs.globStatus(p) or []]
+    if not found:
+        return []
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(found).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value")
+    heads: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("value", "at").alias("head")).collect():  # a line a file
+        heads.setdefault(r.head, []).append(r.file)
     out = []
-    for path in sorted(x.getPath().toString() for x in found or []):
-        name = path.rsplit("/", 1)[1]
-        name = name.removesuffix("_epitopes_final.csv") + "_epitopes.html" if name.endswith("_epitopes_final.csv") else name.rsplit(".", 1)[0] + ".html"
-        df = readers.placed(spark.read.option("header", True).option("escape", '"').csv(path))
-        out.append(f"{folder}/{name}")
-        html(df.orderBy("_place").drop("_place"), out[-1], title)
-    return out
+    for files in heads.values():
+        x = readers.placed(spark.read.option("header", True).option("escape", '"').csv(files))
+        file = F.element_at(F.split("_place.file", "/"), -1)
+        name = F.when(file.endswith("_epitopes_final.csv"), F.concat(F.regexp_replace(file, "_epitopes_final[.]csv$", ""), F.lit("_epitopes.html")))
+        name = F.coalesce(name, F.concat(F.regexp_replace(file, "[.][^.]*$", ""), F.lit(".html")))
+        out += pages(x.sort("_place"), folder, name, F.lit(title), ["_place"])
+    return sorted(out)
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Readers, writers, the stream and the registered queries."""
 
+import re
 import zipfile
 
 import duckdb
@@ -87,17 +88,31 @@ def test_sinks(spark, tmp_path):
     assert [x.rsplit("/", 1)[1] for x in sinks.html_files(spark, str(tmp_path / "final" / "other.csv"), str(tmp_path))] == ["other.html"]
 
 
+def test_pages_of_a_cohort(spark, tmp_path):
+    """One job writes every sample's page, rows in order, with search and sorting; a second run replaces pages, and nothing else is left."""
+    rows = [(f"s {i % 3}", i, f"<{i}>") for i in range(60)]
+    df = spark.createDataFrame(rows, "sample_id string, n int, text string").repartition(5).sort("n")
+    for _ in range(2):
+        out = sinks.html_batch(df, str(tmp_path / "pages"))
+        assert len(out) == 3 and sorted(p.name for p in (tmp_path / "pages").iterdir() if not p.name.startswith(".")) == [f"s {i}_epitopes.html" for i in range(3)]
+    page = open(out[1]).read()
+    assert re.findall(r"<td>(\d+)</td>", page) == [str(i) for i in range(60) if i % 3 == 1] and "&lt;1&gt;" in page and "<title>s 1</title>" in page
+    assert "type='search'" in page and "onclick" in page and page.endswith("</html>\n")
+
+
 def test_stream(spark, tmp_path):
+    """A sample's rows come in several files: its ranks are those of all of them."""
+    from consensa.operators.borda import consensus
+
     rows = catalog.rel(spark, DIR, catalog.EPI).cache()
-    for i, part in enumerate(("Brand#1%", "Brand#2%")):
-        rows.filter(f"sample_id like '{part}'").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+    parts = ("sample_id like 'Brand#1%'", "sample_id like 'Brand#2%' and row_id % 2 = 0", "sample_id like 'Brand#2%' and row_id % 2 = 1 or sample_id = 'Brand#31'")
+    for i, part in enumerate(parts):
+        rows.filter(part).write.parquet(str(tmp_path / "in" / f"b{i}"))
         src = str(tmp_path / "in" / "*")
         rank_arrivals(spark, src, rows.schema, str(tmp_path / "out"), str(tmp_path / "ck"), catalog.borda_config()).awaitTermination()
-    from consensa.operators.borda import consensus
-
-    want = consensus(rows.filter("sample_id like 'Brand#1%' or sample_id like 'Brand#2%'"), catalog.borda_config())
-    got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns)
-    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+        want = consensus(rows.filter(" or ".join(f"({p})" for p in parts[: i + 1])), catalog.borda_config())
+        got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns)
+        assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
 
 
 def _cells(df):

@@ -21,7 +21,7 @@ from ..functions.session import prepare
 from ..functions.tables import keep, shared_dir
 from ..operators import annotate, borda, expression, graph_kernels, lioness, network, ontology, report, similarity, union, variants
 from ..operators.config import BordaConfig, Feature, FilterConfig
-from ..sources import readers, sinks
+from ..sources import readers, sinks, variant_files
 from ..streaming import incremental
 from . import workflow
 
@@ -680,6 +680,29 @@ def vcf_expression(spark, sf_dir):
     ).select("l_orderkey", "l_linenumber", "tpm")
 
 
+VCF_HEADER = variant_files.Header(
+    ["##fileformat=VCFv4.2", *[f"##contig=<ID=chr{i},length=1000>" for i in range(7, 0, -1)], '##INFO=<ID=QD,Number=1,Type=Float,Description="quality, by depth">', '##INFO=<ID=AC,Number=A,Type=Integer,Description="x">',
+     '##INFO=<ID=DB,Number=0,Type=Flag,Description="y">', '##FORMAT=<ID=GT,Number=1,Type=String,Description="z">', '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="w">'], ["TUMOR", "germline"])
+_CALLS = """SELECT concat('chr', l_linenumber) AS chrom, l_orderkey AS pos, CASE WHEN l_suppkey % 3 = 0 THEN concat('rs', l_partkey) END AS id, 'A' AS ref, CASE WHEN l_partkey % 4 = 0 THEN 'G,T' ELSE 'G' END AS alt,
+  l_quantity / 10 AS qd, l_returnflag = 'N' AS db, CASE WHEN l_tax > 0.02 THEN CAST(l_quantity AS INT) END AS dp, l_discount > 0.05 AS het FROM {lineitem}"""
+
+
+@query("variant_file", f"""WITH c AS ({_CALLS}) SELECT chrom, pos, id, ref, alt, 'PASS' AS filter, qd AS "QD", db AS "DB", CASE WHEN alt = 'G,T' THEN 3 ELSE 1 END AS ac, sample_id,
+  CASE WHEN sample_id = 'TUMOR' AND het THEN '0/1' ELSE '0/0' END AS "GT", CASE WHEN sample_id = 'TUMOR' THEN dp ELSE 7 END AS "DP" FROM c, (SELECT unnest(['TUMOR', 'NORMAL']) AS sample_id)""")
+def variant_file(spark, sf_dir):
+    """Calls written in the header's contig order and read back, with a sample renamed on the way; genotypes are rows."""
+    x = rel(spark, sf_dir, _CALLS).selectExpr(
+        "chrom", "pos", "id", "ref", "alt", "qd * 10 AS qual", "'PASS' AS filter", "array('GT', 'DP') AS format",
+        "if(db, map('QD', cast(qd as string), 'DB', null, 'AC', if(alt = 'G,T', '1,2', '1')), map('QD', cast(qd as string), 'AC', if(alt = 'G,T', '1,2', '1'))) AS info",
+        "array(struct('TUMOR' AS sample_id, map('GT', if(het, '0/1', '0/0'), 'DP', cast(dp as string)) AS fields), struct('germline' AS sample_id, map('GT', '0/0', 'DP', '7') AS fields)) AS samples",
+    )
+    path = folder(spark, "calls")
+    variant_files.write(variant_files.renamed(x, "germline", "NORMAL"), VCF_HEADER.renamed("germline", "NORMAL"), path)
+    head, back = variant_files.scan(spark, path)
+    y = variant_files.genotypes(variant_files.with_info(back, head, ["QD", "DB", "AC"]), head, ["GT", "DP"])
+    return y.select("chrom", "pos", "id", "ref", "alt", "filter", "QD", "DB", F.aggregate("AC", F.lit(0), lambda a, v: a + v).alias("ac"), "sample_id", "GT", "DP")
+
+
 @query("variant_sample_rename", "SELECT event_id, 'NORMAL' AS sample_id FROM {events} WHERE event_type = 'error'")
 def variant_sample_rename(spark, sf_dir):
     x = rel(spark, sf_dir, "SELECT event_id, event_type AS sample_id FROM {events}")
@@ -740,8 +763,6 @@ FROM s) WHERE r <= 10""")(
 
 
 def _top_components(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     x = _labels(spark, sf_dir).groupBy("sample_id", "component").agg(F.count("*").alias("size"))
     return x.withColumn("rank", F.row_number().over(W.partitionBy("sample_id").orderBy(F.desc("size"), "component"))).filter("rank <= 10")
 

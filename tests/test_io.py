@@ -9,7 +9,7 @@ import pytest
 
 from consensa.operators import report
 from consensa.plans import catalog
-from consensa.sources import readers, sinks
+from consensa.sources import readers, sinks, variant_files
 from consensa.streaming.incremental import rank_arrivals
 
 DIR = "/root/testdata/sf0.001"
@@ -88,6 +88,36 @@ def test_sinks(spark, tmp_path):
     assert [x.rsplit("/", 1)[1] for x in sinks.html_files(spark, str(tmp_path / "final" / "other.csv"), str(tmp_path))] == ["other.html"]
 
 
+def test_variant_files(spark, tmp_path):
+    """A made file read and written again; order by the header's contigs over several part files; unknown contigs come last."""
+    head = ["##fileformat=VCFv4.2", "##contig=<ID=c2,length=9>", "##contig=<ID=c10>", "##contig=<ID=c1>", '##INFO=<ID=DP,Number=1,Type=Integer,Description="a, b">', '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="x">']
+    body = [
+        "c1\t5\t.\tA\tG\t50\tPASS\tDP=7;DB;DP=9;X=a=b\tGT:AD\t0/1:3,4\t./.", "c10\t7\trs1\tA\tG,T\t.\t.\t.\tGT\t0/0\t1/1",
+        "c2\t9\t.\tAT\tG\t1.5\tq10\tDP=x\tGT:AD:Z\t0/0:1,.:.\t0/1", "zz\t1\t.\tA\t.\t3\tPASS\tDB\tGT\t.\t.",
+    ]
+    names = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tN\tT"
+    (tmp_path / "a.vcf").write_text("\n".join([*head, names, *body]) + "\n")
+    h, x = variant_files.scan(spark, str(tmp_path / "a.vcf"))
+    assert h.contigs == ["c2", "c10", "c1"] and h.samples == ["N", "T"] and h.declared("INFO") == {"DP": ("Integer", "1")}
+    got = {(r.chrom, r.sample_id): r for r in variant_files.genotypes(variant_files.with_info(x, h, ["DP"]), h, ["GT", "AD"]).collect()}
+    assert len(got) == 8 and got["c1", "N"].DP == 7 and got["c1", "N"].AD == [3, 4] and got["c1", "T"].AD is None and got["c1", "T"].GT == "./."
+    assert got["c2", "N"].DP is None and got["c2", "N"].AD == [1, None] and got["zz", "T"].GT is None and got["c10", "T"].id == "rs1"
+    variant_files.write(x, h, str(tmp_path / "out"), files=3)
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    lines = [line for p in parts for line in p.read_text().splitlines()]
+    want = [body[i] for i in (2, 1, 0, 3)]
+    want = [w.replace("DP=7;DB;DP=9;X=a=b", "DP=7;DB;X=a=b").replace("./.", "./.:.", 1) if w.startswith("c1\t") else w for w in want]
+    want = [w.replace("0/0:1,.:.\t0/1", "0/0:1,.:.\t0/1:.:.") for w in want]
+    assert len(parts) > 1 and lines == [*head, names, *want]
+    one = variant_files.renamed(variant_files.only_sample(x, "T"), "T", "tumour")
+    variant_files.write(one, h.only("T").renamed("T", "tumour"), str(tmp_path / "one"))
+    h, y = variant_files.scan(spark, str(tmp_path / "one"))
+    assert h.samples == ["tumour"] and [len(r.samples) for r in y.collect()] == [1] * 4
+    gtf = spark.createDataFrame([(f"{c}\t{s}", c, s) for c, s in (("b", 3), ("a", 20), ("a", 3), ("b", 1))], "value string, chrom string, start long")
+    variant_files.by_coordinate(gtf, str(tmp_path / "gtf"), files=2)
+    assert [line for p in sorted((tmp_path / "gtf").glob("part-*")) for line in p.read_text().splitlines()] == ["a\t3", "a\t20", "b\t1", "b\t3"]
+
+
 def test_pages_of_a_cohort(spark, tmp_path):
     """One job writes every sample's page, rows in order, with search and sorting; a second run replaces pages, and nothing else is left."""
     rows = [(f"s {i % 3}", i, f"<{i}>") for i in range(60)]

@@ -472,6 +472,29 @@ def test_counts(spark):
     assert expression.expressed(g).count() == 4  # fewer than five samples: everything stays
 
 
+def test_dispersions_without_a_parametric_trend(spark):
+    """Dispersions that grow with the mean have no trend a0 + a1 / mean: the local fit follows them, and variances stop growing with the mean."""
+    rng = np.random.default_rng(6)
+    genes, samples = 600, 24
+    means = np.exp(rng.uniform(math.log(20), math.log(20_000), genes))
+    true = 0.02 * (means / 20) ** 0.4
+    y = rng.poisson(rng.gamma(1 / true[:, None], (true * means)[:, None], (genes, samples)))
+    data = [(f"g{i}", f"s{j}", int(y[i, j])) for i in range(genes) for j in range(samples)]
+    c = spark.createDataFrame(data, "gene string, sample_id string, count long")
+    fits = expression.dispersions(c.withColumn("size_factor", F.lit(1.0)))
+    assert expression.trend(fits) is None
+    at, logs = expression._local(fits)
+    error = np.abs(np.exp(np.interp(np.log(means), at, logs)) / true - 1)
+    assert np.median(error) < 0.1 and np.quantile(error, 0.95) < 0.3
+    with pytest.warns(UserWarning, match="local regression"):
+        x = expression.vst(c).toPandas()
+    g = x.groupby("gene")["value"].agg(["mean", "std"]).sort_values("mean")["std"].to_numpy()
+    assert 0.8 < g[:150].mean() / g[-150:].mean() < 1.25
+    raw = np.log2(y + 1).std(axis=1)[np.argsort(means)]
+    assert abs(g[:150].mean() / g[-150:].mean() - 1) < abs(raw[:150].mean() / raw[-150:].mean() - 1)
+    assert (x.merge(c.toPandas()).groupby("gene").apply(lambda v: v["value"].rank().corr(v["count"].rank()), include_groups=False) > 0.9).all()
+
+
 def test_dispersions_of_known_counts(spark):
     rng = np.random.default_rng(8)
 

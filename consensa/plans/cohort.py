@@ -81,7 +81,7 @@ def networks(spark, sf_dir):
     none = F.lit(None).cast("string")
     out = n.edges.select(F.lit("edge").alias("part"), "sample_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.round("weight", 6).alias("value"))
     for m in ("degree", "strength", "wci"):
-        out = out.unionByName(n.metrics[m].select(F.lit(m).alias("part"), "sample_id", F.col("gene").alias("a"), none.alias("b"), F.round(F.col(m).cast("double"), 6).alias("value")))
+        out = out.unionByName(n.measures[m]().select(F.lit(m).alias("part"), "sample_id", F.col("gene").alias("a"), none.alias("b"), F.round(F.col(m).cast("double"), 6).alias("value")))
     out = out.unionByName(n.distances.select(F.lit("cosine").alias("part"), F.col("s1").alias("sample_id"), F.col("s2").alias("a"), none.alias("b"), F.round("similarity", 6).alias("value")))
     qc = n.qc.select("sample_id", F.explode(F.array(*[F.struct(F.lit(c).alias("a"), F.col(c).cast("double").alias("value")) for c in _QC])).alias("x"))
     return out.unionByName(qc.select(F.lit("qc").alias("part"), "sample_id", "x.a", none.alias("b"), "x.value"))

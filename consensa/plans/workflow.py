@@ -127,9 +127,14 @@ class Networks:
     edges: DataFrame
     vertices: DataFrame
     qc: DataFrame
-    metrics: dict[str, DataFrame]
+    measures: dict[str, Callable[[], DataFrame]]
     distances: DataFrame
 
+    @property
+    def metrics(self) -> dict[str, DataFrame]:
+        """All measures by name, (sample_id, gene, measure); each is begun here."""
+        return {m: f() for m, f in self.measures.items()}
+
 
 def networks(
     counts: DataFrame, reference: DataFrame, membrane: DataFrame, cfg: FilterConfig, store: Callable[[DataFrame, str], DataFrame] = keep,
@@ -160,11 +165,11 @@ def networks(
     vertices = store(network.vertices(own, edges, mem, qc), "vertices")
     ds = network.degree_strength(edges, vertices)
     full = network.connectivity(lioness.strengths(values))
-    metrics = {
-        "betweenness": graph_kernels.betweenness(edges, vertices),
-        "degree": ds.select("sample_id", "gene", "degree"),
-        "strength": ds.select("sample_id", "gene", "strength"),
-        "largest_component_impact": graph_kernels.impact(edges, vertices),
-        "wci": full.select("sample_id", "gene", "wci"),
+    measures = {
+        "betweenness": lambda: graph_kernels.betweenness(edges, vertices),
+        "degree": lambda: ds.select("sample_id", "gene", "degree"),
+        "strength": lambda: ds.select("sample_id", "gene", "strength"),
+        "largest_component_impact": lambda: graph_kernels.impact(edges, vertices),
+        "wci": lambda: full.select("sample_id", "gene", "wci"),
     }
-    return Networks(edges, vertices, qc, metrics, similarity.cosine(ds.select("sample_id", "gene", F.col("strength").alias("value"))))
+    return Networks(edges, vertices, qc, measures, similarity.cosine(ds.select("sample_id", "gene", F.col("strength").alias("value"))))

@@ -953,10 +953,11 @@ query("csv_round_trip", TYPED)(_read_back(","))
 query("tsv_round_trip", TYPED)(_read_back("\t"))
 
 
-@query("empty_csv_header", "SELECT 'c_custkey,c_name' AS value")
+@query("empty_csv_header", "SELECT 'c_custkey,c_name' AS value FROM {customer} HAVING count(*) FILTER (c_acctbal > 1e9) = 0")
 def empty_csv_header(spark, sf_dir):
+    """No customer is so rich: the file is a header."""
     path = folder(spark, "empty")
-    sinks.csv(rel(spark, sf_dir, "SELECT c_custkey, c_name FROM {customer} WHERE false"), path)
+    sinks.csv(rel(spark, sf_dir, "SELECT c_custkey, c_name FROM {customer} WHERE c_acctbal > 1e9"), path)
     return spark.read.text(path)
 
 
@@ -1009,21 +1010,31 @@ def graph_round_trip(spark, sf_dir):
     return readers.graph(spark, path)[1].select("sample_id", "edge_id", "src", "dst", "weight")
 
 
-@query("yaml_config", "SELECT CAST(0.3 AS DOUBLE) AS top_prop, CAST(0.1 AS DOUBLE) AS add_prop, true AS enrich, 'ppi_filtered_edges' AS denominator")
+@query("yaml_config", _TOP.replace("CAST(0.2 AS DOUBLE)", "CAST(0.3 AS DOUBLE)") + " SELECT sample_id, edge_id, src, dst, round(weight, 6) AS weight FROM t")
 def yaml_config(spark, sf_dir):
+    """A configuration file decides how many edges of a node stay."""
     path = put_bytes(prepare(spark), folder(spark, "config"), b"ppi:\n  top_prop: 0.3\nmembrane:\n  enabled: true\n  add_prop: 0.1\n  denominator: ppi_filtered_edges\n")
-    c = FilterConfig.from_dict(readers.config(spark, path))
-    return spark.createDataFrame([(c.top_prop, c.add_prop, c.enrich, c.denominator)], "top_prop double, add_prop double, enrich boolean, denominator string")
+    x = network.top_proportion(rel(spark, sf_dir, PPI), FilterConfig.from_dict(readers.config(spark, path)).top_prop)
+    return x.select("sample_id", "edge_id", "src", "dst", F.round("weight", 6).alias("weight"))
 
 
-@query("archive_member", "SELECT r_regionkey, r_name FROM {region}")
+@query("archive_member", "SELECT l_orderkey, l_linenumber, l_quantity FROM {lineitem}")
 def archive_member(spark, sf_dir):
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        z.writestr("notes.txt", "x")
-        z.writestr("top/regions.tsv", "".join(f"{r.r_regionkey}\t{r.r_name}\n" for r in rel(spark, sf_dir, "SELECT * FROM {region}").collect()))
-    text = readers.zip_member(spark, put_bytes(spark, folder(spark, "archive"), raw.getvalue()), "regions.tsv").decode()
-    return spark.createDataFrame([(int(k), n) for k, n in (line.split("\t") for line in text.splitlines())], "r_regionkey int, r_name string")
+    """Archives that tasks make of the lines, one for some thousand orders; each one's member is read by a task as well."""
+    x = rel(spark, sf_dir, "SELECT l_orderkey div 5000 AS archive, concat_ws('\t', l_orderkey, l_linenumber, l_quantity) AS value FROM {lineitem}")
+
+    def packed(key, rows):
+        import pandas as pd
+
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("notes.tsv.txt", "x")
+            z.writestr("top/lines.tsv", "".join(f"{v}\n" for v in rows["value"]))
+        return pd.DataFrame({"path": [f"{key[0]}.zip"], "content": [raw.getvalue()]})
+
+    found = readers.archive_lines(x.groupBy("archive").applyInPandas(packed, "path string, content binary"), ".tsv")
+    c = F.split("value", "\t")
+    return found.select(c[0].cast("long").alias("l_orderkey"), c[1].cast("int").alias("l_linenumber"), c[2].cast("double").alias("l_quantity"))
 
 
 @query("read_groups", """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'flowcell' ELSE concat('FC', p_size) END AS flowcell, CASE WHEN p_size % 3 = 0 THEN 'lane' ELSE CAST(p_size % 8 AS VARCHAR) END AS lane,
@@ -1035,13 +1046,15 @@ ELSE concat('@M:1:FC', p_size, ':', p_size % 8) END AS h FROM {part}""")
     return x.select("p_partkey", *[g[c].alias(c) for c in ("flowcell", "lane", "barcode")])
 
 
-@query("existing_paths", "SELECT 'full' AS name UNION ALL SELECT 'other'")
+@query("existing_paths", "SELECT p_brand AS name, CAST(count(*) AS BIGINT) AS n FROM {part} WHERE p_size > 48 GROUP BY 1")
 def existing_paths(spark, sf_dir):
-    top = folder(prepare(spark), "paths")
-    for name, raw in (("full", b"x"), ("other", b"yy"), ("empty", b"")):
-        put_bytes(spark, f"{top}/{name}", raw)
-    found = readers.existing(spark, [f"{top}/{n}" for n in ("full", "absent", "empty", "other")] + ["", None])
-    return spark.createDataFrame([(p.rsplit("/", 1)[1],) for p in found], "name string")
+    """Of a file for each brand, those that are there and hold any bytes are read."""
+    x, top = rel(spark, sf_dir, "SELECT p_brand, concat('p', p_partkey) AS value, p_size FROM {part}"), folder(spark, "paths")
+    x.filter("p_size > 48").select("p_brand", "value").write.partitionBy("p_brand").text(top)
+    put_bytes(spark, f"{top}/p_brand=none/part-0.txt", b"")
+    brands = [r[0] for r in x.select("p_brand").distinct().collect()]  # as many as there are files to look for
+    found = readers.existing(spark, [f"{top}/p_brand={b.replace('#', '%23')}" for b in [*brands, "none", "absent"]] + ["", None])
+    return spark.read.option("basePath", top).text(found).groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("n"))
 
 
 @query("ranked_stream", borda_sql("average", "ignore"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 from collections.abc import Sequence
 
@@ -199,11 +200,33 @@ def intervals(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.when(colon != "", by_colon).otherwise(by_tab).alias("x")).select("x.*")
 
 
-def zip_member(spark: SparkSession, path: str, ending: str) -> bytes:
-    """The first archive member whose name ends so."""
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
-        return z.read(min(n for n in z.namelist() if n.endswith(ending)))
+def archives(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(path, content) of whole files."""
+    return spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select("path", "content")
+
+
+def archive_lines(files: DataFrame, ending: str) -> DataFrame:
+    """(path, member, line, value): the lines of the first member of each archive (path, content) whose name ends so.
+
+    A task opens its archives and unpacks a member as a stream, a few thousand lines at a time; an archive without such a member has no rows.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for path, raw in zip(b["path"], b["content"]):
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    name = min((n for n in z.namelist() if n.endswith(ending)), default=None)
+                    if name is None:
+                        continue
+                    with io.TextIOWrapper(z.open(name), "utf-8", newline="\n") as f:
+                        at = 0
+                        while some := list(itertools.islice(f, 8192)):
+                            yield pd.DataFrame({"path": path, "member": name, "line": range(at, at + len(some)), "value": [x.rstrip("\r\n") for x in some]})
+                            at += len(some)
+
+    return files.select("path", "content").mapInPandas(run, "path string, member string, line long, value string")
 
 
 def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,10 @@
 language: documents without a recognised language go. near_duplicates: one document of each group of near
 copies stays (wide fingerprints of five-word shingles, similarity 0.8 or more). secrets: every document stays, secret spans are masked. mix: documents
 are taken, repeated or left out to meet the sources' targets. tokens: token ids of each document, with digests of ids and decoded text.
+
+Defined results: null and empty texts have no language and go; very long texts are single rows of tasks; of rows that are repeated whole one stays, and rows without a
+doc_id are no one's copies; a null source is a source of its own; an empty table gives an empty result; columns of other names pass through all
+stages, and the last one's columns replace those of the same names.
 """
 
 from __future__ import annotations

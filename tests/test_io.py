@@ -42,7 +42,9 @@ def test_formats(spark, tmp_path):
     assert readers.config(spark, str(tmp_path / "c.yaml")) == {"a": {"b": 1}}
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("dir/x.tsv", "hello")
-    assert readers.zip_member(spark, str(tmp_path / "z.zip"), "x.tsv") == b"hello"
+    found = readers.archive_lines(readers.archives(spark, str(tmp_path / "z.zip")), "x.tsv").collect()
+    assert [(r.member.endswith("x.tsv"), r.line, r.value) for r in found] == [(True, 0, "hello")]
+    assert readers.archive_lines(readers.archives(spark, str(tmp_path / "z.zip")), "none").isEmpty()
     (tmp_path / "sheet.csv").write_text("sample_name,fastq_R1,fastq_R2,datatype,lane\na,1,2,CancerRNA,L1\na,3,4,CancerRNA,L1\n")
     got = readers.sample_sheet(spark, str(tmp_path / "sheet.csv")).collect()
     assert len(got) == 1 and got[0].fastq_R1 == "3"

@@ -12,7 +12,8 @@ buffer never grows beyond a few times that distance, however long a word is.
 could change, and sends words through the merges (short ones by way of a bounded cache). ``StreamDecoder`` turns
 ids into bytes and bytes into text with an incremental UTF-8 state machine; bad bytes give U+FFFD.
 
-Defined results: null text is empty: no tokens, and the digest of the empty string.
+Defined results: null text is empty: no tokens, and the digest of the empty string; a very long text is read in pieces; repeated rows each get a row;
+an empty table gives an empty result; columns of any name pass through.
 """
 
 from __future__ import annotations

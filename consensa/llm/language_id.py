@@ -11,7 +11,9 @@ The fit uses a sample of ``per_language`` labelled rows of each language in expe
 bound is the parameter); prediction covers whole texts of all rows.
 
 Defined results: null text, or text without a letter, gives ``und`` with score 0; null doc_id is neither
-held out nor learned from; with no labelled row, everything is ``und``; one learned language is always predicted.
+held out nor learned from; with no labelled row, everything is ``und``; one learned language is always predicted; ties of two languages go to
+the first by name; a very long text is one row of a task; repeated rows each get a row, and are learned from as often as they are drawn; an empty
+table gives an empty result; columns of any name pass through.
 """
 
 from __future__ import annotations

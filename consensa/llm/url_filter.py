@@ -13,7 +13,7 @@ exploded nor shuffled to be scored. Only DataFrame and SQL functions are used.
 
 Defined results: null URLs, and URLs without ``://``, have empty host and path; null and empty URLs score 0, all others by their
 characters; where one class has no labelled URL, every score and the cut are 0 and the method allows; a score equal to the cut is
-allowed; repeated rows each get a row; columns of the same names as those added are replaced.
+allowed; a very long URL is scored whole, as one row of a task; repeated rows each get a row; an empty table gives an empty result; columns of the same names as those added are replaced.
 """
 
 from __future__ import annotations

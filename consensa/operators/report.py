@@ -80,7 +80,7 @@ _STYLE = (
     "body{font-family:sans-serif;margin:16px}h1{font-size:20px}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:4px;vertical-align:top}th{cursor:pointer;white-space:nowrap}"
     ".pill{border-radius:9px;padding:1px 5px;background:#e8eef6;cursor:help}.driver{border-bottom:1px dotted #777;cursor:help}.bar>*{margin-right:8px}"
 )
-_SCRIPT = """
+_SCRIPT = r"""
 const body=document.getElementById('rows'),size=document.getElementById('size'),find=document.getElementById('find'),info=document.getElementById('info');
 const given=[...body.rows];let order=given.slice(),at=0,column=-1,down=false;
 const text=(row,i)=>row.cells[i].textContent.trim();

@@ -13,7 +13,7 @@ by their smallest doc_id; a text goes if and only if one that stays is similar t
 5. Inside a group texts are compared exactly, each with those before it that stay. Groups of more than ``group_bytes`` of text are worked off in
    blocks: a block is settled, then all other texts of the group are compared with what the block keeps, in as many tasks as they ask for.
 
-Defined results: a null text is an empty one, and all texts without a word are alike; texts of fewer than five words are one shingle; a very long
+Defined results: doc_ids are whole numbers; a null text is an empty one, and all texts without a word are alike; texts of fewer than five words are one shingle; a very long
 text is one row of a task; rows without a doc_id all stay and are compared with none; rows that are repeated whole leave one; an
 empty table gives an empty result; columns of any name pass through.
 """

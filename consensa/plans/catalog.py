@@ -217,8 +217,9 @@ def wide_median(spark, sf_dir):
     """A file of a column a part, written and read back; a header in each part of it."""
     x = rel(spark, sf_dir, _WIDE)
     every = "sequence({}L, {}L)".format(*x.agg(F.min("l_partkey"), F.max("l_partkey")).first())
-    line = x.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("l_partkey", "q"))).alias("m")).select(
-        F.crc32("model").alias("deal"), F.lit(1).alias("at"), F.expr(f"concat(model, ',', array_join(transform({every}, p -> coalesce(cast(m[p] as string), '')), ','))").alias("value"))
+    grid = x.select("model").distinct().select("model", F.expr(f"explode({every}) AS l_partkey")).join(x, ["model", "l_partkey"], "left")
+    row = grid.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("l_partkey", "q")))["q"].alias("q"))
+    line = row.select(F.crc32("model").alias("deal"), F.lit(1).alias("at"), F.expr("concat(model, ',', array_join(transform(q, v -> coalesce(cast(v as string), '')), ','))").alias("value"))
     head = F.expr(f"concat(',', array_join(transform({every}, p -> concat('N', p, ' (E', p, ')')), ','))")
     head = spark.range(4).select(F.col("id").alias("deal"), F.lit(0).alias("at"), head.alias("value"))
     path = folder(spark, "wide")

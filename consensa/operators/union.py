@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.nulls import to_double, to_int
@@ -55,8 +55,10 @@ def project(df: DataFrame, columns: Sequence[str], source: str, hla_class: str,
         *[F.col(f"`{c}`") for c in extras]
     )
     if not somatic:  # a source without any length gets the sequences' lengths
-        none = F.count("_len").over(W.partitionBy(*keys)) == 0
-        x = x.withColumn("_len", F.when(none, F.length("mt_epitope_seq")).otherwise(F.col("_len")))
+        some = x.filter("_len is not null").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.lit(True).alias("_some")).distinct()
+        same = reduce(lambda a, b: a & b, [x[k].eqNullSafe(some[f"_k{i}"]) for i, k in enumerate(keys)])
+        x = x.join(F.broadcast(some), same, "left")  # a row a sample
+        x = x.withColumn("_len", F.when(F.col("_some"), F.col("_len")).otherwise(F.length("mt_epitope_seq")))
     fused = F.col("_gene") if source == "Fusion" else F.lit(None)
     x = x.withColumn("fusion_genes", fused.cast("string")).withColumn("peptide_length", F.col("_len"))
     x = x.withColumn("gene_name", F.explode_outer(F.split("_gene", "_")) if source == "Fusion" else F.col("_gene").cast("string"))

@@ -812,9 +812,9 @@ FLAG_WEIGHTS = (("median_mt_ic50", 0.6, "lower_better"), ("chronos", 0.4, "lower
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources united, essentiality and driver roles attached, consensus rank per sample."""
     x = merged(spark, sf_dir)
-    x = annotate.by_key(x, annotate.essentiality_rows(rel(spark, sf_dir, ESS)), "gene_name", "gene", {"chronos": "chronos"})
+    x = annotate.by_key(x, keep(annotate.essentiality_rows(rel(spark, sf_dir, ESS)), "essentiality"), "gene_name", "gene", {"chronos": "chronos"})
     x = annotate.by_key(
-        x, annotate.drivers(rel(spark, sf_dir, DRIVER.replace("p_brand AS symbol", "concat('G', p_size % 40) AS symbol"))), "gene_name",
+        x, keep(annotate.drivers(rel(spark, sf_dir, DRIVER.replace("p_brand AS symbol", "concat('G', p_size % 40) AS symbol"))), "drivers"), "gene_name",
         "symbol", {"role": "driver_role", "cohort": "driver_cohort"},
     )
     return borda.consensus(x.withColumn("row_id", union.merged_order(x)), BordaConfig([Feature(*w) for w in FLAG_WEIGHTS])).drop("row_id")

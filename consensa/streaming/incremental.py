@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.tables import scope
 from ..operators.borda import consensus
 from ..operators.config import BordaConfig
 
@@ -24,7 +25,8 @@ def rank_arrivals(spark: SparkSession, source: str, schema, sink: str, checkpoin
         every = put.read.schema(rows.schema.add("_batch", "long")).parquet(landed)
         touched = every.filter(F.col("_batch") == number).select("sample_id").distinct()  # by folders
         again = every.join(touched, "sample_id", "left_semi").drop("_batch")
-        consensus(again, cfg).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").parquet(sink)
+        with scope(put):
+            consensus(again, cfg).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").parquet(sink)
 
     w = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/state")
     return (w.trigger(availableNow=True) if once else w).start()

@@ -546,3 +546,44 @@ def test_histogram_counts_everything(spark):
     df = spark.range(1000).select(F.lit("s").alias("sample_id"), (F.col("id") % 97).cast("double").alias("v"))
     for bins in (200, None):
         assert report.histogram(df, "v", ["sample_id"], bins).agg(F.sum("n")).first()[0] == 1000
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_borda_in_ranges(spark):
+    """No sample is ranked by one window: values are numbered range by range, also without a sample, and equal to the rule."""
+    rng = random.Random(5)
+    values = [rng.choice([None, rng.randint(-40, 40) / 4, 1e9 + i, float("nan")]) for i in range(400)]
+    df = spark.createDataFrame([(None if i % 2 else "s", i, v) for i, v in enumerate(values)], "sample_id string, row_id int, ic50 double")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = borda.consensus(df, BordaConfig([Feature("ic50", 1.0)]))
+        got = {r.row_id: r for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert "Window" not in physical(out)
+    for odd in (0, 1):
+        want = [p or 0.0 for p in points(values[odd::2])]
+        for i, p in enumerate(want):
+            better, alike = sum(q > p for q in want), want.count(p)
+            assert got[2 * i + odd].Borda_Score == pytest.approx(p, rel=1e-3) and got[2 * i + odd].Borda_Rank == better + 1 + (alike - 1) / 2
+
+
+def test_lengths_without_a_window(spark):
+    kind = "sample_id string, `Gene Name` string, `Peptide Length` string, `Epitope Seq` string"
+    df = spark.createDataFrame([("a", "G1", None, "PEPT"), ("a", "G2", "9", "PEP"), ("b", "G1", None, "PEPTI"), (None, "G1", "7", "P"), (None, "G3", None, "PP")], kind)
+    x = union.project(df, ["Gene Name", "HLA Allele", "Peptide Length", "Epitope Seq", "IC50"], "Splice Variant", "MHC Class I")
+    assert rows(x, "sample_id", "gene_name", "peptide_length") == sorted([("a", "G1", None), ("a", "G2", 9), ("b", "G1", 5), (None, "G1", 7), (None, "G3", None)], key=str)
+    assert "Window" not in physical(x)
+
+
+def test_values_collapsed_by_first_place(spark):
+    """Repeated values meet before lists are made; a place that is not known comes first."""
+    b = spark.createDataFrame([("g", i, str(i % 3), None if i % 2 else "nan") for i in range(300)] + [("g", None, "z", " x ")], "gene string, o long, `a.b` string, w string")
+    a = spark.createDataFrame([("g",), ("h",)], "gene string")
+    out = annotate.attach_values(a, b, [("gene", "gene")], {"a.b": "v", "w": "w"}, "o", require=False)
+    assert rows(out, "gene", "v", "w") == [("g", "z;0;1;2", "x"), ("h", None, None)]
+    assert "collect_list" not in physical(out)

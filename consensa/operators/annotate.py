@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import blank_key, collapse_ordered, collapse_sorted, median, null_if_blank, strip_version, trim_blanks, upper_key
+from ..functions.tables import keep
 
 
 # dimensions ---------------------------------------------------------------------------------------
@@ -141,8 +142,12 @@ def attach_values(
         raise ValueError(f"columns missing: {missing}")
     norm = lambda name, c: (normal or {}).get(name, blank_key)(c)
     ks = [f"_k{i}" for i in range(len(keys))]
-    right = source.select(*[norm(a, b).alias(k) for k, (a, b) in zip(ks, keys)], F.col(order).alias("_o"), *[F.col(v) for v in values])
-    right = right.groupBy(*ks).agg(*[collapse_ordered(v, "_o").alias(n) for v, n in values.items()])
+    right = source.select(*[norm(a, b).alias(k) for k, (a, b) in zip(ks, keys)], F.col(order).alias("_o"), *[F.col(f"`{v}`") for v in values])
+    # each value with its first place before any list is made, so that lists hold distinct values alone; written, so that the join knows its size
+    each = F.array(*[F.struct(F.lit(i).alias("_i"), trim_blanks(F.col(v).cast("string")).alias("_v")) for i, v in enumerate(f"`{v}`" for v in values)])
+    seen = right.select(*ks, "_o", F.inline(each)).filter("_v is not null and _v <> '' and lower(_v) <> 'nan'").groupBy(*ks, "_i", "_v")
+    seen = seen.agg(F.when(F.bool_or(F.col("_o").isNull()), None).otherwise(F.min("_o")).alias("_o"))
+    right = keep(seen.groupBy(*ks).agg(*[collapse_ordered(F.when(F.col("_i") == i, F.col("_v")), "_o").alias(n) for i, n in enumerate(values.values())]), "values")
     left = rows.select("*", *[norm(a, a).alias(k) for k, (a, _) in zip(ks, keys)])
     return left.join(right, ks, "left").drop(*ks)
 

@@ -52,20 +52,23 @@ def read_candidates(spark: SparkSession, paths: dict[tuple[str, str, str], str |
 
 
 def prioritise(candidates: DataFrame, dims: Dimensions, cfg: BordaConfig, vaf_keys: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Candidates annotated, ranked per sample, and in the order of presentation."""
+    """Candidates annotated, ranked per sample, and in the order of presentation.
+
+    Annotation tables are written before they are joined: Spark sees their size, and rows are not dealt by a sample or a gene to meet a small one.
+    """
     prepare(candidates.sparkSession)
     x = candidates
     if dims.essentiality is not None:
-        x = annotate.by_key(x, annotate.essentiality_rows(dims.essentiality), "gene_name", "gene", {"median_score": "Depmap_survivability_score"})
+        x = annotate.by_key(x, keep(annotate.essentiality_rows(dims.essentiality), "essentiality"), "gene_name", "gene", {"median_score": "Depmap_survivability_score"})
     if dims.drivers is not None:
         x = annotate.by_key(
-            x, dims.drivers, "gene_name", "symbol",
+            x, keep(dims.drivers, "drivers"), "gene_name", "symbol",
             {"role": "Intogen_Driver_role", "cohort": "Intogen_Cohort", "cancer_type": "Intogen_CancerType"},
         )
     maps = [m for m in (dims.gene_map, dims.other_gene_map) if m is not None]
     if any(d is not None for d in dims.metrics.values()) and maps:
         table = annotate.combine_metrics({m: dims.metrics.get(m) for m in METRICS})
-        x = annotate.attach_metrics(x, annotate.to_symbols(table, maps, METRICS))
+        x = annotate.attach_metrics(x, keep(annotate.to_symbols(table, maps, METRICS), "metrics"))
     else:
         for m in METRICS:
             x = x.withColumn(m, F.lit(None).cast("double"))
@@ -73,12 +76,13 @@ def prioritise(candidates: DataFrame, dims: Dimensions, cfg: BordaConfig, vaf_ke
         x = x.withColumnRenamed(m, n)
     x = borda.consensus(x.withColumn("row_id", union.merged_order(x)), cfg)
     if dims.go is not None and dims.go_names is not None:
-        x = x.join(annotate.go_terms(dims.go, dims.go_names).withColumnRenamed("gene", "gene_name"), "gene_name", "left")
+        x = x.join(keep(annotate.go_terms(dims.go, dims.go_names).withColumnRenamed("gene", "gene_name"), "terms"), "gene_name", "left")
     if dims.gene_sets is not None:
-        x = x.join(annotate.hallmarks(x.select(F.col("gene_name").alias("gene")), dims.gene_sets).withColumnRenamed("gene", "gene_name"), "gene_name", "left")
+        sets = annotate.hallmarks(x.select(F.col("gene_name").alias("gene")), dims.gene_sets).withColumnRenamed("gene", "gene_name")
+        x = x.join(keep(sets, "sets"), "gene_name", "left")
     if dims.hla_expression is not None:
         names = x.columns
-        x = annotate.hla_tpm(x.join(dims.hla_expression.withColumnRenamed("m", "_m"), "sample_id", "left"), "hla_allele", F.col("_m"))
+        x = annotate.hla_tpm(x.join(keep(dims.hla_expression.withColumnRenamed("m", "_m"), "hla"), "sample_id", "left"), "hla_allele", F.col("_m"))
         x = annotate.insert_after(x.select(*names, "hla_tpm", "hla_tpm_detail"), "hla_allele", ["hla_tpm"])
     if dims.allele_tables is not None and vaf_keys:
         t = dims.allele_tables

@@ -157,9 +157,10 @@ def vst(counts: DataFrame) -> DataFrame:
 
     Dispersions by adjusted profile likelihood, their trend over the mean, and the closed form for that trend. Where the trend has no parametric fit, it is
     a local regression, and the transformation is its integral over a grid. Written from the published method; not compared with its published
-    implementation, which is not at hand.
+    implementation, which is not at hand. The counts are written once: factors, dispersions and values all read them.
     """
-    x = counts.join(size_factors(counts), "sample_id")
+    counts = keep(counts, "counts")
+    x = keep(counts.join(size_factors(counts), "sample_id"), "normalised")
     fits = dispersions(x)
     with scope(counts.sparkSession):
         fits = keep(fits, "dispersions")

@@ -402,7 +402,7 @@ _SUMS = f"SELECT split_part(gene, '.', 1) AS gene, sample_id, CAST(sum(count) AS
 
 
 def gene_counts(spark, sf_dir):
-    return expression.by_gene(rel(spark, sf_dir, COUNTS))
+    return keep(expression.by_gene(rel(spark, sf_dir, COUNTS)), "counts")
 
 
 query("count_matrix_rowsum", _SUMS)(gene_counts)
@@ -421,7 +421,7 @@ def size_factors(spark, sf_dir):
 
 @query("vst_values")
 def vst_values(spark, sf_dir):
-    return expression.vst(gene_counts(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    return expression.vst(expression.by_gene(rel(spark, sf_dir, COUNTS))).withColumn("value", F.round("value", 6))
 
 
 VALUES = """SELECT p_brand AS gene, concat('n', o_custkey % 25) AS sample_id, CAST(sum(l_quantity) AS DOUBLE) AS value

@@ -150,7 +150,7 @@ def networks(
     only ever summed, for the share of connectivity.
     """
     prepare(counts.sparkSession)
-    genes = expression.by_gene(counts.withColumnRenamed("gene_id", "gene") if "gene_id" in counts.columns else counts)
+    genes = store(expression.by_gene(counts.withColumnRenamed("gene_id", "gene") if "gene_id" in counts.columns else counts), "counts")
     values = expression.vst(expression.expressed(genes)) if normalise else genes.select("gene", "sample_id", F.col("count").cast("double").alias("value"))
     values = store(values, "values")
     known = values.select("gene").distinct()

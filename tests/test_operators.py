@@ -587,3 +587,10 @@ def test_values_collapsed_by_first_place(spark):
     out = annotate.attach_values(a, b, [("gene", "gene")], {"a.b": "v", "w": "w"}, "o", require=False)
     assert rows(out, "gene", "v", "w") == [("g", "z;0;1;2", "x"), ("h", None, None)]
     assert "collect_list" not in physical(out)
+
+
+def test_vst_reads_its_input_once(spark):
+    """What comes out is read from the counts that are written first, not from the input again."""
+    c = spark.createDataFrame([(f"g{i}", f"s{j}", (i * 7 + j * 3) % 50 + 5 * i) for i in range(30) for j in range(6)], "gene string, sample_id string, count long")
+    out = expression.vst(c)
+    assert out.count() == 180 and "ExistingRDD" not in physical(out)

@@ -122,34 +122,47 @@ def cells(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return lines.filter((F.col("value") != first[0]) & (F.col("value") != "")).mapInArrow(_dense(first[0], sep), kind)
 
 
+#: Cells of a line that are made at once.
+WIDTH = 1 << 16
+
+
 def _dense(header: str, sep: str):
-    """Lines in, a row a cell out."""
+    """Lines in, a row a cell out. Lines are parted by Arrow and given out ``WIDTH`` cells at a time: no line becomes a list of Python's, unless it has quotes."""
 
     def run(batches):
         import csv
 
-        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        def fields(line: str) -> list[str]:
-            return next(csv.reader([line], delimiter=sep)) if '"' in line else line.split(sep)
+        def fields(line):
+            text = line.as_py() if pc.match_substring(line, '"').as_py() else None
+            return pc.split_pattern(line, sep).values if text is None else pa.array(next(csv.reader([text], delimiter=sep)))
 
         def number(x: str) -> float | None:
             try:
                 return float(x)
-            except ValueError:
+            except (TypeError, ValueError):
                 return None
 
-        columns = pa.array(fields(header)[1:])
+        def numbers(x):
+            try:  # numbers and blanks throughout
+                # not if_else: on a slice of texts it garbled the last one (Arrow 23.0.1)
+                return pc.cast(pc.replace_with_mask(x, pc.equal(x, ""), pa.scalar(None, x.type)), pa.float64())
+            except pa.ArrowInvalid:
+                return pa.array([number(v) for v in x.to_pylist()], pa.float64())
+
+        columns = fields(pa.scalar(header)).slice(1)
         for b in batches:
-            for line in b.column(0).to_pylist():
-                name, *rest = fields(line)
-                rest = (rest + [""] * len(columns))[: len(columns)]
-                try:  # numbers throughout
-                    value = pa.array(np.array(rest, np.float64))
-                except ValueError:
-                    value = pa.array([number(x) for x in rest], pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(columns), np.int32)), pa.array([name])).dictionary_decode(), columns, value], names=["row", "column", "value"])
+            for line in b.column(0):
+                cells = fields(line)
+                name, cells = cells.slice(0, 1), cells.slice(1)
+                for at in range(0, len(columns), WIDTH):
+                    label = columns.slice(at, WIDTH)
+                    value = numbers(cells.slice(at, WIDTH))
+                    if len(value) < len(label):
+                        value = pa.concat_arrays([value, pa.nulls(len(label) - len(value), pa.float64())])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(name[0], len(label)), label, value.slice(0, len(label))], names=["row", "column", "value"])
 
     return run
 

@@ -55,7 +55,10 @@ def _known(x: Column) -> Column:
 def _entries(text: str, sep: str) -> str:
     """SQL: a map of ``key=value`` parts, the first of each key."""
     parts = f"transform(filter(split({text}, '{sep}'), x -> x <> '' and x <> '.'), x -> struct(substring_index(x, '=', 1) as key, if(instr(x, '=') > 0, substr(x, instr(x, '=') + 1), null) as value))"
-    return f"map_from_entries(filter({parts}, (e, i) -> array_position(transform({parts}, y -> y.key), e.key) = i + 1))"
+    every = f"map_from_entries(filter({parts}, (e, i) -> array_position(transform({parts}, y -> y.key), e.key) = i + 1))"
+    # only a text with a repeated key, an empty part or a dot needs the list of its parts
+    odd = rf"(?:^|{sep})([^{sep}=]*)(?:=[^{sep}]*)?{sep}(?:.*{sep})?\1(?:=|{sep}|$)|(?:^|{sep})\.?(?:{sep}|$)"
+    return f"case when {text} rlike r'{odd}' then {every} else str_to_map({text}, '{sep}', '=') end"
 
 
 def header(lines: DataFrame) -> Header:
@@ -79,7 +82,8 @@ def scan(spark: SparkSession, path: str) -> tuple[Header, DataFrame]:
     names = F.array(*[F.lit(s) for s in head.samples]).cast("array<string>")
     x = x.withColumn("_names", names)
     values = "transform(split(s._cells, ':'), v -> nullif(v, '.'))"
-    fields = f"map_from_entries(filter(zip_with(format, {values}, (k, v) -> struct(k as key, v as value)), e -> e.key is not null))"
+    padded = f"slice(concat({values}, array_repeat(cast(null as string), greatest(size(format) - size(split(s._cells, ':')), 0))), 1, size(format))"
+    fields = f"map_from_arrays(format, {padded})"
     samples = f"transform(arrays_zip(_names, _cells), s -> struct(s._names as sample_id, {fields} as fields))"
     return head, x.select(
         "chrom", "pos", "id", "ref", "alt", "qual", "filter", F.expr(_entries("_info", ";")).alias("info"), "format", F.expr(samples).alias("samples"),

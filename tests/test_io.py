@@ -203,3 +203,32 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_wide_lines_in_parts(monkeypatch):
+    """A line's cells come in batches of ``WIDTH``; short lines, blanks and text give nulls."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(readers, "WIDTH", 3)
+    lines = ["m,1,,x, 2 ,nan,1e3,7,8", 'n,"4",5', "o"]
+    out = list(readers._dense('row,a,b,"c,1",d,e,f,g', ",")([pa.record_batch({"value": lines})]))
+    assert max(b.num_rows for b in out) == 3
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert [g[1] for g in got[:7]] == ["a", "b", "c,1", "d", "e", "f", "g"] and [g[0] for g in got[::7]] == ["m", "n", "o"]
+    monkeypatch.undo()
+    cells = ["" if i % 3 else f"{i % 50}.25" for i in range(150000)]
+    batch = pa.record_batch({"value": ["m," + ",".join(cells)]})
+    long = [v for b in readers._dense("," + ",".join(map(str, range(150000))), ",")([batch]) for v in b.column(2).to_pylist()]
+    assert long == [float(c) if c else None for c in cells]
+    assert [None if v is None or v != v else v for _, _, v in got] == [1, None, None, 2, None, 1000, 7, 4, 5, *[None] * 5, *[None] * 7]
+
+
+def test_info_of_odd_parts(spark, tmp_path):
+    """A list of parts is made only for texts that need one; the first value of a key counts there."""
+    said = ["A=1;B;C=2=3", "A=1;B;A=2", "AA=1;A=2", ".", "A=1;;B", "A=", "A;A=1", "A=1;.", "B=A;A=B"]
+    (tmp_path / "a.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS\n" + "".join(f"c\t{i}\t.\tA\tG\t.\t.\t{x}\tGT:DP\t0/1\n" for i, x in enumerate(said)))
+    _, x = variant_files.scan(spark, str(tmp_path / "a.vcf"))
+    assert "str_to_map" in x._jdf.queryExecution().analyzed().toString().lower()
+    want = [{"A": "1", "B": None, "C": "2=3"}, {"A": "1", "B": None}, {"AA": "1", "A": "2"}, {}, {"A": "1", "B": None}, {"A": ""}, {"A": None}, {"A": "1"}, {"B": "A", "A": "B"}]
+    assert [r.info for r in x.orderBy("pos").collect()] == want
+    assert all(r.samples[0].fields == {"GT": "0/1", "DP": None} for r in x.collect())

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _LOCK = threading.Lock()
@@ -86,6 +86,21 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows that a task sorts, so that its memory does not grow with the table.
+PART_ROWS = 1_000_000
+
+
+def parts(*tables: DataFrame, times: int = 1) -> int:
+    """Into how many partitions the rows of stored ``tables`` go, each row ``times`` over: by their number, at least as many as the session names."""
+    rows = sum(t.count() for t in tables) * times
+    return max(int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
+
+def dealt(df: DataFrame, n: int | None, *keys: str | Column) -> DataFrame:
+    """``df`` in ``n`` partitions by ``keys``; as it is without ``n``."""
+    return df if n is None else df.repartition(n, *keys)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

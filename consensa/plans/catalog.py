@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import to_double, to_int
 from ..functions.session import prepare
-from ..functions.tables import keep, shared_dir
+from ..functions.tables import dealt, keep, parts, shared_dir
 from ..operators import annotate, borda, expression, graph_kernels, lioness, network, ontology, report, similarity, union, variants
 from ..operators.config import BordaConfig, Feature, FilterConfig
 from ..sources import readers, sinks, variant_files
@@ -669,7 +669,12 @@ FROM {lineitem} WHERE l_returnflag <> '{m}' GROUP BY 1, 2"""
   b.pos) AS pos, 'A' AS ref, 'G' AS alt, coalesce(a.dp, b.dp) AS dp, a.chrom IS NOT NULL AS in_first, b.chrom IS NOT NULL AS in_second
 FROM a FULL JOIN b ON a.chrom = b.chrom AND a.pos = b.pos""")
 def vcf_combine(spark, sf_dir):
-    return variants.combine(rel(spark, sf_dir, HALF.replace("{m}", "A")), rel(spark, sf_dir, HALF.replace("{m}", "R")), ["dp"])
+    prepare(spark)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    # dealt by the key of both groups and the join, into as many parts as the rows need: a task's tables do not grow with the input
+    lines = dealt(lines, parts(lines, times=2), F.concat(F.lit("chr"), F.col("l_linenumber").cast("string")), "l_orderkey")
+    first, second = (spark.sql(HALF.replace("{m}", m), lineitem=lines) for m in "AR")
+    return variants.combine(first, second, ["dp"])
 
 
 @query("vcf_expression", """SELECT l_orderkey, l_linenumber, t.tpm FROM {lineitem} LEFT JOIN (SELECT p_partkey, p_retailprice AS tpm

@@ -6,7 +6,9 @@ import zipfile
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from consensa.functions import tables
 from consensa.operators import report
 from consensa.plans import catalog
 from consensa.sources import readers, sinks, variant_files
@@ -232,3 +234,10 @@ def test_info_of_odd_parts(spark, tmp_path):
     want = [{"A": "1", "B": None, "C": "2=3"}, {"A": "1", "B": None}, {"AA": "1", "A": "2"}, {}, {"A": "1", "B": None}, {"A": ""}, {"A": None}, {"A": "1"}, {"B": "A", "A": "B"}]
     assert [r.info for r in x.orderBy("pos").collect()] == want
     assert all(r.samples[0].fields == {"GT": "0/1", "DP": None} for r in x.collect())
+
+
+def test_parts_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "PART_ROWS", 4000)
+    got = catalog.QUERIES["vcf_combine"](spark, "/root/testdata/sf0.01")
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 4000

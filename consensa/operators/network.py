@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.nulls import share_ceil
-from ..functions.tables import keep, release, scope
+from ..functions.tables import dealt, keep, release, scope
 from .config import FilterConfig
 
 
@@ -40,12 +40,21 @@ def ends(edges: DataFrame) -> DataFrame:
     return edges.select("*", F.explode(F.array("src", "dst")).alias("gene"))
 
 
-def top_proportion(edges: DataFrame, top_prop: float) -> DataFrame:
-    """Edges among the max(1, ceil(k * top_prop)) strongest at one of their ends; ties by edge_id."""
-    node = W.partitionBy("sample_id", "gene")
-    x = ends(edges).withColumn("_r", F.row_number().over(node.orderBy(F.abs("weight").desc(), "edge_id"))).withColumn("_k", F.count("*").over(node))
-    kept = x.filter(F.col("_r") <= F.greatest(F.lit(1), share_ceil(F.col("_k"), top_prop))).select("sample_id", "edge_id").distinct()
-    return edges.join(kept, ["sample_id", "edge_id"], "left_semi")
+def top_proportion(edges: DataFrame, top_prop: float, parts: int | None = None) -> DataFrame:
+    """Edges among the max(1, ceil(k * top_prop)) strongest at one of their ends; ties by edge_id.
+
+    ``parts``: into how many the edges' ends are dealt (``tables.parts``), so that a task sorts no more of a larger table.
+    """
+    x = dealt(ends(edges).select("sample_id", "edge_id", "gene", F.abs("weight").alias("_size")), parts, "gene", "sample_id")
+    x = x.withColumn("_node", F.xxhash64("gene", "sample_id"))  # sorted by first: a number is compared faster than names that begin alike
+    order = W.partitionBy("_node", "gene", "sample_id").orderBy(F.col("_size").desc(), "edge_id")
+    every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # in the order of the rank: one window serves both
+    x = x.withColumn("_r", F.row_number().over(order)).withColumn("_k", F.count("*").over(every))
+    kept = x.filter(F.col("_r") <= F.greatest(F.lit(1), share_ceil(F.col("_k"), top_prop))).select("edge_id", "sample_id")
+    kept = dealt(kept, parts, "edge_id", "sample_id")
+    if parts is not None:
+        kept = kept.hint("shuffle_hash")  # a part's ids fit a task, so the edges are not sorted
+    return edges.join(kept, ["edge_id", "sample_id"], "left_semi").select(*edges.columns)
 
 
 def strongest(rows: DataFrame, wanted: DataFrame, ties: list[str], bins: int = 1024) -> DataFrame:

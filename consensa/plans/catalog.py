@@ -473,7 +473,7 @@ FROM k WHERE r <= greatest(1, ceil(CAST(c AS DOUBLE) * CAST(0.2 AS DOUBLE)))))""
 
 
 def top_edges(spark, sf_dir):
-    return network.top_proportion(rel(spark, sf_dir, PPI), 0.2)
+    return network.top_proportion(rel(spark, sf_dir, PPI), 0.2, parts(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), times=2))
 
 
 query(

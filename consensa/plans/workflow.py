@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import null_if_blank
 from ..functions.session import prepare
-from ..functions.tables import keep, scope
+from ..functions.tables import keep, parts, scope
 from ..operators import annotate, borda, expression, graph_kernels, lioness, network, ontology, similarity, union
 from ..operators.config import BordaConfig, FilterConfig
 from ..sources import readers
@@ -160,7 +160,7 @@ def networks(
     pairs = ref.select("a", "b").unionByName(network.membrane_pairs(known, inside)).distinct()
     weights = store(lioness.edges(values, pairs), "weights")
     unfiltered = store(network.weighted(reference, weights), "unfiltered")
-    ppi = network.top_proportion(unfiltered, cfg.top_prop)
+    ppi = network.top_proportion(unfiltered, cfg.top_prop, parts(unfiltered, times=2) if store is keep else None)
     # the reference network's genes are vertices of every sample, as are the membrane genes where pairs are added
     named = reference.filter("src <> dst").select(F.explode(F.array("src", "dst")).alias("gene")).distinct()
     own = values.select("sample_id", "gene").join(named, "gene", "left_semi").select("sample_id", "gene")

@@ -178,6 +178,21 @@ def test_top_proportion(spark):
     assert {r.edge_id for r in network.top_proportion(df, 1.0).collect()} == {e[1] for e in edges}
 
 
+def test_top_proportion_in_parts_keeps_every_edge_of_an_id(spark):
+    rng = random.Random(2)
+    edges = [("st"[i % 2], i // 6, f"g{rng.randrange(9)}", f"h{rng.randrange(30)}", float(i * 7 % 300)) for i in range(300)] + [("s", None, "g1", "h1", 999.0), (None, 7, "g1", "h1", 999.0)]
+    df = spark.createDataFrame(edges, "sample_id string, edge_id long, src string, dst string, weight double")
+    hit = set()
+    for s, g in {(e[0], g) for e in edges for g in e[2:4]}:
+        own = sorted((e for e in edges if e[0] == s and g in e[2:4]), key=lambda e: (-e[4], -1 if e[1] is None else e[1]))
+        hit |= {e[:2] for e in own[: max(1, math.ceil(len(own) * 0.2))]}
+    want = sorted(e for e in edges if e[:2] in hit and None not in e[:2])
+    for n in (None, 7):
+        got = network.top_proportion(df, 0.2, n)
+        assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == want
+    assert network.top_proportion(df, 0.2, 7).groupBy(F.spark_partition_id()).count().count() > 4  # more than the session's
+
+
 def test_enrichment_edge_cases(spark):
     kind = "sample_id string, edge_id long, src string, dst string, weight double"
     ppi = spark.createDataFrame([("s", 1, "a", "b", 1.0), ("s", 2, "b", "a", 2.0)], kind)

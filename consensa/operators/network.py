@@ -90,14 +90,15 @@ def enrich(
     on = cfg.enrich and cfg.add_prop > 0
     put = store or (lambda df, _: df)
     ppi = put(ppi, "ppi")
-    genes = membrane.select(F.col("gene").alias("_m")).distinct()
-    touching = weights.filter("a < b and weight is not null and not isnan(weight)")
-    by = lambda df, end, how: df.join(genes, F.col(end) == F.col("_m"), how)
-    touching = by(touching, "a", "left_semi").unionByName(by(by(touching, "a", "left_anti"), "b", "left_semi"))
+    genes = membrane.select("gene").distinct()
+    # one filter on the two ends goes below the steps that make the weights; a join for each end made them twice
+    touching = weights.filter("a < b and weight is not null and not isnan(weight)").filter(F.col("a").isin(genes) | F.col("b").isin(genes))
     if not on:
         touching = touching.filter("false")
-    pairs = canonical(ppi).select("sample_id", "a", "b").distinct()
-    free = put(touching.join(pairs, ["sample_id", "a", "b"], "left_anti"), "candidates")
+    # pairs of the graph go by one hash aggregation (a row a pair in ``weights``); an anti join sorted both sides by their names
+    known = canonical(ppi).filter("sample_id is not null").select("sample_id", "a", "b", F.lit(None).cast(touching.schema["weight"].dataType).alias("weight"))
+    both = touching.select("sample_id", "a", "b", "weight").unionByName(known).groupBy("sample_id", "a", "b")
+    free = put(both.agg(F.max("weight").alias("weight"), F.bool_or(F.col("weight").isNull()).alias("_known")).filter("not _known").drop("_known"), "candidates")
     whole = unfiltered.groupBy("sample_id").agg(F.count("*").alias("unfiltered_edges"))
     counts = whole.join(ppi.groupBy("sample_id").agg(F.count("*").alias("ppi_edges")), "sample_id", "left")
     counts = counts.join(free.groupBy("sample_id").agg(F.count("*").alias("candidates")), "sample_id", "left").na.fill(0, ["ppi_edges", "candidates"])

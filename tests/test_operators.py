@@ -193,6 +193,21 @@ def test_top_proportion_in_parts_keeps_every_edge_of_an_id(spark):
     assert network.top_proportion(df, 0.2, 7).groupBy(F.spark_partition_id()).count().count() > 4  # more than the session's
 
 
+def test_candidates_read_the_weights_once(spark, tmp_path, capsys):
+    pairs = [("s", "a", "b", 1.0), ("s", "a", "m", -9.0), ("s", "m", "z", 4.0), ("s", "c", "z", 5.0), ("s", "a", None, 1.0), ("s", "a", "n", math.nan), ("t", "a", "m", 2.0), ("s", "m", "n", 3.0)]
+    spark.createDataFrame(pairs, "sample_id string, a string, b string, weight double").write.parquet(f"{tmp_path}/w")
+    weights = spark.read.parquet(f"{tmp_path}/w").groupBy("sample_id", "a", "b").agg(F.max("weight").alias("weight"))
+    kind = "sample_id string, edge_id long, src string, dst string, weight double"
+    ppi = spark.createDataFrame([("s", 1, "m", "a", 1.0), ("s", 2, "b", "a", 2.0), (None, 3, "a", "m", 2.0)], kind)
+    seen = {}
+    network.enrich(ppi, ppi, weights, spark.createDataFrame([("m",), ("n",), (None,), ("m",)], "gene string"), FilterConfig(add_prop=0.5), store=lambda df, name: seen.setdefault(name, df))
+    assert seen["candidates"].columns == ["sample_id", "a", "b", "weight"]
+    assert rows(seen["candidates"], "sample_id", "a", "b", "weight") == [("s", "m", "n", 3.0), ("s", "m", "z", 4.0), ("t", "a", "m", 2.0)]
+    capsys.readouterr()
+    seen["candidates"].select("*").explain()
+    assert capsys.readouterr().out.count("/w]") == 1
+
+
 def test_enrichment_edge_cases(spark):
     kind = "sample_id string, edge_id long, src string, dst string, weight double"
     ppi = spark.createDataFrame([("s", 1, "a", "b", 1.0), ("s", 2, "b", "a", 2.0)], kind)
